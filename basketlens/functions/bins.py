@@ -6,36 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _range(lo: Column, hi: Column) -> tuple[Column, Column]:
-    """Range to split; a single-valued column is widened by 0.1 % to both sides."""
+def width_edges(lo: Column, hi: Column, bins: int) -> Column:
+    """The bins + 1 edges of equal-width bins over [lo, hi] as an array.
+
+    A single-valued range is widened by 0.1 % to both sides. The low end of any
+    other range is not lowered here: bins take the minimum anyway.
+    """
     pad = F.when(lo == 0, F.lit(0.001)).otherwise(F.abs(lo) * 0.001)
     flat = lo == hi
-    return F.when(flat, lo - pad).otherwise(lo), F.when(flat, hi + pad).otherwise(hi)
-
-
-def equal_width_edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Edge i (0..bins) of `bins` equal-width bins over [lo, hi], before the low end is lowered."""
-    start, stop = _range(lo, hi)
+    start = F.when(flat, lo - pad).otherwise(lo)
+    stop = F.when(flat, hi + pad).otherwise(hi)
     step = (stop - start) / F.lit(float(bins))
-    return F.when(i == bins, stop).otherwise(i * step + start)
+    return F.array(*[F.lit(float(i)) * step + start for i in range(bins)], stop)
 
 
-def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """1-based bin of x: edge(i-1) < x <= edge(i), the minimum in bin 1.
+def width_bin(x: Column, edges: Column, bins: int) -> Column:
+    """1-based bin of x: edges[bin-1] < x <= edges[bin], the minimum in bin 1.
 
     One division finds the bin up to rounding, two edge comparisons settle it, so
     the cost per row does not grow with the number of bins.
     """
-    start, stop = _range(lo, hi)
-    step = (stop - start) / F.lit(float(bins))
-    guess = F.ceil(F.try_divide(x - start, step)).cast("int")
+    share = F.try_divide(x - edges[0], edges[bins] - edges[0])
+    guess = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(share * bins).cast("int")))
     settled = (
-        F.when(x <= equal_width_edge(guess - 1, lo, hi, bins), guess - 1)
-        .when(x > equal_width_edge(guess, lo, hi, bins), guess + 1)
-        .otherwise(guess)
+        guess
+        + F.when(x > F.get(edges, guess), 1).otherwise(0)
+        - F.when((x <= F.get(edges, guess - 1)) & (x > edges[0]), 1).otherwise(0)
     )
-    # greatest/least skip nulls, so the null case is stated.
-    return F.when(x.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(bins), settled)))
+    return F.when(x.isNotNull(), settled)
 
 
 def edge_bin(x: Column, inner_edges: list[Column]) -> Column:

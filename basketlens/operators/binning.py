@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.bins import (
-    edge_bin,
-    equal_width_bin,
-    equal_width_edge,
-    labelled,
-    rank_bin,
-)
+from basketlens.functions.bins import edge_bin, labelled, rank_bin, width_bin, width_edges
 from basketlens.operators.ranking import exact_quantiles, global_rank
 
 
-def bounds(df: DataFrame, col: str) -> Column:
-    """Scalar subquery: struct(lo, hi) of the non-null values as doubles."""
+def column_edges(df: DataFrame, col: str, bins: int) -> Column:
+    """Scalar subquery: edges of equal-width bins over the non-null values of a column."""
     x = F.col(col).cast("double")
-    return df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    return ends.select(width_edges(F.col("lo"), F.col("hi"), bins)).scalar()
 
 
 def cut(df: DataFrame, col: str, bins: int, out: str, labels: list | None = None) -> DataFrame:
     """Add the equal-width bin (1..bins) or its label. df is read twice: stage it."""
-    b = bounds(df, col)
-    x = equal_width_bin(F.col(col).cast("double"), b["lo"], b["hi"], bins)
-    return df.withColumn(out, labelled(x, labels) if labels else x)
+    bin_ = width_bin(F.col(col).cast("double"), column_edges(df, col, bins), bins)
+    return df.withColumn(out, labelled(bin_, labels) if labels else bin_)
 
 
 def cut_edges(col: Column | str, edges: list[float], labels: list[str]) -> Column:
@@ -40,14 +34,14 @@ def cut_edges(col: Column | str, edges: list[float], labels: list[str]) -> Colum
 def qcut(df: DataFrame, col: str, q: int, out: str, labels: list | None = None) -> DataFrame:
     """Add the quantile bin (1..q) or its label; equal-width bins if quantile edges coincide.
 
-    The choice is part of the row expression, so nothing returns to the driver.
-    df is read twice: stage it.
+    df is read several times: stage it.
     """
-    edges = exact_quantiles(df, col, [i / q for i in range(q + 1)]).scalar()
-    x = F.col(col).cast("double")
-    by_quantile = edge_bin(x, [edges[i] for i in range(1, q)])
-    by_width = equal_width_bin(x, edges[0], edges[q], q)
-    bin_ = F.when(F.size(F.array_distinct(edges)) == q + 1, by_quantile).otherwise(by_width)
+    found = exact_quantiles(df, col, [i / q for i in range(q + 1)])
+    edges = [F.lit(e).cast("double") for e in found]
+    if len(set(found)) <= q:
+        even = width_edges(edges[0], edges[q], q)
+        edges = [even[i] for i in range(q + 1)]
+    bin_ = edge_bin(F.col(col).cast("double"), edges[1:q])
     return df.withColumn(out, labelled(bin_, labels) if labels else bin_)
 
 
@@ -59,8 +53,9 @@ def rank_qcut(df: DataFrame, col: str, tie: str, q: int, out: str) -> DataFrame:
     """
     ranked = global_rank(df, [col, tie], rank="__rank", total="__rows")
     x = F.col(col).cast("double")
+    alone = width_edges(x, x, q)
     binned = F.when(F.col("__rows") > 1, rank_bin(F.col("__rank"), F.col("__rows"), q)).otherwise(
-        equal_width_bin(x, x, x, q)
+        edge_bin(x, [alone[i] for i in range(1, q)])
     )
     return ranked.withColumn(out, binned).drop("__rank", "__rows")
 
@@ -70,26 +65,24 @@ def histogram(df: DataFrame, col: str, bins: int, weight: str | None = None) ->
 
     `weight` counts a pre-aggregated row that many times. df is read twice: stage it.
     """
-    spark = df.sparkSession
-    b = bounds(df, col)
+    edges = column_edges(df, col, bins)
     n = F.sum(weight) if weight else F.count("*")
     counted = (
         df.filter(F.col(col).isNotNull())
-        .groupBy(equal_width_bin(F.col(col).cast("double"), b["lo"], b["hi"], bins).alias("bin"))
+        .select(width_bin(F.col(col).cast("double"), edges, bins).alias("bin"), *([weight] if weight else []))
+        .groupBy("bin")
         .agg(n.alias("count"))
     )
-    return bin_frame(spark.range(1, bins + 1), b, bins).join(counted, "bin", "left").select(
+    return bin_frame(df, edges, bins).join(counted, "bin", "left").select(
         "bin", "lower", "upper", F.coalesce("count", F.lit(0)).alias("count")
     )
 
 
-def bin_frame(ids: DataFrame, b: Column, bins: int) -> DataFrame:
-    """The bins themselves with their edges, from a range of ids 1..bins."""
+def bin_frame(df: DataFrame, edges: Column, bins: int) -> DataFrame:
+    """One row per bin with its edges."""
     i = F.col("id").cast("int")
-    return ids.select(
-        i.alias("bin"),
-        equal_width_edge(i - 1, b["lo"], b["hi"], bins).alias("lower"),
-        equal_width_edge(i, b["lo"], b["hi"], bins).alias("upper"),
+    return df.sparkSession.range(1, bins + 1).select(
+        i.alias("bin"), F.get(edges, i - 1).alias("lower"), F.get(edges, i).alias("upper")
     )
 
 

@@ -13,6 +13,9 @@ from basketlens.sources.staging import stage
 _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
 
+# Distinct values (estimated) up to which one task may hold all their counts: a few megabytes.
+DISTINCT_LIMIT = 100_000
+
 
 def _range_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-partition and sort df, fix each row's `__part` and `__idx`, and stage it.
@@ -60,18 +63,30 @@ def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", total:
     return out.drop("__part", "__idx", "__before", "__weight", "__total")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
-    """One row with `edges`: the linearly interpolated quantiles of the non-null values.
-
-    Equal values collapse to one counted row first. Only the range partitions that
-    hold a wanted position are then searched. `weight` names the row count of a df
-    that is already collapsed and staged.
+def exact_quantiles(
+    df: DataFrame,
+    col: str,
+    probs: Sequence[float],
+    weight: str | None = None,
+    distinct_limit: int = DISTINCT_LIMIT,
+) -> list[float | None]:
+    """The linearly interpolated quantiles of the non-null values, one number per probability.
+
+    Up to distinct_limit distinct values the built-in percentile does: it keeps a
+    count per distinct value. Beyond that equal values collapse to one counted row,
+    the rows are sorted over range partitions, and only the partitions that hold a
+    wanted position are searched. `weight` names the row count of a df that is
+    collapsed already. df is read more than once: pass a staged table.
     """
     present = df.filter(F.col(col).isNotNull())
+    if present.agg(F.approx_count_distinct(col)).first()[0] <= distinct_limit:
+        x = F.col(col).cast("double")
+        found = F.percentile(x, F.array(*map(F.lit, probs)), F.col(weight) if weight else 1)
+        return list(present.agg(found).first()[0] or [None] * len(probs))
     if weight:
         counts = present.select(F.col(col).alias("v"), F.col(weight).alias("c"))
     else:
-        counts = stage(present.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c")))
+        counts = present.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
     parts = _range_parts(counts, ["v"])
     offsets = _part_offsets(parts, F.col("c"))
 
@@ -105,4 +120,4 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], weight: str
         low, high = F.col(f"w{2 * i}"), F.col(f"w{2 * i + 1}")
         t = position(p) - F.floor(position(p))
         edges.append(F.when(t < 0.5, low + (high - low) * t).otherwise(high - (high - low) * (1 - t)))
-    return found.select(F.array(*edges).alias("edges"))
+    return list(found.select(*[e.alias(f"q{i}") for i, e in enumerate(edges)]).first())

@@ -36,10 +36,10 @@ def clv(tx: DataFrame) -> DataFrame:
 
 def clv_summary(customers: DataFrame) -> DataFrame:
     """Mean, median and sum of clv. `customers` is a staged result of clv()."""
-    median = exact_quantiles(customers, "clv", [0.5]).scalar()[0]
+    [median] = exact_quantiles(customers, "clv", [0.5])
     return customers.agg(
         F.avg("clv").alias("avg_clv"), F.coalesce(F.sum("clv"), F.lit(0.0)).alias("total_clv")
-    ).select("avg_clv", median.alias("median_clv"), "total_clv")
+    ).select("avg_clv", F.lit(median).cast("double").alias("median_clv"), "total_clv")
 
 
 def clv_segments(customers: DataFrame) -> DataFrame:

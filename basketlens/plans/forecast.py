@@ -69,14 +69,17 @@ def forecast_split(features: DataFrame, train_fraction: float = 0.8) -> DataFram
 
 @dataclass(frozen=True)
 class ForecastModel:
-    """Fitted trees, the staged daily features with their split, and what the recursion starts from."""
+    """Fitted trees, the staged daily features with their split, and what the recursion starts from.
 
-    trees: GBTRegressionModel
+    Without trees there were too few days to train or to look 14 back.
+    """
+
+    trees: GBTRegressionModel | None
     split: DataFrame
     recent: tuple[float, ...]
-    first_day: date
-    first_feature_day: date
-    last_day: date
+    first_day: date | None
+    first_feature_day: date | None
+    last_day: date | None
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -90,8 +93,8 @@ def fit_forecast(
     max_depth: int = 5,
     learning_rate: float = 0.1,
     seed: int = 42,
-) -> ForecastModel | None:
-    """Fit on the older days. None if there are too few days to look 14 back and train."""
+) -> ForecastModel:
+    """Fit on the older days."""
     daily = stage(daily_sales(tx))
     split = stage(forecast_split(forecast_features(daily), train_fraction).coalesce(1))
     days = split.agg(
@@ -99,8 +102,9 @@ def fit_forecast(
     ).first()
     # The longest lag, and no more, is read back to start the recursion.
     recent = [r["revenue"] for r in split.orderBy(F.desc("date")).limit(max(LAGS)).select("revenue").collect()]
+    first_day = daily.agg(F.min("date")).first()[0]
     if not days["n"] or len(recent) < max(LAGS):
-        return None
+        return ForecastModel(None, split, tuple(reversed(recent)), first_day, days["first"], days["last"])
     trees = GBTRegressor(
         featuresCol="__features",
         labelCol="revenue",
@@ -111,17 +115,19 @@ def fit_forecast(
     )
     # One partition: a few thousand rows at most, read once per tree level.
     train = _vectors(split.filter("is_train")).select("revenue", "__features").coalesce(1)
-    first_day = daily.agg(F.min("date")).first()[0]
     return ForecastModel(trees.fit(train), split, tuple(reversed(recent)), first_day, days["first"], days["last"])
 
 
 def forecast_metrics(model: ForecastModel) -> DataFrame:
-    """rmse and r2 on the newer days."""
+    """rmse and r2 on the newer days; NULL without a model or without such days."""
+    spark, schema = model.split.sparkSession, "rmse double, r2 double"
+    if model.trees is None or model.split.filter(~F.col("is_train")).isEmpty():
+        return spark.createDataFrame([(None, None)], schema)
     scored = model.trees.transform(_vectors(model.split.filter(~F.col("is_train"))))
     values = [
         float(RegressionEvaluator(labelCol="revenue", metricName=m).evaluate(scored)) for m in ("rmse", "r2")
     ]
-    return model.split.sparkSession.createDataFrame([tuple(values)], "rmse double, r2 double")
+    return spark.createDataFrame([tuple(values)], schema)
 
 
 def lags_at(step: int, recent: Sequence[float], predicted: Sequence[float], compat: bool) -> tuple[float, ...]:
@@ -159,10 +165,13 @@ def recursive_forecast(
 
 
 def sales_forecast(model: ForecastModel, horizon: int = 30, compat: bool = False) -> DataFrame:
-    """Forecast of the days after the last sale: date, inputs, predicted_revenue.
+    """Forecast of the days after the last sale: date, inputs, predicted_revenue; empty without a model.
 
     compat counts day_num from the first day that has all lags instead of the first sale.
     """
+    spark = model.split.sparkSession
+    if model.trees is None:
+        return spark.createDataFrame([], FORECAST_SCHEMA)
     rows = recursive_forecast(
         lambda x: model.trees.predict(Vectors.dense([float(v) for v in x])),
         model.recent,
@@ -171,7 +180,7 @@ def sales_forecast(model: ForecastModel, horizon: int = 30, compat: bool = False
         horizon,
         compat,
     )
-    return model.split.sparkSession.createDataFrame(rows, FORECAST_SCHEMA)
+    return spark.createDataFrame(rows, FORECAST_SCHEMA)
 
 
 FORECAST_SCHEMA = (

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.bins import equal_width_bin
+from basketlens.functions.bins import width_bin
 from basketlens.functions.exact import MONEY, exact_mean
-from basketlens.operators.binning import bin_frame, bounds, histogram, top_k
+from basketlens.operators.binning import bin_frame, column_edges, histogram, top_k
 from basketlens.operators.ranking import exact_quantiles
 from basketlens.plans.overview import keyed, with_category
 from basketlens.sources.staging import stage
@@ -51,17 +51,13 @@ def price_profile(tx: DataFrame) -> DataFrame:
 def price_stats(tx: DataFrame) -> DataFrame:
     """Minimum, maximum, mean and median price over item rows."""
     prices = price_profile(tx)
-    median = _weighted_median(prices)
+    [median] = exact_quantiles(prices, "price", [0.5], weight="rows")
     total = F.sum(F.col("price").try_cast(MONEY) * F.col("rows"))
     return prices.agg(
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
         F.try_divide(total.cast("double"), F.sum("rows")).alias("avg_price"),
-    ).withColumn("median_price", median)
-
-
-def _weighted_median(prices: DataFrame):
-    return exact_quantiles(prices, "price", [0.5], weight="rows").scalar()[0]
+    ).withColumn("median_price", F.lit(median).cast("double"))
 
 
 def popular_products(tx: DataFrame, n: int = 20) -> DataFrame:
@@ -80,14 +76,16 @@ def rating_by_price_bin(tx: DataFrame, bins: int = 10) -> DataFrame:
     The lowest band starts 0.1 % of the range below the minimum.
     """
     prices = price_profile(tx)
-    b = bounds(prices, "price")
+    edges = column_edges(prices, "price", bins)
     scored = (
-        prices.groupBy(equal_width_bin(F.col("price"), b["lo"], b["hi"], bins).alias("bin"))
+        prices.withColumn("bin", width_bin(F.col("price"), edges, bins))
+        .groupBy("bin")
         .agg(F.try_divide(F.sum("score_sum"), F.sum("score_rows")).alias("avg_review"))
     )
-    lowered = F.when((F.col("bin") == 1) & (b["lo"] != b["hi"]), F.col("lower") - (b["hi"] - b["lo"]) * 0.001)
-    frame = bin_frame(prices.sparkSession.range(1, bins + 1), b, bins).withColumn(
-        "lower", lowered.otherwise(F.col("lower"))
+    ends = prices.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    lowered = ends.select(F.col("lo") - (F.col("hi") - F.col("lo")) * 0.001).scalar()
+    frame = bin_frame(prices, edges, bins).withColumn(
+        "lower", F.when(F.col("bin") == 1, F.least("lower", lowered)).otherwise(F.col("lower"))
     )
     label = F.format_string("(%s, %s]", F.round("lower", 3).cast("string"), F.round("upper", 3).cast("string"))
     return frame.join(scored, "bin", "left").select("bin", "lower", "upper", label.alias("label"), "avg_review")

@@ -18,8 +18,9 @@ from basketlens.operators.binning import value_counts
 from basketlens.plans.customers import per_customer
 from basketlens.sources.staging import stage
 
-# The clustered measures and the label texts.
+# The clustered measures, when k-means has settled, and the label texts.
 SCALED = ("order_count", "total_spent", "avg_order_value", "recency_days")
+SHIFT = 1e-4
 HIGH_VALUE, INACTIVE, NEW, MEDIUM = "High Value", "Inactive", "New/Low Frequency", "Medium Value"
 
 
@@ -86,7 +87,8 @@ def _best_fits(
 
     def fit(job: tuple[int, int]) -> tuple[int, KMeansModel]:
         k, s = job
-        return k, KMeans(k=k, seed=s, maxIter=max_iter, initSteps=2).fit(points)
+        # Done when the squared moves of all centres sum to less than SHIFT.
+        return k, KMeans(k=k, seed=s, maxIter=max_iter, tol=(SHIFT / k) ** 0.5).fit(points)
 
     best: dict[int, KMeansModel] = {}
     pool = ThreadPool(max(1, min(parallelism, len(jobs) or 1)))

@@ -68,10 +68,21 @@ def _catalogue(datasets: dict[str, DataFrame]) -> DataFrame:
 
 
 def _translate(df: DataFrame, translation: DataFrame) -> DataFrame:
+    """Add the columns of the translation of each row's category."""
     other = _renamed(translation, df.columns, "product_category_name", "product_translation")
-    other = other.withColumnRenamed("product_category_name", "__category")
-    # Null-safe: an untranslated null category may have a row of its own.
-    return df.join(other, F.col("product_category_name").eqNullSafe(F.col("__category")), "left").drop("__category")
+    return df.join(other.filter(F.col("product_category_name").isNotNull()), "product_category_name", "left")
+
+
+def _translate_missing(tx: DataFrame, translation: DataFrame) -> DataFrame:
+    """Rows without a category take the translation row that has none either, if there is one."""
+    names = [c for c in translation.columns if c != "product_category_name" and c in tx.columns]
+    if not names:
+        return tx
+    of_null = translation.filter(F.col("product_category_name").isNull()).agg(
+        F.min(F.struct(*names)).alias("t")
+    ).scalar()
+    no_category = F.col("product_category_name").isNull()
+    return tx.withColumns({c: F.when(no_category, of_null[c]).otherwise(F.col(c)) for c in names})
 
 
 def _one_row(df: DataFrame, key: str, wanted: bool) -> DataFrame:
@@ -118,12 +129,11 @@ def build_transactions(
         catalogue = _renamed(_catalogue(datasets), tx.columns, "product_id", "products")
         catalogue = _one_row(catalogue, "product_id", "products" in one_row_per_key)
         tx = tx.join(catalogue, "product_id", "left")
-    if (
-        "product_translation" in datasets
-        and "product_category_name" in tx.columns
-        and "product_category_name" not in (datasets["products"].columns if "products" in datasets else ())
-    ):
-        tx = _translate(tx, datasets["product_translation"])
+    if "product_translation" in datasets and "product_category_name" in tx.columns:
+        translation = datasets["product_translation"]
+        if "products" not in datasets or "product_category_name" not in datasets["products"].columns:
+            tx = _translate(tx, translation)
+        tx = _translate_missing(tx, translation)
     return _derive(tx, total)
 
 

@@ -5,7 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import (
+    DoubleType,
+    IntegerType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
 
 
 class ContractError(ValueError):
@@ -73,24 +80,30 @@ _TABLES = {
 MINIMUM_TABLES = ("customers", "orders", "order_items")
 
 
+_TYPES = {
+    "string": StringType(),
+    "int": IntegerType(),
+    "double": DoubleType(),
+    "timestamp_ntz": TimestampNTZType(),
+}
+
+
 def _schema(required: str, optional: str) -> StructType:
     out = StructType()
     for part, nullable in ((required, False), (optional, True)):
         for column in part.split(","):
             name, kind = column.split()
-            out.add(StructField(name, _parse_datatype_string(kind), nullable))
+            out.add(StructField(name, _TYPES[kind], nullable))
     return out
 
 
-def contracts() -> dict[str, Contract]:
-    """Contracts by table name. Needs an active session: types are parsed by Spark."""
-    return {name: Contract(text, _schema(req, opt)) for name, (text, req, opt) in _TABLES.items()}
+CONTRACTS = {name: Contract(text, _schema(req, opt)) for name, (text, req, opt) in _TABLES.items()}
 
 
 def contract(name: str) -> Contract:
-    if name not in _TABLES:
-        raise ContractError(f"unknown table {name!r}; expected one of {', '.join(_TABLES)}")
-    return contracts()[name]
+    if name not in CONTRACTS:
+        raise ContractError(f"unknown table {name!r}; expected one of {', '.join(CONTRACTS)}")
+    return CONTRACTS[name]
 
 
 def missing_columns(df: DataFrame, name: str) -> list[str]:

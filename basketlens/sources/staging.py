@@ -26,13 +26,17 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write df once and return the written table."""
+    """Write df once and return the written table.
+
+    With partition_by, rows are rebalanced by that column first: small values share
+    files, and a value with a large part of all rows is split over several tasks.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
