@@ -57,10 +57,6 @@ def _on_events(analysis: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, path: analysis(purchase_events(tune(spark), path))
 
 
-def _columns(*names: str) -> Query:
-    return lambda spark, path: _tx(spark, path).select(*names)
-
-
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     """Round results whose last digits depend on the order of floating-point additions."""
     return df.withColumns({c: F.round(c, digits) for c in names})
@@ -97,131 +93,134 @@ def _rules(tx: DataFrame) -> DataFrame:
     return basket.association_rules(_itemsets(tx))
 
 
+# Analyses of the transactions table by query name.
+ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    # the table itself
+    "tx_items_orders": lambda tx: tx.select(
+        "order_id", "product_id", "order_item_id", "seller_id", "price", "customer_id", "order_status",
+        "order_purchase_timestamp",
+    ),
+    "tx_base": lambda tx: tx.select(
+        "order_id", "product_id", "order_item_id", "price", "freight_value", "customer_id", "customer_city",
+        "customer_state", "product_category_name", "product_category_name_english", "order_total",
+    ),
+    "tx_payments": lambda tx: tx.select("order_id", "product_id", "payment_value", "payment_type", "order_total"),
+    "tx_reviews": lambda tx: tx.select("order_id", "product_id", "review_score"),
+    "tx_time_features": lambda tx: tx.select(
+        "order_id", "order_month", "order_year_month", "purchase_hour", "purchase_day", "purchase_month",
+        "purchase_day_of_week", "is_weekend",
+    ),
+    "tx_shipping_features": lambda tx: tx.select(
+        "order_id", "product_id", "freight_value", "has_free_shipping", "freight_ratio"
+    ),
+    # overview
+    "overview_kpis": overview.overview_kpis,
+    "monthly_revenue": overview.monthly_revenue,
+    "monthly_orders": overview.monthly_orders,
+    "top_categories": overview.top_categories,
+    "repeat_rate": overview.repeat_rate,
+    "avg_items_per_order": overview.avg_items_per_order,
+    "avg_review": lambda tx: _rounded(overview.avg_review(tx), 4, "avg_review"),
+    # behaviour
+    "free_shipping_effect": behavior.free_shipping_effect,
+    "social_proof": behavior.social_proof,
+    "choice_architecture": behavior.choice_architecture,
+    "status_quo_bias": behavior.status_quo_bias,
+    # sales
+    "payment_mix": sales.payment_mix,
+    "state_revenue": sales.state_revenue,
+    "category_performance": sales.category_performance,
+    # products
+    "category_ratings": lambda tx: _rounded(products.category_ratings(tx), 4, "avg_rating"),
+    "price_stats": products.price_stats,
+    "popular_products": products.popular_products,
+    "rating_by_price_bin": lambda tx: _rounded(
+        products.rating_by_price_bin(tx), 4, "lower", "upper", "avg_review"
+    ).drop("label"),
+    "price_review_corr": lambda tx: _rounded(products.price_review_corr(tx), 6, "price_review_corr"),
+    "price_histogram": lambda tx: _rounded(products.price_histogram(tx), 4, "lower", "upper"),
+    # customer lifetime value
+    "clv": clv.clv,
+    "clv_summary": lambda tx: _rounded(
+        clv.clv_summary(clv.staged_clv(tx)), 2, "avg_clv", "median_clv", "total_clv"
+    ),
+    "clv_segments": lambda tx: _rounded(clv.clv_segments(clv.staged_clv(tx)), 2, "avg_clv", "avg_monetary"),
+    "clv_top20": lambda tx: clv.clv_top(clv.clv(tx)),
+    "clv_histogram": lambda tx: _rounded(clv.clv_histogram(clv.staged_clv(tx)), 4, "lower", "upper"),
+    # RFM
+    "rfm_values": rfm.rfm_values,
+    "rfm_scores": rfm.rfm_scores,
+    "rfm": rfm.rfm,
+    "rfm_segment_counts": lambda tx: rfm.rfm_segment_counts(rfm.rfm(tx)),
+    "rfm_segment_profile": lambda tx: rfm.rfm_segment_profile(rfm.rfm(tx)),
+    "rfm_histograms": lambda tx: _rounded(rfm.rfm_histograms(rfm.rfm_values(tx)), 4, "lower", "upper"),
+    # segmentation
+    "segmentation_features": segments.segmentation_features,
+    "segmentation_scaled": lambda tx: _rounded(
+        segments.segmentation_scaled(segments.segmentation_features(tx)), 6, *segments.SCALED
+    ),
+    "kmeans_elbow": lambda tx: segments.kmeans_elbow(segments.segmentation_features(tx)),
+    # churn
+    "churn_features": lambda tx: _rounded(churn.churn_features(tx), 4, "std_order_value"),
+    "churn_split": lambda tx: churn.churn_split(stage(churn.churn_features(tx))).select(
+        "customer_id", "is_churned", "is_test"
+    ),
+    "churn_rate": lambda tx: churn.churn_rate(churn.churn_features(tx)),
+    # market basket; item lists leave as text
+    "baskets": lambda tx: basket.baskets(tx).select("order_id", _joined("items")),
+    "frequent_itemsets": lambda tx: _itemsets(tx).select(_joined("items"), "freq", "support"),
+    "association_rules": lambda tx: _rounded(
+        basket.rules_display(_rules(tx)), 6, "leverage", "conviction", "zhangs_metric"
+    ),
+    "rules_filtered": lambda tx: basket.rules_display(basket.filter_rules(_rules(tx), min_lift=1.0)).select(
+        "antecedents", "consequents", "antecedent_support", "consequent_support", "support", "confidence", "lift"
+    ),
+    "rules_top": lambda tx: basket.rules_top(basket.filter_rules(_rules(tx), min_lift=1.0)),
+    # forecast
+    "daily_sales": forecast.daily_sales,
+    "forecast_features": lambda tx: forecast.forecast_features(forecast.daily_sales(tx)),
+    "forecast_split": lambda tx: forecast.forecast_split(
+        forecast.forecast_features(forecast.daily_sales(tx))
+    ).select("date", "revenue", "is_train"),
+}
+
+# Analyses of the purchase events: hours and weekends, as the orders have no time of day.
+EVENT_ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "orders_by_hour": behavior.orders_by_hour,
+    "peak_hours": behavior.peak_hours,
+    "weekend_vs_weekday": lambda tx: _rounded(behavior.weekend_vs_weekday(tx), 4, "avg_order_total", "revenue"),
+}
+
+# Reports on the input tables and on fitted models.
+OTHER: dict[str, Query] = {
+    "load_report": lambda spark, path: load_report(from_testdata(tune(spark), path)),
+    "tx_status_filter": lambda spark, path: sold_orders(from_testdata(tune(spark), path)["orders"]),
+    "kmeans_segments": _segments,
+    "kmeans_label_counts": lambda spark, path: segments.kmeans_label_counts(_segments(spark, path)),
+    "kmeans_profile": lambda spark, path: segments.kmeans_profile(_segments(spark, path)),
+    "churn_scores": lambda spark, path: churn.churn_scores(*_churn(spark, path)),
+    "churn_importance": lambda spark, path: churn.churn_importance(*_churn(spark, path)),
+    "churn_metrics": lambda spark, path: churn.churn_metrics(*_churn(spark, path)),
+    "churn_risk_counts": lambda spark, path: churn.churn_risk_counts(churn.churn_scores(*_churn(spark, path))),
+    "churn_top20": lambda spark, path: churn.churn_top(churn.churn_scores(*_churn(spark, path))),
+    "forecast_metrics": lambda spark, path: forecast.forecast_metrics(_forecast(spark, path)),
+    "sales_forecast": lambda spark, path: forecast.sales_forecast(_forecast(spark, path)),
+    "forecast_summary": lambda spark, path: forecast.forecast_summary(
+        forecast.sales_forecast(_forecast(spark, path))
+    ),
+}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: profile of the RFM segments."""
     return queries()["rfm_segment_profile"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    rule_columns = (
-        "antecedents", "consequents", "antecedent_support", "consequent_support", "support", "confidence", "lift",
-    )
     return {
-        # inputs and the transactions table
-        "load_report": lambda spark, path: load_report(from_testdata(tune(spark), path)),
-        "tx_status_filter": lambda spark, path: sold_orders(from_testdata(tune(spark), path)["orders"]),
-        "tx_items_orders": _columns(
-            "order_id", "product_id", "order_item_id", "seller_id", "price", "customer_id", "order_status",
-            "order_purchase_timestamp",
-        ),
-        "tx_base": _columns(
-            "order_id", "product_id", "order_item_id", "price", "freight_value", "customer_id", "customer_city",
-            "customer_state", "product_category_name", "product_category_name_english", "order_total",
-        ),
-        "tx_payments": _columns("order_id", "product_id", "payment_value", "payment_type", "order_total"),
-        "tx_reviews": _columns("order_id", "product_id", "review_score"),
-        "tx_time_features": _columns(
-            "order_id", "order_month", "order_year_month", "purchase_hour", "purchase_day", "purchase_month",
-            "purchase_day_of_week", "is_weekend",
-        ),
-        "tx_shipping_features": _columns(
-            "order_id", "product_id", "freight_value", "has_free_shipping", "freight_ratio"
-        ),
-        # overview
-        "overview_kpis": _on_tx(overview.overview_kpis),
-        "monthly_revenue": _on_tx(overview.monthly_revenue),
-        "monthly_orders": _on_tx(overview.monthly_orders),
-        "top_categories": _on_tx(overview.top_categories),
-        "repeat_rate": _on_tx(overview.repeat_rate),
-        "avg_items_per_order": _on_tx(overview.avg_items_per_order),
-        "avg_review": _on_tx(lambda tx: _rounded(overview.avg_review(tx), 4, "avg_review")),
-        # behaviour; hours and weekends come from the events, orders have no time of day
-        "free_shipping_effect": _on_tx(behavior.free_shipping_effect),
-        "social_proof": _on_tx(behavior.social_proof),
-        "choice_architecture": _on_tx(behavior.choice_architecture),
-        "orders_by_hour": _on_events(behavior.orders_by_hour),
-        "peak_hours": _on_events(behavior.peak_hours),
-        "status_quo_bias": _on_tx(behavior.status_quo_bias),
-        "weekend_vs_weekday": _on_events(
-            lambda tx: _rounded(behavior.weekend_vs_weekday(tx), 4, "avg_order_total", "revenue")
-        ),
-        # sales
-        "payment_mix": _on_tx(sales.payment_mix),
-        "state_revenue": _on_tx(sales.state_revenue),
-        "category_performance": _on_tx(sales.category_performance),
-        # products
-        "category_ratings": _on_tx(lambda tx: _rounded(products.category_ratings(tx), 4, "avg_rating")),
-        "price_stats": _on_tx(products.price_stats),
-        "popular_products": _on_tx(products.popular_products),
-        "rating_by_price_bin": _on_tx(
-            lambda tx: _rounded(products.rating_by_price_bin(tx), 4, "lower", "upper", "avg_review").drop("label")
-        ),
-        "price_review_corr": _on_tx(lambda tx: _rounded(products.price_review_corr(tx), 6, "price_review_corr")),
-        "price_histogram": _on_tx(lambda tx: _rounded(products.price_histogram(tx), 4, "lower", "upper")),
-        # customer lifetime value
-        "clv": _on_tx(clv.clv),
-        "clv_summary": _on_tx(
-            lambda tx: _rounded(clv.clv_summary(clv.staged_clv(tx)), 2, "avg_clv", "median_clv", "total_clv")
-        ),
-        "clv_segments": _on_tx(
-            lambda tx: _rounded(clv.clv_segments(clv.staged_clv(tx)), 2, "avg_clv", "avg_monetary")
-        ),
-        "clv_top20": _on_tx(lambda tx: clv.clv_top(clv.clv(tx))),
-        "clv_histogram": _on_tx(lambda tx: _rounded(clv.clv_histogram(clv.staged_clv(tx)), 4, "lower", "upper")),
-        # RFM
-        "rfm_values": _on_tx(rfm.rfm_values),
-        "rfm_scores": _on_tx(rfm.rfm_scores),
-        "rfm": _on_tx(rfm.rfm),
-        "rfm_segment_counts": _on_tx(lambda tx: rfm.rfm_segment_counts(rfm.rfm(tx))),
-        "rfm_segment_profile": _on_tx(lambda tx: rfm.rfm_segment_profile(rfm.rfm(tx))),
-        "rfm_histograms": _on_tx(lambda tx: _rounded(rfm.rfm_histograms(rfm.rfm_values(tx)), 4, "lower", "upper")),
-        # segmentation
-        "segmentation_features": _on_tx(segments.segmentation_features),
-        "segmentation_scaled": _on_tx(
-            lambda tx: _rounded(
-                segments.segmentation_scaled(segments.segmentation_features(tx)), 6, *segments.SCALED
-            )
-        ),
-        "kmeans_elbow": _on_tx(lambda tx: segments.kmeans_elbow(segments.segmentation_features(tx))),
-        "kmeans_segments": _segments,
-        "kmeans_label_counts": lambda spark, path: segments.kmeans_label_counts(_segments(spark, path)),
-        "kmeans_profile": lambda spark, path: segments.kmeans_profile(_segments(spark, path)),
-        # churn
-        "churn_features": _on_tx(lambda tx: _rounded(churn.churn_features(tx), 4, "std_order_value")),
-        "churn_split": _on_tx(
-            lambda tx: churn.churn_split(stage(churn.churn_features(tx))).select("customer_id", "is_churned", "is_test")
-        ),
-        "churn_rate": _on_tx(lambda tx: churn.churn_rate(churn.churn_features(tx))),
-        "churn_scores": lambda spark, path: churn.churn_scores(*_churn(spark, path)),
-        "churn_importance": lambda spark, path: churn.churn_importance(*_churn(spark, path)),
-        "churn_metrics": lambda spark, path: churn.churn_metrics(*_churn(spark, path)),
-        "churn_risk_counts": lambda spark, path: churn.churn_risk_counts(churn.churn_scores(*_churn(spark, path))),
-        "churn_top20": lambda spark, path: churn.churn_top(churn.churn_scores(*_churn(spark, path))),
-        # market basket; item lists leave as text
-        "baskets": _on_tx(lambda tx: basket.baskets(tx).select("order_id", _joined("items"))),
-        "frequent_itemsets": _on_tx(lambda tx: _itemsets(tx).select(_joined("items"), "freq", "support")),
-        "association_rules": _on_tx(
-            lambda tx: _rounded(
-                basket.rules_display(_rules(tx)), 6, "leverage", "conviction", "zhangs_metric"
-            )
-        ),
-        "rules_filtered": _on_tx(
-            lambda tx: basket.rules_display(basket.filter_rules(_rules(tx), min_lift=1.0)).select(*rule_columns)
-        ),
-        "rules_top": _on_tx(lambda tx: basket.rules_top(basket.filter_rules(_rules(tx), min_lift=1.0))),
-        # forecast
-        "daily_sales": _on_tx(forecast.daily_sales),
-        "forecast_features": _on_tx(lambda tx: forecast.forecast_features(forecast.daily_sales(tx))),
-        "forecast_split": _on_tx(
-            lambda tx: forecast.forecast_split(forecast.forecast_features(forecast.daily_sales(tx))).select(
-                "date", "revenue", "is_train"
-            )
-        ),
-        "forecast_metrics": lambda spark, path: forecast.forecast_metrics(_forecast(spark, path)),
-        "sales_forecast": lambda spark, path: forecast.sales_forecast(_forecast(spark, path)),
-        "forecast_summary": lambda spark, path: forecast.forecast_summary(
-            forecast.sales_forecast(_forecast(spark, path))
-        ),
+        **{name: _on_tx(analysis) for name, analysis in ANALYSES.items()},
+        **{name: _on_events(analysis) for name, analysis in EVENT_ANALYSES.items()},
+        **OTHER,
     }
 
 

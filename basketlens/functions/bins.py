@@ -6,39 +6,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def width_edges(lo: Column, hi: Column, bins: int) -> Column:
-    """The bins + 1 edges of equal-width bins over [lo, hi] as an array.
+def width_edges(lo: float | None, hi: float | None, bins: int) -> list[float | None]:
+    """The bins + 1 edges of equal-width bins over [lo, hi]; all None without a range.
 
     A single-valued range is widened by 0.1 % to both sides. The low end of any
     other range is not lowered here: bins take the minimum anyway.
     """
-    pad = F.when(lo == 0, F.lit(0.001)).otherwise(F.abs(lo) * 0.001)
-    flat = lo == hi
-    start = F.when(flat, lo - pad).otherwise(lo)
-    stop = F.when(flat, hi + pad).otherwise(hi)
-    step = (stop - start) / F.lit(float(bins))
-    return F.array(*[F.lit(float(i)) * step + start for i in range(bins)], stop)
+    if lo is None or hi is None:
+        return [None] * (bins + 1)
+    if lo == hi:
+        pad = 0.001 * abs(lo) if lo else 0.001
+        lo, hi = lo - pad, hi + pad
+    step = (hi - lo) / bins
+    return [i * step + lo for i in range(bins)] + [hi]
 
 
-def width_bin(x: Column, edges: Column, bins: int) -> Column:
+def doubles(values: list[float | None]) -> Column:
+    """A constant array of doubles."""
+    return F.array(*[F.lit(v).cast("double") for v in values])
+
+
+def width_bin(x: Column, edges: list[float | None]) -> Column:
     """1-based bin of x: edges[bin-1] < x <= edges[bin], the minimum in bin 1.
 
     One division finds the bin up to rounding, two edge comparisons settle it, so
     the cost per row does not grow with the number of bins.
     """
-    share = F.try_divide(x - edges[0], edges[bins] - edges[0])
+    bins = len(edges) - 1
+    if edges[0] is None:
+        return F.lit(None).cast("int")
+    at = doubles(edges)
+    share = (x - edges[0]) / (edges[-1] - edges[0])
     guess = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(share * bins).cast("int")))
     settled = (
         guess
-        + F.when(x > F.get(edges, guess), 1).otherwise(0)
-        - F.when((x <= F.get(edges, guess - 1)) & (x > edges[0]), 1).otherwise(0)
+        + F.when(x > F.get(at, guess), 1).otherwise(0)
+        - F.when((x <= F.get(at, guess - 1)) & (x > edges[0]), 1).otherwise(0)
     )
     return F.when(x.isNotNull(), settled)
 
 
-def edge_bin(x: Column, inner_edges: list[Column]) -> Column:
-    """1-based right-closed bin of x given the inner edges in ascending order."""
-    above = sum((F.when(x > e, 1).otherwise(0) for e in inner_edges), F.lit(1))
+def edge_bin(x: Column, edges: list[float | None]) -> Column:
+    """1-based right-closed bin of x by ascending edges, of which the outer two do not matter."""
+    above = sum((F.when(x > F.lit(e).cast("double"), 1).otherwise(0) for e in edges[1:-1]), F.lit(1))
     return F.when(x.isNotNull(), above)
 
 

@@ -1,7 +1,9 @@
 """Sums and means that do not depend on how rows are partitioned.
 
 Money arrives as doubles. Adding doubles gives a last digit that changes with the
-partition order, so sums run on decimals and come out as doubles.
+partition order. Here whole units and millionths are added as two long integers,
+which is exact for up to six decimals and as fast as adding doubles; the total is
+put together as a decimal. Totals of 2^63 and more raise an error under ANSI mode.
 """
 
 from __future__ import annotations
@@ -9,19 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(28,6)"
 
+def _amount(c: Column | str) -> Column:
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.nanvl(x, F.lit(None).cast("double"))
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+
+def decimal_sum(c: Column | str, weight: str | None = None) -> Column:
+    """Sum of the non-null values as decimal; NULL when there are none.
+
+    `weight` names a whole-number column to multiply each value by.
+    """
+    x = _amount(c)
+    units, millionths = F.floor(x), F.rint((x - F.floor(x)) * 1e6).cast("long")
+    if weight:
+        units, millionths = units * F.col(weight), millionths * F.col(weight)
+    return F.sum(units).cast("decimal(20,0)") + F.sum(millionths).cast("decimal(20,0)") * F.lit("0.000001").cast(
+        "decimal(7,6)"
+    )
 
 
 def exact_sum(c: Column | str) -> Column:
     """Sum of the non-null values; 0 when there are none."""
-    return F.coalesce(F.sum(_col(c).try_cast(MONEY)), F.lit(0)).cast("double")
+    return F.coalesce(decimal_sum(c).cast("double"), F.lit(0.0))
 
 
 def exact_mean(c: Column | str) -> Column:
     """Mean of the non-null values; NULL when there are none."""
-    amount = _col(c).try_cast(MONEY)
-    return F.try_divide(F.sum(amount).cast("double"), F.count(amount))
+    return F.try_divide(decimal_sum(c).cast("double"), F.count(_amount(c)))

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.bins import edge_bin, labelled, rank_bin, width_bin, width_edges
+from basketlens.functions.bins import doubles, edge_bin, labelled, rank_bin, width_bin, width_edges
 from basketlens.operators.ranking import exact_quantiles, global_rank
 
 
-def column_edges(df: DataFrame, col: str, bins: int) -> Column:
-    """Scalar subquery: edges of equal-width bins over the non-null values of a column."""
+def column_edges(df: DataFrame, col: str, bins: int) -> list[float | None]:
+    """Edges of equal-width bins over the non-null values of a column."""
     x = F.col(col).cast("double")
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    return ends.select(width_edges(F.col("lo"), F.col("hi"), bins)).scalar()
+    return width_edges(*df.agg(F.min(x), F.max(x)).first(), bins)
 
 
 def cut(df: DataFrame, col: str, bins: int, out: str, labels: list | None = None) -> DataFrame:
     """Add the equal-width bin (1..bins) or its label. df is read twice: stage it."""
-    bin_ = width_bin(F.col(col).cast("double"), column_edges(df, col, bins), bins)
+    bin_ = width_bin(F.col(col).cast("double"), column_edges(df, col, bins))
     return df.withColumn(out, labelled(bin_, labels) if labels else bin_)
 
 
@@ -36,12 +35,10 @@ def qcut(df: DataFrame, col: str, q: int, out: str, labels: list | None = None)
 
     df is read several times: stage it.
     """
-    found = exact_quantiles(df, col, [i / q for i in range(q + 1)])
-    edges = [F.lit(e).cast("double") for e in found]
-    if len(set(found)) <= q:
-        even = width_edges(edges[0], edges[q], q)
-        edges = [even[i] for i in range(q + 1)]
-    bin_ = edge_bin(F.col(col).cast("double"), edges[1:q])
+    edges = exact_quantiles(df, col, [i / q for i in range(q + 1)])
+    if len(set(edges)) <= q:
+        edges = width_edges(edges[0], edges[q], q)
+    bin_ = edge_bin(F.col(col).cast("double"), edges)
     return df.withColumn(out, labelled(bin_, labels) if labels else bin_)
 
 
@@ -51,13 +48,11 @@ def rank_qcut(df: DataFrame, col: str, tie: str, q: int, out: str) -> DataFrame:
     With a single row ranks have no quantiles and the equal-width bin of the value
     stands in, as for tied edges. `col` must not be null. df is read twice: stage it.
     """
+    first = df.select(F.col(col).cast("double")).take(2)
+    if len(first) == 1:
+        return df.withColumn(out, edge_bin(F.col(col).cast("double"), width_edges(first[0][0], first[0][0], q)))
     ranked = global_rank(df, [col, tie], rank="__rank", total="__rows")
-    x = F.col(col).cast("double")
-    alone = width_edges(x, x, q)
-    binned = F.when(F.col("__rows") > 1, rank_bin(F.col("__rank"), F.col("__rows"), q)).otherwise(
-        edge_bin(x, [alone[i] for i in range(1, q)])
-    )
-    return ranked.withColumn(out, binned).drop("__rank", "__rows")
+    return ranked.withColumn(out, rank_bin(F.col("__rank"), F.col("__rows"), q)).drop("__rank", "__rows")
 
 
 def histogram(df: DataFrame, col: str, bins: int, weight: str | None = None) -> DataFrame:
@@ -69,20 +64,20 @@ def histogram(df: DataFrame, col: str, bins: int, weight: str | None = None) ->
     n = F.sum(weight) if weight else F.count("*")
     counted = (
         df.filter(F.col(col).isNotNull())
-        .select(width_bin(F.col(col).cast("double"), edges, bins).alias("bin"), *([weight] if weight else []))
+        .select(width_bin(F.col(col).cast("double"), edges).alias("bin"), *([weight] if weight else []))
         .groupBy("bin")
         .agg(n.alias("count"))
     )
-    return bin_frame(df, edges, bins).join(counted, "bin", "left").select(
+    return bin_frame(df, edges).join(counted, "bin", "left").select(
         "bin", "lower", "upper", F.coalesce("count", F.lit(0)).alias("count")
     )
 
 
-def bin_frame(df: DataFrame, edges: Column, bins: int) -> DataFrame:
+def bin_frame(df: DataFrame, edges: list[float | None]) -> DataFrame:
     """One row per bin with its edges."""
-    i = F.col("id").cast("int")
-    return df.sparkSession.range(1, bins + 1).select(
-        i.alias("bin"), F.get(edges, i - 1).alias("lower"), F.get(edges, i).alias("upper")
+    i, at = F.col("id").cast("int"), doubles(edges)
+    return df.sparkSession.range(1, len(edges), 1, 1).select(
+        i.alias("bin"), F.get(at, i - 1).alias("lower"), F.get(at, i).alias("upper")
     )
 
 

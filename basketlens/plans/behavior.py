@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.exact import MONEY
+from basketlens.functions.exact import decimal_sum
 from basketlens.operators.binning import top_k
 from basketlens.plans.overview import keyed, orders_per_customer, with_category
 
@@ -15,8 +15,9 @@ def _by_flag(tx: DataFrame, flag: str) -> DataFrame:
 
     Two levels: per order in place, then over the two flag values.
     """
-    amount = F.col("order_total").try_cast(MONEY)
-    per_order = tx.groupBy(flag, "order_id").agg(F.sum(amount).alias("t"), F.count(amount).alias("n"))
+    per_order = tx.groupBy(flag, "order_id").agg(
+        decimal_sum("order_total").alias("t"), F.count("order_total").alias("n")
+    )
     return per_order.groupBy(flag).agg(
         F.count("order_id").alias("orders"), F.sum("n").alias("n"), F.sum("t").alias("t")
     )
@@ -49,11 +50,10 @@ def social_proof(tx: DataFrame) -> DataFrame:
     rated = keyed(tx, "review_score").withColumn(
         "side", F.when(F.col("review_score") >= 4, "high").when(F.col("review_score") < 3, "low")
     )
-    amount = F.col("price").try_cast(MONEY)
     per_order = (
         keyed(rated, "side")
         .groupBy("side", "order_id")
-        .agg(F.count("*").alias("n"), F.count(amount).alias("p"), F.sum(amount).alias("t"))
+        .agg(F.count("*").alias("n"), F.count("price").alias("p"), decimal_sum("price").alias("t"))
     )
     sides = per_order.groupBy("side").agg(
         F.sum("n").alias("n"), F.count("order_id").alias("orders"), F.sum("p").alias("p"), F.sum("t").alias("t")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.exact import MONEY, exact_sum
+from basketlens.functions.exact import decimal_sum, exact_sum
 from basketlens.operators.binning import top_k
 from basketlens.plans.transactions import category_column
 
@@ -23,7 +23,7 @@ def overview_kpis(tx: DataFrame) -> DataFrame:
     Items collapse to one row per order and customer first, in place after the join
     on order_id; the two distinct counts then run on those rows.
     """
-    per = tx.groupBy("order_id", "customer_id").agg(F.sum(F.col("order_total").try_cast(MONEY)).alias("t"))
+    per = tx.groupBy("order_id", "customer_id").agg(decimal_sum("order_total").alias("t"))
     return per.agg(
         F.coalesce(F.sum("t"), F.lit(0)).cast("double").alias("total_revenue"),
         F.countDistinct("order_id").alias("total_orders"),

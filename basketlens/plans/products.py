@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.bins import width_bin
-from basketlens.functions.exact import MONEY, exact_mean
-from basketlens.operators.binning import bin_frame, column_edges, histogram, top_k
+from basketlens.functions.bins import width_bin, width_edges
+from basketlens.functions.exact import decimal_sum, exact_mean
+from basketlens.operators.binning import bin_frame, histogram, top_k
 from basketlens.operators.ranking import exact_quantiles
 from basketlens.plans.overview import keyed, with_category
 from basketlens.sources.staging import stage
@@ -52,7 +52,7 @@ def price_stats(tx: DataFrame) -> DataFrame:
     """Minimum, maximum, mean and median price over item rows."""
     prices = price_profile(tx)
     [median] = exact_quantiles(prices, "price", [0.5], weight="rows")
-    total = F.sum(F.col("price").try_cast(MONEY) * F.col("rows"))
+    total = decimal_sum("price", weight="rows")
     return prices.agg(
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
@@ -76,17 +76,16 @@ def rating_by_price_bin(tx: DataFrame, bins: int = 10) -> DataFrame:
     The lowest band starts 0.1 % of the range below the minimum.
     """
     prices = price_profile(tx)
-    edges = column_edges(prices, "price", bins)
+    lo, hi = prices.agg(F.min("price"), F.max("price")).first()
+    edges = width_edges(lo, hi, bins)
     scored = (
-        prices.withColumn("bin", width_bin(F.col("price"), edges, bins))
+        prices.withColumn("bin", width_bin(F.col("price"), edges))
         .groupBy("bin")
         .agg(F.try_divide(F.sum("score_sum"), F.sum("score_rows")).alias("avg_review"))
     )
-    ends = prices.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
-    lowered = ends.select(F.col("lo") - (F.col("hi") - F.col("lo")) * 0.001).scalar()
-    frame = bin_frame(prices, edges, bins).withColumn(
-        "lower", F.when(F.col("bin") == 1, F.least("lower", lowered)).otherwise(F.col("lower"))
-    )
+    # The lowest edge is shown lowered so that it includes the minimum, unless it was widened before.
+    shown = edges if lo == hi else [lo - (hi - lo) * 0.001, *edges[1:]]
+    frame = bin_frame(prices, shown)
     label = F.format_string("(%s, %s]", F.round("lower", 3).cast("string"), F.round("upper", 3).cast("string"))
     return frame.join(scored, "bin", "left").select("bin", "lower", "upper", label.alias("label"), "avg_review")
 

@@ -124,6 +124,7 @@ def build_transactions(
         sizes = items.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count("*").alias("__items"))
         header = header.join(sizes, "order_id", "left")
 
+    header = _with_times(header)
     tx = items.join(_renamed(header, items.columns, "order_id", "orders"), "order_id", "inner")
     if "products" in datasets:
         catalogue = _renamed(_catalogue(datasets), tx.columns, "product_id", "products")
@@ -137,9 +138,14 @@ def build_transactions(
     return _derive(tx, total)
 
 
+def _with_times(orders: DataFrame) -> DataFrame:
+    """Dates as timestamps, and the time features, once per order rather than per item."""
+    orders = orders.withColumns({c: F.col(c).try_cast("timestamp_ntz") for c in DATE_COLUMNS if c in orders.columns})
+    return orders.withColumns(time_features("order_purchase_timestamp"))
+
+
 def _derive(tx: DataFrame, total: str) -> DataFrame:
-    """Dates, defaults, order total, time and shipping features."""
-    tx = tx.withColumns({c: F.col(c).try_cast("timestamp_ntz") for c in DATE_COLUMNS if c in tx.columns})
+    """Defaults, order total and shipping features."""
     if "freight_value" not in tx.columns:
         tx = tx.withColumn("freight_value", F.lit(0.0))
     if "payment_value" not in tx.columns:
@@ -149,8 +155,6 @@ def _derive(tx: DataFrame, total: str) -> DataFrame:
     else:
         order_total = F.col("payment_value")
     tx = tx.withColumn("order_total", order_total).drop("__items")
-    if "order_purchase_timestamp" in tx.columns:
-        tx = tx.withColumns(time_features("order_purchase_timestamp"))
     return tx.withColumns(
         {
             "has_free_shipping": F.coalesce(F.col("freight_value") == 0, F.lit(False)),

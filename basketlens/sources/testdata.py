@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CENTS = "decimal(18,2)"
-
 # Stated so that opening a table reads no file footers.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -55,7 +53,9 @@ def from_testdata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         .when(F.col("l_returnflag") == "A", 3.0)
         .when(F.col("l_returnflag") == "N", 5.0)
     )
-    freight = F.round(F.col("l_extendedprice").cast(CENTS) * F.col("l_tax").cast(CENTS), 2).cast("double")
+    # price * tax in whole cents, halves rounded up
+    cents, percent = (F.rint(F.col(c) * 100).cast("long") for c in ("l_extendedprice", "l_tax"))
+    freight = F.call_function("div", cents * percent + 50, F.lit(100).cast("long")) / F.lit(100.0)
     return {
         "customers": customers,
         "orders": orders.select(
