@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.calendar import time_features
 from basketlens.functions.exact import exact_sum
+from basketlens.operators.skew import NO_HEAVY_KEYS, heavy_keys, salted_join
 from basketlens.sources.contracts import ContractError, require_minimum, validate
 
 # The order states that count as sales, and the date columns.
@@ -90,7 +91,10 @@ def _one_row(df: DataFrame, key: str, wanted: bool) -> DataFrame:
 
 
 def build_transactions(
-    datasets: dict[str, DataFrame], total: str = "payment", one_row_per_key: Collection[str] = ()
+    datasets: dict[str, DataFrame],
+    total: str = "payment",
+    one_row_per_key: Collection[str] = (),
+    split_heavy_keys: bool | None = None,
 ) -> DataFrame:
     """One row per order item of a sold order, with order, customer, payment, product and review columns.
 
@@ -102,6 +106,8 @@ def build_transactions(
     one_row_per_key: which of "customers", "products" hold one row per id. Spark then
         leaves the join out of any query that uses none of their columns. Without it
         repeated ids multiply rows, as joins do.
+    split_heavy_keys: look for orders, customers and products that hold a large part of
+        all rows and spread their joins over tasks. By default only for large tables.
     """
     if total not in ("payment", "item_share"):
         raise ContractError(f"total must be 'payment' or 'item_share', not {total!r}")
@@ -111,9 +117,13 @@ def build_transactions(
 
     items = datasets["order_items"]
     header = sold_orders(datasets["orders"])
+    heavy = {c: NO_HEAVY_KEYS for c in ("order_id", "customer_id", "product_id")}
+    if split_heavy_keys is not False:
+        force = bool(split_heavy_keys)
+        heavy |= heavy_keys(items, ["order_id", "product_id"], force) | heavy_keys(header, ["customer_id"], force)
     customers = _renamed(datasets["customers"], header.columns, "customer_id", "customers")
     customers = _one_row(customers, "customer_id", "customers" in one_row_per_key)
-    header = header.join(customers, "customer_id", "left")
+    header = salted_join(header, customers, "customer_id", "left", heavy["customer_id"])
     if "order_payments" in datasets:
         paid = payments_per_order(datasets["order_payments"])
         header = header.join(_renamed(paid, header.columns, "order_id", "order_payments"), "order_id", "left")
@@ -125,11 +135,12 @@ def build_transactions(
         header = header.join(sizes, "order_id", "left")
 
     header = _with_times(header)
-    tx = items.join(_renamed(header, items.columns, "order_id", "orders"), "order_id", "inner")
+    header = _renamed(header, items.columns, "order_id", "orders")
+    tx = salted_join(items, header, "order_id", "inner", heavy["order_id"])
     if "products" in datasets:
         catalogue = _renamed(_catalogue(datasets), tx.columns, "product_id", "products")
         catalogue = _one_row(catalogue, "product_id", "products" in one_row_per_key)
-        tx = tx.join(catalogue, "product_id", "left")
+        tx = salted_join(tx, catalogue, "product_id", "left", heavy["product_id"])
     if "product_translation" in datasets and "product_category_name" in tx.columns:
         translation = datasets["product_translation"]
         if "products" not in datasets or "product_category_name" not in datasets["products"].columns:
