@@ -24,7 +24,7 @@ from basketlens.plans import (
     sales,
     segments,
 )
-from basketlens.plans.transactions import build_transactions, sold_orders
+from basketlens.plans.transactions import build_order_rollup, build_transactions, sold_orders
 from basketlens.session import tune
 from basketlens.sources.io import load_report
 from basketlens.sources.staging import stage
@@ -42,6 +42,11 @@ def _tx(spark: SparkSession, path: str) -> DataFrame:
     return build_transactions(from_testdata(spark, path), one_row_per_key=("customers", "products"))
 
 
+def _orders(spark: SparkSession, path: str) -> DataFrame:
+    tune(spark)
+    return build_order_rollup(from_testdata(spark, path), one_row_per_key=("customers",))
+
+
 def _fitted(spark: SparkSession, path: str, kind: str, fit: Callable[[], object]) -> object:
     key = (spark.sparkContext.applicationId, path, kind)
     if key not in _FITTED:
@@ -53,6 +58,10 @@ def _on_tx(analysis: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, path: analysis(_tx(spark, path))
 
 
+def _on_orders(analysis: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, path: analysis(_orders(spark, path))
+
+
 def _on_events(analysis: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, path: analysis(purchase_events(tune(spark), path))
 
@@ -71,7 +80,7 @@ def _churn(spark: SparkSession, path: str) -> tuple[DataFrame, churn.ChurnModel]
 
 
 def _forecast(spark: SparkSession, path: str) -> forecast.ForecastModel:
-    return _fitted(spark, path, "forecast", lambda: forecast.fit_forecast(_tx(spark, path)))
+    return _fitted(spark, path, "forecast", lambda: forecast.fit_forecast(_orders(spark, path)))
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
@@ -184,6 +193,14 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     ).select("date", "revenue", "is_train"),
 }
 
+# Those that look at orders and customers only: the items of an order may be folded into one row.
+BY_ORDER = {
+    "overview_kpis", "monthly_revenue", "monthly_orders", "repeat_rate", "avg_items_per_order", "avg_review",
+    "status_quo_bias", "payment_mix", "state_revenue", "clv", "clv_summary", "clv_segments", "clv_top20",
+    "clv_histogram", "rfm_values", "rfm_scores", "rfm", "rfm_segment_counts", "rfm_segment_profile",
+    "rfm_histograms", "daily_sales", "forecast_features", "forecast_split",
+}
+
 # Analyses of the purchase events: hours and weekends, as the orders have no time of day.
 EVENT_ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "orders_by_hour": behavior.orders_by_hour,
@@ -218,7 +235,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        **{name: _on_tx(analysis) for name, analysis in ANALYSES.items()},
+        **{name: (_on_orders if name in BY_ORDER else _on_tx)(analysis) for name, analysis in ANALYSES.items()},
         **{name: _on_events(analysis) for name, analysis in EVENT_ANALYSES.items()},
         **OTHER,
     }

@@ -31,9 +31,9 @@ def decimal_sum(c: Column | str, weight: str | None = None) -> Column:
     )
 
 
-def exact_sum(c: Column | str) -> Column:
+def exact_sum(c: Column | str, weight: str | None = None) -> Column:
     """Sum of the non-null values; 0 when there are none."""
-    return F.coalesce(decimal_sum(c).cast("double"), F.lit(0.0))
+    return F.coalesce(decimal_sum(c, weight).cast("double"), F.lit(0.0))
 
 
 def exact_mean(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ from basketlens.functions.exact import exact_sum
 from basketlens.operators.binning import histogram, qcut, top_k
 from basketlens.operators.ranking import exact_quantiles
 from basketlens.plans.customers import per_customer
+from basketlens.plans.transactions import rows_per_row
 from basketlens.sources.staging import stage
 
 # Segment names from low to high, days per year.
@@ -21,7 +22,7 @@ def clv(tx: DataFrame) -> DataFrame:
     """Per customer: frequency, monetary, first and last purchase, lifespan and yearly value."""
     base = per_customer(
         tx,
-        exact_sum("order_total").alias("monetary"),
+        exact_sum("order_total", rows_per_row(tx)).alias("monetary"),
         F.min("order_purchase_timestamp").alias("first_purchase"),
         F.max("order_purchase_timestamp").alias("last_purchase"),
     )

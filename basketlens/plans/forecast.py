@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.exact import exact_sum
 from basketlens.plans.overview import keyed
+from basketlens.plans.transactions import rows_per_row
 from basketlens.sources.staging import stage
 
 # Lags in rows, model inputs.
@@ -38,7 +39,7 @@ def daily_sales(tx: DataFrame) -> DataFrame:
     """Revenue and orders per calendar day with sales."""
     days = keyed(tx, "order_purchase_timestamp").withColumn("date", F.to_date("order_purchase_timestamp"))
     return days.groupBy("date").agg(
-        exact_sum("order_total").alias("revenue"), F.countDistinct("order_id").alias("orders")
+        exact_sum("order_total", rows_per_row(tx)).alias("revenue"), F.countDistinct("order_id").alias("orders")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.exact import decimal_sum, exact_sum
 from basketlens.operators.binning import top_k
-from basketlens.plans.transactions import category_column
+from basketlens.plans.transactions import category_column, rows_per_row
 
 
 def keyed(tx: DataFrame, *keys: str) -> DataFrame:
@@ -23,7 +23,7 @@ def overview_kpis(tx: DataFrame) -> DataFrame:
     Items collapse to one row per order and customer first, in place after the join
     on order_id; the two distinct counts then run on those rows.
     """
-    per = tx.groupBy("order_id", "customer_id").agg(decimal_sum("order_total").alias("t"))
+    per = tx.groupBy("order_id", "customer_id").agg(decimal_sum("order_total", rows_per_row(tx)).alias("t"))
     return per.agg(
         F.coalesce(F.sum("t"), F.lit(0)).cast("double").alias("total_revenue"),
         F.countDistinct("order_id").alias("total_orders"),
@@ -35,7 +35,7 @@ def monthly_revenue(tx: DataFrame) -> DataFrame:
     return (
         keyed(tx, "order_year_month")
         .groupBy("order_year_month")
-        .agg(exact_sum("order_total").alias("revenue"))
+        .agg(exact_sum("order_total", rows_per_row(tx)).alias("revenue"))
         .orderBy("order_year_month")
     )
 
@@ -76,13 +76,17 @@ def repeat_rate(tx: DataFrame) -> DataFrame:
 
 
 def avg_items_per_order(tx: DataFrame) -> DataFrame:
-    """Mean number of items per order: both counts in one pass, without an order-grain mean."""
+    """Mean number of items with a product per order."""
+    items = F.sum("item_products") if rows_per_row(tx) else F.count("product_id")
     return keyed(tx, "order_id").agg(
-        F.try_divide(F.count("product_id").cast("double"), F.countDistinct("order_id")).alias("avg_items_per_order")
+        F.try_divide(items.cast("double"), F.countDistinct("order_id")).alias("avg_items_per_order")
     )
 
 
 def avg_review(tx: DataFrame) -> DataFrame:
     """Mean review score over item rows; NULL without reviews."""
-    score = F.avg("review_score") if "review_score" in tx.columns else F.max(F.lit(None).cast("double"))
-    return tx.agg(score.alias("avg_review"))
+    if "review_score" not in tx.columns:
+        return tx.agg(F.max(F.lit(None).cast("double")).alias("avg_review"))
+    rows = F.col(rows_per_row(tx)) if rows_per_row(tx) else F.lit(1)
+    scored = keyed(tx, "review_score")
+    return scored.agg(F.try_divide(F.sum(F.col("review_score") * rows), F.sum(rows)).alias("avg_review"))

@@ -11,6 +11,7 @@ from basketlens.functions.calendar import elapsed_days
 from basketlens.functions.exact import exact_mean, exact_sum
 from basketlens.operators.binning import histogram, qcut, rank_qcut, value_counts
 from basketlens.plans.customers import per_customer
+from basketlens.plans.transactions import rows_per_row
 from basketlens.sources.staging import stage
 
 # Scores from the lowest to the highest quartile of recency.
@@ -36,7 +37,7 @@ def rfm_values(tx: DataFrame) -> DataFrame:
         per_customer(
             tx,
             F.max("order_purchase_timestamp").alias("last_purchase"),
-            exact_sum("order_total").alias("monetary"),
+            exact_sum("order_total", rows_per_row(tx)).alias("monetary"),
         )
     )
     today = base.agg(F.max("last_purchase")).scalar() + F.expr("INTERVAL 1 DAY")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketlens.functions.exact import exact_sum
 from basketlens.operators.binning import top_k
 from basketlens.plans.overview import keyed, with_category
+from basketlens.plans.transactions import rows_per_row
 
 
 def payment_mix(tx: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def state_revenue(tx: DataFrame, n: int = 15) -> DataFrame:
     per = (
         keyed(tx, "customer_state")
         .groupBy("customer_state")
-        .agg(exact_sum("order_total").alias("revenue"), F.countDistinct("order_id").alias("orders"))
+        .agg(exact_sum("order_total", rows_per_row(tx)).alias("revenue"), F.countDistinct("order_id").alias("orders"))
     )
     return top_k(per, n, "revenue", "customer_state")
 

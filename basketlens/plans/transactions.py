@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.calendar import time_features
 from basketlens.functions.exact import exact_sum
-from basketlens.operators.skew import NO_HEAVY_KEYS, heavy_keys, salted_join
+from basketlens.operators.skew import NO_HEAVY_KEYS, HeavyKeys, heavy_keys, salted_join
 from basketlens.sources.contracts import ContractError, require_minimum, validate
 
+# Item rows behind one row of the order rollup.
+ROWS = "item_rows"
+
 # The order states that count as sales, and the date columns.
 SOLD = ("delivered", "shipped")
 DATE_COLUMNS = (
@@ -121,20 +124,11 @@ def build_transactions(
     if split_heavy_keys is not False:
         force = bool(split_heavy_keys)
         heavy |= heavy_keys(items, ["order_id", "product_id"], force) | heavy_keys(header, ["customer_id"], force)
-    customers = _renamed(datasets["customers"], header.columns, "customer_id", "customers")
-    customers = _one_row(customers, "customer_id", "customers" in one_row_per_key)
-    header = salted_join(header, customers, "customer_id", "left", heavy["customer_id"])
-    if "order_payments" in datasets:
-        paid = payments_per_order(datasets["order_payments"])
-        header = header.join(_renamed(paid, header.columns, "order_id", "order_payments"), "order_id", "left")
-    scores = reviews_per_order(datasets["reviews"]) if "reviews" in datasets else None
-    if scores is not None:
-        header = header.join(_renamed(scores, header.columns, "order_id", "reviews"), "order_id", "left")
+    header = _header(datasets, header, one_row_per_key, heavy["customer_id"])
     if total == "item_share" and "order_payments" in datasets:
         sizes = items.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count("*").alias("__items"))
         header = header.join(sizes, "order_id", "left")
 
-    header = _with_times(header)
     header = _renamed(header, items.columns, "order_id", "orders")
     tx = salted_join(items, header, "order_id", "inner", heavy["order_id"])
     if "products" in datasets:
@@ -149,6 +143,58 @@ def build_transactions(
     return _derive(tx, total)
 
 
+def build_order_rollup(
+    datasets: dict[str, DataFrame], one_row_per_key: Collection[str] = (), split_heavy_keys: bool | None = None
+) -> DataFrame:
+    """The transactions with the items of an order folded into one row.
+
+    `item_rows` and `item_products` count its items and those with a product. Analyses
+    of orders and customers take this table in place of the item-grain one: the items
+    are counted before they are shuffled, so neither their number nor a huge order
+    matters from there on. Products are taken to hold one row per id. Without payments
+    the total differs from item to item and the item-grain table is returned.
+    """
+    if "order_payments" not in datasets:
+        return build_transactions(datasets, one_row_per_key=one_row_per_key, split_heavy_keys=split_heavy_keys)
+    require_minimum(datasets)
+    for name, df in datasets.items():
+        validate(df, name)
+    orders = sold_orders(datasets["orders"])
+    heavy = NO_HEAVY_KEYS
+    if split_heavy_keys is not False:
+        heavy = heavy_keys(orders, ["customer_id"], bool(split_heavy_keys))["customer_id"]
+    header = _header(datasets, orders, one_row_per_key, heavy)
+    counted = (
+        datasets["order_items"]
+        .filter(F.col("order_id").isNotNull())
+        .groupBy("order_id")
+        .agg(F.count("*").alias(ROWS), F.count("product_id").alias("item_products"))
+    )
+    return counted.join(header, "order_id", "inner").withColumn("order_total", F.col("payment_value"))
+
+
+def rows_per_row(tx: DataFrame) -> str | None:
+    """The column that says how many item rows a row stands for, if tx is rolled up by order."""
+    return ROWS if ROWS in tx.columns else None
+
+
+def _header(
+    datasets: dict[str, DataFrame], orders: DataFrame, one_row_per_key: Collection[str], heavy: HeavyKeys
+) -> DataFrame:
+    """Orders with their customer, payments, review score and times."""
+    header = orders
+    customers = _renamed(datasets["customers"], header.columns, "customer_id", "customers")
+    customers = _one_row(customers, "customer_id", "customers" in one_row_per_key)
+    header = salted_join(header, customers, "customer_id", "left", heavy)
+    if "order_payments" in datasets:
+        paid = payments_per_order(datasets["order_payments"])
+        header = header.join(_renamed(paid, header.columns, "order_id", "order_payments"), "order_id", "left")
+    scores = reviews_per_order(datasets["reviews"]) if "reviews" in datasets else None
+    if scores is not None:
+        header = header.join(_renamed(scores, header.columns, "order_id", "reviews"), "order_id", "left")
+    return _with_times(header)
+
+
 def _with_times(orders: DataFrame) -> DataFrame:
     """Dates as timestamps, and the time features, once per order rather than per item."""
     orders = orders.withColumns({c: F.col(c).try_cast("timestamp_ntz") for c in DATE_COLUMNS if c in orders.columns})
