@@ -2,7 +2,7 @@
 
 Money arrives as doubles. Adding doubles gives a last digit that changes with the
 partition order. Here whole units and millionths are added as two long integers,
-which is exact for up to six decimals and as fast as adding doubles; the total is
+which is exact for up to six decimals and needs no decimal per row; the total is
 put together as a decimal. Totals of 2^63 and more raise an error under ANSI mode.
 """
 
