@@ -141,3 +141,12 @@ def test_empty_shop_reports_zero_customers(shop):
     tx = build_transactions(shop).filter("order_id = 'none'")
     got = behavior.status_quo_bias(tx).first()
     assert (got.status_quo_bias, got.total_customers, got.repeat_customers) == (0.0, 0, 0)
+
+
+def test_an_order_of_two_customers_counts_once(frame):
+    tx = frame(
+        "order_id int, customer_id int, order_total double", (1, 1, 5.0), (1, 2, 5.0), (1, 1, 2.5), (2, None, 1.0), (3, 2, None)
+    )
+    got = overview.overview_kpis(tx).first()
+    assert (got.total_revenue, got.total_orders, got.total_customers) == (13.5, 3, 2)
+    assert overview.overview_kpis(tx.filter("order_id > 9")).first().total_orders == 0
