@@ -31,6 +31,13 @@ from basketlens.sources.staging import stage
 from basketlens.sources.testdata import from_testdata, purchase_events
 from oracle_queries import ORACLE
 
+try:
+    from basketlens.llm.queries import LLM_ORACLE, LLM_QUERIES
+except ModuleNotFoundError as missing:  # the subpackage is optional; errors inside it are not hidden
+    if missing.name not in ("basketlens.llm", "basketlens.llm.queries", "corpus_pipeline"):
+        raise
+    LLM_QUERIES, LLM_ORACLE = {}, {}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Fitted models by (application, folder, kind), so that the reports on one model share one fit.
@@ -238,8 +245,9 @@ def queries() -> dict[str, Query]:
         **{name: (_on_orders if name in BY_ORDER else _on_tx)(analysis) for name, analysis in ANALYSES.items()},
         **{name: _on_events(analysis) for name, analysis in EVENT_ANALYSES.items()},
         **OTHER,
+        **LLM_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {**ORACLE, **LLM_ORACLE}
