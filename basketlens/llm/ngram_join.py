@@ -3,19 +3,22 @@
 1. A text's distinct word shingles are XOR-hashed into a parity sketch: each shingle flips
    one bit. Two sketches differ in no more bits than the sets differ in elements, so their
    Hamming distance is a lower bound of the symmetric difference.
-2. Texts of one size band share a sketch layout of `most + 1 + SLACK` chunks, where `most`
+2. Texts of one size band share a sketch layout of `most + 1 + slack` chunks, where `most`
    is the largest symmetric difference two linked texts of the band can have. A linked
-   pair then agrees on at least SLACK + 1 whole chunks (pigeonhole). The smaller text of a
+   pair then agrees on at least slack + 1 whole chunks (pigeonhole). The smaller text of a
    pair may lie in the band below, so texts near a band's upper end join the next one too.
-3. A chunk with at most one bit set says little, and its key would tie many unrelated
-   texts. Such keys are left out unless a text has more than SLACK of them; then it takes part
-   in a second sketch of another hash family, and only the last family keeps all keys.
-   A pair meets in the first family in which either text has at most SLACK light chunks.
-4. Texts that share a key are joined to the key's smallest document; the components of
-   these candidate links are compared inside, in blocks of bounded size spread over
-   tasks: sketch distance first, then the exact sets. Each block pair emits a spanning
-   forest of its links, never all pairs. Equal sets are one text from the start.
-
+3. An (almost) empty chunk says little, and its key would tie many unrelated texts. Such keys
+   are left out unless a text has more than `slack` of them; then it takes part in a second
+   sketch of another hash family, and only the last family keeps all keys. A pair meets in
+   the first family in which either text has at most `slack` light chunks.
+4. Texts that share a key are joined to one of them. Inside the components of these candidate
+   links a second parity sketch, as wide as the set, is compared pair by pair; inside the
+   components of what passes, the exact sets are. Both comparisons run in blocks of bounded
+   size spread over tasks, and a pair of blocks emits a spanning forest of its links, never
+   all pairs. Equal sets are one text from the start.
+
+Chunk keys travel packed, many to a row, and are matched within parts of the key space; a
+part keeps one text per key, so its memory does not depend on how many texts share it.
 Sets are compared by 64-bit shingle hashes.
 """
 
@@ -33,12 +36,13 @@ from basketlens.llm.components import components
 from basketlens.llm.tables import column, narrow, prepared, written
 from basketlens.llm.words import Words, joined, mix, words
 
-SLACK = 2
 FAMILIES = 4
 BAND = 1.5
 CHUNK_WORDS = 2  # 64-bit words of a chunk
-BLOCK_ROWS = 256
+BLOCK_ROWS = 128
 BLOCK_BYTES = 1 << 20
+PART_KEYS = 500_000
+HELD_KEYS = 2_000_000
 
 
 def distance_limit(total: int, percent: int) -> int:
@@ -72,42 +76,58 @@ def parity(hashes: np.ndarray, n_words: int) -> np.ndarray:
 
 
 class Layouts:
-    """Chunk counts by band, worked out once."""
+    """Sketch layouts by band, worked out once."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.known: dict[int, int] = {}
+        self.known: dict[int, tuple[int, int, int, int]] = {}
 
-    def most(self, band: int) -> int:
+    def of(self, band: int) -> tuple[int, int, int, int]:
+        """Largest difference, slack, bits up to which a chunk is light, words of the whole sketch."""
         if band not in self.known:
-            self.known[band] = distance_limit(2 * band_top(band), self.percent)
+            top = band_top(band)
+            most = distance_limit(2 * top, self.percent)
+            slack = max(2, most // 8)
+            light = 1 if BAND**band >= 5 * (most + 1 + slack) else 0
+            self.known[band] = most, slack, light, max(4, -(-top * 3 // 128))
         return self.known[band]
 
     def bands(self, n: int) -> list[int]:
         """The text's own band, and the next one if a partner there is close enough."""
+        if n == 0:
+            return []
         own = band_of(n)
         largest = n * 100 // self.percent
-        return [b for b in (own, own + 1) if band_of(largest) >= b and self.most(b) > 0]
-
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        out = [np.zeros(0, np.uint64)]
-        for band in self.bands(len(hashes)) if len(hashes) else ():
-            chunks = self.most(band) + 1 + SLACK
-            for family in range(FAMILIES):
-                salt = np.uint64((band * FAMILIES + family) * 2654435761 + 1)
-                sketch = parity(mix(hashes ^ mix(np.full(1, salt))[0]), chunks * CHUNK_WORDS)
-                sketch = sketch.reshape(chunks, CHUNK_WORDS)
-                light = np.bitwise_count(sketch).sum(axis=1) <= 1
-                key = mix(np.arange(chunks, dtype=np.uint64) * np.uint64(1 << 20) + salt)
-                for k in range(CHUNK_WORDS):
-                    key = mix(key * np.uint64(3) + sketch[:, k])
-                done = light.sum() <= SLACK
-                out.append(key if family == FAMILIES - 1 and not done else key[~light])
-                if done:
-                    break
+        return [b for b in (own, own + 1) if band_of(largest) >= b and self.of(b)[0] > 0]
+
+    def keys(self, hashes: np.ndarray, band: int) -> np.ndarray:
+        most, slack, light, _ = self.of(band)
+        chunks = most + 1 + slack
+        out = []
+        for family in range(FAMILIES):
+            salt = np.uint64((band * FAMILIES + family) * 2654435761 + 1)
+            sketch = parity(mix(hashes ^ mix(np.full(1, salt))[0]), chunks * CHUNK_WORDS)
+            sketch = sketch.reshape(chunks, CHUNK_WORDS)
+            few = np.bitwise_count(sketch).sum(axis=1) <= light
+            key = mix(np.arange(chunks, dtype=np.uint64) * np.uint64(1 << 20) + salt)
+            for k in range(CHUNK_WORDS):
+                key = mix(key * np.uint64(3) + sketch[:, k])
+            done = few.sum() <= slack
+            out.append(key if family == FAMILIES - 1 and not done else key[~few])
+            if done:
+                break
         return np.concatenate(out)
 
 
+def mark_of(hashes: np.ndarray, salt: int) -> int:
+    return int(mix(hashes ^ np.uint64(salt)).sum()) if len(hashes) else 0
+
+
+def slot_of(mark: int, band: int) -> int:
+    """Name of a set in a band."""
+    return int(mix(np.array([(mark + band * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0])
+
+
 def shingle_sets(part: Words, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a shorter text is one shingle, no words are none."""
     at = part.bounds()
@@ -130,54 +150,142 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _keyed(size: int, percent: int):
-    """Per text: size of its set, a 128-bit fingerprint of the set, keys of its chunks."""
+def _marked(size: int, percent: int):
+    """Per text: size of its set, a 128-bit fingerprint of it, and a sketch for each of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layouts = Layouts(percent)
         for batch in batches:
             for part in words(batch.column("text")):
                 sets = shingle_sets(part, size)
-                keys = [layouts.keys(s) for s in sets]
-                offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+                marks = [mark_of(s, 11) for s in sets]
+                bands = [layouts.bands(len(s)) for s in sets]
+                offsets = pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32))
+                slots = _signed([slot_of(m, b) for m, own in zip(marks, bands) for b in own])
+                sketches = _binary([parity(s, layouts.of(b)[3]) for s, own in zip(sets, bands) for b in own])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(part.first, part.texts),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        _signed([int(mix(s ^ np.uint64(11)).sum()) if len(s) else 0 for s in sets]),
-                        _signed([int(mix(s ^ np.uint64(23)).sum()) if len(s) else 0 for s in sets]),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        _signed(marks),
+                        _signed([mark_of(s, 23) for s in sets]),
+                        pa.ListArray.from_arrays(offsets, slots),
+                        pa.ListArray.from_arrays(offsets, sketches),
                     ],
-                    ["doc_id", "n_shingles", "mark", "mark2", "keys"],
+                    ["doc_id", "n_shingles", "mark", "mark2", "slots", "sketches"],
                 )
 
     return run
 
 
+def _packed(size: int, percent: int, parts: int):
+    """Chunk keys of many texts by part of the key space: 32 bits of the key and the text's slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layouts = Layouts(percent)
+        for batch in batches:
+            keys, slots = [], []
+            for part in words(batch.column("text")):
+                for s in shingle_sets(part, size):
+                    for band in layouts.bands(len(s)):
+                        own = layouts.keys(s, band)
+                        keys.append(own)
+                        slots.append(np.full(len(own), slot_of(mark_of(s, 11), band), np.uint64))
+            if not keys:
+                continue
+            key, slot = np.concatenate(keys), np.concatenate(slots)
+            home = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            at = np.searchsorted(home[order], np.arange(parts + 1))
+            key, slot = key[order].astype(np.uint32), slot[order]
+            full = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(full),
+                    _binary([key[at[p] : at[p + 1]] for p in full]),
+                    _binary([slot[at[p] : at[p + 1]] for p in full]),
+                ],
+                ["part", "keys", "slots"],
+            )
+
+    return run
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part -> (a, b): each text with the first one that has the same key."""
+    held_keys: list[np.ndarray] = []
+    held_slots: list[np.ndarray] = []
+    held, now = 0, None
+
+    def settle() -> pa.RecordBatch | None:
+        nonlocal held, held_keys, held_slots
+        if not held:
+            return None
+        key, slot = np.concatenate(held_keys), np.concatenate(held_slots)
+        order = np.lexsort((slot, key))
+        key, slot = key[order], slot[order]
+        first = np.r_[True, key[1:] != key[:-1]]
+        head = slot[np.flatnonzero(first)][np.cumsum(first) - 1]
+        edges = np.unique(np.stack([head, slot], axis=1)[slot != head], axis=0)
+        held_keys, held_slots, held = [key[first]], [slot[first]], int(first.sum())
+        if not len(edges):
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(edges[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"]
+        )
+
+    for batch in batches:
+        for k, part in enumerate(batch.column("part").to_pylist()):
+            if part != now:
+                if (out := settle()) is not None:
+                    yield out
+                held_keys, held_slots, held, now = [], [], 0, part
+            held_keys.append(np.frombuffer(batch.column("keys")[k].as_py(), np.uint32))
+            held_slots.append(np.frombuffer(batch.column("slots")[k].as_py(), np.uint64))
+            held += len(held_keys[-1])
+            if held > HELD_KEYS + len(held_keys[0]):
+                if (out := settle()) is not None:
+                    yield out
+    if (out := settle()) is not None:
+        yield out
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words(batch.column("text")):
+                sets = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(part.first, part.texts), _binary(shingle_sets(part, size))],
-                    ["node", "shingles"],
+                    [
+                        batch.column("node").slice(part.first, part.texts),
+                        batch.column("group").slice(part.first, part.texts),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        _binary(sets),
+                    ],
+                    ["node", "group", "n", "held"],
                 )
 
     return run
 
 
-def links_between(sets: list[np.ndarray], side: np.ndarray, nodes: list[int], percent: int) -> list[tuple[int, int]]:
+def links_between(
+    held: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, nodes: list[int], percent: int, exact: bool
+) -> list[tuple[int, int]]:
     """A spanning forest of the links of one block pair.
 
-    side is 0 or 1; if both occur only pairs across count, for pairs within a block
-    are compared in the block's own group.
+    `held` has sets (exact) or sketches, of which those of one length are compared. side is 0 or
+    1; if both occur only pairs across count, for pairs within a block are compared in the
+    block's own group.
     """
-    sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sizes, side = sizes[order], side[order]
+    held = [held[i] for i in order]
     across = side.min() != side.max()
-    sketch = np.stack([parity(sets[i], max(4, int(sizes[-1]) // 16)) for i in order])
+    if exact:
+        width = max(4, int(sizes[-1]) // 16)
+        sketch = np.stack([parity(s, width) for s in held])
+    else:
+        sketch = np.stack(held)
     parent = list(range(len(order)))
 
     def root(x: int) -> int:
@@ -199,28 +307,28 @@ def links_between(sets: list[np.ndarray], side: np.ndarray, nodes: list[int], pe
             a, b = root(i), root(int(j))
             if a == b:
                 continue
-            shared = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-            if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
-                parent[b] = a
-                found.append((nodes[order[i]], nodes[order[j]]))
+            if exact:
+                shared = len(np.intersect1d(held[i], held[j], assume_unique=True))
+                if 100 * shared < percent * (sizes[i] + sizes[j] - shared):
+                    continue
+            parent[b] = a
+            found.append((nodes[order[i]], nodes[order[j]]))
     return found
 
 
-def _compare(percent: int):
+def _compare(percent: int, exact: bool):
     """Rows arrive sorted by (group, block, other): one block pair after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        rows: list[tuple[int, int, int, bytes]] = []
         key = None
 
         def compare() -> pa.RecordBatch | None:
-            if len(held) < 2:
+            if len(rows) < 2:
                 return None
+            node, side, n, held = zip(*rows)
             found = links_between(
-                [np.frombuffer(h[2], np.uint64) for h in held],
-                np.array([h[1] for h in held]),
-                [h[0] for h in held],
-                percent,
+                [np.frombuffer(h, np.uint64) for h in held], np.array(n), np.array(side), list(node), percent, exact
             )
             if not found:
                 return None
@@ -228,46 +336,34 @@ def _compare(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for group, block, other, node, side, shingles in zip(
-                *(batch.column(c).to_pylist() for c in ("group", "block", "other", "node", "side", "shingles"))
+            for group, block, other, *row in zip(
+                *(batch.column(c).to_pylist() for c in ("group", "block", "other", "node", "side", "n", "held"))
             ):
                 if key != (group, block, other):
                     if (out := compare()) is not None:
                         yield out
-                    held, key = [], (group, block, other)
-                held.append((node, side, shingles))
+                    rows, key = [], (group, block, other)
+                rows.append(tuple(row))
         if (out := compare()) is not None:
             yield out
 
     return run
 
 
-def candidate_groups(keyed: DataFrame) -> DataFrame:
-    """keyed (node, keys) -> (node, component): texts that a chain of shared keys ties together."""
-    flat = keyed.select("node", F.explode("keys").alias("key"))
-    shared = flat.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    stars = flat.join(shared.select("key", "a"), "key").where("a <> node").select("a", F.col("node").alias("b"))
-    return components(stars.distinct())
-
+def compared(members: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """members (group, node, n, held) -> links (a, b) that connect what is connected within groups.
 
-def linked_pairs(texts: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) inside candidate groups: enough of them to connect what is connected."""
-    members = groups.join(texts.where("doc_id is not null"), F.col("node") == F.col("doc_id"), "inner")
-    sets = written(
-        members.select("doc_id", "text")
-        .mapInArrow(_sets(size), "node long, shingles binary")
-        .join(groups, "node")
-        .select("node", F.col("component").alias("group"), "shingles"),
-        "sets",
-    )
-    # Blocks by a hash of the document: about BLOCK_ROWS rows and BLOCK_BYTES bytes each.
-    sizes = sets.groupBy("group").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).alias("blocks")
+    A group is dealt into blocks by a hash of the node, about BLOCK_ROWS rows and BLOCK_BYTES
+    bytes each, and every pair of its blocks is compared somewhere.
+    """
+    members = written(members, "members")
+    sizes = members.groupBy(F.col("group").alias("of")).agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("held")) / BLOCK_BYTES)).alias("blocks"),
+        F.count("*").alias("rows"),
     )
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = (
-        sets.join(sizes, "group")
-        .withColumn("own", own)
+        members.join(sizes.where("rows > 1"), F.col("group") == F.col("of"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("partner"))
         .select(
             "group",
@@ -275,16 +371,25 @@ def linked_pairs(texts: DataFrame, groups: DataFrame, size: int, percent: int) -
             F.greatest("own", "partner").alias("other"),
             "node",
             F.when(F.col("own") > F.col("partner"), 1).otherwise(0).alias("side"),
-            "shingles",
+            "n",
+            "held",
         )
     )
     return (
         dealt.repartition("group", "block", "other")
         .sortWithinPartitions("group", "block", "other")
-        .mapInArrow(_compare(percent), "a long, b long")
+        .mapInArrow(_compare(percent, exact), "a long, b long")
     )
 
 
+def candidate_slots(texts: DataFrame, keys: int, size: int, percent: int) -> DataFrame:
+    """(node, component) over slots: sets of one band that a chain of shared keys ties together."""
+    parts = max(8, -(-keys // PART_KEYS))
+    packed = texts.select("text").mapInArrow(_packed(size, percent, parts), "part long, keys binary, slots binary")
+    stars = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_stars, "a long, b long")
+    return components(stars)
+
+
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90
 ) -> DataFrame:
@@ -299,27 +404,52 @@ def jaccard_components(
     """
     prepared(df.sparkSession)
     texts = narrow(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    keyed = written(
+    marked = written(
         texts.mapInArrow(
-            _keyed(shingle, percent), "doc_id long, n_shingles long, mark long, mark2 long, keys array<long>"
+            _marked(shingle, percent),
+            "doc_id long, n_shingles long, mark long, mark2 long, slots array<long>, sketches array<binary>",
         ),
-        "keyed",
+        "marked",
     )
     marks = ["n_shingles", "mark", "mark2"]
-    same = written(
-        keyed.where("n_shingles > 0 and doc_id is not null").groupBy(*marks).agg(F.min("doc_id").alias("node")), "same"
+    named = marked.where("n_shingles > 0 and doc_id is not null")
+    same = written(named.groupBy(*marks).agg(F.min("doc_id").alias("node")), "same")
+    # Texts without id are compared with nothing; a key for every few shingles is expected.
+    keyed = texts.where("doc_id is not null and text is not null")
+    keys = (marked.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - percent) // 50
+    loose = candidate_slots(keyed, keys, shingle, percent)
+    sketches = (
+        named.join(same.withColumnRenamed("node", "doc_id"), [*marks, "doc_id"])
+        .select("doc_id", "n_shingles", F.explode(F.arrays_zip("slots", "sketches")).alias("s"))
+        .select("doc_id", "n_shingles", F.col("s.slots").alias("slot"), F.col("s.sketches").alias("held"))
     )
-    first = keyed.join(same.withColumnRenamed("node", "doc_id"), [*marks, "doc_id"]).select(
-        F.col("doc_id").alias("node"), "keys"
+    near = components(
+        compared(
+            sketches.join(loose, F.col("slot") == F.col("node")).select(
+                # Sketches of one width are of one band.
+                F.xxhash64("component", F.octet_length("held")).alias("group"),
+                F.col("doc_id").alias("node"),
+                F.col("n_shingles").alias("n"),
+                "held",
+            ),
+            percent,
+            exact=False,
+        )
+    )
+    members = near.join(keyed, F.col("node") == F.col("doc_id")).select(
+        "node", F.col("component").alias("group"), "text"
+    )
+    found = components(
+        compared(
+            members.mapInArrow(_sets(shingle), "node long, group long, n long, held binary"), percent, exact=True
+        )
     )
-    groups = candidate_groups(first)
-    found = components(linked_pairs(texts, groups, shingle, percent))
     classes = (
         same.join(found, "node", "left")
         .select(*marks, F.coalesce("component", "node").alias("component_id"))
     )
     return (
-        keyed.select("doc_id", *marks)
+        marked.select("doc_id", *marks)
         .join(classes, marks, "left")
         .select(
             "doc_id",

@@ -6,17 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from basketlens.llm.decontamination import contaminated
+from basketlens.llm.mixing import schedule
 from basketlens.llm.ngram_join import jaccard_components
 from basketlens.llm.tables import read
+from basketlens.llm.token_output import token_output
+from basketlens.llm.toxicity import toxicity
 from basketlens.session import tune
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(read(tune(spark), sf_dir, "documents"))
+
+
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(read(tune(spark), sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(tune(spark), sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(tune(spark), sf_dir, "documents"))
 
 
-LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(tune(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(tune(spark), sf_dir)
+
+
+LLM_QUERIES: dict[str, Query] = {
+    "op1_token_output": op1_token_output,
+    "op2_mixing_sources": op2_mixing_sources,
+    "op6_toxicity": op6_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "pipeline": pipeline,
 }
 
 LLM_ORACLE: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
