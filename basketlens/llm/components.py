@@ -8,31 +8,47 @@ from pyspark.sql import functions as F
 from basketlens.llm.tables import written
 
 
+def _lowest(node: str, seed: int):
+    """Order of nodes in a round: a hash, so that paths that fall all the way are short."""
+    return F.struct(F.xxhash64(node, F.lit(seed)).alias("h"), F.col(node).alias("n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component): the smallest node reachable, for every node with an edge.
 
-    Each round takes the smallest label among a node and its neighbours and then the
-    label of that label, so a path halves every round. Labels are written to the shared
-    folder after every round. Minima are combined before each shuffle; a hub's edges are
-    a join input that adaptive execution can split. Only a count reaches the driver.
+    Rounds of contraction: every node hooks onto its lowest neighbour in an order drawn anew each
+    round, hooks are followed twice, and the edges between different results are the next
+    round's graph. At most half the nodes of a graph are lower than all their neighbours, so it
+    shrinks at least by half or so each round. Every round's tables are written to the shared folder. Minima are
+    combined before each shuffle; a hub's edges are a join input that adaptive execution can
+    split. Only whether edges are left reaches the driver.
     """
-    both = written(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
-    )
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = (
-            both.join(labels, both.b == labels.node)
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        least = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        least = written(least, "labels")
-        target = least.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        after = written(
-            least.join(target, "low").select("node", F.col("lower").alias("component"), F.col("label").alias("before")),
-            "labels",
+    straight = edges.select("a", "b").where("a <> b")
+    left = written(straight.union(straight.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    alone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
+    found: DataFrame | None = None
+    seed = 0
+    while not left.isEmpty():
+        seed += 1
+        low = F.least(F.min(_lowest("b", seed)), _lowest("a", seed))["n"]
+        hooks = left.groupBy("a").agg(low.alias("p"))
+        twice = hooks.join(hooks.select(F.col("a").alias("q"), F.col("p").alias("r")), F.col("p") == F.col("q"))
+        twice = written(twice.select("a", F.col("r").alias("p")), "hooks")
+        jumped = twice.join(twice.select(F.col("a").alias("q"), F.col("p").alias("r")), F.col("p") == F.col("q"))
+        step = written(jumped.select(F.col("a").alias("from"), F.col("r").alias("to")), "hooks")
+        ends = left.join(step.withColumnsRenamed({"from": "a", "to": "x"}), "a").join(
+            step.withColumnsRenamed({"from": "b", "to": "y"}), "b"
         )
-        if after.where("component <> before").isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", F.col("component").alias("label"))
+        left = written(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        if found is None:
+            found = step.withColumnsRenamed({"from": "node", "to": "label"})
+        else:
+            found = found.join(step, F.col("label") == F.col("from"), "left").select(
+                "node", F.coalesce("to", "label").alias("label")
+            )
+    if found is None:
+        return alone.select("node", F.col("node").alias("component"))
+    found = written(found, "labels")
+    first = found.groupBy("label").agg(F.min("node").alias("component"))
+    out = found.join(first, "label").select("node", "component")
+    return out.union(alone.join(out, "node", "left_anti").select("node", F.col("node").alias("component")))
