@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from basketlens.llm.wavelet import WaveletMatrix
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 PIECE_BYTES = 1 << 20
 
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -52,6 +53,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.known: dict[bytes, bytes] = {}
 
     @staticmethod
@@ -62,28 +64,45 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian integers of self.kind."""
-        out, at = [], 0
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text; new words of a group of texts are encoded together."""
+        at = 0
+        while at < len(texts):
+            stop, size = at + 1, len(texts[at])
+            while stop < len(texts) and size + len(texts[stop]) <= PIECE_BYTES:
+                size += len(texts[stop])
+                stop += 1
+            if size > PIECE_BYTES:
+                yield b"".join(code for piece in self._pieces(texts[at]) for code in self._codes([piece.split()]))
+            else:
+                yield from self._codes([t.split() for t in texts[at:stop]])
+            at = stop
+
+    @staticmethod
+    def _pieces(text: bytes) -> Iterator[bytes]:
+        """A long text, cut at white space."""
+        at = 0
         while at < len(text):
             stop = at + PIECE_BYTES
             if stop < len(text):
                 found = _SPACE.search(text, stop)
                 stop = found.end() if found else len(text)
-            out.append(self._piece(text[at:stop].split()))
+            yield text[at:stop]
             at = stop
-        return b"".join(out)
 
-    def _piece(self, found: list[bytes]) -> bytes:
+    def _codes(self, groups: list[list[bytes]]) -> list[bytes]:
         known = self.known
-        new = list(set(found).difference(known))
+        new = list(set().union(*groups).difference(known))
         if new:
             codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: np.array(c.ids, self.kind).tobytes() for w, c in zip(new, codes)}
+            fresh = {w: array(self.code, c.ids).tobytes() for w, c in zip(new, codes)}
             if len(known) + len(fresh) > CACHED_WORDS:
-                fresh = {**{w: known[w] for w in set(found).difference(fresh)}, **fresh}
-                if len(known) > CACHED_WORDS // 2:
-                    return b"".join([fresh[w] for w in found])
+                # Full: what is known stays, as frequent words come early.
+                return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in groups]
             known.update(fresh)
-        return b"".join([known[w] for w in found])
+        return [b"".join([known[w] for w in words]) for words in groups]
 
 
 def _sharded(path: str, end_id: int, shard_tokens: int):
@@ -111,10 +130,9 @@ def _sharded(path: str, end_id: int, shard_tokens: int):
             )
 
         for batch in batches:
-            texts = batch.column("text")
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                text = texts[i].as_py() or ""
-                codes.append(encoder.encode(text.encode()) + end)
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            for doc_id, code in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts)):
+                codes.append(code + end)
                 ids.append(doc_id)
                 held += len(codes[-1]) // np.dtype(encoder.kind).itemsize
                 if held >= shard_tokens:
