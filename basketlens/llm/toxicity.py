@@ -3,7 +3,7 @@
 Features are the distinct words, word pairs and pairs with one word left out (binary). Words are
 hashed to the lower half of 2^DIMENSION_BITS coordinates, pairs to the upper half. FTRL keeps two
 numbers per coordinate; the L1 term leaves most weights at exactly zero. Training rows are dealt
-into SHARDS by a hash; in each round every shard continues from the common state over its own
+into SHARDS files by a hash; in each round every shard continues from the common state over its own
 rows, and a coordinate moves by the mean of what the shards that met it have added. The state is
 bounded by the number of coordinates, so it can be broadcast; the weights that score are the
 non-zero ones. Toxic rows, the rarer class, count POSITIVE_WEIGHT times.
@@ -23,9 +23,9 @@ from basketlens.llm.tables import narrow, prepared, written
 from basketlens.llm.words import Words, mix, words
 
 DIMENSION_BITS = 21
-SHARDS = 8
+SHARDS = 4
 ROUNDS = 3
-# At most about this many labelled rows are fitted; a hash of the id chooses them.
+# At most about this many labels are fitted; a hash of the id chooses them.
 TRAINING_ROWS = 60_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
 POSITIVE_WEIGHT = 4.0
@@ -81,7 +81,7 @@ def _with_intercept(at: np.ndarray) -> np.ndarray:
 
 
 def _trained(state):
-    """One round over one shard: what it adds to the state, by coordinate."""
+    """One round over one shard: what it adds to the state, as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: State | None = None
@@ -93,47 +93,45 @@ def _trained(state):
                 for t, at in enumerate(features(part)):
                     own.learn(_with_intercept(at), int(labels[part.first + t]))
         if own is not None:
-            at = np.flatnonzero(own.n != state.value.n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(own.z[at] - state.value.z[at]), pa.array(own.n[at] - state.value.n[at])],
-                ["at", "z", "n"],
-            )
+            added = [(x - y).astype(np.float32).tobytes() for x, y in ((own.z, state.value.z), (own.n, state.value.n))]
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in added], ["z", "n"])
 
     return run
 
 
-def _sorted_mean(c: str) -> Column:
-    total = F.aggregate(F.sort_array(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x)
-    return (total / F.count("*")).alias(c)
-
-
-def fit(labelled: DataFrame, rows: int = TRAINING_ROWS) -> np.ndarray:
-    """labelled (doc_id, text, label) -> weights by coordinate.
-
-    About `rows` rows at most are fitted, chosen by a hash of the id. Rows without label are
-    left out. Without any row all weights are zero.
-    """
-    spark = labelled.sparkSession
-    labelled = labelled.where("label is not null")
-    share = min(1.0, rows / max(1, labelled.count()))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    chosen = written(
-        chosen.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id"), "text"), "toxic"
+def training_ids(labels: DataFrame, rows: int) -> DataFrame:
+    """labels (label_id, label) -> those to learn from: not held out, and about `rows` at most, chosen by a hash."""
+    known = labels.where("label in (0, 1) and label_id is not null").where(~held_out(F.col("label_id")))
+    share = min(1.0, rows / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.ndarray:
+    """texts (doc_id, text), labels (label_id, label) -> weights by coordinate; all zero without any row."""
+    spark = texts.sparkSession
+    # About `rows` numbers: bounded, so they are sent to the texts.
+    chosen = texts.join(F.broadcast(training_ids(labels, rows)), F.col("doc_id") == F.col("label_id"))
+    order = F.xxhash64("doc_id")
+    shards = written(
+        chosen.select("doc_id", "text", F.col("label").cast("int").alias("label"))
+        .repartition(SHARDS, order)
+        .sortWithinPartitions(order, "text", "label"),
+        "toxic",
     )
     state = State.empty()
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state)
-        dealt = chosen.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id"), "text")
-        # Sorted before they are added, so that the mean does not depend on which shard ends first.
-        added = (
-            dealt.mapInArrow(_trained(shared), "at long, z double, n double")
-            .groupBy("at")
-            .agg(*[_sorted_mean(c) for c in ("z", "n")])
-            .toArrow()
-        )
-        at = added.column("at").to_numpy()
-        state.z[at] += added.column("z").to_numpy()
-        state.n[at] += added.column("n").to_numpy()
+        # SHARDS dense states at most; in an order of their own, so that the sum is always the same.
+        added = shards.mapInArrow(_trained(shared), "z binary, n binary").toArrow()
+        seen = np.zeros_like(state.n)
+        z, n = np.zeros_like(state.z), np.zeros_like(state.n)
+        for row in sorted(zip(added.column("n").to_pylist(), added.column("z").to_pylist())):
+            more = np.frombuffer(row[0], np.float32)
+            z += np.frombuffer(row[1], np.float32)
+            n += more
+            seen += more > 0
+        seen = np.maximum(seen, 1)
+        state = State(state.z + z / seen, state.n + n / seen)
         shared.destroy()
     return state.weights(slice(None))
 
@@ -170,9 +168,8 @@ def learnt_weights(documents: DataFrame, labels: DataFrame, id_col: str, text_co
     """Fitted on rows of documents that have a label and are not held out."""
     prepared(documents.sparkSession)
     texts = narrow(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marks = narrow(labels, label_id=id_col, label=label_col).where("label in (0, 1)")
-    learnt = texts.join(marks, F.col("doc_id") == F.col("label_id")).where(~held_out(F.col("doc_id")))
-    return fit(learnt.select("doc_id", "text", "label"))
+    marks = narrow(labels, label_id=id_col, label=label_col).withColumn("label_id", F.col("label_id").cast("long"))
+    return fit(texts, marks)
 
 
 def keep_civil(

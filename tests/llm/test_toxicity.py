@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from basketlens.llm.toxicity import fit, keep_civil, toxicity
+from basketlens.llm.toxicity import fit, keep_civil, toxicity, training_ids
 
 
 @pytest.fixture(scope="module")
@@ -47,9 +47,9 @@ def test_labels_of_held_out_rows_change_nothing(marked, spark):
 
 def test_weights_are_sparse_and_the_sample_is_bounded(marked):
     docs, labels, _ = marked
-    rows = docs.join(labels, "doc_id").withColumnRenamed("toxic", "label")
-    assert 0 < np.count_nonzero(fit(rows)) < 3000
-    assert np.count_nonzero(fit(rows, rows=20)) < np.count_nonzero(fit(rows))
+    marks = labels.withColumnsRenamed({"doc_id": "label_id", "toxic": "label"})
+    assert 0 < np.count_nonzero(fit(docs, marks)) < 3000
+    assert 0 < training_ids(marks, 100).count() < 200 < training_ids(marks, 10_000).count()
 
 
 def test_odd_rows(odd, none, labels, spark):
