@@ -27,6 +27,7 @@ from basketlens.plans import (
 from basketlens.plans.transactions import build_order_rollup, build_transactions, sold_orders
 from basketlens.session import tune
 from basketlens.sources.io import load_report
+from basketlens.sources import staging
 from basketlens.sources.staging import stage
 from basketlens.sources.testdata import from_testdata, purchase_events
 from oracle_queries import ORACLE
@@ -40,22 +41,33 @@ except ModuleNotFoundError as missing:  # the subpackage is optional; errors ins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Fitted models by (application, folder, kind), so that the reports on one model share one fit.
-_FITTED: dict[tuple[str, str, str], object] = {}
+# Fitted models by application, folder, files in it, staged tables and kind: the reports on one model share one fit.
+_FITTED: dict[tuple, object] = {}
 
 
 def _tx(spark: SparkSession, path: str) -> DataFrame:
     tune(spark)
-    return build_transactions(from_testdata(spark, path), one_row_per_key=("customers", "products"))
+    return build_transactions(from_testdata(spark, path, sold_only=True), one_row_per_key=("customers", "products"))
 
 
 def _orders(spark: SparkSession, path: str) -> DataFrame:
     tune(spark)
-    return build_order_rollup(from_testdata(spark, path), one_row_per_key=("customers",))
+    return build_order_rollup(from_testdata(spark, path, sold_only=True), one_row_per_key=("customers", "products"))
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files below a folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, out = fs.listFiles(folder, True), []
+    while found.hasNext():
+        status = found.next()
+        out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def _fitted(spark: SparkSession, path: str, kind: str, fit: Callable[[], object]) -> object:
-    key = (spark.sparkContext.applicationId, path, kind)
+    key = (spark.sparkContext.applicationId, path, _files(spark, path), staging.generation, kind)
     if key not in _FITTED:
         _FITTED[key] = fit()
     return _FITTED[key]
@@ -152,7 +164,7 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "popular_products": products.popular_products,
     "rating_by_price_bin": lambda tx: _rounded(
         products.rating_by_price_bin(tx), 4, "lower", "upper", "avg_review"
-    ).drop("label"),
+    ),
     "price_review_corr": lambda tx: _rounded(products.price_review_corr(tx), 6, "price_review_corr"),
     "price_histogram": lambda tx: _rounded(products.price_histogram(tx), 4, "lower", "upper"),
     # customer lifetime value
@@ -235,6 +247,51 @@ OTHER: dict[str, Query] = {
 }
 
 
+def _naive(spark: SparkSession, path: str) -> forecast.ForecastModel:
+    return forecast.fit_forecast(_orders(spark, path), seasonal=True)
+
+
+def _ruled(spark: SparkSession, path: str) -> tuple[DataFrame, churn.RecencyRule]:
+    return stage(churn.churn_split(stage(churn.churn_features(_tx(spark, path))))), churn.RecencyRule()
+
+
+def _quartiles(spark: SparkSession, path: str) -> DataFrame:
+    return segments.spend_quartiles(segments.segmentation_features(_tx(spark, path)))
+
+
+def _shared(spark: SparkSession, path: str) -> DataFrame:
+    tables = from_testdata(tune(spark), path, sold_only=True)
+    return build_transactions(tables, total="item_share", one_row_per_key=("customers", "products"))
+
+
+# The model reports over models that SQL can state, and revenue by item share.
+REFERENCE: dict[str, Query] = {
+    "naive_forecast_metrics": lambda spark, path: _rounded(
+        _rounded(forecast.forecast_metrics(_naive(spark, path)), 2, "rmse"), 6, "r2"
+    ),
+    "naive_forecast": lambda spark, path: forecast.sales_forecast(_naive(spark, path)),
+    "naive_forecast_summary": lambda spark, path: _rounded(
+        forecast.forecast_summary(forecast.sales_forecast(_naive(spark, path))), 2, "total_forecast", "avg_daily"
+    ),
+    "rule_churn_metrics": lambda spark, path: _rounded(
+        churn.churn_metrics(*_ruled(spark, path)), 9, "accuracy", "precision", "recall", "f1"
+    ),
+    "rule_churn_risk_counts": lambda spark, path: churn.churn_risk_counts(churn.churn_scores(*_ruled(spark, path))),
+    "rule_churn_top20": lambda spark, path: churn.churn_top(churn.churn_scores(*_ruled(spark, path))),
+    "quartile_label_counts": lambda spark, path: segments.kmeans_label_counts(_quartiles(spark, path)),
+    "quartile_profile": lambda spark, path: _rounded(
+        _rounded(segments.kmeans_profile(_quartiles(spark, path)), 2, "avg_total_spent", "avg_order_value"),
+        6, "avg_orders", "avg_recency",
+    ),
+    "overview_kpis_item_share": lambda spark, path: _rounded(
+        _rounded(overview.overview_kpis(_shared(spark, path)), 2, "total_revenue"), 4, "avg_order_value"
+    ),
+    "monthly_revenue_item_share": lambda spark, path: _rounded(
+        overview.monthly_revenue(_shared(spark, path)), 2, "revenue"
+    ),
+}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: profile of the RFM segments."""
     return queries()["rfm_segment_profile"](spark, "/root/testdata/sf0.001")
@@ -245,6 +302,7 @@ def queries() -> dict[str, Query]:
         **{name: (_on_orders if name in BY_ORDER else _on_tx)(analysis) for name, analysis in ANALYSES.items()},
         **{name: _on_events(analysis) for name, analysis in EVENT_ANALYSES.items()},
         **OTHER,
+        **REFERENCE,
         **LLM_QUERIES,
     }
 

@@ -50,17 +50,19 @@ def _part_offsets(parts: DataFrame, weight: Column) -> DataFrame:
 def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", total: str | None = None) -> DataFrame:
     """Add the 1-based position of every row in the order of the columns `order`.
 
-    `order` must end in a key, so that a heavy value is split over range partitions
-    and ties are settled. df is read twice (bounds, then rows): pass a staged table.
+    `order` must end in a unique key, so that a heavy value is split over range partitions
+    and ties are settled. Only these columns are sorted and staged; the ranks are joined back
+    by the key. df is read three times (bounds, order, join): pass a staged table.
     """
-    parts = _range_parts(df, order)
+    key = order[-1]
+    parts = _range_parts(df.select(*order), order)
     offsets = _part_offsets(parts, F.lit(1))
-    out = parts.join(F.broadcast(offsets), "__part").withColumn(
-        rank, F.col("__before") + F.col("__idx") + 1
+    ranks = parts.join(F.broadcast(offsets), "__part").select(
+        F.col(key).alias("__rank_key"),
+        (F.col("__before") + F.col("__idx") + 1).alias(rank),
+        *([F.col("__total").alias(total)] if total else []),
     )
-    if total:
-        out = out.withColumn(total, F.col("__total"))
-    return out.drop("__part", "__idx", "__before", "__weight", "__total")
+    return df.join(ranks, F.col(key).eqNullSafe(F.col("__rank_key"))).drop("__rank_key")
 
 
 def exact_quantiles(
@@ -72,23 +74,18 @@ def exact_quantiles(
 ) -> list[float | None]:
     """The linearly interpolated quantiles of the non-null values, one number per probability.
 
-    Up to distinct_limit distinct values the built-in percentile does: it keeps a
-    count per distinct value. Beyond that equal values collapse to one counted row,
-    the rows are sorted over range partitions, and only the partitions that hold a
-    wanted position are searched. `weight` names the row count of a df that is
+    Equal values collapse to one counted row. Up to distinct_limit of them are ordered
+    in one task; beyond that they are sorted over range partitions, and only the
+    partitions that hold a wanted position are searched. Both ways find the two values next to
+    each position and interpolate alike. `weight` names the row count of a df that is
     collapsed already. df is read more than once: pass a staged table.
     """
     present = df.filter(F.col(col).isNotNull())
-    if present.agg(F.approx_count_distinct(col)).first()[0] <= distinct_limit:
-        x = F.col(col).cast("double")
-        found = F.percentile(x, F.array(*map(F.lit, probs)), F.col(weight) if weight else 1)
-        return list(present.agg(found).first()[0] or [None] * len(probs))
+    few = present.agg(F.approx_count_distinct(col)).first()[0] <= distinct_limit
     if weight:
         counts = present.select(F.col(col).alias("v"), F.col(weight).alias("c"))
     else:
         counts = present.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
-    parts = _range_parts(counts, ["v"])
-    offsets = _part_offsets(parts, F.col("c"))
 
     def position(p: float) -> Column:
         return F.lit(p) * (F.col("__total") - 1).cast("double")
@@ -98,16 +95,25 @@ def exact_quantiles(
         for p in probs
         for at in (F.floor(position(p)), F.least(F.floor(position(p)) + 1, F.col("__total") - 1))
     ]
-    inside = [(at >= F.col("__before")) & (at < F.col("__before") + F.col("__weight")) for at in wanted]
-    hit = inside[0]
-    for more in inside[1:]:
-        hit = hit | more
-    running = Window.partitionBy("__part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        parts.join(F.broadcast(offsets.filter(hit)), "__part")
-        .withColumn("__to", F.col("__before") + F.sum("c").over(running))
-        .withColumn("__from", F.col("__to") - F.col("c"))
-    )
+    if few:
+        running = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        rows = (
+            counts.withColumn("__to", F.sum("c").over(running))
+            .withColumn("__from", F.col("__to") - F.col("c"))
+            .withColumn("__total", F.sum("c").over(Window.partitionBy()))
+        )
+    else:
+        parts = _range_parts(counts, ["v"])
+        offsets = _part_offsets(parts, F.col("c"))
+        hit = F.lit(False)
+        for at in wanted:
+            hit = hit | ((at >= F.col("__before")) & (at < F.col("__before") + F.col("__weight")))
+        running = Window.partitionBy("__part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        rows = (
+            parts.join(F.broadcast(offsets.filter(hit)), "__part")
+            .withColumn("__to", F.col("__before") + F.sum("c").over(running))
+            .withColumn("__from", F.col("__to") - F.col("c"))
+        )
     found = rows.agg(
         F.max("__total").alias("__total"),
         *[
@@ -119,5 +125,6 @@ def exact_quantiles(
     for i, p in enumerate(probs):
         low, high = F.col(f"w{2 * i}"), F.col(f"w{2 * i + 1}")
         t = position(p) - F.floor(position(p))
-        edges.append(F.when(t < 0.5, low + (high - low) * t).otherwise(high - (high - low) * (1 - t)))
+        step = high - low
+        edges.append(F.when(step == 0, low).when(t < 0.5, low + step * t).otherwise(high - step * (1 - t)))
     return list(found.select(*[e.alias(f"q{i}") for i, e in enumerate(edges)]).first())

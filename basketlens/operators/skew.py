@@ -15,70 +15,66 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tables below this size cannot hold a key too large for one task.
-CHECK_BYTES = 1 << 30
-# Keys with fewer rows are left to one task.
-MIN_ROWS = 1_000_000
 # A key is heavy from this many times the rows of an average shuffle partition.
 FACTOR = 5
-# Heavy keys followed up per column, and counters of the sketch that finds them.
-MAX_KEYS, COUNTERS = 100, 10_000
+# Least number of counters of the sketch that finds them.
+COUNTERS = 10_000
 
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Heavy values of a key column (None included, if null is heavy) and the salts to spread them over."""
+    """Heavy values of a key column (None included, if null is heavy), each with its number of salts."""
 
-    values: tuple
-    salts: int
+    salts: tuple[tuple[object, int], ...] = ()
 
+    @property
+    def values(self) -> tuple:
+        return tuple(v for v, _ in self.salts)
 
-NO_HEAVY_KEYS = HeavyKeys((), 1)
 
+NO_HEAVY_KEYS = HeavyKeys()
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of df as the optimizer sees it. Reads metadata only."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-
-def heavy_keys(df: DataFrame, columns: Collection[str], force: bool = False) -> dict[str, HeavyKeys]:
+def heavy_keys(df: DataFrame, columns: Collection[str]) -> dict[str, HeavyKeys]:
     """Heavy keys per column, from one pass over these columns with a bounded sketch.
 
-    At most MAX_KEYS values per column return to the driver. Small tables are not
-    looked at unless forced.
+    No more than shuffle partitions / FACTOR keys can be heavy, so no more are asked for.
     """
-    if not force and estimated_bytes(df) < CHECK_BYTES:
-        return {c: NO_HEAVY_KEYS for c in columns}
-    top = [F.call_function("approx_top_k", c, F.lit(MAX_KEYS), F.lit(COUNTERS)).alias(c) for c in columns]
-    found = df.agg(F.count("*").alias("__rows"), *top).first()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = -(-partitions // FACTOR) + 1
+    counters = F.lit(max(COUNTERS, 20 * most))
+    top = [F.call_function("approx_top_k", c, F.lit(most), counters).alias(c) for c in columns]
+    found = df.agg(F.count("*").alias("__rows"), *top).first()
     average = max(1.0, found["__rows"] / partitions)
-    limit = max(MIN_ROWS, FACTOR * average)
     out = {}
     for c in columns:
-        heavy = [(item["item"], item["count"]) for item in found[c] or [] if item["count"] > limit]
-        salts = min(partitions, max((int(n // average) + 1 for _, n in heavy), default=1))
-        out[c] = HeavyKeys(tuple(v for v, _ in heavy), salts) if heavy else NO_HEAVY_KEYS
+        heavy = [(item["item"], item["count"]) for item in found[c] or [] if item["count"] > FACTOR * average]
+        out[c] = HeavyKeys(tuple((v, min(partitions, int(n // average) + 1)) for v, n in heavy))
     return out
 
 
-def _is_heavy(key: str, heavy: HeavyKeys) -> Column:
-    named = [v for v in heavy.values if v is not None]
-    out = F.col(key).isin(*named) if named else F.lit(False)
-    return F.coalesce(out, F.lit(None in heavy.values))
+def _salts(key: str, heavy: HeavyKeys) -> Column:
+    """Number of salts of each row's key; 1 unless it is heavy."""
+    named = [(v, n) for v, n in heavy.salts if v is not None]
+    of_null = next((n for v, n in heavy.salts if v is None), 1)
+    out = F.lit(1)
+    if named:
+        table = F.create_map(*[F.lit(x) for pair in named for x in pair])
+        out = F.coalesce(F.try_element_at(table, F.col(key)), F.lit(1))
+    return F.when(F.col(key).isNull(), F.lit(of_null)).otherwise(out)
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, heavy: HeavyKeys = NO_HEAVY_KEYS) -> DataFrame:
     """left.join(right, key, how) for how in inner and left, with heavy left keys spread over tasks.
 
-    The salt is the number of the input partition: a heavy key fills many of them, and
-    a task that is run again after a loss gives its rows the same salt.
+    The salt is a hash of the whole row and its input partition, so a task that is run
+    again after a loss gives its rows the same salts.
     """
-    if not heavy.values:
+    if not heavy.salts:
         return left.join(right, key, how)
-    is_heavy = _is_heavy(key, heavy)
-    salt = F.when(is_heavy, F.pmod(F.spark_partition_id(), F.lit(heavy.salts))).otherwise(F.lit(0))
-    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(heavy.salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns])
+    salt = F.pmod(spread, _salts(key, heavy).cast("long")).cast("int")
+    salts = F.sequence(F.lit(0), _salts(key, heavy) - 1)
     joined = left.withColumn("__salt", salt).join(
         right.withColumn("__salt", F.explode(salts)), [key, "__salt"], how
     )

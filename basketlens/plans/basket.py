@@ -12,6 +12,8 @@ from basketlens.sources.staging import stage
 
 # A rule's items are picked by a bit mask; masks are enumerated in blocks of 2^16.
 _BLOCK_BITS = 16
+# Masks are non-negative long integers.
+MAX_ITEMS = 62
 
 
 def baskets(tx: DataFrame) -> DataFrame:
@@ -49,8 +51,12 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
     """Every split of every itemset into antecedents and consequents with lift >= min_lift.
 
     FPGrowth's own rules have single consequents only. Here each itemset is exploded
-    into its proper subsets by bit mask, and supports are joined by itemset.
+    into its proper subsets by bit mask, blocks of 2^16 masks spread over tasks, and
+    supports are joined by itemset. Itemsets of more than MAX_ITEMS items are an error.
     """
+    longest = itemsets.agg(F.max(F.size("items"))).first()[0] or 0
+    if longest > MAX_ITEMS:
+        raise ValueError(f"an itemset has {longest} items; rules are enumerated for {MAX_ITEMS} at most")
     size = F.size("items")
     low = F.least(size, F.lit(_BLOCK_BITS))
     one = F.lit(1).cast("long")
@@ -61,6 +67,7 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
     masks = (
         itemsets.filter(size > 1)
         .select("items", "support", F.explode(F.sequence(F.lit(0).cast("long"), power(size - low) - 1)).alias("__block"))
+        .repartition("items", "__block")
         .select(
             "items", "support", "__block", F.explode(F.sequence(F.lit(0).cast("long"), power(low) - 1)).alias("__low")
         )

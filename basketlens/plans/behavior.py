@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.exact import decimal_sum
+from basketlens.functions.exact import money_sum, sum_of_sums, total
 from basketlens.operators.binning import top_k
 from basketlens.plans.overview import keyed, orders_per_customer, with_category
 
@@ -16,10 +16,10 @@ def _by_flag(tx: DataFrame, flag: str) -> DataFrame:
     Two levels: per order in place, then over the two flag values.
     """
     per_order = tx.groupBy(flag, "order_id").agg(
-        decimal_sum("order_total").alias("t"), F.count("order_total").alias("n")
+        money_sum("order_total").alias("t"), F.count("order_total").alias("n")
     )
     return per_order.groupBy(flag).agg(
-        F.count("order_id").alias("orders"), F.sum("n").alias("n"), F.sum("t").alias("t")
+        F.count("order_id").alias("orders"), F.sum("n").alias("n"), total(sum_of_sums("t")).alias("t")
     )
 
 
@@ -28,8 +28,8 @@ def free_shipping_effect(tx: DataFrame) -> DataFrame:
     side = F.col("has_free_shipping")
 
     def mean(where: Column) -> Column:
-        total, rows = F.max(F.when(where, F.col("t"))), F.max(F.when(where, F.col("n")))
-        return F.coalesce(F.try_divide(total.cast("double"), rows), F.lit(0.0))
+        amount, rows = F.max(F.when(where, F.col("t"))), F.max(F.when(where, F.col("n")))
+        return F.coalesce(F.try_divide(amount, rows), F.lit(0.0))
 
     def orders(where: Column) -> Column:
         return F.coalesce(F.max(F.when(where, F.col("orders"))), F.lit(0))
@@ -53,10 +53,10 @@ def social_proof(tx: DataFrame) -> DataFrame:
     per_order = (
         keyed(rated, "side")
         .groupBy("side", "order_id")
-        .agg(F.count("*").alias("n"), F.count("price").alias("p"), decimal_sum("price").alias("t"))
+        .agg(F.count("*").alias("n"), F.count("price").alias("p"), money_sum("price").alias("t"))
     )
     sides = per_order.groupBy("side").agg(
-        F.sum("n").alias("n"), F.count("order_id").alias("orders"), F.sum("p").alias("p"), F.sum("t").alias("t")
+        F.sum("n").alias("n"), F.count("order_id").alias("orders"), F.sum("p").alias("p"), total(sum_of_sums("t")).alias("t")
     )
     out = []
     for name in ("high", "low"):
@@ -66,7 +66,7 @@ def social_proof(tx: DataFrame) -> DataFrame:
             F.coalesce(F.max(F.when(here, F.col("orders"))), F.lit(0)).alias(f"{name}_rated_orders"),
             F.coalesce(
                 F.try_divide(
-                    F.max(F.when(here, F.col("t"))).cast("double"),
+                    F.max(F.when(here, F.col("t"))),
                     F.max(F.when(here, F.col("p"))),
                 ),
                 F.lit(0.0),

@@ -108,6 +108,19 @@ class ChurnModel:
         )
 
 
+@dataclass(frozen=True)
+class RecencyRule:
+    """Churn likelier the longer ago the last order: half at `days`, certain at twice that."""
+
+    days: int = 60
+
+    def predict(self, customers: DataFrame) -> DataFrame:
+        """Add churn_probability and predicted (0/1)."""
+        likely = F.least(F.col("recency_days") / F.lit(2.0 * self.days), F.lit(1.0))
+        scored = customers.withColumn("churn_probability", F.coalesce(likely, F.lit(0.0)))
+        return scored.withColumn("predicted", (F.col("churn_probability") >= 0.5).cast("int"))
+
+
 def _vectors(customers: DataFrame, names: Sequence[str]) -> DataFrame:
     filled = customers.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
     return VectorAssembler(inputCols=[f"__{c}" for c in names], outputCol="__features").transform(filled)
@@ -143,7 +156,7 @@ def risk_band(probability: Column | str) -> Column:
     return cut_edges(probability, RISK_EDGES, RISK_LABELS)
 
 
-def churn_scores(split: DataFrame, model: ChurnModel) -> DataFrame:
+def churn_scores(split: DataFrame, model: ChurnModel | RecencyRule) -> DataFrame:
     """All customers with churn_probability and churn_risk."""
     scored = model.predict(split).withColumn("churn_risk", risk_band("churn_probability"))
     return scored.drop("predicted", "is_test")
@@ -180,7 +193,7 @@ def classification_metrics(scored: DataFrame, label: str = "is_churned", predict
     )
 
 
-def churn_metrics(split: DataFrame, model: ChurnModel) -> DataFrame:
+def churn_metrics(split: DataFrame, model: ChurnModel | RecencyRule) -> DataFrame:
     """Quality on the test rows."""
     return classification_metrics(model.predict(split.filter("is_test")))
 

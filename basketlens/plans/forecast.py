@@ -68,14 +68,24 @@ def forecast_split(features: DataFrame, train_fraction: float = 0.8) -> DataFram
     return features.withColumn("is_train", place <= F.floor(n * F.lit(train_fraction)))
 
 
+class SeasonalNaive:
+    """The revenue of a week before: what any fitted model has to beat."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.col("revenue_lag_7"))
+
+    def predict(self, x: Sequence[float]) -> float:
+        return float(x[FEATURES.index("revenue_lag_7")])
+
+
 @dataclass(frozen=True)
 class ForecastModel:
-    """Fitted trees, the staged daily features with their split, and what the recursion starts from.
+    """Fitted trees (or the seasonal stand-in), the staged daily features with their split, and what the recursion starts from.
 
     Without trees there were too few days to train or to look 14 back.
     """
 
-    trees: GBTRegressionModel | None
+    trees: GBTRegressionModel | SeasonalNaive | None
     split: DataFrame
     recent: tuple[float, ...]
     first_day: date | None
@@ -94,8 +104,9 @@ def fit_forecast(
     max_depth: int = 5,
     learning_rate: float = 0.1,
     seed: int = 42,
+    seasonal: bool = False,
 ) -> ForecastModel:
-    """Fit on the older days."""
+    """Fit on the older days; with `seasonal` nothing is fitted and last week's revenue is the forecast."""
     daily = stage(daily_sales(tx))
     split = stage(forecast_split(forecast_features(daily), train_fraction).coalesce(1))
     days = split.agg(
@@ -106,6 +117,9 @@ def fit_forecast(
     first_day = daily.agg(F.min("date")).first()[0]
     if not days["n"] or len(recent) < max(LAGS):
         return ForecastModel(None, split, tuple(reversed(recent)), first_day, days["first"], days["last"])
+    if seasonal:
+        recent.reverse()
+        return ForecastModel(SeasonalNaive(), split, tuple(recent), first_day, days["first"], days["last"])
     trees = GBTRegressor(
         featuresCol="__features",
         labelCol="revenue",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions.exact import decimal_sum, exact_sum
+from basketlens.functions.exact import exact_sum, money_sum, sum_of_sums, total
 from basketlens.operators.binning import top_k
 from basketlens.plans.transactions import category_column, rows_per_row
 
@@ -24,17 +24,17 @@ def overview_kpis(tx: DataFrame) -> DataFrame:
     order_id. One row per order is marked there, so that counting orders needs no
     shuffle; only the partial rows per customer are moved.
     """
-    per = tx.groupBy("order_id", "customer_id").agg(decimal_sum("order_total", rows_per_row(tx)).alias("t"))
+    per = tx.groupBy("order_id", "customer_id").agg(money_sum("order_total", rows_per_row(tx)).alias("t"))
     # An order has one customer as a rule; the window sees the customers of one order.
     place = F.row_number().over(Window.partitionBy("order_id").orderBy("customer_id"))
     counts_once = F.col("order_id").isNotNull() & (place == 1)
     by_customer = (
         per.withColumn("o", counts_once.cast("long"))
         .groupBy("customer_id")
-        .agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+        .agg(F.sum("o").alias("o"), sum_of_sums("t").alias("t"))
     )
     return by_customer.agg(
-        F.coalesce(F.sum("t"), F.lit(0)).cast("double").alias("total_revenue"),
+        F.coalesce(total(sum_of_sums("t")), F.lit(0.0)).alias("total_revenue"),
         F.coalesce(F.sum("o"), F.lit(0)).alias("total_orders"),
         F.count("customer_id").alias("total_customers"),
     ).withColumn("avg_order_value", F.try_divide("total_revenue", "total_orders"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.bins import width_bin, width_edges
-from basketlens.functions.exact import decimal_sum, exact_mean
+from basketlens.functions.exact import exact_mean, exact_sum
 from basketlens.operators.binning import bin_frame, histogram, top_k
 from basketlens.operators.ranking import exact_quantiles
 from basketlens.plans.overview import keyed, with_category
@@ -34,8 +34,8 @@ def category_ratings(tx: DataFrame, n: int = 15, min_reviews: int = 10) -> DataF
 def price_profile(tx: DataFrame) -> DataFrame:
     """One row per price with its item rows and review scores, staged.
 
-    The price reports all start here, so the joins behind tx run once and a price
-    that a third of all rows share is a single row.
+    The price reports all start here, and take a profile that is made already; the joins
+    behind tx then run once, and a price that a third of all rows share is a single row.
     """
     return stage(
         keyed(_scored(tx), "price")
@@ -48,15 +48,14 @@ def price_profile(tx: DataFrame) -> DataFrame:
     )
 
 
-def price_stats(tx: DataFrame) -> DataFrame:
+def price_stats(tx: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Minimum, maximum, mean and median price over item rows."""
-    prices = price_profile(tx)
+    prices = profile or price_profile(tx)
     [median] = exact_quantiles(prices, "price", [0.5], weight="rows")
-    total = decimal_sum("price", weight="rows")
     return prices.agg(
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
-        F.try_divide(total.cast("double"), F.sum("rows")).alias("avg_price"),
+        F.try_divide(exact_sum("price", weight="rows"), F.sum("rows")).alias("avg_price"),
     ).withColumn("median_price", F.lit(median).cast("double"))
 
 
@@ -70,12 +69,12 @@ def popular_products(tx: DataFrame, n: int = 20) -> DataFrame:
     return top_k(per, n, "orders", "product_id")
 
 
-def rating_by_price_bin(tx: DataFrame, bins: int = 10) -> DataFrame:
+def rating_by_price_bin(tx: DataFrame, bins: int = 10, profile: DataFrame | None = None) -> DataFrame:
     """Mean score per equal-width price band, empty bands kept: bin, lower, upper, label, avg_review.
 
     The lowest band starts 0.1 % of the range below the minimum.
     """
-    prices = price_profile(tx)
+    prices = profile or price_profile(tx)
     lo, hi = prices.agg(F.min("price"), F.max("price")).first()
     edges = width_edges(lo, hi, bins)
     scored = (
@@ -96,5 +95,5 @@ def price_review_corr(tx: DataFrame) -> DataFrame:
     return both.agg(F.nanvl(F.corr("price", "review_score"), F.lit(None)).alias("price_review_corr"))
 
 
-def price_histogram(tx: DataFrame, bins: int = 50) -> DataFrame:
-    return histogram(price_profile(tx), "price", bins, weight="rows")
+def price_histogram(tx: DataFrame, bins: int = 50, profile: DataFrame | None = None) -> DataFrame:
+    return histogram(profile or price_profile(tx), "price", bins, weight="rows")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.calendar import elapsed_days
 from basketlens.functions.exact import exact_mean, exact_sum
-from basketlens.operators.binning import value_counts
+from basketlens.operators.binning import rank_qcut, value_counts
 from basketlens.plans.customers import per_customer
 from basketlens.sources.staging import stage
 
@@ -123,6 +123,15 @@ def kmeans_segments(
     return label_clusters(stage(clustered))
 
 
+def spend_quartiles(features: DataFrame) -> DataFrame:
+    """Features plus cluster and cluster_label, the clusters being quartiles of the amount spent (0 to 3).
+
+    features is read several times: pass a staged table.
+    """
+    ranked = rank_qcut(features.withColumn("__spent", F.coalesce("total_spent", F.lit(0.0))), "__spent", "customer_id", 4, "q")
+    return label_clusters(stage(ranked.withColumn("cluster", (F.col("q") - 1).cast("int")).drop("q", "__spent")))
+
+
 def label_clusters(clustered: DataFrame) -> DataFrame:
     """Add cluster_label by comparing each cluster's means with the median of those means."""
     means = clustered.groupBy("cluster").agg(

@@ -89,15 +89,26 @@ def _translate_missing(tx: DataFrame, translation: DataFrame) -> DataFrame:
     return tx.withColumns({c: F.when(no_category, of_null[c]).otherwise(F.col(c)) for c in names})
 
 
-def _one_row(df: DataFrame, key: str, wanted: bool) -> DataFrame:
-    return df.dropDuplicates([key]) if wanted else df
+def require_unique(df: DataFrame, name: str, key: str) -> None:
+    """Raise if an id of the table occurs twice. One pass over the ids."""
+    ids = df.agg(F.count(key).alias("n"), F.count_distinct(key).alias("different")).first()
+    if ids.n != ids.different:
+        raise ContractError(f"{name}: {key} was promised to be unique, but {ids.n - ids.different} rows repeat one")
+
+
+def _one_row(df: DataFrame, name: str, key: str, promised: Collection[str]) -> DataFrame:
+    """df, checked if one row per key is promised, and then in a form that shows the planner that it is so."""
+    if name not in promised:
+        return df
+    require_unique(df, name, key)
+    return df.dropDuplicates([key])
 
 
 def build_transactions(
     datasets: dict[str, DataFrame],
     total: str = "payment",
     one_row_per_key: Collection[str] = (),
-    split_heavy_keys: bool | None = None,
+    split_heavy_keys: bool = True,
 ) -> DataFrame:
     """One row per order item of a sold order, with order, customer, payment, product and review columns.
 
@@ -106,11 +117,11 @@ def build_transactions(
 
     total: "payment" repeats what was paid for the order on each of its items;
         "item_share" divides it by their number.
-    one_row_per_key: which of "customers", "products" hold one row per id. Spark then
-        leaves the join out of any query that uses none of their columns. Without it
-        repeated ids multiply rows, as joins do.
+    one_row_per_key: which of "customers", "products" hold one row per id; a ContractError
+        if they don't. Spark then leaves the join out of any query that uses none of
+        their columns. Without it repeated ids multiply rows, as joins do.
     split_heavy_keys: look for orders, customers and products that hold a large part of
-        all rows and spread their joins over tasks. By default only for large tables.
+        all rows, in one pass over the ids, and spread their joins over tasks.
     """
     if total not in ("payment", "item_share"):
         raise ContractError(f"total must be 'payment' or 'item_share', not {total!r}")
@@ -121,9 +132,8 @@ def build_transactions(
     items = datasets["order_items"]
     header = sold_orders(datasets["orders"])
     heavy = {c: NO_HEAVY_KEYS for c in ("order_id", "customer_id", "product_id")}
-    if split_heavy_keys is not False:
-        force = bool(split_heavy_keys)
-        heavy |= heavy_keys(items, ["order_id", "product_id"], force) | heavy_keys(header, ["customer_id"], force)
+    if split_heavy_keys:
+        heavy |= heavy_keys(items, ["order_id", "product_id"]) | heavy_keys(header, ["customer_id"])
     header = _header(datasets, header, one_row_per_key, heavy["customer_id"])
     if total == "item_share" and "order_payments" in datasets:
         sizes = items.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count("*").alias("__items"))
@@ -133,7 +143,7 @@ def build_transactions(
     tx = salted_join(items, header, "order_id", "inner", heavy["order_id"])
     if "products" in datasets:
         catalogue = _renamed(_catalogue(datasets), tx.columns, "product_id", "products")
-        catalogue = _one_row(catalogue, "product_id", "products" in one_row_per_key)
+        catalogue = _one_row(catalogue, "products", "product_id", one_row_per_key)
         tx = salted_join(tx, catalogue, "product_id", "left", heavy["product_id"])
     if "product_translation" in datasets and "product_category_name" in tx.columns:
         translation = datasets["product_translation"]
@@ -144,32 +154,46 @@ def build_transactions(
 
 
 def build_order_rollup(
-    datasets: dict[str, DataFrame], one_row_per_key: Collection[str] = (), split_heavy_keys: bool | None = None
+    datasets: dict[str, DataFrame], one_row_per_key: Collection[str] = (), split_heavy_keys: bool = True
 ) -> DataFrame:
     """The transactions with the items of an order folded into one row.
 
     `item_rows` and `item_products` count its items and those with a product. Analyses
     of orders and customers take this table in place of the item-grain one: the items
     are counted before they are shuffled, so neither their number nor a huge order
-    matters from there on. Products are taken to hold one row per id. Without payments
-    the total differs from item to item and the item-grain table is returned.
+    matters from there on. With one row per product promised, products need no join here;
+    without it an item counts as often as its product occurs. Without payments the
+    total differs from item to item and the item-grain table is returned, as it is when
+    categories of the items themselves are translated.
     """
-    if "order_payments" not in datasets:
+    of_items = "products" not in datasets or "product_category_name" not in datasets["products"].columns
+    translated = of_items and "product_translation" in datasets and (
+        "product_category_name" in datasets["order_items"].columns
+    )
+    if "order_payments" not in datasets or translated:
         return build_transactions(datasets, one_row_per_key=one_row_per_key, split_heavy_keys=split_heavy_keys)
     require_minimum(datasets)
     for name, df in datasets.items():
         validate(df, name)
     orders = sold_orders(datasets["orders"])
     heavy = NO_HEAVY_KEYS
-    if split_heavy_keys is not False:
-        heavy = heavy_keys(orders, ["customer_id"], bool(split_heavy_keys))["customer_id"]
+    if split_heavy_keys:
+        heavy = heavy_keys(orders, ["customer_id"])["customer_id"]
     header = _header(datasets, orders, one_row_per_key, heavy)
-    counted = (
-        datasets["order_items"]
-        .filter(F.col("order_id").isNotNull())
-        .groupBy("order_id")
-        .agg(F.count("*").alias(ROWS), F.count("product_id").alias("item_products"))
-    )
+    items = datasets["order_items"].filter(F.col("order_id").isNotNull()).select("order_id", "product_id")
+    if "products" in datasets and "products" in one_row_per_key:
+        require_unique(datasets["products"], "products", "product_id")
+    elif "products" in datasets:
+        copies = _catalogue(datasets).groupBy("product_id").agg(F.count("*").alias("__copies"))
+        heavy_products = heavy_keys(items, ["product_id"])["product_id"] if split_heavy_keys else NO_HEAVY_KEYS
+        items = salted_join(items, copies, "product_id", "left", heavy_products)
+    if "__copies" in items.columns:
+        n = F.coalesce("__copies", F.lit(1))
+        of_products = F.sum(F.when(F.col("product_id").isNotNull(), n).otherwise(F.lit(0)))
+        counts = F.sum(n), of_products
+    else:
+        counts = F.count("*"), F.count("product_id")
+    counted = items.groupBy("order_id").agg(counts[0].alias(ROWS), counts[1].alias("item_products"))
     return counted.join(header, "order_id", "inner").withColumn("order_total", F.col("payment_value"))
 
 
@@ -184,7 +208,7 @@ def _header(
     """Orders with their customer, payments, review score and times."""
     header = orders
     customers = _renamed(datasets["customers"], header.columns, "customer_id", "customers")
-    customers = _one_row(customers, "customer_id", "customers" in one_row_per_key)
+    customers = _one_row(customers, "customers", "customer_id", one_row_per_key)
     header = salted_join(header, customers, "customer_id", "left", heavy)
     if "order_payments" in datasets:
         paid = payments_per_order(datasets["order_payments"])

@@ -23,7 +23,6 @@ class ContractError(ValueError):
 class Contract:
     """Column names and types of one table; required columns are not nullable."""
 
-    description: str
     schema: StructType
 
     @property
@@ -38,40 +37,33 @@ class Contract:
 # Table names, column names and which of them are required.
 _TABLES = {
     "customers": (
-        "Customer information",
         "customer_id string",
         "customer_unique_id string, customer_zip_code_prefix string, customer_city string, customer_state string",
     ),
     "orders": (
-        "Order details",
         "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp_ntz",
         "order_approved_at timestamp_ntz, order_delivered_customer_date timestamp_ntz,"
         " order_estimated_delivery_date timestamp_ntz",
     ),
     "order_items": (
-        "Order items",
         "order_id string, product_id string, price double",
         "order_item_id int, seller_id string, shipping_limit_date timestamp_ntz, freight_value double",
     ),
     "order_payments": (
-        "Payment information",
         "order_id string, payment_value double",
         "payment_sequential int, payment_type string, payment_installments int",
     ),
     "products": (
-        "Product catalogue",
         "product_id string",
         "product_category_name string, product_name_length int, product_description_length int,"
         " product_photos_qty int, product_weight_g double, product_length_cm double,"
         " product_height_cm double, product_width_cm double",
     ),
     "product_translation": (
-        "Product category translation",
         "product_category_name string",
         "product_category_name_english string",
     ),
     "reviews": (
-        "Customer reviews",
         "order_id string",
         "review_id string, review_score double, review_comment_title string, review_comment_message string,"
         " review_creation_date timestamp_ntz, review_answer_timestamp timestamp_ntz",
@@ -97,7 +89,7 @@ def _schema(required: str, optional: str) -> StructType:
     return out
 
 
-CONTRACTS = {name: Contract(text, _schema(req, opt)) for name, (text, req, opt) in _TABLES.items()}
+CONTRACTS = {name: Contract(_schema(required, optional)) for name, (required, optional) in _TABLES.items()}
 
 
 def contract(name: str) -> Contract:

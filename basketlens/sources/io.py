@@ -33,20 +33,26 @@ def _typed(df: DataFrame, name: str, keep: set[str] = frozenset()) -> DataFrame:
 
 
 def read_dataset(
-    spark: SparkSession, path: str | list[str], name: str, fmt: str = "csv", multi_line: bool = True
+    spark: SparkSession, path: str | list[str], name: str, fmt: str = "csv", multi_line: bool | None = None
 ) -> DataFrame:
     """Read one input table, check its header and cast its columns by name.
 
-    CSV columns are read as text (a schema would be applied by position). With
-    `multi_line` quoted line breaks are kept, at the price of one task per file; turn
-    it off for large files that have none.
+    CSV columns are read as text (a schema would be applied by position). Large files are
+    split over tasks; a quoted line break then makes a row of the wrong length, which is an
+    error when the rows are read, whatever columns are asked for. With `multi_line`, the
+    default for reviews, whose texts have line breaks, they are kept, at the price of one
+    task per file.
     """
+    if multi_line is None:
+        multi_line = name == "reviews"
     if fmt == "csv":
         raw = (
             spark.read.option("header", True)
             .option("multiLine", multi_line)
             .option("quote", '"')
             .option("escape", '"')
+            .option("mode", "PERMISSIVE" if multi_line else "FAILFAST")
+            .option("columnPruning", multi_line)
             .csv(path)
         )
         validate(raw, name)

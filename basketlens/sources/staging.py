@@ -7,8 +7,12 @@ reads are columnar and carry true sizes for the join planner.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,27 +25,45 @@ def scratch_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="basketlens-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/basketlens-stage/{sc.applicationId}"
 
 
-def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write df once and return the written table.
-
-    With partition_by, rows are rebalanced by that column first: small values share
-    files, and a value with a large part of all rows is split over several tasks.
-    """
+def stage(df: DataFrame) -> DataFrame:
+    """Write df once and return the written table."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    if partition_by:
-        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
-        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """A report: what is staged inside is deleted at its end, so use its results inside."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def tables() -> set[str]:
+        return {s.getPath().toString() for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+
+    before = tables()
+    try:
+        yield
+    finally:
+        for path in tables() - before:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+# Goes up whenever staged tables are deleted: what was built on older ones must be built anew.
+generation = 0
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables; frames built on them stop working."""
+    global generation
+    generation += 1
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -28,8 +28,12 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}.parquet")
 
 
-def from_testdata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The seven input tables over one scale-factor folder."""
+def from_testdata(spark: SparkSession, path: str, sold_only: bool = False) -> dict[str, DataFrame]:
+    """The seven input tables over one scale-factor folder.
+
+    With `sold_only` the orders are those delivered or shipped, filtered by the stored
+    letter, so that the scan can skip the others.
+    """
     customer, nation, region = (_read(spark, path, t) for t in ("customer", "nation", "region"))
     orders, lineitem, part = (_read(spark, path, t) for t in ("orders", "lineitem", "part"))
 
@@ -58,7 +62,7 @@ def from_testdata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     freight = F.call_function("div", cents * percent + 50, F.lit(100).cast("long")) / F.lit(100.0)
     return {
         "customers": customers,
-        "orders": orders.select(
+        "orders": (orders.filter(F.col("o_orderstatus").isin("F", "O")) if sold_only else orders).select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             status.alias("order_status"),

@@ -197,6 +197,70 @@ DAILY = (
     FROM daily) WHERE revenue_lag_14 IS NOT NULL)"""
 )
 
+SPLIT = (
+    CHURN
+    + """, sizes AS (
+  SELECT n, n0, n1, n_train, (n0 * n_train) // n AS s0, (n1 * n_train) // n AS s1,
+         (n0 * n_train) % n AS r0, (n1 * n_train) % n AS r1
+  FROM (SELECT n, n0, n1, n - (3 * n + 9) // 10 AS n_train
+        FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (is_churned = 0) AS n0, COUNT(*) FILTER (is_churned = 1) AS n1
+              FROM churn))
+), split AS (
+  SELECT *, place > CASE WHEN is_churned = 0 THEN s0 + (CASE WHEN r1 > r0 THEN 0 ELSE n_train - s0 - s1 END)
+                      ELSE s1 + (CASE WHEN r1 > r0 THEN n_train - s0 - s1 ELSE 0 END) END AS is_test
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY is_churned ORDER BY md5(customer_id || ':42'), customer_id) AS place
+        FROM churn), sizes)"""
+)
+
+# Reference models: the revenue of a week before, a rule on recency, quartiles of spend.
+NAIVE = (
+    DAILY
+    + """, split AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS place, COUNT(*) OVER () AS n FROM features
+), scored AS (
+  SELECT revenue AS y, revenue_lag_7 AS p FROM split WHERE place > FLOOR(n * 0.8)
+), recent AS (
+  SELECT place - n - 1 AS t, revenue FROM split WHERE place > n - 14
+), known AS (
+  SELECT t, revenue FROM recent
+  UNION ALL SELECT s.t, r.revenue FROM range(0, 30) s(t) JOIN recent r ON r.t = s.t % 7 - 7
+), days AS (
+  SELECT s.t, (SELECT MAX(date) FROM features) + CAST(s.t + 1 AS INTEGER) AS date FROM range(0, 30) s(t)
+), forecast AS (
+  SELECT date, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(day(date) AS INTEGER) AS day_of_month,
+         CAST(month(date) AS INTEGER) AS month, CAST(date - (SELECT MIN(date) FROM daily) AS INTEGER) AS day_num,
+         a.revenue AS revenue_lag_1, b.revenue AS revenue_lag_7, c.revenue AS revenue_lag_14,
+         k.revenue AS predicted_revenue
+  FROM days d JOIN known k ON k.t = d.t JOIN known a ON a.t = d.t - 1 JOIN known b ON b.t = d.t - 7
+  JOIN known c ON c.t = d.t - 14)"""
+)
+RULE = (
+    SPLIT
+    + """, ruled AS (
+  SELECT *, p AS churn_probability, CASE WHEN p > 0 AND p <= 0.3 THEN 'Low' WHEN p > 0.3 AND p <= 0.7 THEN 'Medium'
+         WHEN p > 0.7 THEN 'High' END AS churn_risk
+  FROM (SELECT *, LEAST(recency_days / 120.0::DOUBLE, 1.0::DOUBLE) AS p FROM split))"""
+)
+QUARTILES = (
+    SEG
+    + """, placed AS (
+  SELECT *, CAST(GREATEST(1, LEAST(4, CEIL(4.0 * (r - 1) / (n - 1)))) AS INTEGER) - 1 AS cluster
+  FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY total_spent, customer_id) AS r, COUNT(*) OVER () AS n FROM seg)
+), means AS (
+  SELECT cluster, AVG(total_spent) AS spent, AVG(order_count) AS orders, AVG(recency_days) AS recency
+  FROM placed GROUP BY 1
+), mid AS (
+  SELECT quantile_cont(spent, 0.5) AS spent, quantile_cont(orders, 0.5) AS orders, quantile_cont(recency, 0.5) AS recency
+  FROM means
+), labelled AS (
+  SELECT p.*, CASE WHEN m.spent > mid.spent AND m.orders > mid.orders THEN 'High Value'
+                   WHEN m.recency > mid.recency THEN 'Inactive'
+                   WHEN m.orders <= mid.orders THEN 'New/Low Frequency' ELSE 'Medium Value' END AS cluster_label
+  FROM placed p JOIN means m USING (cluster), mid)"""
+)
+SHARED = TX + """, shared AS (
+  SELECT *, order_total / COUNT(*) OVER (PARTITION BY order_id) AS share FROM tx)"""
+
 ORACLE: dict[str, str] = {
     "load_report": " UNION ALL ".join(
         f"SELECT '{name}' AS dataset, (SELECT COUNT(*) FROM {source}) AS row_count"
@@ -305,7 +369,10 @@ FROM orders WHERE o_orderstatus IN ('F', 'O')""",
   SELECT CAST(s.i AS INTEGER) AS bin,
          ROUND(CASE WHEN s.i = 1 THEN b.lo - (b.hi - b.lo) * 0.001 ELSE {edge('(s.i - 1)', 'b.lo', 'b.hi', 10)} END, 4)
            AS lower,
-         ROUND({edge('s.i', 'b.lo', 'b.hi', 10)}, 4) AS upper, ROUND(r.score, 4) AS avg_review
+         ROUND({edge('s.i', 'b.lo', 'b.hi', 10)}, 4) AS upper, ROUND(r.score, 4) AS avg_review,
+         '(' || CAST(ROUND(CASE WHEN s.i = 1 THEN b.lo - (b.hi - b.lo) * 0.001
+           ELSE {edge('(s.i - 1)', 'b.lo', 'b.hi', 10)} END, 3) AS VARCHAR) || ', '
+           || CAST(ROUND({edge('s.i', 'b.lo', 'b.hi', 10)}, 3) AS VARCHAR) || ']' AS label
   FROM range(1, 11) s(i) CROSS JOIN b
   LEFT JOIN (SELECT {cut_bin('price', 'b.lo', 'b.hi', 10)} AS bin, AVG(review_score) AS score
              FROM tx, b WHERE price IS NOT NULL GROUP BY 1) r ON r.bin = s.i""",
@@ -346,18 +413,7 @@ FROM orders WHERE o_orderstatus IN ('F', 'O')""",
     )
     + " FROM seg",
     "churn_features": CHURN + " SELECT * FROM churn",
-    "churn_split": CHURN
-    + """, sizes AS (
-  SELECT n, n0, n1, n_train, (n0 * n_train) // n AS s0, (n1 * n_train) // n AS s1,
-         (n0 * n_train) % n AS r0, (n1 * n_train) % n AS r1
-  FROM (SELECT n, n0, n1, n - (3 * n + 9) // 10 AS n_train
-        FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (is_churned = 0) AS n0, COUNT(*) FILTER (is_churned = 1) AS n1
-              FROM churn)))
-  SELECT customer_id, is_churned,
-         place > CASE WHEN is_churned = 0 THEN s0 + (CASE WHEN r1 > r0 THEN 0 ELSE n_train - s0 - s1 END)
-                      ELSE s1 + (CASE WHEN r1 > r0 THEN n_train - s0 - s1 ELSE 0 END) END AS is_test
-  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY is_churned ORDER BY md5(customer_id || ':42'), customer_id) AS place
-        FROM churn), sizes""",
+    "churn_split": SPLIT + " SELECT customer_id, is_churned, is_test FROM split",
     "churn_rate": CHURN + " SELECT CAST(SUM(is_churned) AS DOUBLE) / COUNT(*) * 100 AS churn_rate FROM churn",
     "baskets": BASKETS
     + """ SELECT order_id, STRING_AGG(DISTINCT category, ', ' ORDER BY category) AS items
@@ -379,4 +435,37 @@ FROM orders WHERE o_orderstatus IN ('F', 'O')""",
     "forecast_split": DAILY
     + """ SELECT date, revenue, ROW_NUMBER() OVER (ORDER BY date) <= FLOOR((SELECT COUNT(*) FROM features) * 0.8)
        AS is_train FROM features""",
+    "naive_forecast_metrics": NAIVE
+    + """ SELECT ROUND(SQRT(AVG((y - p) * (y - p))), 2) AS rmse,
+       ROUND(1 - SUM((y - p) * (y - p)) / (SELECT SUM((y - m) * (y - m)) FROM scored, (SELECT AVG(y) AS m FROM scored)), 6)
+         AS r2 FROM scored""",
+    "naive_forecast": NAIVE + " SELECT * FROM forecast",
+    "naive_forecast_summary": NAIVE
+    + """ SELECT ROUND(SUM(predicted_revenue), 2) AS total_forecast, ROUND(AVG(predicted_revenue), 2) AS avg_daily,
+       (SELECT date FROM forecast ORDER BY predicted_revenue DESC, date LIMIT 1) AS peak_day FROM forecast""",
+    "rule_churn_metrics": RULE
+    + """ SELECT ROUND((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 9) AS accuracy,
+       ROUND(COALESCE(tp / NULLIF(tp + fp, 0)::DOUBLE, 0), 9) AS "precision",
+       ROUND(COALESCE(tp / NULLIF(tp + fn, 0)::DOUBLE, 0), 9) AS recall,
+       ROUND(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0)::DOUBLE, 0), 9) AS f1
+  FROM (SELECT COUNT(*) FILTER (is_churned = 1 AND p >= 0.5) AS tp, COUNT(*) FILTER (is_churned = 0 AND p >= 0.5) AS fp,
+               COUNT(*) FILTER (is_churned = 1 AND p < 0.5) AS fn, COUNT(*) FILTER (is_churned = 0 AND p < 0.5) AS tn
+        FROM ruled WHERE is_test)""",
+    "rule_churn_risk_counts": RULE
+    + " SELECT churn_risk, COUNT(*) AS customers FROM ruled WHERE churn_risk IS NOT NULL GROUP BY 1",
+    "rule_churn_top20": RULE
+    + """ SELECT customer_id, churn_probability, recency_days, order_count, total_spent FROM ruled
+       WHERE churn_risk = 'High' ORDER BY churn_probability DESC, customer_id LIMIT 20""",
+    "quartile_label_counts": QUARTILES
+    + " SELECT cluster_label, COUNT(*) AS customers FROM labelled GROUP BY 1",
+    "quartile_profile": QUARTILES
+    + """ SELECT cluster_label, COUNT(customer_id) AS customers, ROUND(AVG(total_spent), 2) AS avg_total_spent,
+       ROUND(AVG(order_count), 6) AS avg_orders, ROUND(AVG(avg_order_value), 2) AS avg_order_value,
+       ROUND(AVG(recency_days), 6) AS avg_recency FROM labelled GROUP BY 1""",
+    "overview_kpis_item_share": SHARED
+    + """ SELECT ROUND(SUM(share), 2) AS total_revenue, COUNT(DISTINCT order_id) AS total_orders,
+       COUNT(DISTINCT customer_id) AS total_customers,
+       ROUND(SUM(share) / COUNT(DISTINCT order_id), 4) AS avg_order_value FROM shared""",
+    "monthly_revenue_item_share": SHARED
+    + """ SELECT strftime(ts, '%Y-%m') AS order_year_month, ROUND(SUM(share), 2) AS revenue FROM shared GROUP BY 1""",
 }

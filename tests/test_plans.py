@@ -93,5 +93,5 @@ def test_results_do_not_depend_on_partitioning(spark):
 
 def test_partitioned_staging(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 3).cast("string").alias("month"))
-    back = stage(df, partition_by="month")
+    back = stage(df)
     assert back.columns == ["id", "month"] and back.filter("month = '1'").count() == 33

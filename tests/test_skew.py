@@ -13,7 +13,6 @@ N = 6000
 
 @pytest.fixture
 def hot_shop(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_ROWS", 100)
     monkeypatch.setattr(skew, "FACTOR", 2)
     i = F.col("id")
 
@@ -41,12 +40,34 @@ def hot_shop(spark, monkeypatch):
 
 
 def test_heavy_keys_are_found(hot_shop):
-    found = skew.heavy_keys(hot_shop["order_items"], ["order_id", "product_id"], force=True)
+    found = skew.heavy_keys(hot_shop["order_items"], ["order_id", "product_id"])
     assert found["order_id"].values == (1,)
     assert set(found["product_id"].values) == {5, None}
-    assert found["order_id"].salts >= 2
-    small = skew.heavy_keys(hot_shop["order_items"], ["order_id"])
-    assert small["order_id"] == skew.NO_HEAVY_KEYS  # too small a table to look at
+    assert all(n >= 2 for _, n in found["order_id"].salts + found["product_id"].salts)
+
+
+def test_no_key_is_left_unsplit_however_many_are_heavy(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        df = spark.range(0, 40_000, 1, 4).select(
+            F.when(F.col("id") % 8 > 0, F.floor(F.col("id") / 8) % 150).otherwise(F.col("id") + 1000).alias("k"), F.col("id").alias("v")
+        )
+        heavy = skew.heavy_keys(df, ["k"])["k"]
+        assert len(heavy.salts) == 150
+        right = spark.range(45_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+        plain, split = df.join(right, "k", "left"), skew.salted_join(df, right, "k", "left", heavy)
+        assert split.select("k", "v", "w").exceptAll(plain.select("k", "v", "w")).isEmpty() and split.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_salts_follow_the_size_of_each_key(spark):
+    df = spark.range(0, 1000, 1, 2).select(F.when(F.col("id") < 800, 1).when(F.col("id") < 960, 2).otherwise(3).alias("k"))
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert dict(skew.heavy_keys(df, ["k"])["k"].salts) == {1: 81, 2: 17}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_split_joins_give_the_same_rows(hot_shop):
@@ -89,5 +110,5 @@ def test_heavy_null_keys_keep_their_rows(spark):
     left = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (2, 4)], "k int, v int")
     right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
     for values in ((None,), (1,), (1, None), (9,)):
-        got = skew.salted_join(left, right, "k", "left", skew.HeavyKeys(values, 3))
+        got = skew.salted_join(left, right, "k", "left", skew.HeavyKeys(tuple((v, 3) for v in values)))
         assert sorted((r.v, r.w) for r in got.collect()) == [(1, None), (2, None), (3, "a"), (4, "b")]

@@ -82,3 +82,37 @@ def test_load_report_and_preview(shop):
     counts = {r.dataset: r.row_count for r in load_report(shop).collect()}
     assert counts["order_items"] == 7 and counts["customers"] == 2
     assert preview(shop["order_items"], 3).count() == 3
+
+
+def test_large_csv_files_are_read_in_several_tasks(spark, tmp_path):
+    path = tmp_path / "items.csv"
+    path.write_text("order_id,product_id,price\n" + "".join(f"o{i},p{i % 7},{i}.5\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = read_dataset(spark, str(path), "order_items")
+        assert df.rdd.getNumPartitions() > 2 and df.count() == 20_000
+        assert df.agg({"price": "sum"}).first()[0] == sum(i + 0.5 for i in range(20_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quoted_line_breaks_are_kept_on_request_and_an_error_without(spark, tmp_path):
+    path = tmp_path / "items.csv"
+    path.write_text('order_id,product_id,price\no1,"p\n1",1.5\no2,p2,2.5\n')
+    assert [r.product_id for r in read_dataset(spark, str(path), "order_items", multi_line=True).collect()] == ["p\n1", "p2"]
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_dataset(spark, str(path), "order_items").select("order_id").collect()
+    reviews = tmp_path / "reviews.csv"
+    reviews.write_text('order_id,review_score,review_comment_message\no1,5,"two\nlines"\n')
+    assert read_dataset(spark, str(reviews), "reviews").first().review_comment_message == "two\nlines"
+
+
+def test_a_report_leaves_no_staged_tables(spark):
+    from basketlens.sources.staging import scratch_dir, stage, staging
+
+    with staging(spark):
+        path = stage(spark.range(10)).inputFiles()[0]
+        assert spark.read.parquet(path).count() >= 0
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    assert scratch_dir(spark)
