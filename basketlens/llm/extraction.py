@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from basketlens.llm.dom import Node, features, nodes_of, parse
 from basketlens.llm.tables import narrow, prepared
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 600
 TREES = 25
 DEPTH = 5
 # Marks in the texts of training pages by which their labels are known; never in real input.
@@ -203,7 +203,25 @@ def _article(rng: random.Random) -> str:
     return _wrapped(rng, "article article div main section", "content post entry article story article-body text main", inside)
 
 
+def _semantic_page(rng: random.Random) -> str:
+    """The plainest layout: elements by meaning, hardly any attribute words."""
+    parts = [f"<nav>{_links(rng, rng.randint(2, 8))}</nav>"] if rng.random() < 0.9 else []
+    parts += [f"<header>{_text(rng, LEFT, 1, 6, 1)}</header>"] if rng.random() < 0.3 else []
+    parts += [_boilerplate(rng, k) for k in ("ad", "notice") if rng.random() < 0.5]
+    paragraphs = "".join(
+        (f"<p>{t}</p>" if rng.random() < 0.8 else f"<p><b>{t}<br>")
+        for t in (_text(rng, KEPT, 1, rng.choice((4, 12, 25)), rng.choice((1, 2, 5))) for _ in range(rng.choice((1, 1, 2, 4, 8, 20))))
+    )
+    parts.append(f"<article><h1>{_text(rng, KEPT, 1, 12, 1)}</h1>{paragraphs}</article>")
+    parts += [_boilerplate(rng, "comments")] if rng.random() < 0.2 else []
+    if rng.random() < 0.9:
+        parts.append(f"<footer>&copy; {_text(rng, LEFT, 1, 14, 2)}</footer>")
+    return f"<html><head><title>{_sentence(rng, 2, 8)}</title></head><body>{''.join(parts)}</body></html>"
+
+
 def training_page(rng: random.Random) -> str:
+    if rng.random() < 0.3:
+        return _semantic_page(rng)
     before = [_boilerplate(rng, k) for k in ("header", "nav", "notice", "ad", "share", "form") if rng.random() < 0.45]
     after = [_boilerplate(rng, k) for k in ("side", "comments", "ad", "share", "form", "footer", "notice") if rng.random() < 0.45]
     rng.shuffle(before)
