@@ -39,7 +39,8 @@ from basketlens.llm.words import Words, joined, mix, words
 FAMILIES = 4
 BAND = 1.5
 CHUNK_WORDS = 2  # 64-bit words of a chunk
-BLOCK_ROWS = 128
+# Rows of a block of sketches, and of a block of sets; no block has more bytes than BLOCK_BYTES but for single rows.
+SKETCH_ROWS, SET_ROWS = 1024, 128
 BLOCK_BYTES = 1 << 20
 PART_KEYS = 500_000
 HELD_KEYS = 2_000_000
@@ -353,12 +354,13 @@ def _compare(percent: int, exact: bool):
 def compared(members: DataFrame, percent: int, exact: bool) -> DataFrame:
     """members (group, node, n, held) -> links (a, b) that connect what is connected within groups.
 
-    A group is dealt into blocks by a hash of the node, about BLOCK_ROWS rows and BLOCK_BYTES
-    bytes each, and every pair of its blocks is compared somewhere.
+    A group is dealt into blocks by a hash of the node, about SKETCH_ROWS or SET_ROWS rows and
+    BLOCK_BYTES bytes each, and every pair of its blocks is compared somewhere.
     """
+    block_rows = SET_ROWS if exact else SKETCH_ROWS
     members = written(members, "members")
     sizes = members.groupBy(F.col("group").alias("of")).agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("held")) / BLOCK_BYTES)).alias("blocks"),
+        F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.octet_length("held")) / BLOCK_BYTES)).alias("blocks"),
         F.count("*").alias("rows"),
     )
     dealt = (
