@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import narrow, prepared
+from basketlens.llm.tables import keep_where, narrow, prepared
 from basketlens.llm.words import joined, word_hashes, words
 
 K1, B = 1.2, 0.75
@@ -242,14 +242,13 @@ def keep_clean(
     spark = prepared(documents.sparkSession)
 
     def clean(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[t for t, _ in found_in(shared.value, batch.column(text_col))]] = False
-                yield batch.filter(pa.array(keep))
+        def keep(texts: pa.Array) -> np.ndarray:
+            out = np.ones(len(texts), bool)
+            out[[t for t, _ in found_in(shared.value, texts)]] = False
+            return out
 
-        return run
+        return keep
 
     for index in indexes(benchmark, item_id_col, item_col):
-        documents = documents.mapInArrow(clean(spark.sparkContext.broadcast(index)), documents.schema)
+        documents = keep_where(documents, text_col, clean(spark.sparkContext.broadcast(index)))
     return documents

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,21 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def keep_where(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of df whose text `keep` marks, as they are; nothing is shuffled.
+
+    Columns are numbered on the way, so that any names will do.
+    """
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(place))))
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

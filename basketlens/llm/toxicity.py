@@ -16,13 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import narrow, prepared, written
+from basketlens.llm.tables import keep_where, narrow, prepared, written
 from basketlens.llm.words import Words, mix, words
 
-DIMENSION_BITS = 21
+DIMENSION_BITS = 20
 SHARDS = 4
 ROUNDS = 3
 # At most about this many labels are fitted; a hash of the id chooses them.
@@ -87,14 +88,17 @@ def _trained(state):
         own: State | None = None
         for batch in batches:
             if own is None:
-                own = State(state.value.z.copy(), state.value.n.copy())
+                own = State(*(x.astype(np.float64) for x in state.value))
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             for part in words(batch.column("text")):
                 for t, at in enumerate(features(part)):
                     own.learn(_with_intercept(at), int(labels[part.first + t]))
         if own is not None:
-            added = [(x - y).astype(np.float32).tobytes() for x, y in ((own.z, state.value.z), (own.n, state.value.n))]
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in added], ["z", "n"])
+            added = [(x - y).astype(np.float32).tobytes() for x, y in zip((own.z, own.n), state.value)]
+            shard = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int64()), *(pa.array([a], pa.binary()) for a in added)], ["shard", "z", "n"]
+            )
 
     return run
 
@@ -120,14 +124,14 @@ def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.nd
     )
     state = State.empty()
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(state)
-        # SHARDS dense states at most; in an order of their own, so that the sum is always the same.
-        added = shards.mapInArrow(_trained(shared), "z binary, n binary").toArrow()
+        shared = spark.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32)))
+        # SHARDS dense states at most; added in their order, so that the sum is always the same.
+        added = shards.mapInArrow(_trained(shared), "shard long, z binary, n binary").toArrow()
         seen = np.zeros_like(state.n)
         z, n = np.zeros_like(state.z), np.zeros_like(state.n)
-        for row in sorted(zip(added.column("n").to_pylist(), added.column("z").to_pylist())):
-            more = np.frombuffer(row[0], np.float32)
-            z += np.frombuffer(row[1], np.float32)
+        for k in np.argsort(added.column("shard").to_numpy()):
+            more = np.frombuffer(added.column("n")[int(k)].as_buffer(), np.float32)
+            z += np.frombuffer(added.column("z")[int(k)].as_buffer(), np.float32)
             n += more
             seen += more > 0
         seen = np.maximum(seen, 1)
@@ -178,12 +182,10 @@ def keep_civil(
     """The rows of documents that score below 0.5, as they are; rows with null or empty text by the intercept."""
     shared = shared_weights(documents.sparkSession, learnt_weights(documents, labels, id_col, text_col, label_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.concatenate([np.zeros(0), *_scores(shared, batch.column(text_col))])
-            yield batch.filter(pa.array(found < 0.5))
+    def keep(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *_scores(shared, texts)]) < 0.5
 
-    return documents.mapInArrow(run, documents.schema)
+    return keep_where(documents, text_col, keep)
 
 
 def toxicity(
