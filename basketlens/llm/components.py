@@ -23,7 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
     combined before each shuffle; a hub's edges are a join input that adaptive execution can
     split. Only whether edges are left reaches the driver.
     """
-    straight = edges.select("a", "b").where("a <> b")
+    # Written first: the edges are read three times, and making them may be dear.
+    edges = written(edges.select("a", "b"), "edges")
+    straight = edges.where("a <> b")
     left = written(straight.union(straight.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     alone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     found: DataFrame | None = None
