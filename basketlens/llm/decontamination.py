@@ -11,7 +11,8 @@ them. For the others each block of items keeps the largest impact of each term;
 on to a block only if the maxima of its terms plus the largest non-essential sum reach
 the threshold. Windows that survive are scored exactly, and all items at or over the
 threshold are verified: the question and the answer of the item must both reappear in the
-window as word shingles.
+window as word shingles. Words are compared without punctuation at their ends, and a part of few words together
+with the words next to it, so that one changed word at its end is not the whole part.
 
 The index is broadcast. It is built from at most SHARD_CHARS characters of items; a larger
 benchmark is cut into as many shards as it needs, each searched in turn.
@@ -29,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.tables import keep_where, narrow, prepared
-from basketlens.llm.words import joined, word_hashes, words
+from basketlens.llm import words as plain
+from basketlens.llm.words import joined
 
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
 THRESHOLD = 0.7
 OVERLAP = 0.8
 SHINGLE = 5
+# A part has at least so many words (if the item has): one lost at its end costs less than 1 - OVERLAP of its shingles.
+PART_WORDS = 10
 COMMON_SHARE = 0.1
 SHARD_CHARS = 16 << 20
 SHARD_ITEMS = 4096
@@ -54,6 +58,19 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(found[:cut]), " ".join(found[cut:])
 
 
+def word_hashes(text: str) -> np.ndarray:
+    return plain.word_hashes(text, bare=True)
+
+
+def parts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the question and of the answer, each drawn out into the other to PART_WORDS."""
+    question, answer = (word_hashes(p) for p in question_and_answer(text))
+    every = np.concatenate([question, answer])
+    first = min(len(every), max(len(question), PART_WORDS if len(question) else 0))
+    last = min(len(every), max(len(answer), PART_WORDS if len(answer) else 0))
+    return every[:first], every[len(every) - last :]
+
+
 def _shingles(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     """Length of the shingles and the distinct ones; a short part is one shingle."""
     size = min(SHINGLE, len(hashes))
@@ -69,7 +86,7 @@ class Index:
         self.ids = np.array([i for i, _, _ in hashed], np.int64)
         self.parts = []
         for _, _, text in hashed:
-            question, answer = (word_hashes(p) for p in question_and_answer(text))
+            question, answer = parts_of(text)
             self.parts.append((_shingles(question), _shingles(answer)))
         n = len(hashed)
         self.longest = max((len(h) for _, h, _ in hashed), default=1)
@@ -153,7 +170,7 @@ class Index:
 def found_in(index: Index, texts: pa.Array) -> Iterator[tuple[int, tuple[int, float, float, float]]]:
     """(position of the text, match) for every verified item, each item once for each text."""
     length = index.longest
-    for part in words(texts):
+    for part in plain.words(texts, bare=True):
         at = part.bounds()
         term = index.term_of(part.hash)
         known = np.flatnonzero(term >= 0)

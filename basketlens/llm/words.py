@@ -20,6 +20,8 @@ _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _LETTER[65:91] = _LETTER[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = []
@@ -80,7 +82,26 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         first = last
 
 
-def words(column: pa.Array) -> Iterator[Words]:
+def _punctuation(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII punctuation, of Latin-1 signs and of U+2000-206F and U+3000-303F."""
+    out = _PUNCTUATION[data]
+    high = np.flatnonzero(data >= 0xC2)
+    for size, lead in ((2, data == 0xC2), (3, data == 0xE2), (3, data == 0xE3)):
+        at = high[lead[high]]
+        at = at[at + size <= len(data)]
+        first = data[at]
+        second = data[at + 1]
+        if size == 2:
+            at = at[~np.isin(second, (0xAA, 0xB5, 0xBA))]
+        else:
+            at = at[(second == 0x80) | ((first == 0xE2) & (second == 0x81))]
+        for k in range(size):
+            out[at + k] = True
+    return out
+
+
+def words(column: pa.Array, bare: bool = False) -> Iterator[Words]:
+    """Words of the texts; `bare` ones without punctuation at their ends, unless they are nothing else."""
     for first, texts, data, offsets in slices(column):
         inside = ~_SPACE[data]
         before = np.zeros(len(data), bool)
@@ -92,6 +113,11 @@ def words(column: pa.Array) -> Iterator[Words]:
         after[edges - 1] = False
         start = np.flatnonzero(inside & ~before)
         end = np.flatnonzero(inside & ~after) + 1
+        if bare and len(start):
+            solid = np.flatnonzero(~_punctuation(data))
+            left, right = np.searchsorted(solid, start), np.searchsorted(solid, end)
+            some = np.flatnonzero(left < right)
+            start[some], end[some] = solid[left[some]], solid[right[some] - 1] + 1
         up, down = _powers_to(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
@@ -100,9 +126,9 @@ def words(column: pa.Array) -> Iterator[Words]:
         yield Words(first, texts, data, start, end, text, mix(raw))
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, bare: bool = False) -> np.ndarray:
     """Hashes of one text's words, in order."""
-    found = [w.hash for w in words(pa.array([text], pa.large_string()))]
+    found = [w.hash for w in words(pa.array([text], pa.large_string()), bare)]
     return found[0] if found else np.zeros(0, np.uint64)
 
 

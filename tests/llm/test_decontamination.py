@@ -87,3 +87,24 @@ def test_question_and_answer():
     assert d.question_and_answer("What is it? A thing. Yes.") == ("What is it? A thing.", "Yes.")
     assert d.question_and_answer("a b c d e f") == ("a b c d", "e f")
     assert d.question_and_answer("") == ("", "")
+
+
+def test_items_found_by_substring_search_are_found(spark):
+    """Items that stand in a text with signs or letters stuck to their ends."""
+    items = [
+        (1, "Ce passage parle des rivières du nord et de leurs longs hivers. Très réère."),
+        (2, "Which of the old towers stands nearest to the harbour of the town? Yes."),
+        (3, "Qui? La grande maison blanche au bord de la mer appartient au vieux capitaine."),
+        (4, "short item."),
+    ]
+    ends = [("", "&&&"), ("%%%", ""), ("(\u00ab", "\u00bb)."), ("\u201c", "\u201d"), ("", "$$$next"), ("before", "")]
+    around = "some other words without any meaning stand here"
+    rows = [(k, f"{around} {a}{t}{b} {around}") for k, (a, b) in enumerate(ends) for _, t in items[:3]]
+    rows += [(k, f"{around} {a}{items[3][1]}{b} {around}") for k, (a, b) in enumerate(ends[:4])]
+    rows += [(99, around)]
+    want = {(k, i) for k, text in rows for i, t in items if t in text}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(docs, benchmark).collect()}
+    assert len(want) == 22 and want == got
+    assert [r.doc_id for r in d.keep_clean(docs, benchmark).collect()] == [99]
