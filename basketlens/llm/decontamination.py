@@ -6,8 +6,8 @@ weight of a term in an item) are divided by the item's own score, so a passage t
 item scores 1 and one threshold serves all items.
 
 The search is block-max WAND, worked out for many windows at once. Terms that occur in
-many items are the non-essential ones: a window can gain at most an item's whole sum over
-them. For the others each block of items keeps the largest impact of each term; a window goes
+many items are the non-essential ones, as long as no item reaches the threshold by them alone: a window
+can gain at most an item's whole sum over them. For the others each block of items keeps the largest impact of each term; a window goes
 on to a block only if the maxima of its terms plus the largest non-essential sum reach
 the threshold. Windows that survive are scored exactly, and all items at or over the
 threshold are verified: the question and the answer of the item must both reappear in the
@@ -81,9 +81,13 @@ class Index:
     """Postings of the items with impacts, block maxima of the essential terms."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        hashed = [(i, word_hashes(t), t) for i, t in items]
+        # Equal texts are one entry with several ids, so that copies do not make their terms common.
+        ids_of: dict[str, list[int]] = {}
+        for i, t in items:
+            ids_of.setdefault(t, []).append(i)
+        hashed = [(sorted(ids), word_hashes(t), t) for t, ids in ids_of.items()]
         hashed = sorted(((i, h, t) for i, h, t in hashed if len(h)), key=lambda x: x[0])
-        self.ids = np.array([i for i, _, _ in hashed], np.int64)
+        self.ids = [i for i, _, _ in hashed]
         self.parts = []
         for _, _, text in hashed:
             question, answer = parts_of(text)
@@ -109,6 +113,14 @@ class Index:
         self.col, self.impact = col[order], impact[order]
         self.first = np.searchsorted(row[order], np.arange(len(self.terms) + 1))
         essential = df <= max(2, COMMON_SHARE * n)
+        # An item must not reach the threshold by non-essential terms alone: its rarest ones become essential.
+        for at, weight in zip(rows, impacts):
+            common = weight[~essential[at]].sum()
+            if common > THRESHOLD - 0.01:
+                for t in np.argsort(df[at], kind="stable"):
+                    if common > THRESHOLD / 2 and not essential[at[t]]:
+                        essential[at[t]] = True
+                        common -= weight[t]
         self.essential = essential
         blocks = -(-n // BLOCK_ITEMS)
         self.maxima = np.zeros((int(essential.sum()), blocks), np.float32)
@@ -163,7 +175,7 @@ class Index:
                 shared = len(np.intersect1d(runs[size], wanted, assume_unique=True))
                 overlaps.append(shared / len(wanted) if len(wanted) else 1.0)
             if min(overlaps) >= OVERLAP:
-                out.append((int(self.ids[k]), float(score[k]), *overlaps))
+                out.extend((i, float(score[k]), *overlaps) for i in self.ids[k])
         return out
 
 

@@ -108,3 +108,19 @@ def test_items_found_by_substring_search_are_found(spark):
     got = {(r.doc_id, r.item_id) for r in d.contaminated(docs, benchmark).collect()}
     assert len(want) == 22 and want == got
     assert [r.doc_id for r in d.keep_clean(docs, benchmark).collect()] == [99]
+
+
+def test_items_of_common_terms_only_are_found(spark):
+    """Copies under several ids, and templates whose every word stands in more than a tenth of the items."""
+    rng = random.Random(5)
+    copy = "the same passage of a dozen plain words stands under many ids. Every time."
+    words = [f"t{i}" for i in range(30)]
+    items = [(i, copy) for i in range(4)]
+    items += [(10 + i, " ".join(rng.sample(words, 20)) + ".") for i in range(20)]
+    rows = [(1, f"before it {copy} after it"), *((i, f"some text {t} more text") for i, t in items[4:]), (99, "some text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, i) for k, text in rows for i, t in items if t in text}
+    got = {(r.doc_id, r.item_id): r.score for r in d.contaminated(docs, benchmark).collect()}
+    assert len(want) == 24 and want <= set(got) and all(got[k] == pytest.approx(1) for k in want)
+    assert [r.doc_id for r in d.keep_clean(docs, benchmark).collect()] == [99]
