@@ -5,20 +5,23 @@ one block each. With weight w the j-th block (from 0) of a source is released at
 floor(j / w) and due before slot ceil((j + 1) / w); earliest-deadline-first over the released
 blocks meets every deadline, so after any number t of slots a source has had between t*w - 1
 and t*w + 1 blocks. Weights are whole shares of a frame, so the schedule repeats every frame
-and one frame is worked out per phase (a higher-order aggregate over its slots).
+and one frame is worked out per phase, with heaps on the driver.
 
 Nothing is repeated or dropped. When a source runs out, its phase ends with the frame, and
 the next phase shares the slots among the rest in proportion to their weights.
 
-DataFrame and SQL functions only. Per-source counts and the phases, bounded by MAX_SOURCES, pass through
-the driver; ranks come from range partitions and their offsets, so that one huge source is spread out.
+Rows are only touched by DataFrame and SQL functions. Per-source counts, phases and frames pass through the driver and
+come back as tables, whose rows grow with the number of sources times the phases, not with the documents; ranks come from range
+partitions and their offsets, so that one huge source is spread out.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,7 +29,8 @@ from basketlens.llm.tables import column, narrow, prepared, written
 
 BLOCK_ROWS = 64
 FRAME = 1000
-MAX_SOURCES = 256
+# A number here makes more sources an error, for callers who take them for a mistake.
+MAX_SOURCES: int | None = None
 
 
 def shares(weights: Mapping[int, float], frame: int) -> dict[int, int]:
@@ -40,9 +44,12 @@ def shares(weights: Mapping[int, float], frame: int) -> dict[int, int]:
         for k in by_rest[: min(spare, len(by_rest))]:
             out[k] += 1
         spare = frame - sum(out.values())
+    largest = [(-n, k) for k, n in out.items()] if spare < 0 else []
+    heapq.heapify(largest)
     while spare < 0:
-        k = max(out, key=lambda k: (out[k], -k))
+        n, k = largest[0]
         out[k] -= 1
+        heapq.heapreplace(largest, (n + 1, k))
         spare += 1
     return out
 
@@ -64,47 +71,38 @@ def phases_of(blocks: Mapping[int, int], weights: Mapping[int, float]) -> list[d
     return out
 
 
-def _frame_order(units: Column, frame: int) -> Column:
-    """Positions (from 0) in `units` of the block each slot of a frame takes: EDF over released blocks."""
-
-    def step(state: Column, slot: Column) -> Column:
-        def offer(unit: Column, i: Column) -> Column:
-            done = F.get(state["done"], i)
-            released = (done < unit["share"]) & (F.floor(done * frame / unit["share"]) <= slot)
-            due = F.ceil((done + 1) * frame / unit["share"])
-            return F.when(released, F.struct(due.alias("due"), i.alias("i")))
-
-        pick = F.coalesce(F.array_min(F.transform(units, offer))["i"], F.lit(-1))
-        return F.struct(
-            F.transform(state["done"], lambda done, i: done + F.when(i == pick, 1).otherwise(0)).alias("done"),
-            F.concat(state["order"], F.array(pick)).alias("order"),
-        )
-
-    start = F.struct(
-        F.transform(units, lambda u: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order")
-    )
-    return F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, step, lambda state: state["order"])
+def _frame_order(share: Mapping[int, int], frame: int) -> list[tuple[int, int, int]]:
+    """(unit, turn, slot) of the blocks of a frame: EDF over released blocks, ties to the smaller unit."""
+    waiting = [(0, unit, 0) for unit in share]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    out = []
+    for slot in range(frame):
+        while waiting and waiting[0][0] <= slot:
+            _, unit, turn = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(turn + 1) * frame // share[unit]), unit, turn))
+        if ready:
+            _, unit, turn = heapq.heappop(ready)
+            out.append((unit, turn, slot))
+            if turn + 1 < share[unit]:
+                heapq.heappush(waiting, ((turn + 1) * frame // share[unit], unit, turn + 1))
+    return out
 
 
-def _units(share: Mapping[int, int]) -> Column:
-    return F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(a).alias("share")) for u, a in sorted(share.items())])
+def _table(spark, columns: Mapping[str, tuple[pa.DataType, list]]) -> DataFrame:
+    return spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, (kind, values) in columns.items()}))
 
 
 def frame_slots(spark, phases: list[dict]) -> DataFrame:
     """(phase, unit, turn, at): the slot within a frame that a unit's turn-th block takes."""
-    if not phases:
-        return spark.createDataFrame([], "phase int, unit int, turn int, at int")
-    frames = None
+    found: dict[str, list[int]] = {"phase": [], "unit": [], "turn": [], "at": []}
     for p, phase in enumerate(phases):
-        one = spark.range(1).select(F.lit(p).alias("phase"), _units(phase["share"]).alias("units"))
-        frames = one if frames is None else frames.union(one)
-    slots = frames.select(
-        "phase", "units", F.posexplode(_frame_order(F.col("units"), phases[0]["frame"])).alias("at", "pick")
-    )
-    turn = F.row_number().over(Window.partitionBy("phase", "unit").orderBy("at")) - 1
-    return slots.where("pick >= 0").select("phase", F.get("units", F.col("pick"))["unit"].alias("unit"), "at").select(
-        "phase", "unit", turn.alias("turn"), "at"
-    )
+        # Turns that no block of the phase reaches are left out.
+        for unit, turn, slot in _frame_order(phase["share"], phase["frame"]):
+            if turn < phase["taken"][unit]:
+                for name, value in zip(found, (p, unit, turn, slot)):
+                    found[name].append(value)
+    return _table(spark, {name: (pa.int32(), values) for name, values in found.items()})
 
 
 def ranked(keys: DataFrame) -> DataFrame:
@@ -136,15 +134,16 @@ def schedule(
     source's share of the rows. Sources without a positive weight follow at the end, mixed by
     their sizes. A null source is a source, a null id the first of its source; rows
     that repeat source and id share one place. Texts and other columns are not looked at. An
-    empty table gives an empty result. More than MAX_SOURCES sources are an error.
+    empty table gives an empty result. Any number of sources is scheduled, unless MAX_SOURCES is set.
     """
     spark = prepared(df.sparkSession)
     rows = narrow(df, source=source_col, doc_id=id_col).withColumns(
         {"source": F.col("source").cast("string"), "doc_id": F.col("doc_id").cast("long")}
     )
     keys = written(rows.groupBy("source", "doc_id").agg(F.count("*").alias("copies")), "keys")
-    counts = keys.groupBy("source").agg(F.sum("copies").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
+    counts = keys.groupBy("source").agg(F.sum("copies").alias("rows"))
+    counts = (counts if MAX_SOURCES is None else counts.limit(MAX_SOURCES + 1)).collect()
+    if MAX_SOURCES is not None and len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; join small ones under one label first")
     counts = sorted(((r.source, r.rows) for r in counts), key=lambda r: (r[0] is not None, r[0] or ""))
     number = {source: i for i, (source, _) in enumerate(counts)}
@@ -164,34 +163,22 @@ def schedule(
     if late:
         slots = slots.union(frame_slots(spark, late).withColumn("phase", F.col("phase") + len(phases)))
     spans = [
-        F.struct(
-            *[
-                F.lit(v).cast("long").alias(n)
-                for n, v in (
-                    ("phase", k), ("unit", u), ("first", p["first"][u]), ("taken", p["taken"][u]),
-                    ("share", p["share"][u]), ("start", p["slot"]), ("frame", p["frame"]),
-                )
-            ]
-        )
+        (k, u, p["first"][u], n, p["share"][u], p["slot"], p["frame"])
         for k, p in enumerate([*phases, *late])
-        for u in p["taken"]
-    ]
-    names = "phase long, unit long, first long, taken long, share long, start long, frame long"
+        for u, n in p["taken"].items()
+    ]
+    names = ("phase", "unit", "first", "taken", "share", "start", "frame")
     if not spans:
         return spark.createDataFrame(
             [],
             "source string, doc_id long, rank long, block long, phase long, slot long, release long, deadline long",
         )
-    table = spark.range(1).select(F.explode(F.array(*spans)).alias("s")).select("s.*")
-    by_unit = table.groupBy(F.col("unit").alias("of")).agg(F.collect_list(F.struct(*[x.split()[0] for x in names.split(", ")])).alias("spans"))
-    units = spark.range(1).select(
-        F.explode(
-            F.array(*[F.struct(F.lit(s).cast("string").alias("name"), F.lit(i).alias("unit")) for s, i in number.items()])
-        ).alias("s")
-    ).select("s.*")
+    table = _table(spark, {name: (pa.int64(), list(values)) for name, values in zip(names, zip(*spans))})
+    by_unit = table.groupBy(F.col("unit").alias("of")).agg(F.collect_list(F.struct(*names)).alias("spans"))
+    units = _table(spark, {"name": (pa.string(), list(number)), "unit": (pa.int32(), list(number.values()))})
     known = ranked(keys.join(F.broadcast(units), F.col("source").eqNullSafe(F.col("name"))).select("unit", "doc_id", "copies"))
     known = known.withColumn("block", F.floor(F.col("rank") / BLOCK_ROWS))
-    # The spans and slots of all phases are bounded by MAX_SOURCES and the frame.
+    # The spans and slots of all phases are bounded by the number of sources and the frame.
     placed = (
         known.join(F.broadcast(by_unit), F.col("unit") == F.col("of"))
         .withColumn(

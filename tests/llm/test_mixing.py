@@ -98,3 +98,17 @@ def test_too_many_sources_are_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(i, str(i)) for i in range(5)], "doc_id long, source string")
     with pytest.raises(ValueError, match="sources"):
         mixing.schedule(df)
+
+
+def test_any_number_of_sources_is_scheduled(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    rows = [(k, f"s{i:03d}") for i in range(300) for k in range(1 + i % 37)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.schedule(df).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == sorted(rows)
+    assert all(r.release <= r.slot < r.deadline and r.block == r.doc_id // 2 for r in got)
+    sizes = Counter(s for _, s in rows)
+    number = {s: i for i, s in enumerate(sorted(sizes))}
+    want = brute_slots({number[s]: -(-n // 2) for s, n in sizes.items()}, {number[s]: n**0.5 for s, n in sizes.items()})
+    assert {(number[r.source], r.block): r.slot for r in got} == want
+    assert len(mixing.mixed(df).collect()) == len(rows)
