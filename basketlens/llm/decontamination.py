@@ -15,14 +15,14 @@ window as word shingles. Words are compared without punctuation at their ends, a
 with the words next to it, so that one changed word at its end is not the whole part.
 
 The index is broadcast. It is built from at most SHARD_CHARS characters of items; a larger
-benchmark is cut into as many shards as it needs, each searched in turn.
+benchmark is cut into as many shards as it needs, each searched in turn with the statistics of the whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -77,10 +77,36 @@ def _shingles(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return size, np.unique(joined(hashes, size)) if size else np.zeros(0, np.uint64)
 
 
+class Statistics(NamedTuple):
+    """Of distinct texts with words: their number, all words, words of the longest, terms and their document frequencies."""
+
+    n: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def statistics(hashed: list[np.ndarray]) -> Statistics:
+    hashed = [h for h in hashed if len(h)]
+    sizes = [len(h) for h in hashed]
+    terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, hashed)]), return_counts=True)
+    return Statistics(len(sizes), sum(sizes), max(sizes, default=1), terms, df)
+
+
+def merged(parts: list[Statistics]) -> Statistics:
+    """Of the texts of all parts; no text may be in two."""
+    terms, at = np.unique(np.concatenate([p.terms for p in parts]), return_inverse=True)
+    df = np.zeros(len(terms), np.int64)
+    np.add.at(df, at, np.concatenate([p.df for p in parts]))
+    return Statistics(sum(p.n for p in parts), sum(p.words for p in parts), max(p.longest for p in parts), terms, df)
+
+
 class Index:
     """Postings of the items with impacts, block maxima of the essential terms."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], overall: Statistics | None = None):
+        """`overall` are the statistics of all shards' items; without them, of these."""
         # Equal texts are one entry with several ids, so that copies do not make their terms common.
         ids_of: dict[str, list[int]] = {}
         for i, t in items:
@@ -93,12 +119,12 @@ class Index:
             question, answer = parts_of(text)
             self.parts.append((_shingles(question), _shingles(answer)))
         n = len(hashed)
-        self.longest = max((len(h) for _, h, _ in hashed), default=1)
-        mean = sum(len(h) for _, h, _ in hashed) / max(1, n)
-        frequency = Counter(x for _, h, _ in hashed for x in set(h.tolist()))
-        self.terms = np.array(sorted(frequency), np.uint64)
-        df = np.array([frequency[x] for x in self.terms.tolist()])
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        own = statistics([h for _, h, _ in hashed])
+        overall = overall or own
+        self.longest, self.terms = overall.longest, own.terms
+        mean = overall.words / max(1, overall.n)
+        df = overall.df[np.searchsorted(overall.terms, self.terms)]
+        idf = np.log(1 + (overall.n - df + 0.5) / (df + 0.5))
         rows, cols, impacts = [], [], []
         for k, (_, h, _) in enumerate(hashed):
             term, tf = np.unique(h, return_counts=True)
@@ -112,7 +138,7 @@ class Index:
         order = np.argsort(row, kind="stable")
         self.col, self.impact = col[order], impact[order]
         self.first = np.searchsorted(row[order], np.arange(len(self.terms) + 1))
-        essential = df <= max(2, COMMON_SHARE * n)
+        essential = df <= max(2, COMMON_SHARE * overall.n)
         # An item must not reach the threshold by non-essential terms alone: its rarest ones become essential.
         for at, weight in zip(rows, impacts):
             common = weight[~essential[at]].sum()
@@ -218,12 +244,18 @@ def _searched(shared):
 def indexes(benchmark: DataFrame, item_id_col: str, item_col: str) -> Iterator[Index]:
     """One index for each shard of the benchmark; at least one."""
     items = narrow(benchmark, item_id=item_id_col, item=item_col).withColumn("item_id", F.col("item_id").cast("long"))
-    items = items.where("item_id is not null and item is not null").distinct()
+    items = items.where("item_id is not null and item is not null")
+    items = items.groupBy("item").agg(F.collect_set("item_id").alias("ids"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
     shards = max(1, -(-size.chars // SHARD_CHARS), -(-size.n // SHARD_ITEMS))
+
+    def own(shard: int) -> list:
+        return items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).collect()
+
+    # Scores must not depend on the shard: all share the statistics of the whole benchmark.
+    overall = merged([statistics([word_hashes(r["item"]) for r in own(k)]) for k in range(shards)]) if shards > 1 else None
     for shard in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()
-        yield Index([(r.item_id, r.item) for r in own])
+        yield Index([(i, r["item"]) for r in own(shard) for i in r["ids"]], overall)
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"

@@ -124,3 +124,13 @@ def test_items_of_common_terms_only_are_found(spark):
     got = {(r.doc_id, r.item_id): r.score for r in d.contaminated(docs, benchmark).collect()}
     assert len(want) == 24 and want <= set(got) and all(got[k] == pytest.approx(1) for k in want)
     assert [r.doc_id for r in d.keep_clean(docs, benchmark).collect()] == [99]
+
+
+def test_shards_give_the_same_scores(documents, benchmark, monkeypatch):
+    whole = sorted(tuple(r) for r in d.contaminated(documents, benchmark).collect())
+    monkeypatch.setattr(d, "SHARD_ITEMS", 15)
+    parts = sorted(tuple(r) for r in d.contaminated(documents, benchmark).collect())
+    assert whole and [r[:2] for r in whole] == [r[:2] for r in parts]
+    assert all(a == pytest.approx(b) for a, b in zip(whole, parts))
+    longest = [i.longest for i in d.indexes(benchmark, "item_id", "text")]
+    assert len(longest) > 1 and len(set(longest)) == 1
