@@ -20,6 +20,9 @@ _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _LETTER[65:91] = _LETTER[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+# Bytes between terms: all of ASCII but letters and digits.
+NO_TERM = np.arange(256) < 128
+NO_TERM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -100,10 +103,13 @@ def _punctuation(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(column: pa.Array, bare: bool = False) -> Iterator[Words]:
-    """Words of the texts; `bare` ones without punctuation at their ends, unless they are nothing else."""
+def words(column: pa.Array, bare: bool = False, breaks: np.ndarray = _SPACE) -> Iterator[Words]:
+    """Words of the texts; `bare` ones without punctuation at their ends, unless they are nothing else.
+
+    `breaks` marks the bytes that stand between words.
+    """
     for first, texts, data, offsets in slices(column):
-        inside = ~_SPACE[data]
+        inside = ~breaks[data]
         before = np.zeros(len(data), bool)
         before[1:] = inside[:-1]
         edges = offsets[(offsets > 0) & (offsets < len(data))]
