@@ -36,7 +36,9 @@ WITH urls AS (
     regexp_replace(regexp_replace(html, '{url_filter._UNSEEN}', ' ', 'g'), '(?s)<[^>]*(?:>|\z)', ' ', 'g') AS seen
   FROM urls
 ), judged AS (
-  SELECT page_id, host, path, (len(regexp_extract_all(seen, '[^\x20\x09-\x0D]+')) < {url_filter.MIN_WORDS})::INT AS bad FROM parts
+  SELECT page_id, host, path, (words < {url_filter.MIN_WORDS} OR 100 * signs > {url_filter.MAX_SIGN_PERCENT} * words)::INT AS bad
+  FROM (SELECT page_id, host, path, len(regexp_extract_all(seen, '[^\x20\x09-\x0D]+')) AS words,
+    len(regexp_extract_all(seen, '{url_filter._SIGNS}')) AS signs FROM parts)
 ), counted AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k,
     regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM judged GROUP BY host

@@ -31,11 +31,14 @@ SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 # A host is blocked when its bad rate is at least MAX_BAD with probability LEVEL.
 MAX_BAD = 0.5
 LEVEL = 0.9
-# A page is bad if its visible text has fewer words.
+# A page is bad if its visible text has fewer words, or more signs for a hundred words.
 MIN_WORDS = 50
-# Weight of a prior, in pages, where no two groups can be compared; and the least and largest spread of groups.
+MAX_SIGN_PERCENT = 10
+_SIGNS = "[#*$%|]"
+# Weight of a prior, in pages, where no two groups can be compared; and the least and largest spread of groups
+# (the largest lets a prior weigh one page at least).
 PRIOR_PAGES = 10.0
-SPREAD = (1e-4, 0.99)
+SPREAD = (1e-4, 0.5)
 _UNSEEN = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<(?:script|style|nav|header|footer|aside|form)\b.*?(?:</(?:script|style|nav|header|footer|aside|form)\s*>|\z)"
@@ -76,15 +79,18 @@ def registered(host: Column, suffixes: tuple = SUFFIXES) -> tuple[Column, Column
 
 
 def page_outcomes(pages: DataFrame) -> DataFrame:
-    """page_id, url, bad (int; null without html): 1 if the visible text has fewer than MIN_WORDS words.
+    """page_id, url, bad (int; null without html): 1 if the visible text is too short or too full of signs.
 
     Comments, scripts, styles, menus, headers, footers, sidebars and forms are not counted; one that is
     not closed reaches to the page's end, so a page is read once whatever it holds.
     """
     own = narrow(pages, page_id="page_id", url="url", html="html")
     text = F.regexp_replace(F.regexp_replace("html", _UNSEEN, " "), r"(?s)<[^>]*(?:>|\z)", " ")
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    return own.select("page_id", "url", (words < MIN_WORDS).cast("int").alias("bad"))
+    own = own.select("page_id", "url", text.alias("text"))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    signs = F.regexp_count("text", F.lit(_SIGNS))
+    bad = (words < MIN_WORDS) | (100 * signs.cast("long") > MAX_SIGN_PERCENT * words.cast("long"))
+    return own.select("page_id", "url", bad.cast("int").alias("bad"))
 
 
 def _spread(groups: DataFrame, mean: Column) -> float:
