@@ -7,6 +7,7 @@ have none.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,12 @@ from basketlens.plans import (
     sales,
     segments,
 )
-from basketlens.plans.transactions import build_order_rollup, build_transactions, sold_orders
+from basketlens.plans.transactions import (
+    build_category_rollup,
+    build_order_rollup,
+    build_transactions,
+    sold_orders,
+)
 from basketlens.session import tune
 from basketlens.sources.io import load_report
 from basketlens.sources import staging
@@ -34,25 +40,36 @@ from oracle_queries import ORACLE
 
 try:
     from basketlens.llm.queries import LLM_ORACLE, LLM_QUERIES
-except ModuleNotFoundError as missing:  # the subpackage is optional; errors inside it are not hidden
-    if missing.name not in ("basketlens.llm", "basketlens.llm.queries", "corpus_pipeline"):
-        raise
+except ImportError as missing:  # the subpackage is optional, and so are the libraries that only it needs
+    warnings.warn(f"queries of the training-data operators are left out: {missing}", stacklevel=2)
     LLM_QUERIES, LLM_ORACLE = {}, {}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Fitted models by application, folder, files in it, staged tables and kind: the reports on one model share one fit.
+# Input tables by application, folder and files in it: what is looked up about a table is looked up once.
+_TABLES: dict[tuple, dict[str, DataFrame]] = {}
+# Fitted models by the same, staged tables and kind: the reports on one model share one fit.
 _FITTED: dict[tuple, object] = {}
+_SINGLE = ("customers", "products")
+
+
+def _tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    key = (spark.sparkContext.applicationId, path, _files(spark, path))
+    if key not in _TABLES:
+        _TABLES[key] = from_testdata(tune(spark), path, sold_only=True)
+    return dict(_TABLES[key])
 
 
 def _tx(spark: SparkSession, path: str) -> DataFrame:
-    tune(spark)
-    return build_transactions(from_testdata(spark, path, sold_only=True), one_row_per_key=("customers", "products"))
+    return build_transactions(_tables(spark, path), one_row_per_key=_SINGLE)
 
 
 def _orders(spark: SparkSession, path: str) -> DataFrame:
-    tune(spark)
-    return build_order_rollup(from_testdata(spark, path, sold_only=True), one_row_per_key=("customers", "products"))
+    return build_order_rollup(_tables(spark, path), one_row_per_key=_SINGLE)
+
+
+def _categories(spark: SparkSession, path: str) -> DataFrame:
+    return build_category_rollup(_tables(spark, path), one_row_per_key=_SINGLE)
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
@@ -81,6 +98,10 @@ def _on_orders(analysis: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, path: analysis(_orders(spark, path))
 
 
+def _on_categories(analysis: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, path: analysis(_categories(spark, path))
+
+
 def _on_events(analysis: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, path: analysis(purchase_events(tune(spark), path))
 
@@ -220,6 +241,12 @@ BY_ORDER = {
     "rfm_histograms", "daily_sales", "forecast_features", "forecast_split",
 }
 
+# Those that look at categories only: the items of an order and category may be folded into one row.
+BY_CATEGORY = {
+    "top_categories", "choice_architecture", "category_performance", "category_ratings", "baskets", "frequent_itemsets",
+    "association_rules", "rules_filtered", "rules_top",
+}
+
 # Analyses of the purchase events: hours and weekends, as the orders have no time of day.
 EVENT_ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "orders_by_hour": behavior.orders_by_hour,
@@ -260,8 +287,7 @@ def _quartiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, path: str) -> DataFrame:
-    tables = from_testdata(tune(spark), path, sold_only=True)
-    return build_transactions(tables, total="item_share", one_row_per_key=("customers", "products"))
+    return build_transactions(_tables(spark, path), total="item_share", one_row_per_key=_SINGLE)
 
 
 # The model reports over models that SQL can state, and revenue by item share.
@@ -297,9 +323,13 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["rfm_segment_profile"](spark, "/root/testdata/sf0.001")
 
 
+def _grain(name: str) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
+    return _on_orders if name in BY_ORDER else _on_categories if name in BY_CATEGORY else _on_tx
+
+
 def queries() -> dict[str, Query]:
     return {
-        **{name: (_on_orders if name in BY_ORDER else _on_tx)(analysis) for name, analysis in ANALYSES.items()},
+        **{name: _grain(name)(analysis) for name, analysis in ANALYSES.items()},
         **{name: _on_events(analysis) for name, analysis in EVENT_ANALYSES.items()},
         **OTHER,
         **REFERENCE,

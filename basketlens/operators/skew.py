@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.sources.checks import once
+
 # A key is heavy from this many times the rows of an average shuffle partition.
 FACTOR = 5
 # Least number of counters of the sketch that finds them.
@@ -36,11 +38,15 @@ NO_HEAVY_KEYS = HeavyKeys()
 
 
 def heavy_keys(df: DataFrame, columns: Collection[str]) -> dict[str, HeavyKeys]:
-    """Heavy keys per column, from one pass over these columns with a bounded sketch.
+    """Heavy keys per column, from one pass over these columns with a bounded sketch, once per table.
 
     No more than shuffle partitions / FACTOR keys can be heavy, so no more are asked for.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return once(df, f"heavy {sorted(columns)} {partitions}", lambda: _heavy_keys(df, columns, partitions))
+
+
+def _heavy_keys(df: DataFrame, columns: Collection[str], partitions: int) -> dict[str, HeavyKeys]:
     most = -(-partitions // FACTOR) + 1
     counters = F.lit(max(COUNTERS, 20 * most))
     top = [F.call_function("approx_top_k", c, F.lit(most), counters).alias(c) for c in columns]

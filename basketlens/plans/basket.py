@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from basketlens.operators.binning import top_k
 from basketlens.plans.overview import keyed, with_category
+from basketlens.plans.transactions import rows_per_row
 from basketlens.sources.staging import stage
 
 # A rule's items are picked by a bit mask; masks are enumerated in blocks of 2^16.
@@ -23,7 +24,7 @@ def baskets(tx: DataFrame) -> DataFrame:
     their length is bounded by the catalogue and not by the size of the order.
     """
     tx, category = with_category(tx)
-    bought = F.when(F.col("product_id").isNotNull(), F.col(category))
+    bought = F.when(F.col("item_products") > 0 if rows_per_row(tx) else F.col("product_id").isNotNull(), F.col(category))
     return stage(
         keyed(tx, "order_id", category)
         .groupBy("order_id")

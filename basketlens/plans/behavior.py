@@ -76,9 +76,13 @@ def social_proof(tx: DataFrame) -> DataFrame:
 
 
 def choice_architecture(tx: DataFrame) -> DataFrame:
-    """Distinct categories per customer: mean and maximum."""
+    """Distinct categories per customer: mean and maximum.
+
+    A customer's set of categories is filled before the shuffle, so it is bounded by the catalogue.
+    """
     tx, category = with_category(tx)
-    per_customer = keyed(tx, "customer_id").groupBy("customer_id").agg(F.countDistinct(category).alias("k"))
+    bought = F.size(F.collect_set(category)).cast("long")
+    per_customer = keyed(tx, "customer_id").groupBy("customer_id").agg(bought.alias("k"))
     return per_customer.agg(
         F.try_divide(F.sum("k").cast("double"), F.count("*")).alias("avg_categories"),
         F.max("k").alias("max_categories"),

@@ -62,8 +62,9 @@ def top_categories(tx: DataFrame, n: int = 10) -> DataFrame:
     """Categories by revenue; no rows if there is no category column."""
     tx, category = with_category(tx)
     return top_k(
-        keyed(tx, category).groupBy(category).agg(exact_sum("order_total").alias("revenue")), n, "revenue", category
-    )
+        keyed(tx, category).groupBy(category).agg(exact_sum("order_total", rows_per_row(tx)).alias("revenue")),
+        n, "revenue", category,
+    )
 
 
 def with_category(tx: DataFrame) -> tuple[DataFrame, str]:

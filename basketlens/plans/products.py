@@ -10,6 +10,7 @@ from basketlens.functions.exact import exact_mean, exact_sum
 from basketlens.operators.binning import bin_frame, histogram, top_k
 from basketlens.operators.ranking import exact_quantiles
 from basketlens.plans.overview import keyed, with_category
+from basketlens.plans.transactions import rows_per_row
 from basketlens.sources.staging import stage
 
 
@@ -20,12 +21,14 @@ def _scored(tx: DataFrame) -> DataFrame:
 
 
 def category_ratings(tx: DataFrame, n: int = 15, min_reviews: int = 10) -> DataFrame:
-    """Mean score of the best-rated categories with enough reviews."""
+    """Mean score, over item rows, of the best-rated categories with enough reviewed ones."""
     tx, category = with_category(_scored(tx))
+    rows = F.col(rows_per_row(tx)) if rows_per_row(tx) else F.lit(1)
+    reviewed = F.sum(F.when(F.col("review_score").isNotNull(), rows))
     per = (
         keyed(tx, category)
         .groupBy(category)
-        .agg(F.avg("review_score").alias("avg_rating"), F.count("review_score").alias("review_count"))
+        .agg((F.sum(F.col("review_score") * rows) / reviewed).alias("avg_rating"), reviewed.alias("review_count"))
         .filter(F.col("review_count") >= min_reviews)
     )
     return top_k(per, n, "avg_rating", category)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions.exact import exact_sum
+from basketlens.functions.exact import exact_sum, money_sum, sum_of_sums, total
 from basketlens.operators.binning import top_k
 from basketlens.plans.overview import keyed, with_category
 from basketlens.plans.transactions import rows_per_row
@@ -31,15 +31,20 @@ def state_revenue(tx: DataFrame, n: int = 15) -> DataFrame:
 
 
 def category_performance(tx: DataFrame, n: int = 15) -> DataFrame:
-    """Revenue, orders and items of the top categories."""
+    """Revenue, orders and items of the top categories.
+
+    Two levels: per order in place, then over the categories.
+    """
     tx, category = with_category(tx)
-    per = (
+    items = F.sum("item_products") if rows_per_row(tx) else F.count("product_id")
+    per_order = (
         keyed(tx, category)
-        .groupBy(category)
-        .agg(
-            exact_sum("order_total").alias("revenue"),
-            F.countDistinct("order_id").alias("orders"),
-            F.count("product_id").alias("items_sold"),
-        )
+        .groupBy("order_id", category)
+        .agg(money_sum("order_total", rows_per_row(tx)).alias("t"), items.alias("items"))
+    )
+    per = per_order.groupBy(category).agg(
+        F.coalesce(total(sum_of_sums("t")), F.lit(0.0)).alias("revenue"),
+        F.count("order_id").alias("orders"),
+        F.sum("items").alias("items_sold"),
     )
     return top_k(per, n, "revenue", category)

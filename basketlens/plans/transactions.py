@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from basketlens.functions.calendar import time_features
 from basketlens.functions.exact import exact_sum
 from basketlens.operators.skew import NO_HEAVY_KEYS, HeavyKeys, heavy_keys, salted_join
+from basketlens.sources.checks import once
 from basketlens.sources.contracts import ContractError, require_minimum, validate
 
-# Item rows behind one row of the order rollup.
+# Item rows behind one row of a rollup.
 ROWS = "item_rows"
 
 # The order states that count as sales, and the date columns.
@@ -77,33 +78,70 @@ def _translate(df: DataFrame, translation: DataFrame) -> DataFrame:
     return df.join(other.filter(F.col("product_category_name").isNotNull()), "product_category_name", "left")
 
 
+def _translation_of_none(translation: DataFrame) -> dict[str, object]:
+    """The translation of rows without a category, by column; empty if the table has none. One look per table."""
+    names = [c for c in translation.columns if c != "product_category_name"]
+
+    def look() -> dict[str, object]:
+        rows = translation.filter(F.col("product_category_name").isNull())
+        found = rows.agg(F.min(F.struct(*names)).alias("t")).first().t if names else None
+        return found.asDict() if found else {}
+
+    return once(translation, "translation of none", look)
+
+
 def _translate_missing(tx: DataFrame, translation: DataFrame) -> DataFrame:
-    """Rows without a category take the translation row that has none either, if there is one."""
-    names = [c for c in translation.columns if c != "product_category_name" and c in tx.columns]
-    if not names:
-        return tx
-    of_null = translation.filter(F.col("product_category_name").isNull()).agg(
-        F.min(F.struct(*names)).alias("t")
-    ).scalar()
+    """Rows without a category take the translation row that has none either, if there is one.
+
+    Items of unknown products are among them, so this follows the join of the catalogue; its values
+    are constants of the plan, and without them nothing is added to it.
+    """
     no_category = F.col("product_category_name").isNull()
-    return tx.withColumns({c: F.when(no_category, of_null[c]).otherwise(F.col(c)) for c in names})
+    return tx.withColumns(
+        {
+            c: F.when(no_category, F.lit(v).cast(tx.schema[c].dataType)).otherwise(F.col(c))
+            for c, v in _translation_of_none(translation).items()
+            if c in tx.columns
+        }
+    )
+
+
+def _repeated(df: DataFrame, key: str) -> int:
+    """Rows whose id occurs before, in one pass over the ids of a table."""
+
+    def look() -> int:
+        ids = df.agg(F.count(key).alias("n"), F.count_distinct(key).alias("different")).first()
+        return ids.n - ids.different
+
+    return once(df, f"repeated {key}", look)
 
 
 def require_unique(df: DataFrame, name: str, key: str) -> None:
-    """Raise if an id of the table occurs twice. One pass over the ids."""
-    ids = df.agg(F.count(key).alias("n"), F.count_distinct(key).alias("different")).first()
-    if ids.n != ids.different:
-        raise ContractError(f"{name}: {key} was promised to be unique, but {ids.n - ids.different} rows repeat one")
+    """Raise if an id of the table occurs twice."""
+    if repeated := _repeated(df, key):
+        raise ContractError(f"{name}: {key} was promised to be unique, but {repeated} rows repeat one")
 
 
-def _one_row(df: DataFrame, name: str, key: str, promised: Collection[str]) -> DataFrame:
-    """df, checked if one row per key is promised, and then in a form that shows the planner that it is so."""
+def _one_row(df: DataFrame, name: str, key: str, promised: Collection[str], table: DataFrame, *joined: tuple) -> DataFrame:
+    """df, checked if one row per key is promised, and then in a form that shows the planner that it is so.
+
+    df is `table` joined with tables (`joined`, each with its key). If they too have single keys, what was
+    found out about the tables before is enough; else df itself is looked at.
+    """
     if name not in promised:
         return df
-    require_unique(df, name, key)
+    require_unique(table, name, key)
+    if any(_repeated(other, other_key) for other, other_key in joined):
+        require_unique(df, name, key)
     return df.dropDuplicates([key])
 
 
+def _catalogue_tables(datasets: dict[str, DataFrame]) -> tuple:
+    translated = "product_translation" in datasets and "product_category_name" in datasets["products"].columns
+    other = [(datasets["product_translation"], "product_category_name")] if translated else []
+    return (datasets["products"], *other)
+
+
 def build_transactions(
     datasets: dict[str, DataFrame],
     total: str = "payment",
@@ -143,7 +181,7 @@ def build_transactions(
     tx = salted_join(items, header, "order_id", "inner", heavy["order_id"])
     if "products" in datasets:
         catalogue = _renamed(_catalogue(datasets), tx.columns, "product_id", "products")
-        catalogue = _one_row(catalogue, "products", "product_id", one_row_per_key)
+        catalogue = _one_row(catalogue, "products", "product_id", one_row_per_key, *_catalogue_tables(datasets))
         tx = salted_join(tx, catalogue, "product_id", "left", heavy["product_id"])
     if "product_translation" in datasets and "product_category_name" in tx.columns:
         translation = datasets["product_translation"]
@@ -197,8 +235,53 @@ def build_order_rollup(
     return counted.join(header, "order_id", "inner").withColumn("order_total", F.col("payment_value"))
 
 
+def build_category_rollup(
+    datasets: dict[str, DataFrame], one_row_per_key: Collection[str] = (), split_heavy_keys: bool = True
+) -> DataFrame:
+    """The transactions with the items of an order and category folded into one row.
+
+    The items meet the catalogue, both with two columns, and are counted by order and category before
+    they meet the orders: `item_rows` and `item_products` as in the order rollup, under the name of the category in use
+    (see category_column). Analyses of categories take this table in place of the item-grain one. Item rows move
+    twice, to the catalogue and to their order, where all further steps of an order find them. If single orders hold a large part of the items,
+    they are counted on the way there, which takes one exchange (of counted rows) more.
+
+    Without payments the total differs from item to item; without a catalogue categories are columns of the
+    items. Then the item-grain table is returned.
+    """
+    products = datasets.get("products")
+    if "order_payments" not in datasets or products is None or "product_category_name" not in products.columns:
+        return build_transactions(datasets, one_row_per_key=one_row_per_key, split_heavy_keys=split_heavy_keys)
+    require_minimum(datasets)
+    for name, df in datasets.items():
+        validate(df, name)
+    orders = sold_orders(datasets["orders"])
+    items = datasets["order_items"]
+    heavy = {c: NO_HEAVY_KEYS for c in ("order_id", "customer_id", "product_id")}
+    if split_heavy_keys:
+        heavy |= heavy_keys(items, ["order_id", "product_id"]) | heavy_keys(orders, ["customer_id"])
+    catalogue = _catalogue(datasets)
+    category = category_column(catalogue)
+    catalogue = catalogue.select("product_id", *dict.fromkeys(["product_category_name", category]))
+    catalogue = _one_row(catalogue, "products", "product_id", one_row_per_key, *_catalogue_tables(datasets))
+    items = items.filter(F.col("order_id").isNotNull()).select("order_id", "product_id")
+    items = salted_join(items, catalogue, "product_id", "left", heavy["product_id"])
+    if "product_translation" in datasets:
+        items = _translate_missing(items, datasets["product_translation"])
+    # Moved by order_id alone, the rows stay where they are for the grouping and for the join with the orders. Only rows counted
+    # beforehand may move so if an order is heavy, or if nobody has looked.
+    if split_heavy_keys and not heavy["order_id"].salts:
+        items = items.repartition("order_id")
+    counted = items.groupBy("order_id", category).agg(
+        F.count("*").alias(ROWS), F.count("product_id").alias("item_products")
+    )
+    header = _header(datasets, orders, one_row_per_key, heavy["customer_id"])
+    header = _renamed(header, counted.columns, "order_id", "orders")
+    return counted.join(header, "order_id", "inner").withColumn("order_total", F.col("payment_value"))
+
+
 def rows_per_row(tx: DataFrame) -> str | None:
-    """The column that says how many item rows a row stands for, if tx is rolled up by order."""
+    """The column that says how many item rows a row stands for, if tx is a rollup."""
     return ROWS if ROWS in tx.columns else None
 
 
@@ -208,7 +291,7 @@ def _header(
     """Orders with their customer, payments, review score and times."""
     header = orders
     customers = _renamed(datasets["customers"], header.columns, "customer_id", "customers")
-    customers = _one_row(customers, "customers", "customer_id", one_row_per_key)
+    customers = _one_row(customers, "customers", "customer_id", one_row_per_key, datasets["customers"])
     header = salted_join(header, customers, "customer_id", "left", heavy)
     if "order_payments" in datasets:
         paid = payments_per_order(datasets["order_payments"])
