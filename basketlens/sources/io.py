@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from basketlens.sources.contracts import contract, validate
+from basketlens.sources.inference import infer_types, typed_column
+from basketlens.sources.quoted_csv import read_quoted_csv
 
 # The texts a CSV reader takes for "missing".
 NA_TOKENS = (
@@ -24,7 +26,7 @@ def _typed(df: DataFrame, name: str, keep: set[str] = frozenset()) -> DataFrame:
     def cast(c: str) -> Column:
         kind = kinds.get(c)
         if kind is None:
-            return F.col(c)
+            return F.col(f"`{c}`")
         # "3.0" is how integers with gaps are written; go through double.
         x = F.col(c).try_cast("double") if isinstance(kind, IntegerType) else F.col(c)
         return x.try_cast(kind).alias(c)
@@ -33,15 +35,23 @@ def _typed(df: DataFrame, name: str, keep: set[str] = frozenset()) -> DataFrame:
 
 
 def read_dataset(
-    spark: SparkSession, path: str | list[str], name: str, fmt: str = "csv", multi_line: bool | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    name: str,
+    fmt: str = "csv",
+    multi_line: bool | None = None,
+    infer: bool = True,
 ) -> DataFrame:
     """Read one input table, check its header and cast its columns by name.
 
     CSV columns are read as text (a schema would be applied by position). Large files are
-    split over tasks; a quoted line break then makes a row of the wrong length, which is an
+    split over tasks. A quoted line break then makes a row of the wrong length, which is an
     error when the rows are read, whatever columns are asked for. With `multi_line`, the
-    default for reviews, whose texts have line breaks, they are kept, at the price of one
-    task per file.
+    default for reviews, whose texts have line breaks, they are kept: one more pass over the
+    files, when this is called, finds out which splits begin inside a field.
+
+    Columns outside the contract get the smallest type that holds all their values, from one
+    pass over these columns, again when this is called; without `infer` they stay text.
     """
     if multi_line is None:
         multi_line = name == "reviews"
@@ -51,12 +61,17 @@ def read_dataset(
             .option("multiLine", multi_line)
             .option("quote", '"')
             .option("escape", '"')
-            .option("mode", "PERMISSIVE" if multi_line else "FAILFAST")
-            .option("columnPruning", multi_line)
+            .option("mode", "FAILFAST")
+            .option("columnPruning", False)
             .csv(path)
         )
         validate(raw, name)
-        raw = raw.select([F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in raw.columns])
+        if multi_line:
+            raw = read_quoted_csv(spark, path, raw.columns)
+        raw = raw.select([F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+        known = {f.name for f in contract(name).schema}
+        types = infer_types(raw, [c for c in raw.columns if c not in known]) if infer else {}
+        raw = raw.select([typed_column(c, types[c]) if c in types else F.col(f"`{c}`") for c in raw.columns])
         return _typed(raw, name)
     df = validate(spark.read.format(fmt).load(path), name)
     return _typed(df, name, keep={c for c in df.columns if c.endswith("_id")})  # ids keep their stored type
