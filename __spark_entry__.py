@@ -20,6 +20,7 @@ from basketlens.plans import (
     clv,
     forecast,
     overview,
+    pages,
     products,
     rfm,
     sales,
@@ -34,7 +35,7 @@ from basketlens.plans.transactions import (
 from basketlens.session import tune
 from basketlens.sources.io import load_report
 from basketlens.sources import staging
-from basketlens.sources.staging import stage
+from basketlens.sources.staging import stage, stage_by_month
 from basketlens.sources.testdata import from_testdata, purchase_events
 from oracle_queries import ORACLE
 
@@ -203,6 +204,9 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rfm_segment_counts": lambda tx: rfm.rfm_segment_counts(rfm.rfm(tx)),
     "rfm_segment_profile": lambda tx: rfm.rfm_segment_profile(rfm.rfm(tx)),
     "rfm_histograms": lambda tx: _rounded(rfm.rfm_histograms(rfm.rfm_values(tx)), 4, "lower", "upper"),
+    # whole pages
+    "overview_page": lambda tx: _rounded(pages.overview_page(tx), 4, "value"),
+    "sales_page": lambda tx: _rounded(pages.sales_page(tx), 4, "value"),
     # segmentation
     "segmentation_features": segments.segmentation_features,
     "segmentation_scaled": lambda tx: _rounded(
@@ -244,7 +248,7 @@ BY_ORDER = {
 # Those that look at categories only: the items of an order and category may be folded into one row.
 BY_CATEGORY = {
     "top_categories", "choice_architecture", "category_performance", "category_ratings", "baskets", "frequent_itemsets",
-    "association_rules", "rules_filtered", "rules_top",
+    "association_rules", "rules_filtered", "rules_top", "overview_page", "sales_page",
 }
 
 # Analyses of the purchase events: hours and weekends, as the orders have no time of day.
@@ -290,7 +294,7 @@ def _shared(spark: SparkSession, path: str) -> DataFrame:
     return build_transactions(_tables(spark, path), total="item_share", one_row_per_key=_SINGLE)
 
 
-# The model reports over models that SQL can state, and revenue by item share.
+# The model reports over models that SQL can state, tables staged by month, and revenue by item share.
 REFERENCE: dict[str, Query] = {
     "naive_forecast_metrics": lambda spark, path: _rounded(
         _rounded(forecast.forecast_metrics(_naive(spark, path)), 2, "rmse"), 6, "r2"
@@ -309,6 +313,8 @@ REFERENCE: dict[str, Query] = {
         _rounded(segments.kmeans_profile(_quartiles(spark, path)), 2, "avg_total_spent", "avg_order_value"),
         6, "avg_orders", "avg_recency",
     ),
+    "monthly_revenue_by_month": lambda spark, path: overview.monthly_revenue(stage_by_month(_tx(spark, path))),
+    "monthly_orders_by_month": lambda spark, path: overview.monthly_orders(stage_by_month(_tx(spark, path))),
     "overview_kpis_item_share": lambda spark, path: _rounded(
         _rounded(overview.overview_kpis(_shared(spark, path)), 2, "total_revenue"), 4, "avg_order_value"
     ),

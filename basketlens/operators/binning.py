@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,34 @@ def histogram(df: DataFrame, col: str, bins: int, weight: str | None = None) ->
     )
 
 
+def histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """Rows per equal-width bin of several columns, empty bins kept: measure, bin, lower, upper, count.
+
+    Two scans for all of them: one finds every column's bounds, one counts (measure, bin), a row of df giving
+    one entry for each column that it has a value of. df is read twice: stage it.
+    """
+    values = [F.col(c).cast("double") for c in columns]
+    bounds = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(values) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    edges = [width_edges(bounds[f"lo{i}"], bounds[f"hi{i}"], bins) for i in range(len(columns))]
+    entries = F.array(*[F.struct(F.lit(i).alias("m"), width_bin(x, e).alias("bin")) for i, (x, e) in enumerate(zip(values, edges))])
+    counted = (
+        df.select(F.explode(entries).alias("e"))
+        .filter(F.col("e.bin").isNotNull())
+        .groupBy(F.col("e.m").alias("m"), F.col("e.bin").alias("bin"))
+        .agg(F.count("*").alias("count"))
+    )
+    place = F.col("id").cast("int")
+    m, i = (place / bins).cast("int"), place % bins
+    names, at = F.array(*[F.lit(c) for c in columns]), F.array(*[doubles(e) for e in edges])
+    frame = df.sparkSession.range(0, len(columns) * bins, 1, 1).select(
+        m.alias("m"), F.get(names, m).alias("measure"), (i + 1).alias("bin"),
+        F.get(F.get(at, m), i).alias("lower"), F.get(F.get(at, m), i + 1).alias("upper"),
+    )
+    return frame.join(counted, ["m", "bin"], "left").select(
+        "measure", "bin", "lower", "upper", F.coalesce("count", F.lit(0)).alias("count")
+    )
+
+
 def bin_frame(df: DataFrame, edges: list[float | None]) -> DataFrame:
     """One row per bin with its edges."""
     i, at = F.col("id").cast("int"), doubles(edges)

@@ -65,6 +65,69 @@ def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", total:
     return df.join(ranks, F.col(key).eqNullSafe(F.col("__rank_key"))).drop("__rank_key")
 
 
+def global_ranks(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
+    """measure (place in `measures`), value (double), key, rank (from 1) and total of every non-null value of several measures.
+
+    What global_rank does for one column, in one range partitioning and one staged table for all: the measures are melted to
+    (measure, value, key), sorted as one list, and ranks count from each measure's first row. `key` must be unique.
+    df is read twice (bounds, order): pass a staged table.
+    """
+    melted = df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(i).alias("measure"), F.col(m).cast("double").alias("value")) for i, m in enumerate(measures)])
+        ).alias("__m"),
+        key,
+    )
+    parts = _range_parts(
+        melted.select("__m.measure", "__m.value", key).filter(F.col("value").isNotNull()), ["measure", "value", key]
+    )
+    # One row per measure and range partition: at most shuffle partitions + measures.
+    before = Window.partitionBy("measure").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        parts.groupBy("measure", "__part")
+        .agg(F.count("*").alias("__rows"), F.min("__idx").alias("__first"))
+        .withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+        .withColumn("total", F.sum("__rows").over(Window.partitionBy("measure")))
+    )
+    rank = F.col("__before") + F.col("__idx") - F.col("__first") + 1
+    return parts.join(F.broadcast(offsets), ["measure", "__part"]).select("measure", "value", key, rank.alias("rank"), "total")
+
+
+def ranked_quantiles(ranks: DataFrame, wanted: dict[int, Sequence[float]]) -> dict[int, list[float | None]]:
+    """The interpolated quantiles of some measures of `global_ranks`, by measure, in one aggregate."""
+    names, aggs = [], []
+    for m, probs in wanted.items():
+        for p in probs:
+            at = _position(p, F.col("total"))
+            for place in (F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)):
+                hit = (F.col("measure") == m) & (F.col("rank") - 1 == place)
+                aggs.append(F.max(F.when(hit, F.col("value"))).alias(f"w{len(aggs)}"))
+            names.append((m, p))
+    totals = [F.max(F.when(F.col("measure") == m, F.col("total"))).alias(f"t{m}") for m in wanted]
+    found = ranks.agg(*aggs, *totals)
+    values = found.select(
+        *[
+            _between(F.col(f"w{2 * i}"), F.col(f"w{2 * i + 1}"), _position(p, F.col(f"t{m}"))).alias(f"q{i}")
+            for i, (m, p) in enumerate(names)
+        ]
+    ).first()
+    out: dict[int, list[float | None]] = {m: [] for m in wanted}
+    for (m, _), v in zip(names, values):
+        out[m].append(v)
+    return out
+
+
+def _position(p: float, total: Column) -> Column:
+    """Where a quantile lies among `total` values in order, counted from 0."""
+    return F.lit(p) * (total - 1).cast("double")
+
+
+def _between(low: Column, high: Column, position: Column) -> Column:
+    """The value between the two next to a position."""
+    t, step = position - F.floor(position), high - low
+    return F.when(step == 0, low).when(t < 0.5, low + step * t).otherwise(high - step * (1 - t))
+
+
 def exact_quantiles(
     df: DataFrame,
     col: str,
@@ -88,7 +151,7 @@ def exact_quantiles(
         counts = present.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
 
     def position(p: float) -> Column:
-        return F.lit(p) * (F.col("__total") - 1).cast("double")
+        return _position(p, F.col("__total"))
 
     wanted = [
         at
@@ -121,10 +184,5 @@ def exact_quantiles(
             for i, at in enumerate(wanted)
         ],
     )
-    edges = []
-    for i, p in enumerate(probs):
-        low, high = F.col(f"w{2 * i}"), F.col(f"w{2 * i + 1}")
-        t = position(p) - F.floor(position(p))
-        step = high - low
-        edges.append(F.when(step == 0, low).when(t < 0.5, low + step * t).otherwise(high - step * (1 - t)))
+    edges = [_between(F.col(f"w{2 * i}"), F.col(f"w{2 * i + 1}"), position(p)) for i, p in enumerate(probs)]
     return list(found.select(*[e.alias(f"q{i}") for i, e in enumerate(edges)]).first())

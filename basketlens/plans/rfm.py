@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.functions.bins import edge_bin, labelled, rank_bin, width_edges
 from basketlens.functions.calendar import elapsed_days
 from basketlens.functions.exact import exact_mean, exact_sum
-from basketlens.operators.binning import histogram, qcut, rank_qcut, value_counts
+from basketlens.operators.binning import histograms, value_counts
+from basketlens.operators.ranking import global_ranks, ranked_quantiles
 from basketlens.plans.customers import per_customer
 from basketlens.plans.transactions import rows_per_row
 from basketlens.sources.staging import stage
@@ -57,9 +57,24 @@ def segment(r: Column, f: Column, m: Column) -> Column:
 def rfm_scores(tx: DataFrame) -> DataFrame:
     """rfm_values plus R_score, F_score, M_score (1..4) and their text RFM_score."""
     values = rfm_values(tx)
-    scored = qcut(values, "recency", 4, "R_score", RECENCY_SCORES)
-    scored = rank_qcut(scored, "frequency", "customer_id", 4, "F_score")
-    scored = rank_qcut(scored, "monetary", "customer_id", 4, "M_score")
+    measures = ("recency", "frequency", "monetary")
+    ranks = global_ranks(values, "customer_id", measures)
+    # All three measures are ranked together; the quartiles of recency are among the ranks too.
+    found = ranked_quantiles(ranks, {0: [i / 4 for i in range(5)], 1: [0.0], 2: [0.0]})
+    edges = found[0]
+    if len(set(edges)) <= 4:
+        edges = width_edges(edges[0], edges[4], 4)
+
+    def by_rank(measure: int, name: str) -> Column:
+        # The rank of a single row has no quartiles; the equal-width bin around its value stands in.
+        [v] = found[measure]
+        bin_ = F.when(F.col("total") > 1, rank_bin(F.col("rank"), F.col("total"), 4))
+        bin_ = F.coalesce(bin_, edge_bin(F.col("value"), width_edges(v, v, 4)))
+        return F.max(F.when(F.col("measure") == measure, bin_)).alias(name)
+
+    scores = ranks.groupBy("customer_id").agg(by_rank(1, "F_score"), by_rank(2, "M_score"))
+    recent = labelled(edge_bin(F.col("recency").cast("double"), edges), RECENCY_SCORES)
+    scored = values.withColumn("R_score", recent).join(scores, "customer_id")
     text = [F.col(c).cast("string") for c in ("R_score", "F_score", "M_score")]
     return scored.withColumn("RFM_score", F.concat(*text))
 
@@ -85,8 +100,4 @@ def rfm_segment_profile(customers: DataFrame) -> DataFrame:
 
 def rfm_histograms(values: DataFrame, bins: int = 30) -> DataFrame:
     """Histograms of recency, frequency and monetary: measure, bin, lower, upper, count."""
-    parts = [
-        histogram(values, c, bins).select(F.lit(c).alias("measure"), "bin", "lower", "upper", "count")
-        for c in ("recency", "frequency", "monetary")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return histograms(values, ("recency", "frequency", "monetary"), bins)

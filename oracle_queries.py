@@ -468,4 +468,38 @@ FROM orders WHERE o_orderstatus IN ('F', 'O')""",
        ROUND(SUM(share) / COUNT(DISTINCT order_id), 4) AS avg_order_value FROM shared""",
     "monthly_revenue_item_share": SHARED
     + """ SELECT strftime(ts, '%Y-%m') AS order_year_month, ROUND(SUM(share), 2) AS revenue FROM shared GROUP BY 1""",
+    "monthly_revenue_by_month": TX
+    + f" SELECT strftime(ts, '%Y-%m') AS order_year_month, {dsum('order_total')} AS revenue FROM tx GROUP BY 1",
+    "monthly_orders_by_month": TX
+    + " SELECT strftime(ts, '%Y-%m') AS order_year_month, COUNT(DISTINCT order_id) AS orders FROM tx GROUP BY 1",
+    "overview_page": TX
+    + f""", customers AS (
+  SELECT customer_id, COUNT(DISTINCT order_id) AS orders FROM tx WHERE customer_id IS NOT NULL GROUP BY 1
+), figures AS (
+  SELECT {dsum('order_total')} AS total_revenue, COUNT(DISTINCT order_id)::DOUBLE AS total_orders,
+    COUNT(DISTINCT customer_id)::DOUBLE AS total_customers, {dsum('order_total')} / COUNT(DISTINCT order_id) AS avg_order_value,
+    (SELECT AVG((orders > 1)::INT) * 100 FROM customers) AS repeat_rate, (SELECT AVG((orders > 1)::INT) FROM customers) AS status_quo_bias,
+    (SELECT SUM((orders > 1)::INT)::DOUBLE FROM customers) AS repeat_customers,
+    COUNT(product_id)::DOUBLE / COUNT(DISTINCT order_id) AS avg_items_per_order, AVG(review_score) AS avg_review FROM tx
+), page AS (
+  SELECT 'figures' AS section, NULL::VARCHAR AS key, metric, value FROM (UNPIVOT figures ON COLUMNS(*) INTO NAME metric VALUE value)
+  UNION ALL SELECT 'month', strftime(ts, '%Y-%m'), 'revenue', {dsum('order_total')} FROM tx GROUP BY ALL
+  UNION ALL SELECT 'month', strftime(ts, '%Y-%m'), 'orders', COUNT(DISTINCT order_id)::DOUBLE FROM tx GROUP BY ALL
+  UNION ALL SELECT * FROM (SELECT 'category', category, 'revenue', {dsum('order_total')} AS value FROM tx WHERE category IS NOT NULL
+    GROUP BY ALL ORDER BY value DESC, category LIMIT 10)
+) SELECT section, key, metric, ROUND(value, 4) AS value FROM page""",
+    "sales_page": TX
+    + f""", payments AS (
+  SELECT payment_type AS key, COUNT(DISTINCT order_id)::DOUBLE AS orders FROM tx WHERE payment_type IS NOT NULL GROUP BY 1
+), states AS (
+  SELECT customer_state AS key, {dsum('order_total')} AS revenue, COUNT(DISTINCT order_id)::DOUBLE AS orders FROM tx
+  WHERE customer_state IS NOT NULL GROUP BY 1 ORDER BY revenue DESC, key LIMIT 15
+), categories AS (
+  SELECT category AS key, {dsum('order_total')} AS revenue, COUNT(DISTINCT order_id)::DOUBLE AS orders,
+    COUNT(product_id)::DOUBLE AS items_sold FROM tx WHERE category IS NOT NULL GROUP BY 1 ORDER BY revenue DESC, key LIMIT 15
+), page AS (
+  SELECT 'payment' AS section, key, metric, value FROM (UNPIVOT payments ON COLUMNS(* EXCLUDE (key)) INTO NAME metric VALUE value)
+  UNION ALL SELECT 'state', key, metric, value FROM (UNPIVOT states ON COLUMNS(* EXCLUDE (key)) INTO NAME metric VALUE value)
+  UNION ALL SELECT 'category', key, metric, value FROM (UNPIVOT categories ON COLUMNS(* EXCLUDE (key)) INTO NAME metric VALUE value)
+) SELECT section, key, metric, ROUND(value, 4) AS value FROM page""",
 }
