@@ -7,6 +7,7 @@ have none.
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable
 
@@ -33,7 +34,7 @@ from basketlens.plans.transactions import (
     sold_orders,
 )
 from basketlens.session import tune
-from basketlens.sources.io import load_report
+from basketlens.sources.io import contract_report, load_report, read_result, write_result
 from basketlens.sources import staging
 from basketlens.sources.staging import stage, stage_by_month
 from basketlens.sources.testdata import from_testdata, purchase_events
@@ -225,10 +226,10 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "association_rules": lambda tx: _rounded(
         basket.rules_display(_rules(tx)), 6, "leverage", "conviction", "zhangs_metric"
     ),
-    "rules_filtered": lambda tx: basket.rules_display(basket.filter_rules(_rules(tx), min_lift=1.0)).select(
+    "rules_filtered": lambda tx: basket.rules_display(basket.filtered_rules(_itemsets(tx), min_lift=1.0)).select(
         "antecedents", "consequents", "antecedent_support", "consequent_support", "support", "confidence", "lift"
     ),
-    "rules_top": lambda tx: basket.rules_top(basket.filter_rules(_rules(tx), min_lift=1.0)),
+    "rules_top": lambda tx: basket.rules_top(basket.filtered_rules(_itemsets(tx), min_lift=1.0)),
     # forecast
     "daily_sales": forecast.daily_sales,
     "forecast_features": lambda tx: forecast.forecast_features(forecast.daily_sales(tx)),
@@ -286,6 +287,45 @@ def _ruled(spark: SparkSession, path: str) -> tuple[DataFrame, churn.RecencyRule
     return stage(churn.churn_split(stage(churn.churn_features(_tx(spark, path))))), churn.RecencyRule()
 
 
+def _stumped(spark: SparkSession, path: str) -> tuple[DataFrame, churn.Stump]:
+    def fit() -> tuple[DataFrame, churn.Stump]:
+        features = _rounded(stage(churn.churn_features(_tx(spark, path))), 4, "std_order_value")
+        split = stage(churn.churn_split(stage(features)))
+        return split, churn.fit_stump(split)
+
+    return _fitted(spark, path, "stump", fit)
+
+
+def _cut_days(spark: SparkSession, path: str) -> forecast.ForecastModel:
+    return _fitted(spark, path, "day stump", lambda: forecast.fit_forecast(_orders(spark, path), stump=True))
+
+
+def _fixed(spark: SparkSession, path: str) -> DataFrame:
+    return segments.fixed_segments(segments.segmentation_features(_tx(spark, path)))
+
+
+def _exported(spark: SparkSession, path: str) -> DataFrame:
+    """A report as a CSV file and back."""
+    out = f"{staging.scratch_dir(spark)}/export-{uuid.uuid4().hex}"
+    write_result(sales.category_performance(_categories(spark, path)), out)
+    return read_result(spark, out)
+
+
+def _text_times(spark: SparkSession, path: str) -> DataFrame:
+    """Transactions whose purchase times arrive as text, one form for each order, some no times at all."""
+    tables = _tables(spark, path)
+    at, form = F.col("order_purchase_timestamp"), F.col("order_id") % 4
+    text = (
+        F.when(form == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+        .when(form == 1, F.date_format(at, "yyyy-MM-dd"))
+        .when(form == 2, F.date_format(at, "yyyy-MM-dd'T'HH:mm"))
+        .otherwise("no time")
+    )
+    orders = tables["orders"].withColumn("order_purchase_timestamp", text)
+    tx = build_transactions(tables | {"orders": orders}, one_row_per_key=_SINGLE)
+    return tx.select("order_id", "product_id", "order_purchase_timestamp", "order_year_month")
+
+
 def _quartiles(spark: SparkSession, path: str) -> DataFrame:
     return segments.spend_quartiles(segments.segmentation_features(_tx(spark, path)))
 
@@ -308,6 +348,21 @@ REFERENCE: dict[str, Query] = {
     ),
     "rule_churn_risk_counts": lambda spark, path: churn.churn_risk_counts(churn.churn_scores(*_ruled(spark, path))),
     "rule_churn_top20": lambda spark, path: churn.churn_top(churn.churn_scores(*_ruled(spark, path))),
+    "stump_churn_importance": lambda spark, path: _rounded(churn.churn_importance(*_stumped(spark, path)), 9, "importance"),
+    "stump_churn_metrics": lambda spark, path: _rounded(
+        churn.churn_metrics(*_stumped(spark, path)), 9, "accuracy", "precision", "recall", "f1"
+    ),
+    "stump_forecast_metrics": lambda spark, path: _rounded(
+        _rounded(forecast.forecast_metrics(_cut_days(spark, path)), 2, "rmse"), 6, "r2"
+    ),
+    "fixed_kmeans_label_counts": lambda spark, path: segments.kmeans_label_counts(_fixed(spark, path)),
+    "fixed_kmeans_profile": lambda spark, path: _rounded(
+        _rounded(segments.kmeans_profile(_fixed(spark, path)), 2, "avg_total_spent", "avg_order_value"),
+        6, "avg_orders", "avg_recency",
+    ),
+    "contract_report": lambda spark, path: contract_report(from_testdata(tune(spark), path)),
+    "exported_category_performance": _exported,
+    "tx_text_times": _text_times,
     "quartile_label_counts": lambda spark, path: segments.kmeans_label_counts(_quartiles(spark, path)),
     "quartile_profile": lambda spark, path: _rounded(
         _rounded(segments.kmeans_profile(_quartiles(spark, path)), 2, "avg_total_spent", "avg_order_value"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,27 +83,70 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
         F.filter("items", lambda x, i: F.getbit(mask, i) == 0).alias("consequents"),
         "support",
     )
-    supports = itemsets.select("items", "support")
-    left = supports.withColumnsRenamed({"items": "antecedents", "support": "antecedent_support"})
-    right = supports.withColumnsRenamed({"items": "consequents", "support": "consequent_support"})
+    left = itemsets.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
+    return _measured(sides.join(left, "antecedents"), itemsets).filter(F.col("lift") >= min_lift)
+
+
+def _measured(sides: DataFrame, itemsets: DataFrame) -> DataFrame:
+    """Rules (antecedents, consequents, antecedent_support, support) with all their measures."""
+    right = itemsets.select(F.col("items").alias("consequents"), F.col("support").alias("consequent_support"))
     a, c, both = F.col("antecedent_support"), F.col("consequent_support"), F.col("support")
-    return (
-        sides.join(left, "antecedents")
-        .join(right, "consequents")
-        .select(
-            "antecedents", "consequents", "antecedent_support", "consequent_support", "support",
-            (both / a).alias("confidence"),
-            (both / a / c).alias("lift"),
-            (both - a * c).alias("leverage"),
-            F.try_divide(1 - c, 1 - both / a).alias("conviction"),
-            F.coalesce(
-                F.try_divide(both - a * c, F.greatest(both * (1 - a), a * (c - both))), F.lit(0.0)
-            ).alias("zhangs_metric"),
-        )
-        .filter(F.col("lift") >= min_lift)
+    return sides.join(right, "consequents").select(
+        "antecedents", "consequents", "antecedent_support", "consequent_support", "support",
+        (both / a).alias("confidence"),
+        (both / a / c).alias("lift"),
+        (both - a * c).alias("leverage"),
+        F.try_divide(1 - c, 1 - both / a).alias("conviction"),
+        F.coalesce(
+            F.try_divide(both - a * c, F.greatest(both * (1 - a), a * (c - both))), F.lit(0.0)
+        ).alias("zhangs_metric"),
     )
 
 
+def grown_rules(itemsets: DataFrame, min_confidence: float, min_lift: float = 1.0, of: DataFrame | None = None) -> DataFrame:
+    """The rules of association_rules with at least this confidence, without listing the others.
+
+    Consequents grow item by item. A longer consequent leaves a shorter antecedent, which no fewer baskets hold, so
+    confidence only falls on the way: a consequent that fails is not extended, and every one that passes is
+    reached from its own beginning. Levels are staged one after the other, at most MAX_ITEMS - 1 of them.
+    `of` names the itemsets to split, if not all.
+    """
+    whole = (itemsets if of is None else of).filter(F.size("items") > 1).select("items", "support")
+    longest = whole.agg(F.max(F.size("items"))).first()[0] or 0
+    if longest > MAX_ITEMS:
+        raise ValueError(f"an itemset has {longest} items; rules are enumerated for {MAX_ITEMS} at most")
+    supports = itemsets.select("items", "support").withColumnsRenamed({"items": "antecedents", "support": "antecedent_support"})
+    levels = []
+    # Rows of a level: an itemset, the bits of its consequent, and the highest of them.
+    candidates = whole.withColumns({"__mask": F.lit(0).cast("long"), "__top": F.lit(-1)})
+    while True:
+        level = stage(_extended(candidates).join(supports, "antecedents").filter(F.col("support") / F.col("antecedent_support") >= min_confidence))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        candidates = level.select("items", "support", "__mask", "__top")
+    if not levels:
+        levels = [level]
+    sides = reduce(DataFrame.union, levels).select("antecedents", "consequents", "antecedent_support", "support")
+    return _measured(sides, itemsets).filter(F.col("lift") >= min_lift)
+
+
+def _extended(candidates: DataFrame) -> DataFrame:
+    """Each consequent with one item more, after its last; one item at least stays an antecedent."""
+    one, size = F.lit(1).cast("long"), F.size("items")
+    more = candidates.filter(F.col("__top") + 1 < size).select(
+        "items", "support", "__mask", F.explode(F.sequence(F.col("__top") + 1, size - 1)).alias("__top")
+    )
+    mask = F.col("__mask").bitwiseOR(F.call_function("shiftleft", one, F.col("__top")))
+    more = more.withColumn("__mask", mask).filter(F.bit_count("__mask") < size)
+    return more.withColumns(
+        {
+            "antecedents": F.filter("items", lambda x, i: F.getbit(F.col("__mask"), i) == 0),
+            "consequents": F.filter("items", lambda x, i: F.getbit(F.col("__mask"), i) == 1),
+        }
+    )
+
+
 def filter_rules(
     rules: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3, min_lift: float = 1.5
 ) -> DataFrame:
@@ -112,6 +157,13 @@ def filter_rules(
     )
 
 
+def filtered_rules(
+    itemsets: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3, min_lift: float = 1.5
+) -> DataFrame:
+    """filter_rules of all rules, grown so that rules below min_confidence are never listed."""
+    return filter_rules(grown_rules(itemsets, min_confidence, min_lift), min_support, min_confidence, min_lift)
+
+
 def rules_display(rules: DataFrame) -> DataFrame:
     """Rules with their sides as ', '-joined text."""
     return rules.withColumns({c: F.array_join(c, ", ") for c in ("antecedents", "consequents")})

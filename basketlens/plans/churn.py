@@ -15,6 +15,7 @@ from basketlens.functions.calendar import elapsed_days
 from basketlens.functions.exact import exact_mean, exact_sum
 from basketlens.operators.binning import cut_edges, top_k, value_counts
 from basketlens.operators.ranking import global_rank
+from basketlens.operators.splits import best_splits
 from basketlens.plans.customers import per_customer
 from basketlens.sources.staging import stage
 
@@ -94,6 +95,11 @@ class ChurnModel:
     constant: float
     features: tuple[str, ...]
 
+    @property
+    def importance(self) -> list[tuple[str, float]]:
+        values = self.forest.featureImportances.toArray() if self.forest else [0.0] * len(self.features)
+        return list(zip(self.features, values))
+
     def predict(self, customers: DataFrame) -> DataFrame:
         """Add churn_probability and predicted (0/1)."""
         if self.forest is None:
@@ -121,6 +127,46 @@ class RecencyRule:
         return scored.withColumn("predicted", (F.col("churn_probability") >= 0.5).cast("int"))
 
 
+@dataclass(frozen=True)
+class Stump:
+    """One cut: the churned share of the training rows on either side of the best one, and what the best cut of every input gains."""
+
+    feature: str | None
+    threshold: float
+    left: float
+    right: float
+    gains: tuple[tuple[str, float], ...]
+
+    def predict(self, customers: DataFrame) -> DataFrame:
+        """Add churn_probability and predicted (0/1)."""
+        likely = F.lit(self.left)
+        if self.feature is not None:
+            value = F.coalesce(F.col(self.feature).cast("double"), F.lit(0.0))
+            likely = F.when(value <= self.threshold, self.left).otherwise(self.right)
+        scored = customers.withColumn("churn_probability", likely)
+        return scored.withColumn("predicted", (F.col("churn_probability") >= 0.5).cast("int"))
+
+    @property
+    def importance(self) -> list[tuple[str, float]]:
+        """Each input's share of all gains."""
+        whole = sum(g for _, g in self.gains)
+        return [(name, g / whole if whole else 0.0) for name, g in self.gains]
+
+
+def fit_stump(split: DataFrame, feature_cols: Sequence[str] = FEATURES) -> Stump:
+    """The best single cut of the training rows of a staged churn_split, searched exactly; missing inputs count as 0."""
+    train = split.filter(~F.col("is_test"))
+    filled = train.select("is_churned", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feature_cols])
+    # One row per input.
+    cuts = {r.feature: r for r in best_splits(filled, feature_cols, "is_churned").collect()}
+    gains = tuple((c, cuts[c].gain if c in cuts else 0.0) for c in feature_cols)
+    if not cuts:
+        share = train.agg(F.avg("is_churned")).first()[0] or 0.0
+        return Stump(None, 0.0, share, share, gains)
+    best = max(cuts.values(), key=lambda r: (r.gain, -feature_cols.index(r.feature)))
+    return Stump(best.feature, best.threshold, best.left_mean, best.right_mean, gains)
+
+
 def _vectors(customers: DataFrame, names: Sequence[str]) -> DataFrame:
     filled = customers.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
     return VectorAssembler(inputCols=[f"__{c}" for c in names], outputCol="__features").transform(filled)
@@ -156,16 +202,15 @@ def risk_band(probability: Column | str) -> Column:
     return cut_edges(probability, RISK_EDGES, RISK_LABELS)
 
 
-def churn_scores(split: DataFrame, model: ChurnModel | RecencyRule) -> DataFrame:
+def churn_scores(split: DataFrame, model: ChurnModel | RecencyRule | Stump) -> DataFrame:
     """All customers with churn_probability and churn_risk."""
     scored = model.predict(split).withColumn("churn_risk", risk_band("churn_probability"))
     return scored.drop("predicted", "is_test")
 
 
-def churn_importance(split: DataFrame, model: ChurnModel) -> DataFrame:
+def churn_importance(split: DataFrame, model: ChurnModel | Stump) -> DataFrame:
     """Importance per model input, largest first."""
-    values = model.forest.featureImportances.toArray() if model.forest else [0.0] * len(model.features)
-    rows = [(name, float(v)) for name, v in zip(model.features, values)]
+    rows = [(name, float(v)) for name, v in model.importance]
     return split.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
@@ -193,7 +238,7 @@ def classification_metrics(scored: DataFrame, label: str = "is_churned", predict
     )
 
 
-def churn_metrics(split: DataFrame, model: ChurnModel | RecencyRule) -> DataFrame:
+def churn_metrics(split: DataFrame, model: ChurnModel | RecencyRule | Stump) -> DataFrame:
     """Quality on the test rows."""
     return classification_metrics(model.predict(split.filter("is_test")))
 

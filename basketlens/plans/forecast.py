@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.exact import exact_sum
+from basketlens.operators.splits import best_splits
 from basketlens.plans.overview import keyed
 from basketlens.plans.transactions import rows_per_row
 from basketlens.sources.staging import stage
@@ -78,14 +79,45 @@ class SeasonalNaive:
         return float(x[FEATURES.index("revenue_lag_7")])
 
 
+@dataclass(frozen=True)
+class ForecastStump:
+    """One cut: the mean revenue of the training days on either side of the best one."""
+
+    feature: str | None
+    threshold: float
+    left: float
+    right: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.feature is None:
+            return df.withColumn("prediction", F.lit(self.left))
+        low = F.col(self.feature).cast("double") <= self.threshold
+        return df.withColumn("prediction", F.when(low, self.left).otherwise(self.right))
+
+    def predict(self, x: Sequence[float]) -> float:
+        low = self.feature is None or x[FEATURES.index(self.feature)] <= self.threshold
+        return self.left if low else self.right
+
+
+def fit_forecast_stump(train: DataFrame) -> ForecastStump:
+    """The cut of the daily features that leaves the smallest squared error, searched exactly."""
+    # One row per input.
+    cuts = best_splits(train, FEATURES, "revenue").collect()
+    if not cuts:
+        mean = train.agg(F.avg("revenue")).first()[0]
+        return ForecastStump(None, 0.0, mean, mean)
+    best = max(cuts, key=lambda r: (r.gain, -FEATURES.index(r.feature)))
+    return ForecastStump(best.feature, best.threshold, best.left_mean, best.right_mean)
+
+
 @dataclass(frozen=True)
 class ForecastModel:
-    """Fitted trees (or the seasonal stand-in), the staged daily features with their split, and what the recursion starts from.
+    """Fitted trees (or one of the simple models), the staged daily features with their split, and what the recursion starts from.
 
     Without trees there were too few days to train or to look 14 back.
     """
 
-    trees: GBTRegressionModel | SeasonalNaive | None
+    trees: GBTRegressionModel | SeasonalNaive | ForecastStump | None
     split: DataFrame
     recent: tuple[float, ...]
     first_day: date | None
@@ -105,8 +137,9 @@ def fit_forecast(
     learning_rate: float = 0.1,
     seed: int = 42,
     seasonal: bool = False,
+    stump: bool = False,
 ) -> ForecastModel:
-    """Fit on the older days; with `seasonal` nothing is fitted and last week's revenue is the forecast."""
+    """Fit on the older days; with `seasonal` nothing is fitted and last week's revenue is the forecast, with `stump` a single cut is."""
     daily = stage(daily_sales(tx))
     split = stage(forecast_split(forecast_features(daily), train_fraction).coalesce(1))
     days = split.agg(
@@ -120,6 +153,10 @@ def fit_forecast(
     if seasonal:
         recent.reverse()
         return ForecastModel(SeasonalNaive(), split, tuple(recent), first_day, days["first"], days["last"])
+    if stump:
+        recent.reverse()
+        cut = fit_forecast_stump(split.filter("is_train"))
+        return ForecastModel(cut, split, tuple(recent), first_day, days["first"], days["last"])
     trees = GBTRegressor(
         featuresCol="__features",
         labelCol="revenue",

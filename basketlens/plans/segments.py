@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 from contextlib import contextmanager
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.calendar import elapsed_days
 from basketlens.functions.exact import exact_mean, exact_sum
 from basketlens.operators.binning import rank_qcut, value_counts
+from basketlens.operators.kmeans import lloyd, nearest, seeded
 from basketlens.plans.customers import per_customer
 from basketlens.sources.staging import stage
 
-# The clustered measures, when k-means has settled, and the label texts.
+# The clustered measures, the squared moves of all centres below which k-means has settled, the label texts.
 SCALED = ("order_count", "total_spent", "avg_order_value", "recency_days")
 SHIFT = 1e-4
+# Customers that starting centres are drawn from.
+SEEDS = 20_000
+# The scaled measures as columns, and centres to start from where a fit must be repeatable elsewhere: orders, spend, order value, recency.
+POINT = tuple(f"__{c}" for c in SCALED)
+FIXED_CENTRES = ((1.0, 1.0, 0.0, -0.5), (-0.5, -0.5, -0.5, -0.5), (-0.5, -0.5, 1.0, 0.0), (-1.0, -1.0, 0.0, 2.0))
 HIGH_VALUE, INACTIVE, NEW, MEDIUM = "High Value", "Inactive", "New/Low Frequency", "Medium Value"
 
 
@@ -62,67 +66,73 @@ def segmentation_scaled(features: DataFrame) -> DataFrame:
     return features.withColumns(_scaled(features))
 
 
-def _assembled(features: DataFrame) -> DataFrame:
-    """Features plus the vector of scaled measures; a missing measure counts as the mean."""
-    scaled = {f"scaled_{c}": F.coalesce(x, F.lit(0.0)) for c, x in _scaled(features).items()}
-    vectors = VectorAssembler(inputCols=list(scaled), outputCol="features")
-    return vectors.transform(features.withColumns(scaled)).drop(*scaled)
+def _points_of(features: DataFrame) -> DataFrame:
+    """Features plus the scaled measures as points; a missing measure counts as the mean."""
+    return features.withColumns({f"__{c}": F.coalesce(x, F.lit(0.0)) for c, x in _scaled(features).items()})
 
 
 @contextmanager
 def _points(features: DataFrame):
-    """The vectors, kept for the many passes of k-means."""
-    points = _assembled(features).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    """The points, kept for the many passes of k-means."""
+    points = _points_of(features).select("customer_id", *POINT).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield points
     finally:
         points.unpersist()
 
 
+def _starts(points: DataFrame, ks: Sequence[int], n_init: int, seed: int) -> list[np.ndarray]:
+    """For each k, n_init sets of starting centres, drawn from SEEDS points with the smallest hashes. Fits see all points."""
+    order = F.xxhash64("customer_id", F.lit(seed))
+    rows = points.orderBy(order, "customer_id").limit(SEEDS).select(*POINT).collect()
+    sample = np.array([tuple(r) for r in rows], float).reshape(-1, len(POINT))
+    drawn = [seeded(sample, max(ks), seed + i) for i in range(n_init)] if len(sample) and len(ks) else []
+    return [d[:k] for k in ks for d in drawn]
+
+
 def _best_fits(
-    points: DataFrame, ks: Iterable[int], n_init: int, seed: int, max_iter: int, parallelism: int
-) -> dict[int, KMeansModel]:
-    """Per k the model of least cost over n_init seeds; several fits run at a time."""
-    jobs = [(k, s) for k in ks for s in range(seed, seed + n_init)]
-
-    def fit(job: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, s = job
-        # Done when the squared moves of all centres sum to less than SHIFT.
-        return k, KMeans(k=k, seed=s, maxIter=max_iter, tol=(SHIFT / k) ** 0.5).fit(points)
-
-    best: dict[int, KMeansModel] = {}
-    pool = ThreadPool(max(1, min(parallelism, len(jobs) or 1)))
-    try:
-        for k, model in pool.imap(inheritable_thread_target(points.sparkSession)(fit), jobs):
-            if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-                best[k] = model
-    finally:
-        pool.close()
+    points: DataFrame, ks: Sequence[int], n_init: int, seed: int, max_iter: int
+) -> dict[int, tuple[np.ndarray, float]]:
+    """Per k the centres of least cost over n_init starts, and that cost; all fits share their passes over the points."""
+    fits, costs = lloyd(points, POINT, _starts(points, ks, n_init, seed), max_iter, SHIFT)
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for centres, cost in zip(fits, costs):
+        if len(centres) not in best or cost < best[len(centres)][1]:
+            best[len(centres)] = centres, float(cost)
     return best
 
 
-def kmeans_elbow(
-    features: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42, max_iter: int = 300, parallelism: int = 8
-) -> DataFrame:
+def kmeans_elbow(features: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42, max_iter: int = 300) -> DataFrame:
     """Least within-cluster cost per number of clusters: k, inertia. One row per k."""
     with _points(features) as points:
         n = points.count()
         ks = range(2, min(max_k + 1, n // 10 + 2))
-        best = _best_fits(points, ks, n_init, seed, max_iter, parallelism)
-        rows = [(k, float(best[k].summary.trainingCost)) for k in ks]
+        best = _best_fits(points, ks, n_init, seed, max_iter)
+        rows = [(k, best[k][1]) for k in ks if k in best]
     return features.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
-def kmeans_segments(
-    features: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300, parallelism: int = 8
-) -> DataFrame:
+def kmeans_segments(features: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300) -> DataFrame:
     """Features plus cluster and cluster_label."""
     with _points(features) as points:
-        model = _best_fits(points, [k], n_init, seed, max_iter, parallelism)[k]
-    clustered = model.transform(_assembled(features)).withColumnRenamed("prediction", "cluster").drop("features")
+        best = _best_fits(points, [k], n_init, seed, max_iter)
+    # Without customers there is no centre, and no row to assign.
+    return assigned(features, best[k][0] if best else np.zeros((1, len(POINT))))
+
+
+def assigned(features: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Features plus the cluster of the nearest centre, and cluster_label."""
+    clustered = _points_of(features).withColumn("cluster", nearest(POINT, centres)).drop(*POINT)
     return label_clusters(stage(clustered))
 
 
+def fixed_segments(features: DataFrame, centres: Sequence[Sequence[float]] = FIXED_CENTRES, rounds: int = 5) -> DataFrame:
+    """Features plus cluster and cluster_label, after `rounds` rounds from stated centres (of the scaled measures)."""
+    with _points(features) as points:
+        [found], _ = lloyd(points, POINT, [np.array(centres, float)], rounds)
+    return assigned(features, found)
+
+
 def spend_quartiles(features: DataFrame) -> DataFrame:
     """Features plus cluster and cluster_label, the clusters being quartiles of the amount spent (0 to 3).
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.calendar import time_features
 from basketlens.functions.exact import exact_sum
+from basketlens.operators.keyfilter import MOST_KEYS, key_words, with_partner
 from basketlens.operators.skew import NO_HEAVY_KEYS, HeavyKeys, heavy_keys, salted_join
 from basketlens.sources.checks import once
 from basketlens.sources.contracts import ContractError, require_minimum, validate
@@ -16,6 +17,9 @@ from basketlens.sources.contracts import ContractError, require_minimum, validat
 # Item rows behind one row of a rollup.
 ROWS = "item_rows"
 
+# Items are filtered by the ids of sold orders before they move, if these are at most this share of all orders.
+SELECTIVE = 0.25
+
 # The order states that count as sales, and the date columns.
 SOLD = ("delivered", "shipped")
 DATE_COLUMNS = (
@@ -33,6 +37,26 @@ def sold_orders(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("order_status").isin(*SOLD))
 
 
+def sold_items(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """The items that may belong to a sold order, where few orders are sold; else all items, and the join drops the rest.
+
+    How many are sold is counted once per table of orders. The filter is a table of bounded size (see keyfilter),
+    so it is left out if more orders are sold than it can tell apart.
+    """
+    if "order_status" not in orders.columns:
+        return items
+
+    def look() -> tuple[int, int]:
+        sold = F.count_if(F.col("order_status").isin(*SOLD)).alias("sold")
+        return tuple(orders.agg(sold, F.count("*").alias("orders")).first())
+
+    sold, all_orders = once(orders, "sold orders", look)
+    if sold > min(MOST_KEYS, SELECTIVE * all_orders):
+        return items
+    words = once(orders, "sold ids", lambda: key_words(sold_orders(orders), "order_id", sold))
+    return with_partner(items, "order_id", *words)
+
+
 def payments_per_order(payments: DataFrame) -> DataFrame:
     """Amount paid per order and the type of its first payment that has one."""
     aggs = [exact_sum("payment_value").alias("payment_value")]
@@ -167,11 +191,11 @@ def build_transactions(
     for name, df in datasets.items():
         validate(df, name)
 
-    items = datasets["order_items"]
+    items = sold_items(datasets["order_items"], datasets["orders"])
     header = sold_orders(datasets["orders"])
     heavy = {c: NO_HEAVY_KEYS for c in ("order_id", "customer_id", "product_id")}
     if split_heavy_keys:
-        heavy |= heavy_keys(items, ["order_id", "product_id"]) | heavy_keys(header, ["customer_id"])
+        heavy |= heavy_keys(datasets["order_items"], ["order_id", "product_id"]) | heavy_keys(datasets["orders"], ["customer_id"])
     header = _header(datasets, header, one_row_per_key, heavy["customer_id"])
     if total == "item_share" and "order_payments" in datasets:
         sizes = items.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count("*").alias("__items"))
@@ -216,14 +240,17 @@ def build_order_rollup(
     orders = sold_orders(datasets["orders"])
     heavy = NO_HEAVY_KEYS
     if split_heavy_keys:
-        heavy = heavy_keys(orders, ["customer_id"])["customer_id"]
+        heavy = heavy_keys(datasets["orders"], ["customer_id"])["customer_id"]
     header = _header(datasets, orders, one_row_per_key, heavy)
-    items = datasets["order_items"].filter(F.col("order_id").isNotNull()).select("order_id", "product_id")
+    items = sold_items(datasets["order_items"], datasets["orders"])
+    items = items.filter(F.col("order_id").isNotNull()).select("order_id", "product_id")
     if "products" in datasets and "products" in one_row_per_key:
         require_unique(datasets["products"], "products", "product_id")
     elif "products" in datasets:
         copies = _catalogue(datasets).groupBy("product_id").agg(F.count("*").alias("__copies"))
-        heavy_products = heavy_keys(items, ["product_id"])["product_id"] if split_heavy_keys else NO_HEAVY_KEYS
+        heavy_products = NO_HEAVY_KEYS
+        if split_heavy_keys:
+            heavy_products = heavy_keys(datasets["order_items"], ["product_id"])["product_id"]
         items = salted_join(items, copies, "product_id", "left", heavy_products)
     if "__copies" in items.columns:
         n = F.coalesce("__copies", F.lit(1))
@@ -259,12 +286,12 @@ def build_category_rollup(
     items = datasets["order_items"]
     heavy = {c: NO_HEAVY_KEYS for c in ("order_id", "customer_id", "product_id")}
     if split_heavy_keys:
-        heavy |= heavy_keys(items, ["order_id", "product_id"]) | heavy_keys(orders, ["customer_id"])
+        heavy |= heavy_keys(items, ["order_id", "product_id"]) | heavy_keys(datasets["orders"], ["customer_id"])
     catalogue = _catalogue(datasets)
     category = category_column(catalogue)
     catalogue = catalogue.select("product_id", *dict.fromkeys(["product_category_name", category]))
     catalogue = _one_row(catalogue, "products", "product_id", one_row_per_key, *_catalogue_tables(datasets))
-    items = items.filter(F.col("order_id").isNotNull()).select("order_id", "product_id")
+    items = sold_items(items, datasets["orders"]).filter(F.col("order_id").isNotNull()).select("order_id", "product_id")
     items = salted_join(items, catalogue, "product_id", "left", heavy["product_id"])
     if "product_translation" in datasets:
         items = _translate_missing(items, datasets["product_translation"])

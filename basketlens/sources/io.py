@@ -86,6 +86,29 @@ def load_report(datasets: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def contract_report(datasets: dict[str, DataFrame]) -> DataFrame:
+    """dataset, column, required, present, row_count, value_count of every column of every contract, one scan for each table.
+
+    Absent tables have no rows in the report; absent columns no values.
+    """
+
+    def report(name: str, df: DataFrame) -> DataFrame:
+        fields = contract(name).schema
+        values = [F.count(f"`{f.name}`") if f.name in df.columns else F.lit(0).cast("long") for f in fields]
+        counted = df.agg(F.count("*").alias("row_count"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+        columns = [
+            F.struct(
+                F.lit(f.name).alias("column"), F.lit(not f.nullable).alias("required"), F.lit(f.name in df.columns).alias("present"),
+                F.col(f"v{i}").alias("value_count"),
+            )
+            for i, f in enumerate(fields)
+        ]
+        listed = counted.select("row_count", F.explode(F.array(*columns)).alias("c"))
+        return listed.select(F.lit(name).alias("dataset"), "c.column", "c.required", "c.present", "row_count", "c.value_count")
+
+    return reduce(DataFrame.unionByName, [report(name, df) for name, df in datasets.items()])
+
+
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     """The first n rows."""
     return df.limit(n)
@@ -101,3 +124,10 @@ def write_result(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errori
         df.select(flat).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         df.write.mode(mode).format(fmt).save(path)
+
+
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV result as written by write_result, with types inferred from its values; lists come back as text."""
+    raw = spark.read.option("header", True).option("escape", '"').option("nullValue", "").csv(path)
+    types = infer_types(raw, raw.columns)
+    return raw.select([typed_column(c, types[c]) for c in raw.columns])

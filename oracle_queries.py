@@ -258,6 +258,116 @@ QUARTILES = (
                    WHEN m.orders <= mid.orders THEN 'New/Low Frequency' ELSE 'Medium Value' END AS cluster_label
   FROM placed p JOIN means m USING (cluster), mid)"""
 )
+def stump(name: str, source: str, features: tuple[str, ...], y: str) -> str:
+    """CTEs {name} (the best cut of every feature) and {name}_best (the best of all) over the rows of `source`."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {i} AS place, COALESCE({c}, 0)::DOUBLE AS value, {y} AS y FROM {source}" for i, c in enumerate(features)
+    )
+    return f""", {name}_sides AS (
+  SELECT feature, place, value, LEAD(value) OVER (PARTITION BY feature ORDER BY value) AS after,
+         (SUM(n) OVER (PARTITION BY feature ORDER BY value))::DOUBLE AS ln, (SUM(y) OVER (PARTITION BY feature ORDER BY value))::DOUBLE AS ly,
+         (SUM(n) OVER (PARTITION BY feature))::DOUBLE AS an, (SUM(y) OVER (PARTITION BY feature))::DOUBLE AS ay
+  FROM (SELECT feature, place, value, COUNT(*) AS n, SUM(y) AS y FROM ({rows}) GROUP BY ALL)
+), {name} AS (
+  SELECT * FROM (
+    SELECT feature, place, (value + after) / 2 AS threshold, value, ly / ln AS left_mean, (ay - ly) / (an - ln) AS right_mean,
+           ly * ly / ln + (ay - ly) * (ay - ly) / (an - ln) - ay * ay / an AS gain
+    FROM {name}_sides WHERE after IS NOT NULL)
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY feature ORDER BY gain DESC, value) = 1
+), {name}_best AS (SELECT * FROM {name} ORDER BY gain DESC, place LIMIT 1)"""
+
+
+CHURN_INPUTS = (
+    "order_count", "total_spent", "avg_order_value", "std_order_value", "recency_days", "customer_age_days",
+    "avg_days_between_orders", "avg_shipping",
+)
+DAY_INPUTS = ("day_of_week", "day_of_month", "month", "day_num", "revenue_lag_1", "revenue_lag_7", "revenue_lag_14")
+CHURN_STUMP = (
+    SPLIT
+    + stump("cut", "(SELECT * FROM split WHERE NOT is_test)", CHURN_INPUTS, "is_churned")
+    + f""", ruled AS (
+  SELECT split.*, CASE WHEN COALESCE(CASE feature {" ".join(f"WHEN '{c}' THEN {c}::DOUBLE" for c in CHURN_INPUTS)} END, 0) <= threshold
+         THEN left_mean ELSE right_mean END AS p FROM split, cut_best)"""
+)
+DAY_STUMP = (
+    DAILY
+    + """, split AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS place, COUNT(*) OVER () AS n FROM features
+)"""
+    + stump("cut", "(SELECT * FROM split WHERE place <= FLOOR(n * 0.8))", DAY_INPUTS, f"CAST(revenue AS {MONEY})")
+    + f""", scored AS (
+  SELECT revenue AS y, CASE WHEN CASE feature {" ".join(f"WHEN '{c}' THEN {c}::DOUBLE" for c in DAY_INPUTS)} END <= threshold
+         THEN left_mean ELSE right_mean END AS p FROM split, cut_best WHERE split.place > FLOOR(n * 0.8))"""
+)
+
+POINT = ("order_count", "total_spent", "avg_order_value", "recency_days")
+CENTRES = ((1.0, 1.0, 0.0, -0.5), (-0.5, -0.5, -0.5, -0.5), (-0.5, -0.5, 1.0, 0.0), (-1.0, -1.0, 0.0, 2.0))
+
+
+def rounds(count: int) -> str:
+    """CTEs a0..a{count}: every point's nearest centre; c1..: the means of the points before."""
+    out = []
+    for r in range(count + 1):
+        far = " + ".join(f"(x{d} - c{d}) * (x{d} - c{d})" for d in range(4))
+        out.append(f""", a{r} AS (
+  SELECT customer_id, {", ".join(f"ANY_VALUE(x{d}) AS x{d}" for d in range(4))}, ARG_MIN(cluster, {far}) AS cluster
+  FROM points, c{r} GROUP BY customer_id)""")
+        out.append(f""", c{r + 1} AS (
+  SELECT c.cluster, {", ".join(f"COALESCE(AVG(x{d}), ANY_VALUE(c{d})) AS c{d}" for d in range(4))}
+  FROM c{r} c LEFT JOIN a{r} a ON a.cluster = c.cluster GROUP BY c.cluster)""")
+    return "".join(out)
+
+
+FIXED = (
+    SEG
+    + f""", points AS (
+  SELECT customer_id, {", ".join(f"COALESCE(({c} - AVG({c}) OVER ()) / COALESCE(NULLIF(STDDEV_POP({c}) OVER (), 0), 1), 0) AS x{d}" for d, c in enumerate(POINT))}
+  FROM seg
+), c0(cluster, c0, c1, c2, c3) AS (VALUES {", ".join(f"({i}, {', '.join(f'{v}::DOUBLE' for v in c)})" for i, c in enumerate(CENTRES))})"""
+    + rounds(5)
+    + """, placed AS (SELECT seg.*, a5.cluster FROM seg JOIN a5 USING (customer_id)
+), means AS (
+  SELECT cluster, AVG(total_spent) AS spent, AVG(order_count) AS orders, AVG(recency_days) AS recency FROM placed GROUP BY 1
+), mid AS (
+  SELECT quantile_cont(spent, 0.5) AS spent, quantile_cont(orders, 0.5) AS orders, quantile_cont(recency, 0.5) AS recency FROM means
+), labelled AS (
+  SELECT p.*, CASE WHEN m.spent > mid.spent AND m.orders > mid.orders THEN 'High Value'
+                   WHEN m.recency > mid.recency THEN 'Inactive'
+                   WHEN m.orders <= mid.orders THEN 'New/Low Frequency' ELSE 'Medium Value' END AS cluster_label
+  FROM placed p JOIN means m USING (cluster), mid)"""
+)
+
+# The contracts' columns by table, + where required, = where the test tables have them (with the column that holds them).
+CONTRACT_COLUMNS = {
+    "customers": ("customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
+                  "+customer_id=c_custkey customer_unique_id customer_zip_code_prefix customer_city=r_name customer_state=n_name"),
+    "orders": ("orders", "+order_id=o_orderkey +customer_id=o_custkey +order_status=o_orderstatus +order_purchase_timestamp=o_orderdate"
+               " order_approved_at order_delivered_customer_date order_estimated_delivery_date"),
+    "order_items": ("lineitem", "+order_id=l_orderkey +product_id=l_partkey +price=l_extendedprice order_item_id=l_linenumber"
+                    " seller_id=l_suppkey shipping_limit_date freight_value=l_extendedprice"),
+    "order_payments": ("orders", "+order_id=o_orderkey +payment_value=o_totalprice payment_sequential=o_orderkey"
+                       " payment_type=o_orderpriority payment_installments"),
+    "products": ("part", "+product_id=p_partkey product_category_name=p_type product_name_length product_description_length"
+                 " product_photos_qty product_weight_g product_length_cm product_height_cm product_width_cm"),
+    "product_translation": ("(SELECT DISTINCT p_type FROM part)",
+                            "+product_category_name=p_type product_category_name_english=p_type"),
+    "reviews": ("lineitem", "+order_id=l_orderkey review_id review_score=l_returnflag review_comment_title review_comment_message"
+                " review_creation_date review_answer_timestamp"),
+}
+
+
+def contract_rows() -> str:
+    rows = []
+    for table, (source, columns) in CONTRACT_COLUMNS.items():
+        for column in columns.split():
+            name, _, held = column.lstrip("+").partition("=")
+            rows.append(
+                f"SELECT '{table}' AS dataset, '{name}' AS \"column\", {column[0] == '+'} AS required, {bool(held)} AS present,"
+                f" COUNT(*) AS row_count, {f'COUNT({held})' if held else '0::BIGINT'} AS value_count FROM {source}"
+            )
+    return " UNION ALL ".join(rows)
+
+
 SHARED = TX + """, shared AS (
   SELECT *, order_total / COUNT(*) OVER (PARTITION BY order_id) AS share FROM tx)"""
 
@@ -502,4 +612,33 @@ FROM orders WHERE o_orderstatus IN ('F', 'O')""",
   UNION ALL SELECT 'state', key, metric, value FROM (UNPIVOT states ON COLUMNS(* EXCLUDE (key)) INTO NAME metric VALUE value)
   UNION ALL SELECT 'category', key, metric, value FROM (UNPIVOT categories ON COLUMNS(* EXCLUDE (key)) INTO NAME metric VALUE value)
 ) SELECT section, key, metric, ROUND(value, 4) AS value FROM page""",
+    "stump_churn_importance": CHURN_STUMP
+    + f""" SELECT f.feature, ROUND(COALESCE(gain, 0) / NULLIF((SELECT SUM(gain) FROM cut), 0), 9) AS importance
+       FROM (SELECT UNNEST([{", ".join(f"'{c}'" for c in CHURN_INPUTS)}]) AS feature) f LEFT JOIN cut USING (feature)""",
+    "stump_churn_metrics": CHURN_STUMP
+    + """ SELECT ROUND((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 9) AS accuracy,
+       ROUND(COALESCE(tp / NULLIF(tp + fp, 0)::DOUBLE, 0), 9) AS "precision",
+       ROUND(COALESCE(tp / NULLIF(tp + fn, 0)::DOUBLE, 0), 9) AS recall,
+       ROUND(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0)::DOUBLE, 0), 9) AS f1
+  FROM (SELECT COUNT(*) FILTER (is_churned = 1 AND p >= 0.5) AS tp, COUNT(*) FILTER (is_churned = 0 AND p >= 0.5) AS fp,
+               COUNT(*) FILTER (is_churned = 1 AND p < 0.5) AS fn, COUNT(*) FILTER (is_churned = 0 AND p < 0.5) AS tn
+        FROM ruled WHERE is_test)""",
+    "stump_forecast_metrics": DAY_STUMP
+    + """ SELECT ROUND(SQRT(AVG((y - p) * (y - p))), 2) AS rmse,
+       ROUND(1 - SUM((y - p) * (y - p)) / SUM((y - m) * (y - m)), 6) AS r2 FROM scored, (SELECT AVG(y) AS m FROM scored)""",
+    "fixed_kmeans_label_counts": FIXED + " SELECT cluster_label, COUNT(*) AS customers FROM labelled GROUP BY 1",
+    "fixed_kmeans_profile": FIXED
+    + """ SELECT cluster_label, COUNT(customer_id) AS customers, ROUND(AVG(total_spent), 2) AS avg_total_spent,
+       ROUND(AVG(order_count), 6) AS avg_orders, ROUND(AVG(avg_order_value), 2) AS avg_order_value,
+       ROUND(AVG(recency_days), 6) AS avg_recency FROM labelled GROUP BY 1""",
+    "contract_report": contract_rows(),
+    "exported_category_performance": TX
+    + f""" SELECT category, {dsum('order_total')} AS revenue, COUNT(DISTINCT order_id) AS orders,
+       COUNT(product_id) AS items_sold
+       FROM tx WHERE category IS NOT NULL GROUP BY 1 ORDER BY revenue DESC, category LIMIT 15""",
+    "tx_text_times": TX
+    + """, timed AS (
+  SELECT order_id, product_id, CASE order_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts)
+         WHEN 2 THEN date_trunc('minute', ts) END AS t FROM tx)
+SELECT order_id, product_id, t::TIMESTAMP AS order_purchase_timestamp, strftime(t, '%Y-%m') AS order_year_month FROM timed""",
 }
