@@ -87,3 +87,27 @@ def test_default_filter_and_display(orders):
 def test_no_itemsets_no_rules(orders):
     itemsets = basket.frequent_itemsets(orders(*[{str(i)} for i in range(20)]), 0.5)
     assert itemsets.count() == 0 and basket.association_rules(itemsets).count() == 0
+    assert basket.filtered_rules(itemsets).count() == 0
+
+
+def test_grown_rules_equal_the_filtered_list(orders):
+    sets = [{c for i, c in enumerate("abcdefg") if (n * 11 + n // 3) >> i & 1} | {"z"} for n in range(60)]
+    itemsets = basket.frequent_itemsets(orders(*sets), 0.05)
+    for confidence, lift in ((0.3, 1.0), (0.6, 1.2), (0.95, 0.0), (0.0, 0.0), (1.1, 0.0)):
+        want = basket.filter_rules(basket.association_rules(itemsets, lift), 0.05, confidence, lift)
+        got = basket.filtered_rules(itemsets, 0.05, confidence, lift)
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_branches_without_confidence_are_not_expanded(spark, monkeypatch):
+    """Twenty items, 2^20 - 2 rules; each further consequent takes a tenth of the confidence."""
+    names = [f"i{i:02}" for i in range(20)]
+    sets = [c for k in (0, 1, 2, 3) for c in combinations(names, 20 - k)] + [c for k in (1, 2) for c in combinations(names, k)]
+    itemsets = spark.createDataFrame([(list(c), 0.9 ** len(c)) for c in sets], "items array<string>, support double")
+    listed = []
+    extended = basket._extended
+    monkeypatch.setattr(basket, "_extended", lambda c: listed.append(extended(c).count()) or extended(c))
+    rules = basket.grown_rules(itemsets, 0.8, 0.0, of=itemsets.filter("size(items) = 20"))
+    assert rules.count() == 20 + 190
+    assert listed == [20, 190, 1140]  # three consequents are tried, none passes, and nothing longer is tried

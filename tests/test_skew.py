@@ -4,8 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens.operators import skew
+from basketlens.operators.keyfilter import key_words, with_partner
 from basketlens.plans import basket, clv, overview
-from basketlens.plans.transactions import build_transactions
+from basketlens.plans.transactions import (
+    build_category_rollup,
+    build_order_rollup,
+    build_transactions,
+    sold_items,
+    sold_orders,
+)
 from basketlens.sources.staging import stage
 
 N = 6000
@@ -112,3 +119,48 @@ def test_heavy_null_keys_keep_their_rows(spark):
     for values in ((None,), (1,), (1, None), (9,)):
         got = skew.salted_join(left, right, "k", "left", skew.HeavyKeys(tuple((v, 3) for v in values)))
         assert sorted((r.v, r.w) for r in got.collect()) == [(1, None), (2, None), (3, "a"), (4, "b")]
+
+
+@pytest.fixture
+def rare_sales(spark):
+    """One order in fifty is sold."""
+    n = 4000
+    status = "CASE WHEN id % 50 = 0 THEN 'shipped' WHEN id % 51 = 0 THEN NULL ELSE 'canceled' END AS order_status"
+    return {
+        "customers": stage(spark.range(60).selectExpr("id AS customer_id", "'SP' AS customer_state")),
+        "orders": stage(spark.range(n).selectExpr("id AS order_id", "id % 60 AS customer_id", status, "'2024-01-05 00:00:00' AS order_purchase_timestamp")),
+        "order_items": stage(spark.range(5 * n).selectExpr("nullif(id % 4500, 77) AS order_id", "id % 9 AS product_id", "1.5D AS price")),
+        "order_payments": stage(spark.range(n).selectExpr("id AS order_id", "id * 0.5D AS payment_value")),
+        "products": stage(spark.range(9).selectExpr("id AS product_id", "concat('c', id % 4) AS product_category_name")),
+    }
+
+
+@pytest.mark.parametrize("build", [build_transactions, build_order_rollup, build_category_rollup])
+def test_items_of_unsold_orders_go_before_they_move(rare_sales, build, monkeypatch):
+    from basketlens.plans import transactions
+
+    text = build(rare_sales)._jdf.queryExecution().executedPlan().toString()
+    assert "__bits" in text and "BroadcastHashJoin" in text
+    got = sorted(map(repr, build(rare_sales).collect()))
+    kept = sold_items(rare_sales["order_items"], rare_sales["orders"])
+    sold = rare_sales["order_items"].join(sold_orders(rare_sales["orders"]), "order_id").count()
+    # Rows that move: those of sold orders, and about one in a hundred of the others.
+    assert sold <= kept.count() < sold + 0.05 * rare_sales["order_items"].count()
+    monkeypatch.setattr(transactions, "SELECTIVE", 0.0)
+    assert "__bits" not in build(rare_sales)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, build(rare_sales).collect())) == got
+
+
+def test_no_key_is_lost_by_the_filter(spark):
+    keys = spark.range(5000).selectExpr("id * 7 AS k")
+    words, count = key_words(keys, "k", 5000)
+    assert words.count() <= count == 1251
+    assert with_partner(keys, "k", words, count).count() == 5000
+    strangers = spark.range(50_000).selectExpr("id * 7 + 1 AS k", "'x' AS `a.b`")
+    assert with_partner(strangers.select("k"), "k", words, count).count() < 2000
+    assert with_partner(spark.createDataFrame([(None,)], "k long"), "k", words, count).count() == 0
+
+
+def test_shops_that_sell_most_orders_have_no_filter(shop):
+    assert "__bits" not in build_transactions(shop)._jdf.queryExecution().executedPlan().toString()
+    assert key_words(shop["orders"].filter("order_id = 'none'"), "order_id", 0)[0].count() == 0

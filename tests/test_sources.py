@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from basketlens.sources.contracts import CONTRACTS, ContractError, missing_columns, require_minimum, validate
-from basketlens.sources.io import load_report, preview, read_dataset, write_result
+from basketlens.sources.io import contract_report, load_report, preview, read_dataset, read_result, write_result
 
 
 def test_contracts_name_the_seven_tables_and_their_required_columns():
@@ -116,3 +116,19 @@ def test_a_report_leaves_no_staged_tables(spark):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
     assert scratch_dir(spark)
+
+
+def test_contract_report_counts_values(shop):
+    report = {(r.dataset, r.column): r for r in contract_report(shop).collect()}
+    item = report["order_items", "freight_value"]
+    assert (item.required, item.present, item.row_count, item.value_count) == (False, True, 7, 6)
+    assert not report["orders", "order_approved_at"].present and report["orders", "order_id"].required
+    assert {d for d, _ in report} == set(shop)
+
+
+def test_results_come_back_with_their_types(spark, frame, tmp_path):
+    df = frame("name string, items array<string>, n bigint, share double, x string", ("a,b", ["p", "q"], 5, 0.25, None), ('say "hi"', ["r"], None, 1.0, "7"))
+    write_result(df, str(tmp_path / "out"))
+    back = read_result(spark, str(tmp_path / "out"))
+    assert dict(back.dtypes) == {"name": "string", "items": "string", "n": "bigint", "share": "double", "x": "bigint"}
+    assert sorted(map(tuple, back.collect())) == [("a,b", "p, q", 5, 0.25, None), ('say "hi"', "r", None, 1.0, 7)]
