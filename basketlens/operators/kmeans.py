@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 # Points a task holds against all centres at a time.
 BLOCK = 2048
+# Rows per centre of up to so many tasks go to the driver as they are; those of more tasks are added up before.
+PARTIALS = 64
 
 
-def _round(points: DataFrame, columns: Sequence[str], fits: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per centre of all fits, in order: points, sums of their coordinates, squared distances."""
+def _round(points: DataFrame, columns: Sequence[str], fits: Sequence[np.ndarray], add: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per centre of all fits, in order: points, sums of their coordinates, squared distances. `add`: see PARTIALS."""
     centres = np.concatenate(fits)
     stops = np.cumsum([len(f) for f in fits])
     sums = [f"s{i}" for i in range(len(columns))]
@@ -44,10 +46,14 @@ def _round(points: DataFrame, columns: Sequence[str], fits: Sequence[np.ndarray]
         yield pa.RecordBatch.from_arrays(found, ["centre", "n", "cost", *sums])
 
     schema = "centre long, n double, cost double, " + ", ".join(f"{s} double" for s in sums)
-    added = points.select(*columns).mapInArrow(run, schema).groupBy("centre")
+    found = points.select(*columns).mapInArrow(run, schema)
+    if add:
+        found = found.groupBy("centre").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
     n, moved, cost = np.zeros(len(centres)), np.zeros(centres.shape), np.zeros(len(centres))
-    for row in added.agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)]).collect():
-        n[row.centre], cost[row.centre], moved[row.centre] = row.n, row.cost, row[3:]
+    for row in found.collect():
+        n[row.centre] += row.n
+        cost[row.centre] += row.cost
+        moved[row.centre] += row[3:]
     return n, moved, cost
 
 
@@ -60,11 +66,12 @@ def lloyd(
     `points` (double columns without nulls) is read once a round: persist or stage it.
     """
     fits = [np.array(s, float) for s in starts]
+    add = points.rdd.getNumPartitions() > PARTIALS
     active = list(range(len(fits)))
     for _ in range(max_rounds):
         if not active:
             break
-        n, moved, _ = _round(points, columns, [fits[i] for i in active])
+        n, moved, _ = _round(points, columns, [fits[i] for i in active], add)
         left, place = [], 0
         for i in active:
             own = slice(place, place + len(fits[i]))
@@ -76,7 +83,7 @@ def lloyd(
                 left.append(i)
             fits[i] = new
         active = left
-    cost = _round(points, columns, fits)[2] if fits else np.zeros(0)
+    cost = _round(points, columns, fits, add)[2] if fits else np.zeros(0)
     stops = np.cumsum([0, *[len(f) for f in fits]])
     return fits, np.array([cost[a:b].sum() for a, b in zip(stops, stops[1:])])
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basketlens.operators import kmeans
 from basketlens.operators.kmeans import lloyd, nearest, seeded
 from basketlens.operators.splits import best_splits
 from basketlens.plans import churn, forecast
@@ -98,7 +99,9 @@ def plain_lloyd(x, centres, rounds):
     return centres, ((x[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
 
 
-def test_fits_that_share_passes_equal_fits_alone(spark):
+@pytest.mark.parametrize("partials", [0, 64])
+def test_fits_that_share_passes_equal_fits_alone(spark, monkeypatch, partials):
+    monkeypatch.setattr(kmeans, "PARTIALS", partials)
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(m, 1, (150, 3)) for m in (0, 4, 9)])
     df = stage(spark.createDataFrame(x.tolist(), "a double, b double, c double").repartition(5))
