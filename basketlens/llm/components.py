@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import written
+from basketlens.llm.tables import forget, written
 
 
 def _lowest(node: str, seed: int):
@@ -14,12 +14,13 @@ def _lowest(node: str, seed: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (node, component): the smallest node reachable, for every node with an edge.
+    """edges (a, b) -> (node, component): the smallest node reachable, for every node with an edge; a written table.
 
     Rounds of contraction: every node hooks onto its lowest neighbour in an order drawn anew each
     round, hooks are followed twice, and the edges between different results are the next
     round's graph. At most half the nodes of a graph are lower than all their neighbours, so it
-    shrinks at least by half or so each round. Every round's tables are written to the shared folder. Minima are
+    shrinks at least by half or so each round. Every round writes its graph and the labels so far, and
+    deletes those of the round before, so plans do not grow with the rounds. Minima are
     combined before each shuffle; a hub's edges are a join input that adaptive execution can
     split. Only whether edges are left reaches the driver.
     """
@@ -27,13 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("a", "b"), "edges")
     straight = edges.where("a <> b")
     left = written(straight.union(straight.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    alone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     found: DataFrame | None = None
     seed = 0
     while not left.isEmpty():
         seed += 1
         low = F.least(F.min(_lowest("b", seed)), _lowest("a", seed))["n"]
-        hooks = left.groupBy("a").agg(low.alias("p"))
+        hooks = written(left.groupBy("a").agg(low.alias("p")), "hooks")
         twice = hooks.join(hooks.select(F.col("a").alias("q"), F.col("p").alias("r")), F.col("p") == F.col("q"))
         twice = written(twice.select("a", F.col("r").alias("p")), "hooks")
         jumped = twice.join(twice.select(F.col("a").alias("q"), F.col("p").alias("r")), F.col("p") == F.col("q"))
@@ -41,16 +41,22 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.join(step.withColumnsRenamed({"from": "a", "to": "x"}), "a").join(
             step.withColumnsRenamed({"from": "b", "to": "y"}), "b"
         )
-        left = written(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        ends = ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        before, left = left, written(ends, "edges")
         if found is None:
-            found = step.withColumnsRenamed({"from": "node", "to": "label"})
+            labels = written(step.withColumnsRenamed({"from": "node", "to": "label"}), "labels")
         else:
-            found = found.join(step, F.col("label") == F.col("from"), "left").select(
-                "node", F.coalesce("to", "label").alias("label")
-            )
+            moved = found.join(step, F.col("label") == F.col("from"), "left")
+            labels = written(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
+        forget(before, hooks, twice, step, found)
+        found = labels
+    alone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     if found is None:
-        return alone.select("node", F.col("node").alias("component"))
-    found = written(found, "labels")
-    first = found.groupBy("label").agg(F.min("node").alias("component"))
-    out = found.join(first, "label").select("node", "component")
-    return out.union(alone.join(out, "node", "left_anti").select("node", F.col("node").alias("component")))
+        out = written(alone.select("node", F.col("node").alias("component")), "components")
+    else:
+        first = found.groupBy("label").agg(F.min("node").alias("component"))
+        named = found.join(first, "label").select("node", "component")
+        others = alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+        out = written(named.union(others), "components")
+    forget(edges, left, found)
+    return out

@@ -7,18 +7,19 @@
    is the largest symmetric difference two linked texts of the band can have. A linked
    pair then agrees on at least slack + 1 whole chunks (pigeonhole). The smaller text of a
    pair may lie in the band below, so texts near a band's upper end join the next one too.
-3. An (almost) empty chunk says little, and its key would tie many unrelated texts. Such keys
-   are left out unless a text has more than `slack` of them; then it takes part in a second
-   sketch of another hash family, and only the last family keeps all keys. A pair meets in
-   the first family in which either text has at most `slack` light chunks.
-4. Texts that share a key are joined to one of them. Inside the components of these candidate
-   links a second parity sketch, as wide as the set, is compared pair by pair; inside the
-   components of what passes, the exact sets are. Both comparisons run in blocks of bounded
-   size spread over tasks, and a pair of blocks emits a spanning forest of its links, never
-   all pairs. Equal sets are one text from the start.
-
-Chunk keys travel packed, many to a row, and are matched within parts of the key space; a
-part keeps one text per key, so its memory does not depend on how many texts share it.
+   A chunk is known by the XOR of the shingles' hashes in it, as if it had 2^64 bits, and is the text's key.
+3. A pair agrees on more than `slack` keys, so each text may leave out the `slack` first of its keys in any order
+   that is the same for all texts, and the pair still meets in one. The order: empty chunks, then keys
+   by the number of texts that hold them, most first. A passage that many texts share makes keys that many texts
+   share, and these are the ones left out.
+4. Texts that share a key that is left to both are compared with the first text of the key: by a second parity sketch, as
+   wide as the set, then exactly. What links is put together (components). Where the texts of a key are then of several classes,
+   all but those of its largest class are compared exactly with all texts of the key, in blocks of bounded size.
+   So a key of many near copies costs as many comparisons as it has texts. Links leave a block as a spanning forest. Equal sets
+   are one text from the start.
+
+Keys travel packed, many to a row, and are matched within parts of the key space; a part keeps one text per key, so its memory
+does not depend on how many texts share it, and passes on only the texts of keys that several texts hold.
 Sets are compared by 64-bit shingle hashes.
 """
 
@@ -29,21 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm.components import components
-from basketlens.llm.tables import column, narrow, prepared, written
+from basketlens.llm.tables import column, forget, narrow, prepared, written
 from basketlens.llm.words import Words, joined, mix, words
+from basketlens.operators.keyfilter import MOST_KEYS, key_words, with_partner
 
-FAMILIES = 4
 BAND = 1.5
-CHUNK_WORDS = 2  # 64-bit words of a chunk
-# Rows of a block of sketches, and of a block of sets; no block has more bytes than BLOCK_BYTES but for single rows.
-SKETCH_ROWS, SET_ROWS = 1024, 128
-BLOCK_BYTES = 1 << 20
+# Rows and bytes of a block of texts that are compared with all others of their key.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 PART_KEYS = 500_000
 HELD_KEYS = 2_000_000
+# Names of sets whose keys a task remembers to have sent.
+SENT = 200_000
 
 
 def distance_limit(total: int, percent: int) -> int:
@@ -81,16 +82,14 @@ class Layouts:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.known: dict[int, tuple[int, int, int, int]] = {}
+        self.known: dict[int, tuple[int, int, int]] = {}
 
-    def of(self, band: int) -> tuple[int, int, int, int]:
-        """Largest difference, slack, bits up to which a chunk is light, words of the whole sketch."""
+    def of(self, band: int) -> tuple[int, int, int]:
+        """Largest difference, slack, words of the whole sketch."""
         if band not in self.known:
             top = band_top(band)
             most = distance_limit(2 * top, self.percent)
-            slack = max(2, most // 8)
-            light = 1 if BAND**band >= 5 * (most + 1 + slack) else 0
-            self.known[band] = most, slack, light, max(4, -(-top * 3 // 128))
+            self.known[band] = most, max(2, most // 2), max(4, -(-top * 3 // 128))
         return self.known[band]
 
     def bands(self, n: int) -> list[int]:
@@ -101,23 +100,26 @@ class Layouts:
         largest = n * 100 // self.percent
         return [b for b in (own, own + 1) if band_of(largest) >= b and self.of(b)[0] > 0]
 
+    def chunks(self, hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+        """Keys of the chunks, without the first empty ones, and how many more keys may be left out."""
+        most, slack, _ = self.of(band)
+        count = most + 1 + slack
+        salt = np.uint64(band * 2654435761 + 1)
+        salted = mix(hashes ^ mix(np.full(1, salt))[0])
+        at = salted % np.uint64(count)
+        order = np.argsort(at, kind="stable")
+        at, salted = at[order], salted[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        names = mix(np.arange(count, dtype=np.uint64) * np.uint64(1 << 20) + salt)
+        keys = mix(names[at[first]] ^ mix(np.bitwise_xor.reduceat(salted, first)))
+        empty = count - len(first)
+        if empty <= slack:
+            return keys, slack - empty
+        bare = np.setdiff1d(np.arange(count), at[first].astype(np.int64), assume_unique=True)
+        return np.concatenate([keys, names[bare[slack:]]]), 0
+
     def keys(self, hashes: np.ndarray, band: int) -> np.ndarray:
-        most, slack, light, _ = self.of(band)
-        chunks = most + 1 + slack
-        out = []
-        for family in range(FAMILIES):
-            salt = np.uint64((band * FAMILIES + family) * 2654435761 + 1)
-            sketch = parity(mix(hashes ^ mix(np.full(1, salt))[0]), chunks * CHUNK_WORDS)
-            sketch = sketch.reshape(chunks, CHUNK_WORDS)
-            few = np.bitwise_count(sketch).sum(axis=1) <= light
-            key = mix(np.arange(chunks, dtype=np.uint64) * np.uint64(1 << 20) + salt)
-            for k in range(CHUNK_WORDS):
-                key = mix(key * np.uint64(3) + sketch[:, k])
-            done = few.sum() <= slack
-            out.append(key if family == FAMILIES - 1 and not done else key[~few])
-            if done:
-                break
-        return np.concatenate(out)
+        return self.chunks(hashes, band)[0]
 
 
 def mark_of(hashes: np.ndarray, salt: int) -> int:
@@ -152,7 +154,8 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _marked(size: int, percent: int):
-    """Per text: size of its set, a 128-bit fingerprint of it, and a sketch for each of its bands."""
+    """Per text: size of its set, a 128-bit fingerprint of it, and for each of its bands a sketch, its chunk keys and how many of
+    them it may leave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layouts = Layouts(percent)
@@ -162,8 +165,9 @@ def _marked(size: int, percent: int):
                 marks = [mark_of(s, 11) for s in sets]
                 bands = [layouts.bands(len(s)) for s in sets]
                 offsets = pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32))
+                chunks = [layouts.chunks(s, b) for s, own in zip(sets, bands) for b in own]
                 slots = _signed([slot_of(m, b) for m, own in zip(marks, bands) for b in own])
-                sketches = _binary([parity(s, layouts.of(b)[3]) for s, own in zip(sets, bands) for b in own])
+                sketches = _binary([parity(s, layouts.of(b)[2]) for s, own in zip(sets, bands) for b in own])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(part.first, part.texts),
@@ -172,29 +176,34 @@ def _marked(size: int, percent: int):
                         _signed([mark_of(s, 23) for s in sets]),
                         pa.ListArray.from_arrays(offsets, slots),
                         pa.ListArray.from_arrays(offsets, sketches),
+                        pa.ListArray.from_arrays(offsets, pa.array([spare for _, spare in chunks], pa.int32())),
+                        pa.ListArray.from_arrays(offsets, _binary([keys for keys, _ in chunks])),
                     ],
-                    ["doc_id", "n_shingles", "mark", "mark2", "slots", "sketches"],
+                    ["doc_id", "n_shingles", "mark", "mark2", "slots", "sketches", "spares", "keys"],
                 )
 
     return run
 
 
-def _packed(size: int, percent: int, parts: int):
-    """Chunk keys of many texts by part of the key space: 32 bits of the key and the text's slot."""
+def _packed(parts: int):
+    """Chunk keys of many texts by part of the key space: 32 bits of the key and the text's slot; equal sets of a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layouts = Layouts(percent)
+        sent: set[int] = set()
         for batch in batches:
-            keys, slots = [], []
-            for part in words(batch.column("text")):
-                for s in shingle_sets(part, size):
-                    for band in layouts.bands(len(s)):
-                        own = layouts.keys(s, band)
-                        keys.append(own)
-                        slots.append(np.full(len(own), slot_of(mark_of(s, 11), band), np.uint64))
-            if not keys:
+            slots, keys = batch.column("slots").flatten().to_pylist(), batch.column("keys").flatten()
+            new = []
+            for i, slot in enumerate(slots):
+                if slot not in sent:
+                    sent.add(slot)
+                    new.append(i)
+            if len(sent) > SENT:
+                sent.clear()
+            if not new:
                 continue
-            key, slot = np.concatenate(keys), np.concatenate(slots)
+            own = [np.frombuffer(keys[i].as_buffer(), np.uint64) for i in new]
+            key = np.concatenate(own)
+            slot = np.repeat(np.array([slots[i] for i in new], np.int64).view(np.uint64), [len(k) for k in own])
             home = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             at = np.searchsorted(home[order], np.arange(parts + 1))
@@ -212,184 +221,244 @@ def _packed(size: int, percent: int, parts: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part -> (a, b): each text with the first one that has the same key."""
-    held_keys: list[np.ndarray] = []
-    held_slots: list[np.ndarray] = []
-    held, now = 0, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part -> (key, slot) of the keys that several slots hold; a pair may come again."""
+    held_key, held_slot, held_sent = np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, bool)
+    new_keys: list[np.ndarray] = []
+    new_slots: list[np.ndarray] = []
+    waiting, now = 0, None
 
     def settle() -> pa.RecordBatch | None:
-        nonlocal held, held_keys, held_slots
-        if not held:
+        """Send what is known to be shared; of each key stays the first slot, and whether it was sent."""
+        nonlocal held_key, held_slot, held_sent, waiting
+        if not waiting:
             return None
-        key, slot = np.concatenate(held_keys), np.concatenate(held_slots)
-        order = np.lexsort((slot, key))
-        key, slot = key[order], slot[order]
-        first = np.r_[True, key[1:] != key[:-1]]
-        head = slot[np.flatnonzero(first)][np.cumsum(first) - 1]
-        edges = np.unique(np.stack([head, slot], axis=1)[slot != head], axis=0)
-        held_keys, held_slots, held = [key[first]], [slot[first]], int(first.sum())
-        if not len(edges):
+        key = np.concatenate([held_key, *new_keys])
+        slot = np.concatenate([held_slot, *new_slots])
+        late = np.arange(len(key)) >= len(held_key)
+        order = np.lexsort((slot, late, key))
+        key, slot, late = key[order], slot[order], late[order]
+        sent = np.zeros(len(key), bool)
+        sent[~late] = held_sent[order[~late]]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        other = slot != slot[first][group]
+        shared = np.zeros(len(first), bool)
+        shared[group[other]] = True
+        out = other.copy()
+        out[first] = shared & ~sent[first]
+        held_key, held_slot, held_sent = key[first], slot[first], sent[first] | shared
+        new_keys.clear()
+        new_slots.clear()
+        waiting = 0
+        if not out.any():
             return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(edges[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"]
-        )
+        whole = (np.int64(now) << np.int64(32)) | key[out].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(whole), pa.array(slot[out].view(np.int64))], ["key", "slot"])
 
     for batch in batches:
         for k, part in enumerate(batch.column("part").to_pylist()):
             if part != now:
                 if (out := settle()) is not None:
                     yield out
-                held_keys, held_slots, held, now = [], [], 0, part
-            held_keys.append(np.frombuffer(batch.column("keys")[k].as_py(), np.uint32))
-            held_slots.append(np.frombuffer(batch.column("slots")[k].as_py(), np.uint64))
-            held += len(held_keys[-1])
-            if held > HELD_KEYS + len(held_keys[0]):
+                held_key, held_slot, held_sent, now = held_key[:0], held_slot[:0], held_sent[:0], part
+            new_keys.append(np.frombuffer(batch.column("keys")[k].as_py(), np.uint32))
+            new_slots.append(np.frombuffer(batch.column("slots")[k].as_py(), np.uint64))
+            waiting += len(new_keys[-1])
+            if waiting > HELD_KEYS:
                 if (out := settle()) is not None:
                     yield out
     if (out := settle()) is not None:
         yield out
 
 
+def shared_keys(marked: DataFrame, expected: int) -> DataFrame:
+    """(key, slot) of all keys that several different sets hold, of some `expected` keys; a written table."""
+    parts = max(8, -(-expected // PART_KEYS))
+    packed = marked.select("slots", "keys").mapInArrow(_packed(parts), "part long, keys binary, slots binary")
+    rows = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "key long, slot long")
+    return written(rows.distinct(), "shared-keys")
+
+
+def rare_keys(shared: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, slot, node) without the `spare` most frequent keys of each slot; a written table.
+
+    Keys that nobody shares come last in the order of frequency, so leaving them out of `shared` changes nothing.
+    """
+    counts = written(shared.groupBy("key").agg(F.count("*").alias("texts")), "key-counts")
+    listed = shared.join(counts, "key").join(entries.select("slot", "node", "spare"), "slot")
+    # A slot has as many rows as its text has chunks at most.
+    place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("texts"), "key"))
+    out = written(listed.withColumn("place", place).where("place > spare").select("key", "slot", "node"), "keys")
+    forget(counts)
+    return out
+
+
+def _near(percent: int):
+    """Pairs (a, b, their sizes and sketches) whose sketches do not rule a link out -> (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketches = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64) for c in ("held_a", "held_b")]
+            ends = np.cumsum([len(x) // 8 for x in batch.column("held_a").to_pylist()])
+            differing = np.cumsum(np.r_[0, np.bitwise_count(sketches[0] ^ sketches[1]).astype(np.int64)])
+            distance = differing[ends] - differing[np.r_[0, ends[:-1]]]
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            close = distance <= total * (100 - percent) // (100 + percent)
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    return run
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets (distinct hashes) link."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _linked(percent: int):
+    """Pairs (a, b, their sets) -> the linked ones (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c) for c in ("held_a", "held_b"))
+            keep = [
+                linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(left, right)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _sets(size: int):
+    """(node, text) -> (node, held): the text's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words(batch.column("text")):
                 sets = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("node").slice(part.first, part.texts),
-                        batch.column("group").slice(part.first, part.texts),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        _binary(sets),
-                    ],
-                    ["node", "group", "n", "held"],
+                    [batch.column("node").slice(part.first, part.texts), _binary(sets)], ["node", "held"]
                 )
 
     return run
 
 
-def links_between(
-    held: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, nodes: list[int], percent: int, exact: bool
-) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one block pair.
-
-    `held` has sets (exact) or sketches, of which those of one length are compared. side is 0 or
-    1; if both occur only pairs across count, for pairs within a block are compared in the
-    block's own group.
-    """
-    order = np.argsort(sizes, kind="stable")
-    sizes, side = sizes[order], side[order]
-    held = [held[i] for i in order]
-    across = side.min() != side.max()
-    if exact:
-        width = max(4, int(sizes[-1]) // 16)
-        sketch = np.stack([parity(s, width) for s in held])
-    else:
-        sketch = np.stack(held)
-    parent = list(range(len(order)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    found = []
-    for i in range(len(order) - 1):
-        last = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-        if last <= i + 1:
-            continue
-        total = sizes[i] + sizes[i + 1 : last]
-        near = np.bitwise_count(sketch[i + 1 : last] ^ sketch[i]).sum(axis=1) <= total * (100 - percent) // (100 + percent)
-        if across:
-            near &= side[i + 1 : last] != side[i]
-        for j in np.flatnonzero(near) + i + 1:
-            a, b = root(i), root(int(j))
-            if a == b:
-                continue
-            if exact:
-                shared = len(np.intersect1d(held[i], held[j], assume_unique=True))
-                if 100 * shared < percent * (sizes[i] + sizes[j] - shared):
-                    continue
-            parent[b] = a
-            found.append((nodes[order[i]], nodes[order[j]]))
-    return found
-
-
-def _compare(percent: int, exact: bool):
-    """Rows arrive sorted by (group, block, other): one block pair after the other."""
+def _pairs_with(pairs: DataFrame, sides: DataFrame, on: str, *columns: str) -> DataFrame:
+    """pairs with the columns of both ends, as <column>_a and <column>_b; `on` names the ends' column of `sides`."""
+    for end in ("a", "b"):
+        side = sides.select(F.col(on).alias(f"__{end}"), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        pairs = pairs.join(side, F.col(end) == F.col(f"__{end}")).drop(f"__{end}")
+    return pairs
+
+
+def head_links(keys: DataFrame, entries: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the first text of each key with the others of it; and the sets of all texts of `keys`. Written tables."""
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("slot").alias("a"))).alias("first")
+    heads = written(keys.groupBy("key").agg(first, F.count("*").alias("texts")).where("texts > 1").select("key", "first.a"), "heads")
+    pairs = written(keys.join(heads, "key").where("slot <> a").select("a", F.col("slot").alias("b")).distinct(), "pairs")
+    near = _pairs_with(pairs, entries, "slot", "node", "n", "held")
+    near = near.drop("a", "b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
+    near = written(near.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
+    # Only texts with a shared key are moved; which they are is known to a filter of bounded size, if they are not too many for it.
+    nodes = written(keys.join(heads, "key", "left_semi").select("node").distinct(), "nodes")
+    count = nodes.count()
+    if count <= MOST_KEYS:
+        texts = with_partner(texts, "doc_id", *key_words(nodes, "node", count))
+    wanted = texts.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
+    # An id whose rows hold several sets has a row for each; it links if any of them does.
+    sets = written(wanted.mapInArrow(_sets(size), "node long, held binary"), "sets")
+    links = _pairs_with(near, sets, "node", "held").mapInArrow(_linked(percent), "a long, b long")
+    links = written(links.distinct(), "links")
+    forget(heads, pairs, near, nodes)
+    return links, sets
+
+
+def _rest(percent: int):
+    """Rows sorted by (key, block, other) -> links (a, b): the block's own rows (other 0) against all that follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, bytes]] = []
-        key = None
-
-        def compare() -> pa.RecordBatch | None:
-            if len(rows) < 2:
-                return None
-            node, side, n, held = zip(*rows)
-            found = links_between(
-                [np.frombuffer(h, np.uint64) for h in held], np.array(n), np.array(side), list(node), percent, exact
-            )
-            if not found:
-                return None
-            a, b = zip(*found)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        now = None
+        own: list[tuple[int, int, np.ndarray]] = []
+        sizes = sketch = None
+        width = 0
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
 
         for batch in batches:
-            for group, block, other, *row in zip(
-                *(batch.column(c).to_pylist() for c in ("group", "block", "other", "node", "side", "n", "held"))
-            ):
-                if key != (group, block, other):
-                    if (out := compare()) is not None:
-                        yield out
-                    rows, key = [], (group, block, other)
-                rows.append(tuple(row))
-        if (out := compare()) is not None:
-            yield out
+            found = []
+            for key, block, other, node, label, held in zip(*(batch.column(c) for c in ("key", "block", "other", "node", "label", "held"))):
+                here = key.as_py(), block.as_py()
+                if here != now:
+                    now, own, sketch = here, [], None
+                    parent.clear()
+                row = node.as_py(), label.as_py(), np.frombuffer(held.as_py(), np.uint64)
+                if not other.as_py():
+                    own.append(row)
+                    continue
+                if not own:
+                    continue
+                if sketch is None:
+                    sizes = np.array([len(h) for *_, h in own])
+                    width = max(4, int(sizes.max()) // 16)
+                    sketch = np.stack([parity(h, width) for *_, h in own])
+                n = len(row[2])
+                total = sizes + n
+                near = np.bitwise_count(sketch ^ parity(row[2], width)).sum(axis=1) <= total * (100 - percent) // (100 + percent)
+                near &= (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                for i in np.flatnonzero(near):
+                    a, b = root(own[i][1]), root(row[1])
+                    if a != b and linked(own[i][2], row[2], percent):
+                        parent[b] = a
+                        found.append((own[i][0], row[0]))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def compared(members: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """members (group, node, n, held) -> links (a, b) that connect what is connected within groups.
+def rest_links(keys: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the texts of a key that are of different classes (node, component) so far; a written table.
 
-    A group is dealt into blocks by a hash of the node, about SKETCH_ROWS or SET_ROWS rows and
-    BLOCK_BYTES bytes each, and every pair of its blocks is compared somewhere.
+    Of each key all texts but those of its largest class are dealt into blocks, by a hash of the node; a block is compared with all
+    texts of the key. Where one class has all texts of a key there is nothing to do.
     """
-    block_rows = SET_ROWS if exact else SKETCH_ROWS
-    members = written(members, "members")
-    sizes = members.groupBy(F.col("group").alias("of")).agg(
-        F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.octet_length("held")) / BLOCK_BYTES)).alias("blocks"),
-        F.count("*").alias("rows"),
+    labelled = written(keys.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled")
+    counts = written(labelled.groupBy("key", "label").agg(F.count("*").alias("texts")), "label-counts")
+    kept = counts.groupBy("key").agg(
+        F.max_by("label", F.struct("texts", "label")).alias("main"),
+        (F.sum("texts") - F.max("texts")).alias("others"),
+        F.count("*").alias("labels"),
     )
-    dealt = (
-        members.join(sizes.where("rows > 1"), F.col("group") == F.col("of"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("partner"))
-        .select(
-            "group",
-            F.least("own", "partner").alias("block"),
-            F.greatest("own", "partner").alias("other"),
-            "node",
-            F.when(F.col("own") > F.col("partner"), 1).otherwise(0).alias("side"),
-            "n",
-            "held",
-        )
+    kept = written(kept.where("labels > 1"), "mixed-keys")
+    rows = labelled.join(kept, "key").join(sets.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
+    small = rows.where("label <> main").groupBy(F.col("key").alias("__key")).agg(F.sum(F.octet_length("held")).alias("bytes"))
+    small = written(small, "key-bytes")
+    blocks = F.ceil(F.greatest(F.col("others") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = rows.join(small, F.col("key") == F.col("__key")).withColumn("blocks", F.greatest(blocks, F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # A text is compared with every block; those outside the largest class also make up a block.
+    places = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("other"))
     )
-    return (
-        dealt.repartition("group", "block", "other")
-        .sortWithinPartitions("group", "block", "other")
-        .mapInArrow(_compare(percent, exact), "a long, b long")
+    itself = F.array(F.struct(own.alias("block"), F.lit(0).alias("other")))
+    dealt = rows.withColumn("place", F.explode(F.when(F.col("label") != F.col("main"), F.concat(itself, places)).otherwise(places)))
+    dealt = dealt.select("key", "place.block", "place.other", "node", "label", "held")
+    links = (
+        dealt.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(_rest(percent), "a long, b long")
     )
-
-
-def candidate_slots(texts: DataFrame, keys: int, size: int, percent: int) -> DataFrame:
-    """(node, component) over slots: sets of one band that a chain of shared keys ties together."""
-    parts = max(8, -(-keys // PART_KEYS))
-    packed = texts.select("text").mapInArrow(_packed(size, percent, parts), "part long, keys binary, slots binary")
-    stars = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_stars, "a long, b long")
-    return components(stars)
+    out = written(links.distinct(), "links")
+    forget(labelled, counts, kept, small)
+    return out
 
 
 def jaccard_components(
@@ -409,56 +478,46 @@ def jaccard_components(
     marked = written(
         texts.mapInArrow(
             _marked(shingle, percent),
-            "doc_id long, n_shingles long, mark long, mark2 long, slots array<long>, sketches array<binary>",
+            "doc_id long, n_shingles long, mark long, mark2 long, slots array<long>, sketches array<binary>, spares array<int>,"
+            " keys array<binary>",
         ),
         "marked",
     )
     marks = ["n_shingles", "mark", "mark2"]
+    rows = written(marked.select("doc_id", *marks), "rows")
+    # Texts without id are compared with nothing.
     named = marked.where("n_shingles > 0 and doc_id is not null")
     same = written(named.groupBy(*marks).agg(F.min("doc_id").alias("node")), "same")
-    # Texts without id are compared with nothing; a key for every few shingles is expected.
+    # One row of each set, though its id may have rows of other sets too.
+    of_set = named.join(same.withColumnRenamed("node", "doc_id"), [*marks, "doc_id"]).dropDuplicates([*marks])
+    entries = of_set.select("doc_id", "n_shingles", F.explode(F.arrays_zip("slots", "sketches", "spares")).alias("s")).select(
+        F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.col("s.slots").alias("slot"),
+        F.col("s.sketches").alias("held"), F.col("s.spares").alias("spare"),
+    )
+    entries = written(entries, "entries")
+    count = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = shared_keys(named, count * (100 - percent) // 40)
+    forget(marked)
+    keys = rare_keys(shared, entries)
+    forget(shared)
     keyed = texts.where("doc_id is not null and text is not null")
-    keys = (marked.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - percent) // 50
-    loose = candidate_slots(keyed, keys, shingle, percent)
-    sketches = (
-        named.join(same.withColumnRenamed("node", "doc_id"), [*marks, "doc_id"])
-        .select("doc_id", "n_shingles", F.explode(F.arrays_zip("slots", "sketches")).alias("s"))
-        .select("doc_id", "n_shingles", F.col("s.slots").alias("slot"), F.col("s.sketches").alias("held"))
-    )
-    near = components(
-        compared(
-            sketches.join(loose, F.col("slot") == F.col("node")).select(
-                # Sketches of one width are of one band.
-                F.xxhash64("component", F.octet_length("held")).alias("group"),
-                F.col("doc_id").alias("node"),
-                F.col("n_shingles").alias("n"),
-                "held",
-            ),
-            percent,
-            exact=False,
-        )
-    )
-    members = near.join(keyed, F.col("node") == F.col("doc_id")).select(
-        "node", F.col("component").alias("group"), "text"
-    )
-    found = components(
-        compared(
-            members.mapInArrow(_sets(shingle), "node long, group long, n long, held binary"), percent, exact=True
-        )
-    )
-    classes = (
-        same.join(found, "node", "left")
-        .select(*marks, F.coalesce("component", "node").alias("component_id"))
-    )
-    return (
-        marked.select("doc_id", *marks)
-        .join(classes, marks, "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        )
+    links, sets = head_links(keys, entries, keyed, shingle, percent)
+    forget(entries)
+    classes = components(links)
+    more = rest_links(keys, classes, sets, percent)
+    forget(keys, sets)
+    if not more.isEmpty():
+        forget(classes)
+        classes = components(links.union(more))
+    found = same.join(classes, "node", "left").select(*marks, F.coalesce("component", "node").alias("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = written(
+        rows.join(found, marks, "left")
+        .select("doc_id", "n_shingles", component.alias("component_id")),
+        "classes",
     )
+    forget(rows, same, links, more, classes)
+    return out
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -66,6 +66,34 @@ def test_many_copies_and_a_shared_passage(spark):
     assert all(classes[1000 + i] == 1000 + i for i in range(400))
 
 
+@pytest.mark.parametrize("percent, shared", [(80, 60), (80, 110), (90, 150)])
+def test_a_passage_in_thousands_of_texts_ties_none_of_them(spark, percent, shared):
+    """5,000 texts that share a passage, just below the threshold with the longest ones, and a few near copies among them."""
+    rng = random.Random(shared)
+    passage = [f"p{i}" for i in range(shared)]
+    rows = []
+    for i in range(5000):
+        own = [f"x{rng.randrange(10**9)}" for _ in range(30)]
+        rows.append((i, " ".join(passage + own)))
+    near = [(10_000 + i, rows[i * 7][1] + f" more{i}") for i in range(40)]
+    df = spark.createDataFrame(rows + near, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard_components(df, percent=percent).collect()}
+    assert {i: c for i, c in got.items() if i < 10_000} == {i: i for i in range(5000)}
+    assert all(got[10_000 + i] == i * 7 for i in range(40))
+
+
+def test_a_large_group_of_near_copies_is_one_class(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        words[rng.randrange(120)] = f"y{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_odd_rows(odd, none):
     got = sorted((tuple(r) for r in jaccard_components(odd).collect()), key=repr)
     n = 40_000 - 2
