@@ -14,8 +14,9 @@
    share, and these are the ones left out.
 4. Texts that share a key that is left to both are compared with the first text of the key: by a second parity sketch, as
    wide as the set, then exactly. What links is put together (components). Where the texts of a key are then of several classes,
-   all but those of its largest class are compared exactly with all texts of the key, in blocks of bounded size.
-   So a key of many near copies costs as many comparisons as it has texts. Links leave a block as a spanning forest. Equal sets
+   those outside its largest class are compared with all texts of the key that are of other classes than they: up to HEADS of them
+   as pairs, which many keys have in common and are compared once; more of them in blocks of bounded size,
+   which links leave as a spanning forest. So a key of many near copies costs as many comparisons as it has texts. Equal sets
    are one text from the start.
 
 Keys travel packed, many to a row, and are matched within parts of the key space; a part keeps one text per key, so its memory
@@ -41,6 +42,8 @@ from basketlens.operators.keyfilter import MOST_KEYS, key_words, with_partner
 BAND = 1.5
 # Rows and bytes of a block of texts that are compared with all others of their key.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
+# Texts outside the largest class of a key that are compared pair by pair.
+HEADS = 16
 PART_KEYS = 500_000
 HELD_KEYS = 2_000_000
 # Names of sets whose keys a task remembers to have sent.
@@ -355,26 +358,42 @@ def _pairs_with(pairs: DataFrame, sides: DataFrame, on: str, *columns: str) -> D
     return pairs
 
 
-def head_links(keys: DataFrame, entries: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of the first text of each key with the others of it; and the sets of all texts of `keys`. Written tables."""
+def head_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): slots that share a key, a being the first of the key's texts."""
     first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("slot").alias("a"))).alias("first")
-    heads = written(keys.groupBy("key").agg(first, F.count("*").alias("texts")).where("texts > 1").select("key", "first.a"), "heads")
-    pairs = written(keys.join(heads, "key").where("slot <> a").select("a", F.col("slot").alias("b")).distinct(), "pairs")
-    near = _pairs_with(pairs, entries, "slot", "node", "n", "held")
-    near = near.drop("a", "b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
-    near = written(near.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
-    # Only texts with a shared key are moved; which they are is known to a filter of bounded size, if they are not too many for it.
-    nodes = written(keys.join(heads, "key", "left_semi").select("node").distinct(), "nodes")
+    heads = keys.groupBy("key").agg(first, F.count("*").alias("texts")).where("texts > 1").select("key", "first.a")
+    heads = written(heads, "heads")
+    out = written(keys.join(heads, "key").where("slot <> a").select("a", F.col("slot").alias("b")).distinct(), "pairs")
+    forget(heads)
+    return out
+
+
+def sets_of(pairs: DataFrame, entries: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, held): the sets of all texts that occur in pairs of slots; a written table.
+
+    Only these texts are moved; which they are is known to a filter of bounded size, if they are not too many for it.
+    """
+    slots = pairs.select("a").union(pairs.select("b")).distinct()
+    nodes = written(entries.join(slots, F.col("slot") == F.col("a")).select("node").distinct(), "nodes")
     count = nodes.count()
     if count <= MOST_KEYS:
         texts = with_partner(texts, "doc_id", *key_words(nodes, "node", count))
     wanted = texts.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
     # An id whose rows hold several sets has a row for each; it links if any of them does.
     sets = written(wanted.mapInArrow(_sets(size), "node long, held binary"), "sets")
+    forget(nodes)
+    return sets
+
+
+def links_of(pairs: DataFrame, entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b, nodes) among pairs of slots; a written table."""
+    near = _pairs_with(pairs, entries, "slot", "node", "n", "held")
+    near = near.drop("a", "b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
+    near = written(near.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
     links = _pairs_with(near, sets, "node", "held").mapInArrow(_linked(percent), "a long, b long")
     links = written(links.distinct(), "links")
-    forget(heads, pairs, near, nodes)
-    return links, sets
+    forget(near)
+    return links
 
 
 def _rest(percent: int):
@@ -426,21 +445,43 @@ def _rest(percent: int):
     return run
 
 
-def rest_links(keys: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the texts of a key that are of different classes (node, component) so far; a written table.
+def mixed_keys(keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, slot, node, label, main, others) of the texts of keys with several classes (node, component) so far; a written table.
 
-    Of each key all texts but those of its largest class are dealt into blocks, by a hash of the node; a block is compared with all
-    texts of the key. Where one class has all texts of a key there is nothing to do.
+    `main` is the key's largest class, `others` the number of texts outside it.
     """
-    labelled = written(keys.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled")
+    labelled = keys.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = written(labelled, "labelled")
     counts = written(labelled.groupBy("key", "label").agg(F.count("*").alias("texts")), "label-counts")
     kept = counts.groupBy("key").agg(
         F.max_by("label", F.struct("texts", "label")).alias("main"),
         (F.sum("texts") - F.max("texts")).alias("others"),
         F.count("*").alias("labels"),
     )
-    kept = written(kept.where("labels > 1"), "mixed-keys")
-    rows = labelled.join(kept, "key").join(sets.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
+    kept = written(kept.where("labels > 1").drop("labels"), "mixed-keys")
+    out = written(labelled.join(kept, "key"), "mixed")
+    forget(labelled, counts, kept)
+    return out
+
+
+def other_pairs(mixed: DataFrame) -> DataFrame:
+    """(a, b): slots of a key that are of different classes, one outside the largest; keys with at most HEADS such texts."""
+    few = mixed.where(F.col("others") <= HEADS)
+    heads = few.where("label <> main").select(F.col("key").alias("of"), F.col("slot").alias("x"), F.col("label").alias("class"))
+    heads = written(heads, "heads")
+    met = few.join(heads, F.col("key") == F.col("of")).where(F.col("label") != F.col("class"))
+    out = written(met.select(F.least("x", "slot").alias("a"), F.greatest("x", "slot").alias("b")).distinct(), "pairs")
+    forget(heads)
+    return out
+
+
+def rest_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within keys with more than HEADS texts outside their largest class; a written table.
+
+    These texts are dealt into blocks, by a hash of the node, and a block is compared with all texts of the key.
+    """
+    rows = mixed.where(F.col("others") > HEADS)
+    rows = rows.join(sets.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
     small = rows.where("label <> main").groupBy(F.col("key").alias("__key")).agg(F.sum(F.octet_length("held")).alias("bytes"))
     small = written(small, "key-bytes")
     blocks = F.ceil(F.greatest(F.col("others") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
@@ -457,7 +498,7 @@ def rest_links(keys: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
         dealt.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(_rest(percent), "a long, b long")
     )
     out = written(links.distinct(), "links")
-    forget(labelled, counts, kept, small)
+    forget(small)
     return out
 
 
@@ -501,14 +542,19 @@ def jaccard_components(
     keys = rare_keys(shared, entries)
     forget(shared)
     keyed = texts.where("doc_id is not null and text is not null")
-    links, sets = head_links(keys, entries, keyed, shingle, percent)
-    forget(entries)
+    pairs = head_pairs(keys)
+    sets = sets_of(pairs, entries, keyed, shingle)
+    links = links_of(pairs, entries, sets, percent)
     classes = components(links)
-    more = rest_links(keys, classes, sets, percent)
-    forget(keys, sets)
-    if not more.isEmpty():
+    mixed = mixed_keys(keys, classes)
+    forget(keys, pairs)
+    pairs = other_pairs(mixed)
+    more = [links_of(pairs, entries, sets, percent), rest_links(mixed, sets, percent)]
+    forget(pairs, mixed, sets, entries)
+    found_links = links.union(more[0]).union(more[1])
+    if not (more[0].isEmpty() and more[1].isEmpty()):
         forget(classes)
-        classes = components(links.union(more))
+        classes = components(found_links)
     found = same.join(classes, "node", "left").select(*marks, F.coalesce("component", "node").alias("component_id"))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = written(
@@ -516,7 +562,7 @@ def jaccard_components(
         .select("doc_id", "n_shingles", component.alias("component_id")),
         "classes",
     )
-    forget(rows, same, links, more, classes)
+    forget(rows, same, links, *more, classes)
     return out
 
 

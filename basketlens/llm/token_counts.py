@@ -8,7 +8,7 @@ spelt in byte pieces, so it counts its UTF-8 bytes. These are the rules of the t
 Unigram model with byte fallback, behind a Metaspace pre-tokenizer that splits.
 
 A space begins a word and no piece spans two, so texts are counted word by word, and
-words already met are looked up.
+short words already met are looked up. A text without spaces, however long, is one word and is counted in one pass.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from basketlens.llm.tables import narrow, prepared
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
+# Words whose numbers a worker keeps, none longer than LONGEST_CACHED characters.
 CACHED_WORDS = 500_000
+LONGEST_CACHED = 32
 BAR = "▁"
 
 _counters: dict[str, Counter] = {}
@@ -111,8 +113,8 @@ class Counter:
         fresh = {w: self.word(BAR + w) for w in set(words).difference(known)}
         if len(known) + len(fresh) > CACHED_WORDS:
             return sum([known[w] if w in known else fresh[w] for w in words])
-        known.update(fresh)
-        return sum([known[w] for w in words])
+        known.update({w: n for w, n in fresh.items() if len(w) <= LONGEST_CACHED})
+        return sum([known[w] if w in known else fresh[w] for w in words])
 
 
 def token_counts(

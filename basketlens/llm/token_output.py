@@ -7,7 +7,8 @@ and `tokens`, the compressed wavelet matrix, which by itself answers access, cou
 lookups. Spark's committer makes a shard appear once however often its task runs.
 
 Encoding splits texts at ASCII white space, which no token of this tokenizer spans (its
-pre-tokenizer drops white space), and keeps the ids of words already met.
+pre-tokenizer drops white space). The words of a group of texts become a dictionary and an array of numbers, so that only different words are
+looked up, among those already met, or encoded; the ids of all texts are then taken from these by offset.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,11 @@ from basketlens.llm.wavelet import WaveletMatrix
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 18
+# Words whose ids a worker keeps, none longer than CACHED_BYTES: 200 MB at most.
 CACHED_WORDS = 1_000_000
-PIECE_BYTES = 1 << 20
+CACHED_BYTES = 64
+# Bytes of a group of texts; longer texts are cut at white space.
+PIECE_BYTES = 1 << 22
 
 _SPACE = re.compile(rb"[ \t-\r]")
 _encoders: dict[str, Encoder] = {}
@@ -45,7 +50,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of a text, word by word; bounded memory for words already met."""
+    """Ids of texts, by their different words; bounded memory for words already met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +59,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -64,20 +69,24 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian integers of self.kind."""
-        return next(self.encode_all([text]))
-
-    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text; new words of a group of texts are encoded together."""
+        return b"".join(ids.tobytes() for ids, _ in self.encode_all(pa.array([text.decode()], pa.large_string())))
+
+    def encode_all(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, their number by text) of successive groups of texts, the id `end` after each; a long text makes its own group."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        if not len(texts):
+            return
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         at = 0
         while at < len(texts):
-            stop, size = at + 1, len(texts[at])
-            while stop < len(texts) and size + len(texts[stop]) <= PIECE_BYTES:
-                size += len(texts[stop])
-                stop += 1
-            if size > PIECE_BYTES:
-                yield b"".join(code for piece in self._pieces(texts[at]) for code in self._codes([piece.split()]))
+            stop = int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1
+            if stop > at:
+                yield self._group(texts[at:stop], end)
             else:
-                yield from self._codes([t.split() for t in texts[at:stop]])
+                stop = at + 1
+                pieces = [self._group(pa.array([p], pa.large_binary()).cast(pa.large_string()), None)[0] for p in self._pieces(texts[at].as_buffer().to_pybytes())]
+                ids = np.concatenate([*pieces, np.array([] if end is None else [end], self.kind)])
+                yield ids, np.array([len(ids)])
             at = stop
 
     @staticmethod
@@ -92,59 +101,104 @@ class Encoder:
             yield text[at:stop]
             at = stop
 
-    def _codes(self, groups: list[list[bytes]]) -> list[bytes]:
+    def _group(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        codes = self._codes(words.dictionary.to_pylist())
+        stops = lists.offsets.to_numpy().astype(np.int64)
+        stops -= stops[0]
+        number = words.indices.to_numpy()
+        if end is not None:
+            # The end id is one word more, after the last of each text.
+            number = np.insert(number, stops[1:], len(codes))
+            stops = stops + np.arange(len(stops))
+            codes.append(np.array([end], self.kind).tobytes())
+        width = np.dtype(self.kind).itemsize
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // width
+        ids = np.frombuffer(b"".join(codes), self.kind)
+        taken = size[number]
+        reached = np.cumsum(taken)
+        # Place in `ids` of every id of the group, word by word.
+        place = np.repeat((np.cumsum(size) - size)[number] - (reached - taken), taken)
+        place += np.arange(len(place))
+        upto = np.concatenate([[0], reached])[stops]
+        return ids[place], np.diff(upto)
+
+    def _codes(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
         known = self.known
-        new = list(set().union(*groups).difference(known))
+        codes = [known.get(w) for w in words]
+        new = [i for i, c in enumerate(codes) if c is None]
         if new:
-            codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: array(self.code, c.ids).tobytes() for w, c in zip(new, codes)}
-            if len(known) + len(fresh) > CACHED_WORDS:
-                # Full: what is known stays, as frequent words come early.
-                return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in groups]
-            known.update(fresh)
-        return [b"".join([known[w] for w in words]) for words in groups]
+            found = self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)
+            # Once full, what is known stays, as frequent words come early.
+            room = len(known) + len(new) <= CACHED_WORDS
+            for i, c in zip(new, found):
+                codes[i] = array(self.code, c.ids).tobytes()
+                if room and len(words[i]) <= CACHED_BYTES // 4:
+                    known[words[i]] = codes[i]
+        return codes
+
 
+def _sharded(path: str, end_id: int, shard_tokens: int, in_place: bool):
+    """Shards of rows (doc_id, text) in the order they come; named by their task and number or, in place, by file and first row."""
 
-def _sharded(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        end = np.array([end_id], encoder.kind).tobytes()
-        part, shard = TaskContext.get().partitionId(), 0
-        ids: list = []
-        codes: list[bytes] = []
+        part = TaskContext.get().partitionId()
+        shard = 0
+        now: str | None = None
+        row = 0
+        ids: list[np.ndarray] = []
+        docs: list = []
+        lengths: list[int] = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            width = np.dtype(encoder.kind).itemsize
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(codes), encoder.kind))
+            matrix = WaveletMatrix.build(np.concatenate(ids))
             return pa.RecordBatch.from_arrays(
                 [
+                    pa.array([now or ""]),
                     pa.array([part], pa.int64()),
                     pa.array([shard], pa.int64()),
                     pa.array([matrix.n], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([[len(c) // width for c in codes]], pa.list_(pa.int64())),
+                    pa.array([docs], pa.list_(pa.int64())),
+                    pa.array([lengths], pa.list_(pa.int64())),
                     pa.array([matrix.to_bytes()], pa.binary()),
                 ],
-                ["part", "shard", "n_tokens", "doc_ids", "lengths", "tokens"],
+                ["file", "part", "shard", "n_tokens", "doc_ids", "lengths", "tokens"],
             )
 
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            for doc_id, code in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts)):
-                codes.append(code + end)
-                ids.append(doc_id)
-                held += len(codes[-1]) // np.dtype(encoder.kind).itemsize
-                if held >= shard_tokens:
-                    yield close()
-                    ids, codes, held, shard = [], [], 0, shard + 1
-        if codes:
+            at = 0
+            for found, sizes in encoder.encode_all(batch.column("text"), end_id):
+                stops = np.cumsum(sizes)
+                for k, (start, stop) in enumerate(zip(stops - sizes, stops)):
+                    if in_place:
+                        # Rows that do not follow each other in one file cannot share a shard.
+                        here = batch.column("file")[at + k].as_py(), batch.column("row")[at + k].as_py()
+                        if here != (now, row + 1) and docs:
+                            yield close()
+                            ids, docs, lengths, held = [], [], [], 0
+                        if not docs:
+                            part, shard = batch.column("number")[at + k].as_py(), here[1]
+                        now, row = here
+                    ids.append(found[start:stop])
+                    docs.append(batch.column("doc_id")[at + k].as_py())
+                    lengths.append(int(stop - start))
+                    held += lengths[-1]
+                    if held >= shard_tokens:
+                        yield close()
+                        ids, docs, lengths, held = [], [], [], 0
+                        shard += 1
+                at += len(sizes)
+        if docs:
             yield close()
 
     return run
 
 
-SHARD_SCHEMA = "part long, shard long, n_tokens long, doc_ids array<long>, lengths array<long>, tokens binary"
+SHARD_SCHEMA = "file string, part long, shard long, n_tokens long, doc_ids array<long>, lengths array<long>, tokens binary"
 
 
 def write_shards(
@@ -164,21 +218,46 @@ def write_shards(
     names = [f"__{i}" for i in range(len(order))]
     dealt = rows.repartitionByRange(*names).sortWithinPartitions(*names, "text")
     shards = dealt.select("doc_id", "text").mapInArrow(
-        _sharded(tokenizer or tokenizer_path(), end_id, shard_tokens), SHARD_SCHEMA
+        _sharded(tokenizer or tokenizer_path(), end_id, shard_tokens, False), SHARD_SCHEMA
     )
     shards.write.option("compression", "none").parquet(path)
 
 
+def write_shards_in_place(
+    df: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str | None = None,
+    end_id: int = END_ID,
+    shard_tokens: int = SHARD_TOKENS,
+) -> None:
+    """Write the documents of df, read from files, in the order in which the rows lie there. Nothing is moved."""
+    prepared(df.sparkSession)
+    at = df.metadataColumn("_metadata")
+    rows = df.select(
+        F.regexp_extract(at["file_name"], r"part-(\d+)", 1).cast("long").alias("number"),
+        at["file_name"].alias("file"),
+        at["row_index"].alias("row"),
+        column(id_col).cast("long").alias("doc_id"),
+        column(text_col).cast("string").alias("text"),
+    )
+    shards = rows.mapInArrow(_sharded(tokenizer or tokenizer_path(), end_id, shard_tokens, True), SHARD_SCHEMA)
+    shards.write.option("compression", "none").parquet(path)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             part, shard = batch.column("part")[k].as_py(), batch.column("shard")[k].as_py()
+            file = batch.column("file")[k].as_py()
             lengths = batch.column("lengths")[k].values.to_numpy()
             ids = WaveletMatrix.from_bytes(batch.column("tokens")[k].as_py()).tokens().astype("<u4")
             stops = np.cumsum(lengths)
             starts = stops - lengths
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([file] * len(lengths), pa.string()),
                     pa.array(np.full(len(lengths), part)),
                     pa.array(np.full(len(lengths), shard)),
                     batch.column("doc_ids")[k].values,
@@ -186,7 +265,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(lengths),
                     pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, stops)], pa.int64()),
                 ],
-                ["part", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
+                ["file", "part", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
             )
 
 
@@ -195,21 +274,21 @@ def read_digests(spark, path: str) -> DataFrame:
     shards = prepared(spark).read.schema(SHARD_SCHEMA).parquet(path)
     # A few shards of an Arrow batch each, as a shard's ids are unpacked whole.
     docs = shards.mapInArrow(
-        _digests, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long"
+        _digests, "file string, part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long"
     )
-    sizes = shards.select("part", "shard", "n_tokens")
+    sizes = shards.select("file", "part", "shard", "n_tokens")
     earlier = Window.unboundedPreceding
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(earlier, -1))
-    # One row for each partition of the writing job meets here.
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all"))
-    offset = F.sum("all").over(Window.orderBy("part").rowsBetween(earlier, -1))
-    offsets = parts.select(F.col("part").alias("p"), F.coalesce(offset, F.lit(0)).alias("offset"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part", "file").orderBy("shard").rowsBetween(earlier, -1))
+    # One row for each partition (or file) of the writing job meets here.
+    parts = sizes.groupBy("part", "file").agg(F.sum("n_tokens").alias("all"))
+    offset = F.sum("all").over(Window.orderBy("part", "file").rowsBetween(earlier, -1))
+    offsets = parts.select("part", "file", F.coalesce(offset, F.lit(0)).alias("offset"))
     starts = (
         sizes.withColumn("within", F.coalesce(within, F.lit(0)))
-        .join(offsets, F.col("part") == F.col("p"))
-        .select(F.col("part").alias("p"), F.col("shard").alias("s"), (F.col("within") + F.col("offset")).alias("before"))
+        .join(offsets, ["part", "file"])
+        .select("file", "part", "shard", (F.col("within") + F.col("offset")).alias("before"))
     )
-    return docs.join(starts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s"))).select(
+    return docs.join(starts, ["file", "part", "shard"]).select(
         "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )
 
@@ -227,15 +306,8 @@ def token_output(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
     return read_digests(df.sparkSession, path)
 
 
-def file_order(df: DataFrame) -> list[Column]:
-    """Order columns of a table read from files that Spark wrote: its parts, and rows within them."""
-    at = df.metadataColumn("_metadata")
-    number = F.regexp_extract(at["file_name"], r"part-(\d+)", 1).cast("long")
-    return [number, at["file_name"], at["row_index"]]
-
-
 def token_output_in_file_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As token_output, but in the order in which the rows lie in the files df was read from."""
+    """As token_output, but in the order in which the rows lie in the files df was read from, by the files' part numbers."""
     path = scratch_path(df.sparkSession, "tokens")
-    write_shards(df, path, file_order(df), id_col, text_col)
+    write_shards_in_place(df, path, id_col, text_col)
     return read_digests(df.sparkSession, path)

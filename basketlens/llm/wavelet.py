@@ -8,7 +8,7 @@ its position back up (select).
 Layout (little-endian): b"WVM1", number of tokens (8 bytes), levels (1), chunks per level (4); for each
 level the number of zero bits (8), then for each chunk the one bits before it (8) and its compressed
 length (4); then the chunks: CHUNK_BYTES of plane bits each, a zstd frame of its own, so one
-access decompresses one chunk per level.
+access decompresses one chunk per level. An unpacked chunk is counted once in blocks of BLOCK_BYTES; rank and select then look at one block.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import zstandard
 
 CHUNK_BYTES = 8192
 CHUNK_BITS = CHUNK_BYTES * 8
+# Bytes between the counts of one bits within an unpacked chunk.
+BLOCK_BYTES = 64
 _MAGIC = b"WVM1"
 
 
@@ -74,27 +76,44 @@ class WaveletMatrix:
                 at += size
         return WaveletMatrix(n, zeros, before, frames)
 
-    def _bits(self, level: int, chunk: int) -> np.ndarray:
+    def _bits(self, level: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """A chunk's bytes, and the one bits before each of its blocks of BLOCK_BYTES."""
         if (level, chunk) not in self._unpacked:
             if len(self._unpacked) >= 256:
                 self._unpacked.clear()
-            raw = zstandard.ZstdDecompressor().decompress(self.frames[level][chunk])
-            self._unpacked[level, chunk] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[level][chunk]), np.uint8)
+            at = np.arange(0, len(raw), BLOCK_BYTES)
+            ones = np.add.reduceat(np.bitwise_count(raw).astype(np.int64), at)
+            self._unpacked[level, chunk] = raw, np.cumsum(ones) - ones
         return self._unpacked[level, chunk]
 
+    def _bit(self, level: int, i: int) -> int:
+        chunk, rest = divmod(i, CHUNK_BITS)
+        return int(self._bits(level, chunk)[0][rest >> 3]) >> (rest & 7) & 1
+
     def _rank1(self, level: int, i: int) -> int:
-        """One bits before position i."""
+        """One bits before position i: those before its chunk, before its block, and in the block's bytes before it."""
         if i >= self.n:
             return self.n - self.zeros[level]
         chunk, rest = divmod(i, CHUNK_BITS)
-        return int(self.before[level][chunk]) + int(self._bits(level, chunk)[:rest].sum(dtype=np.int64))
+        raw, before = self._bits(level, chunk)
+        block = rest // (8 * BLOCK_BYTES)
+        whole = int.from_bytes(raw[block * BLOCK_BYTES : (rest >> 3) + 1].tobytes(), "little")
+        inside = whole & ((1 << (rest - block * 8 * BLOCK_BYTES)) - 1)
+        return int(self.before[level][chunk]) + int(before[block]) + inside.bit_count()
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) bit of the given value."""
         ones = self.before[level]
         ahead = ones if bit else np.arange(len(ones)) * CHUNK_BITS - ones
         chunk = int(np.searchsorted(ahead, k, "right")) - 1
-        return chunk * CHUNK_BITS + int(np.flatnonzero(self._bits(level, chunk) == bit)[k - int(ahead[chunk])])
+        raw, before = self._bits(level, chunk)
+        k -= int(ahead[chunk])
+        counts = before if bit else np.arange(len(before)) * 8 * BLOCK_BYTES - before
+        block = int(np.searchsorted(counts, k, "right")) - 1
+        bits = np.unpackbits(raw[block * BLOCK_BYTES : (block + 1) * BLOCK_BYTES], bitorder="little")
+        inside = int(np.flatnonzero(bits == bit)[k - int(counts[block])])
+        return chunk * CHUNK_BITS + block * 8 * BLOCK_BYTES + inside
 
     def access(self, i: int) -> int:
         """The i-th token."""
@@ -102,8 +121,7 @@ class WaveletMatrix:
             raise IndexError(i)
         token = 0
         for level, zeros in enumerate(self.zeros):
-            chunk, rest = divmod(i, CHUNK_BITS)
-            bit = int(self._bits(level, chunk)[rest])
+            bit = self._bit(level, i)
             ones = self._rank1(level, i)
             token = token * 2 + bit
             i = zeros + ones if bit else i - ones
