@@ -103,26 +103,31 @@ class Layouts:
         largest = n * 100 // self.percent
         return [b for b in (own, own + 1) if band_of(largest) >= b and self.of(b)[0] > 0]
 
-    def chunks(self, hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
-        """Keys of the chunks, without the first empty ones, and how many more keys may be left out."""
+    def _chunks(self, hashes: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Salted hashes, the chunk of each, and the number of chunks."""
         most, slack, _ = self.of(band)
-        count = most + 1 + slack
-        salt = np.uint64(band * 2654435761 + 1)
-        salted = mix(hashes ^ mix(np.full(1, salt))[0])
-        at = salted % np.uint64(count)
+        salt = np.full(1, band * 2654435761 + 1, np.uint64)
+        salted = mix(hashes ^ mix(salt)[0])
+        return salted, salted % np.uint64(most + 1 + slack), most + 1 + slack
+
+    def spare(self, hashes: np.ndarray, band: int) -> int:
+        """How many of its keys a text may leave out besides the empty chunks that `keys` leaves out."""
+        _, at, count = self._chunks(hashes, band)
+        return max(0, self.of(band)[1] - (count - len(np.unique(at))))
+
+    def keys(self, hashes: np.ndarray, band: int) -> np.ndarray:
+        """Keys of the chunks, without the first `slack` empty ones."""
+        salted, at, count = self._chunks(hashes, band)
+        slack = self.of(band)[1]
         order = np.argsort(at, kind="stable")
         at, salted = at[order], salted[order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        names = mix(np.arange(count, dtype=np.uint64) * np.uint64(1 << 20) + salt)
+        names = mix(np.arange(count, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(band * 2654435761 + 1))
         keys = mix(names[at[first]] ^ mix(np.bitwise_xor.reduceat(salted, first)))
-        empty = count - len(first)
-        if empty <= slack:
-            return keys, slack - empty
+        if count - len(first) <= slack:
+            return keys
         bare = np.setdiff1d(np.arange(count), at[first].astype(np.int64), assume_unique=True)
-        return np.concatenate([keys, names[bare[slack:]]]), 0
-
-    def keys(self, hashes: np.ndarray, band: int) -> np.ndarray:
-        return self.chunks(hashes, band)[0]
+        return np.concatenate([keys, names[bare[slack:]]])
 
 
 def mark_of(hashes: np.ndarray, salt: int) -> int:
@@ -157,8 +162,7 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _marked(size: int, percent: int):
-    """Per text: size of its set, a 128-bit fingerprint of it, and for each of its bands a sketch, its chunk keys and how many of
-    them it may leave out."""
+    """Per text: size of its set, a 128-bit fingerprint of it, and for each of its bands a sketch and the keys it may leave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layouts = Layouts(percent)
@@ -168,7 +172,7 @@ def _marked(size: int, percent: int):
                 marks = [mark_of(s, 11) for s in sets]
                 bands = [layouts.bands(len(s)) for s in sets]
                 offsets = pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32))
-                chunks = [layouts.chunks(s, b) for s, own in zip(sets, bands) for b in own]
+                spares = [layouts.spare(s, b) for s, own in zip(sets, bands) for b in own]
                 slots = _signed([slot_of(m, b) for m, own in zip(marks, bands) for b in own])
                 sketches = _binary([parity(s, layouts.of(b)[2]) for s, own in zip(sets, bands) for b in own])
                 yield pa.RecordBatch.from_arrays(
@@ -179,34 +183,37 @@ def _marked(size: int, percent: int):
                         _signed([mark_of(s, 23) for s in sets]),
                         pa.ListArray.from_arrays(offsets, slots),
                         pa.ListArray.from_arrays(offsets, sketches),
-                        pa.ListArray.from_arrays(offsets, pa.array([spare for _, spare in chunks], pa.int32())),
-                        pa.ListArray.from_arrays(offsets, _binary([keys for keys, _ in chunks])),
+                        pa.ListArray.from_arrays(offsets, pa.array(spares, pa.int32())),
                     ],
-                    ["doc_id", "n_shingles", "mark", "mark2", "slots", "sketches", "spares", "keys"],
+                    ["doc_id", "n_shingles", "mark", "mark2", "slots", "sketches", "spares"],
                 )
 
     return run
 
 
-def _packed(parts: int):
+def _packed(size: int, percent: int, parts: int):
     """Chunk keys of many texts by part of the key space: 32 bits of the key and the text's slot; equal sets of a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layouts = Layouts(percent)
         sent: set[int] = set()
         for batch in batches:
-            slots, keys = batch.column("slots").flatten().to_pylist(), batch.column("keys").flatten()
-            new = []
-            for i, slot in enumerate(slots):
-                if slot not in sent:
-                    sent.add(slot)
-                    new.append(i)
+            own, slots = [], []
+            for part in words(batch.column("text")):
+                for s in shingle_sets(part, size):
+                    mark = mark_of(s, 11)
+                    for band in layouts.bands(len(s)):
+                        slot = slot_of(mark, band)
+                        if slot not in sent:
+                            sent.add(slot)
+                            own.append(layouts.keys(s, band))
+                            slots.append(slot)
             if len(sent) > SENT:
                 sent.clear()
-            if not new:
+            if not own:
                 continue
-            own = [np.frombuffer(keys[i].as_buffer(), np.uint64) for i in new]
             key = np.concatenate(own)
-            slot = np.repeat(np.array([slots[i] for i in new], np.int64).view(np.uint64), [len(k) for k in own])
+            slot = np.repeat(np.array(slots, np.uint64), [len(k) for k in own])
             home = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             at = np.searchsorted(home[order], np.arange(parts + 1))
@@ -275,10 +282,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def shared_keys(marked: DataFrame, expected: int) -> DataFrame:
+def shared_keys(texts: DataFrame, size: int, percent: int, expected: int) -> DataFrame:
     """(key, slot) of all keys that several different sets hold, of some `expected` keys; a written table."""
     parts = max(8, -(-expected // PART_KEYS))
-    packed = marked.select("slots", "keys").mapInArrow(_packed(parts), "part long, keys binary, slots binary")
+    packed = texts.select("text").mapInArrow(_packed(size, percent, parts), "part long, keys binary, slots binary")
     rows = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "key long, slot long")
     return written(rows.distinct(), "shared-keys")
 
@@ -388,6 +395,8 @@ def sets_of(pairs: DataFrame, entries: DataFrame, texts: DataFrame, size: int) -
 def links_of(pairs: DataFrame, entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b, nodes) among pairs of slots; a written table."""
     near = _pairs_with(pairs, entries, "slot", "node", "n", "held")
+    # Keys travel as 32 bits within their part, so now and then two of different bands fall together.
+    near = near.where(F.octet_length("held_a") == F.octet_length("held_b"))
     near = near.drop("a", "b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
     near = written(near.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
     links = _pairs_with(near, sets, "node", "held").mapInArrow(_linked(percent), "a long, b long")
@@ -519,8 +528,7 @@ def jaccard_components(
     marked = written(
         texts.mapInArrow(
             _marked(shingle, percent),
-            "doc_id long, n_shingles long, mark long, mark2 long, slots array<long>, sketches array<binary>, spares array<int>,"
-            " keys array<binary>",
+            "doc_id long, n_shingles long, mark long, mark2 long, slots array<long>, sketches array<binary>, spares array<int>",
         ),
         "marked",
     )
@@ -537,11 +545,11 @@ def jaccard_components(
     )
     entries = written(entries, "entries")
     count = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = shared_keys(named, count * (100 - percent) // 40)
     forget(marked)
+    keyed = texts.where("doc_id is not null and text is not null")
+    shared = shared_keys(keyed, shingle, percent, count * (100 - percent) // 40)
     keys = rare_keys(shared, entries)
     forget(shared)
-    keyed = texts.where("doc_id is not null and text is not null")
     pairs = head_pairs(keys)
     sets = sets_of(pairs, entries, keyed, shingle)
     links = links_of(pairs, entries, sets, percent)
