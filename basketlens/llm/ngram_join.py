@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.components import components
+from basketlens.llm.components import components, merged
 from basketlens.llm.tables import column, forget, narrow, prepared, written
 from basketlens.llm.words import Words, joined, mix, words
 from basketlens.operators.keyfilter import MOST_KEYS, key_words, with_partner
@@ -533,7 +533,6 @@ def jaccard_components(
         "marked",
     )
     marks = ["n_shingles", "mark", "mark2"]
-    rows = written(marked.select("doc_id", *marks), "rows")
     # Texts without id are compared with nothing.
     named = marked.where("n_shingles > 0 and doc_id is not null")
     same = written(named.groupBy(*marks).agg(F.min("doc_id").alias("node")), "same")
@@ -544,8 +543,7 @@ def jaccard_components(
         F.col("s.sketches").alias("held"), F.col("s.spares").alias("spare"),
     )
     entries = written(entries, "entries")
-    count = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    forget(marked)
+    count = marked.agg(F.sum("n_shingles")).first()[0] or 0
     keyed = texts.where("doc_id is not null and text is not null")
     shared = shared_keys(keyed, shingle, percent, count * (100 - percent) // 40)
     keys = rare_keys(shared, entries)
@@ -559,18 +557,18 @@ def jaccard_components(
     pairs = other_pairs(mixed)
     more = [links_of(pairs, entries, sets, percent), rest_links(mixed, sets, percent)]
     forget(pairs, mixed, sets, entries)
-    found_links = links.union(more[0]).union(more[1])
     if not (more[0].isEmpty() and more[1].isEmpty()):
-        forget(classes)
-        classes = components(found_links)
+        before, classes = classes, merged(classes, more[0].union(more[1]))
+        forget(before)
     found = same.join(classes, "node", "left").select(*marks, F.coalesce("component", "node").alias("component_id"))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = written(
-        rows.join(found, marks, "left")
+        marked.select("doc_id", *marks)
+        .join(found, marks, "left")
         .select("doc_id", "n_shingles", component.alias("component_id")),
         "classes",
     )
-    forget(rows, same, links, *more, classes)
+    forget(marked, same, links, *more, classes)
     return out
 
 

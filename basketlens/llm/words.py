@@ -17,6 +17,7 @@ SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20260101)
 _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
+_EXACT = _LETTER.copy()
 _LETTER[65:91] = _LETTER[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -103,33 +104,62 @@ def _punctuation(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(column: pa.Array, bare: bool = False, breaks: np.ndarray = _SPACE) -> Iterator[Words]:
+def _prefix(data: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the letters times powers, and the inverse powers, from which any run's hash follows."""
+    up, down = _powers_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(letters[data] * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
+def _runs(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes start..end."""
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def _edges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end position of each run of marked bytes; runs end with their text."""
+    before = np.zeros(len(inside), bool)
+    before[1:] = inside[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(inside))]
+    before[edges] = False
+    after = np.zeros(len(inside), bool)
+    after[:-1] = inside[1:]
+    after[edges - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def words(column: pa.Array, bare: bool = False, breaks: np.ndarray = _SPACE, fold: bool = True) -> Iterator[Words]:
     """Words of the texts; `bare` ones without punctuation at their ends, unless they are nothing else.
 
-    `breaks` marks the bytes that stand between words.
+    `breaks` marks the bytes that stand between words. Without `fold` A-Z stay what they are.
     """
     for first, texts, data, offsets in slices(column):
-        inside = ~breaks[data]
-        before = np.zeros(len(data), bool)
-        before[1:] = inside[:-1]
-        edges = offsets[(offsets > 0) & (offsets < len(data))]
-        before[edges] = False
-        after = np.zeros(len(data), bool)
-        after[:-1] = inside[1:]
-        after[edges - 1] = False
-        start = np.flatnonzero(inside & ~before)
-        end = np.flatnonzero(inside & ~after) + 1
+        start, end = _edges(~breaks[data], offsets)
         if bare and len(start):
             solid = np.flatnonzero(~_punctuation(data))
             left, right = np.searchsorted(solid, start), np.searchsorted(solid, end)
             some = np.flatnonzero(left < right)
             start[some], end[some] = solid[left[some]], solid[right[some] - 1] + 1
-        up, down = _powers_to(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
-        raw = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
+        sums, down = _prefix(data, _LETTER if fold else _EXACT)
         text = np.searchsorted(offsets, start, "right") - 1
-        yield Words(first, texts, data, start, end, text, mix(raw))
+        yield Words(first, texts, data, start, end, text, _runs(sums, down, start, end))
+
+
+def repeated_lines(column: pa.Array) -> np.ndarray:
+    """Of each text the lines with a word that equal an earlier one, byte by byte (by a 64-bit hash)."""
+    out = [np.zeros(0, np.int64)]
+    for _, texts, data, offsets in slices(column):
+        start, end = _edges(data != 10, offsets)
+        solid = np.concatenate([[0], np.cumsum(~_SPACE[data])])
+        some = solid[end] > solid[start]
+        start, end = start[some], end[some]
+        sums, down = _prefix(data, _EXACT)
+        line, text = _runs(sums, down, start, end), np.searchsorted(offsets, start, "right") - 1
+        order = np.lexsort((line, text))
+        again = (np.diff(line[order].view(np.int64)) == 0) & (np.diff(text[order]) == 0)
+        out.append(np.bincount(text[order][1:][again], minlength=texts))
+    return np.concatenate(out)
 
 
 def word_hashes(text: str, bare: bool = False) -> np.ndarray:

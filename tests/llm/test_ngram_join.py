@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from basketlens.llm.components import components
+from basketlens.llm.components import components, merged
 from basketlens.llm.ngram_join import Layouts, band_of, band_top, distance_limit, jaccard_components, keep_one, parity
 
 
@@ -131,5 +131,9 @@ def test_sketch_distance_is_a_lower_bound_and_chunks_meet():
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (400, 450)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
+    found = components(edges)
+    got = {r.node: r.component for r in found.collect()}
     assert all(got[i] == 0 for i in range(101)) and got[500] == got[450] == got[400] == 400
+    more = spark.createDataFrame([(450, 7), (700, 800), (30, 40), (900, 500)], "a long, b long")
+    got = {r.node: r.component for r in merged(found, more).collect()}
+    assert all(got[i] == 0 for i in (*range(101), 400, 450, 500, 900)) and got[700] == got[800] == 700
