@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm.components import components, merged
-from basketlens.llm.tables import column, forget, narrow, prepared, written
+from basketlens.llm.tables import column, forget, frugal, narrow, prepared, written
 from basketlens.llm.words import Words, joined, mix, words
 from basketlens.operators.keyfilter import MOST_KEYS, key_words, with_partner
 
@@ -45,7 +45,7 @@ BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 # Texts outside the largest class of a key that are compared pair by pair.
 HEADS = 16
 PART_KEYS = 500_000
-HELD_KEYS = 2_000_000
+HELD_KEYS = 500_000
 # Names of sets whose keys a task remembers to have sent.
 SENT = 200_000
 
@@ -285,8 +285,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_keys(texts: DataFrame, size: int, percent: int, expected: int) -> DataFrame:
     """(key, slot) of all keys that several different sets hold, of some `expected` keys; a written table."""
     parts = max(8, -(-expected // PART_KEYS))
-    packed = texts.select("text").mapInArrow(_packed(size, percent, parts), "part long, keys binary, slots binary")
-    rows = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "key long, slot long")
+    packed = texts.select("text").mapInArrow(frugal(_packed(size, percent, parts)), "part long, keys binary, slots binary")
+    rows = packed.repartition("part").sortWithinPartitions("part").mapInArrow(frugal(_shared), "key long, slot long")
     return written(rows.distinct(), "shared-keys")
 
 
@@ -387,7 +387,7 @@ def sets_of(pairs: DataFrame, entries: DataFrame, texts: DataFrame, size: int) -
         texts = with_partner(texts, "doc_id", *key_words(nodes, "node", count))
     wanted = texts.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
     # An id whose rows hold several sets has a row for each; it links if any of them does.
-    sets = written(wanted.mapInArrow(_sets(size), "node long, held binary"), "sets")
+    sets = written(wanted.mapInArrow(frugal(_sets(size)), "node long, held binary"), "sets")
     forget(nodes)
     return sets
 
@@ -398,8 +398,8 @@ def links_of(pairs: DataFrame, entries: DataFrame, sets: DataFrame, percent: int
     # Keys travel as 32 bits within their part, so now and then two of different bands fall together.
     near = near.where(F.octet_length("held_a") == F.octet_length("held_b"))
     near = near.drop("a", "b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
-    near = written(near.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
-    links = _pairs_with(near, sets, "node", "held").mapInArrow(_linked(percent), "a long, b long")
+    near = written(near.mapInArrow(frugal(_near(percent)), "a long, b long").distinct(), "near")
+    links = _pairs_with(near, sets, "node", "held").mapInArrow(frugal(_linked(percent)), "a long, b long")
     links = written(links.distinct(), "links")
     forget(near)
     return links
@@ -504,7 +504,7 @@ def rest_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = rows.withColumn("place", F.explode(F.when(F.col("label") != F.col("main"), F.concat(itself, places)).otherwise(places)))
     dealt = dealt.select("key", "place.block", "place.other", "node", "label", "held")
     links = (
-        dealt.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(_rest(percent), "a long, b long")
+        dealt.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(frugal(_rest(percent)), "a long, b long")
     )
     out = written(links.distinct(), "links")
     forget(small)
@@ -527,7 +527,7 @@ def jaccard_components(
     texts = narrow(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     marked = written(
         texts.mapInArrow(
-            _marked(shingle, percent),
+            frugal(_marked(shingle, percent)),
             "doc_id long, n_shingles long, mark long, mark2 long, slots array<long>, sketches array<binary>, spares array<int>",
         ),
         "marked",

@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketlens.llm.tables import column, narrow, prepared, scratch_path
+from basketlens.llm.tables import column, frugal, narrow, prepared, scratch_path
 from basketlens.llm.wavelet import WaveletMatrix
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-# Words whose ids a worker keeps, none longer than CACHED_BYTES: 200 MB at most.
-CACHED_WORDS = 1_000_000
-CACHED_BYTES = 64
+# Words whose ids a worker keeps, none longer than CACHED_CHARS: some 200 bytes each.
+CACHED_WORDS = 800_000
+CACHED_CHARS = 16
 # Bytes of a group of texts; longer texts are cut at white space.
 PIECE_BYTES = 1 << 22
 
+# New words that are encoded as one text, and how the vocabulary writes a word's end.
+JOINED_WORDS = 500
+WORD_END = "</w>"
+
 _SPACE = re.compile(rb"[ \t-\r]")
 _encoders: dict[str, Encoder] = {}
 
@@ -49,6 +52,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Numbers of words; -1 for others."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
+class _Held:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray, keep: int) -> int:
+        """Put values behind those held, and hold the first `keep` of them; the place of the first."""
+        at, need = self.used, self.used + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[:at], np.zeros(need - at + need // 4, self.data.dtype)])
+        self.data[at:need] = values
+        self.used += keep
+        return at
+
+
 class Encoder:
     """Ids of texts, by their different words; bounded memory for words already met."""
 
@@ -58,8 +84,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
-        self.code = "H" if self.kind is np.uint16 else "I"
-        self.known: dict[str, bytes] = {}
+        # Words met, by number; where their ids begin in `ids`, and how many they are.
+        self.known = _Known()
+        self.ids, self.start, self.size = _Held(self.kind), _Held(np.int32), _Held(np.int32)
+        # Bytes that each id stands for, as its piece is spelt (one character a byte, and a mark at the end of words).
+        pieces = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.spelt = np.array([len(p.removesuffix(WORD_END)) for p in pieces], np.int64)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -104,40 +134,75 @@ class Encoder:
     def _group(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        codes = self._codes(words.dictionary.to_pylist())
+        start, size = self._places(words.dictionary.to_pylist())
         stops = lists.offsets.to_numpy().astype(np.int64)
         stops -= stops[0]
         number = words.indices.to_numpy()
         if end is not None:
             # The end id is one word more, after the last of each text.
-            number = np.insert(number, stops[1:], len(codes))
+            number = np.insert(number, stops[1:], len(start))
             stops = stops + np.arange(len(stops))
-            codes.append(np.array([end], self.kind).tobytes())
-        width = np.dtype(self.kind).itemsize
-        size = np.fromiter(map(len, codes), np.int64, len(codes)) // width
-        ids = np.frombuffer(b"".join(codes), self.kind)
+            start = np.append(start, np.int32(self._aside(np.array([end], self.kind))))
+            size = np.append(size, np.int32(1))
         taken = size[number]
-        reached = np.cumsum(taken)
-        # Place in `ids` of every id of the group, word by word.
-        place = np.repeat((np.cumsum(size) - size)[number] - (reached - taken), taken)
-        place += np.arange(len(place))
+        reached = np.cumsum(taken, dtype=np.int32)
+        # Place among the held ids of every id of the group, word by word; a group has far fewer than 2^31.
+        place = np.repeat(start[number] - (reached - taken), taken)
+        place += np.arange(len(place), dtype=np.int32)
         upto = np.concatenate([[0], reached])[stops]
-        return ids[place], np.diff(upto)
-
-    def _codes(self, words: list[str]) -> list[bytes]:
-        """Ids of different words."""
-        known = self.known
-        codes = [known.get(w) for w in words]
-        new = [i for i, c in enumerate(codes) if c is None]
-        if new:
-            found = self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)
+        return self.ids.data[place], np.diff(upto)
+
+    def _aside(self, ids: np.ndarray) -> int:
+        """The place of ids that are needed for this group only; behind those of its new words."""
+        at = self.ids.used
+        self.ids.used = self.beyond
+        place = self.ids.add(ids, 0)
+        self.ids.used = at
+        return place
+
+    def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of different words begin in self.ids, and how many they are."""
+        number = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        new = np.flatnonzero(number < 0)
+        start, size = self.start.data[number], self.size.data[number]
+        self.beyond = self.ids.used
+        if len(new):
+            short = np.array([len(words[i]) <= CACHED_CHARS for i in new])
+            new = np.concatenate([new[short], new[~short]])
+            ids, sizes = self._encoded([words[i] for i in new])
             # Once full, what is known stays, as frequent words come early.
-            room = len(known) + len(new) <= CACHED_WORDS
-            for i, c in zip(new, found):
-                codes[i] = array(self.code, c.ids).tobytes()
-                if room and len(words[i]) <= CACHED_BYTES // 4:
-                    known[words[i]] = codes[i]
-        return codes
+            kept = int(short.sum()) if len(self.known) + len(new) <= CACHED_WORDS else 0
+            at = self.ids.add(ids, int(sizes[:kept].sum()))
+            self.beyond = at + len(ids)
+            begins = (at + np.cumsum(sizes) - sizes).astype(np.int32)
+            first = self.start.add(begins, kept)
+            self.size.add(sizes, kept)
+            self.known.update(zip((words[i] for i in new[:kept]), range(first, first + kept)))
+            start[new], size[new] = begins, sizes
+        return start, size
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and the number of each.
+
+        Many words are encoded as one text. No id spans two of them, so a word ends where its bytes are spelt
+        out; where the spelling does not come out even for each word, they are encoded one by one.
+        """
+        found: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for i in range(0, len(words), JOINED_WORDS):
+            some = words[i : i + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([len(w.encode()) for w in some])
+            spelt = np.cumsum(self.spelt[ids])
+            last = np.searchsorted(spelt, ends)
+            if len(ids) and spelt[-1] == ends[-1] and (spelt[last] == ends).all() and (self.spelt[ids] > 0).all():
+                sizes.append(np.diff(last, prepend=-1))
+                found.append(ids)
+                continue
+            codes = [c.ids for c in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.array([len(c) for c in codes], np.int64))
+            found.append(np.array([x for c in codes for x in c], np.int64))
+        return np.concatenate(found).astype(self.kind), np.concatenate(sizes)
 
 
 def _sharded(path: str, end_id: int, shard_tokens: int, in_place: bool):
@@ -218,7 +283,7 @@ def write_shards(
     names = [f"__{i}" for i in range(len(order))]
     dealt = rows.repartitionByRange(*names).sortWithinPartitions(*names, "text")
     shards = dealt.select("doc_id", "text").mapInArrow(
-        _sharded(tokenizer or tokenizer_path(), end_id, shard_tokens, False), SHARD_SCHEMA
+        frugal(_sharded(tokenizer or tokenizer_path(), end_id, shard_tokens, False)), SHARD_SCHEMA
     )
     shards.write.option("compression", "none").parquet(path)
 
@@ -242,7 +307,7 @@ def write_shards_in_place(
         column(id_col).cast("long").alias("doc_id"),
         column(text_col).cast("string").alias("text"),
     )
-    shards = rows.mapInArrow(_sharded(tokenizer or tokenizer_path(), end_id, shard_tokens, True), SHARD_SCHEMA)
+    shards = rows.mapInArrow(frugal(_sharded(tokenizer or tokenizer_path(), end_id, shard_tokens, True)), SHARD_SCHEMA)
     shards.write.option("compression", "none").parquet(path)
 
 

@@ -158,13 +158,14 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order."""
-        x = np.zeros(self.n, np.uint32)
+        # Two bytes a token where they are enough: this is bound by memory.
+        x = np.zeros(self.n, np.uint16 if len(self.zeros) <= 16 else np.uint32)
         opener = zstandard.ZstdDecompressor()
         for level in range(len(self.zeros) - 1, -1, -1):
             raw = b"".join(opener.decompress(f) for f in self.frames[level])
-            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
             y[~bit] = x[: self.zeros[level]]
-            y[bit] = x[self.zeros[level] :] | np.uint32(1 << (len(self.zeros) - 1 - level))
+            y[bit] = x[self.zeros[level] :] | x.dtype.type(1 << (len(self.zeros) - 1 - level))
             x = y
-        return x
+        return x.astype(np.uint32)
