@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+)|<", re.S
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+# The rest of a tag: quoted values may hold the signs that end it.
+_INSIDE = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+_END_TAG = {
+    name: re.compile(rf"</{name}\b[^>]*>", re.I)
+    for name in "script style textarea title noscript iframe template svg math object button".split()
+}
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"[ \t-\r   \u0085]+")
@@ -62,6 +67,8 @@ TAG_GROUPS = [
     {"html", "body"},
 ]
 _TAG_GROUP = {name: i for i, names in enumerate(TAG_GROUPS) for name in names}
+# Counts and lengths beyond these are as good as these: pages may be longer than any that trees were fitted on.
+MOST_DEPTH, MOST_SIBLINGS, MOST_TEXT = 12, 24, 4000
 FEATURES = 2 * len(TAG_GROUPS) + 2 * len(GROUPS) + 18
 
 
@@ -109,36 +116,79 @@ def parse(page: str) -> Node:
             held.clear()
         linked = 0
 
+    # Open elements by name: whether one is open is known without looking through the stack.
+    opened: Counter[str] = Counter()
+
     def pop_to(depth: int) -> None:
+        for name, _ in stack[max(1, depth) :]:
+            opened[name] -= 1
         del stack[max(1, depth) :]
 
     in_link = 0
+    # Where a search found nothing it finds nothing further on; each is made once, so a broken page is read once too.
+    quotes, last_end = True, page.rfind(">")
+    unclosed: set[str] = set()
+
+    def after(name: str, otherwise: int) -> int:
+        """Where the element's end tag ends, if it comes at all."""
+        if name in unclosed:
+            return otherwise
+        stop = _END_TAG[name].search(page, at)
+        if stop is None:
+            unclosed.add(name)
+            return otherwise
+        return stop.end()
+
     while at < size:
-        found = _TOKEN.match(page, at)
-        at = found.end()
-        closing, name, attributes, text = found.group(1, 2, 3, 4)
-        if text is not None or name is None:
-            if text is None and found.group() != "<":
+        sign = page.find("<", at)
+        if sign != at:
+            stop = size if sign < 0 else sign
+            text = page[at:stop]
+            at = stop
+        else:
+            text = None
+            begun = _NAME.match(page, at)
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                at = size if stop < 0 else stop + 3
                 continue
-            piece = entities.unescape(text) if text is not None and "&" in text else found.group()
+            if at > last_end:
+                # Nothing ends a tag from here on: the sign is text.
+                text, at = "<", at + 1
+            elif begun is None:
+                if page[at + 1] in "!?":
+                    at = page.find(">", at) + 1
+                    continue
+                text, at = "<", at + 1
+        if text is not None:
+            piece = entities.unescape(text) if "&" in text else text
             held.append(piece)
             if in_link:
                 linked += len(piece.strip())
             continue
+        closing, name = begun.groups()
+        inside = _INSIDE.match(page, begun.end()) if quotes else None
+        if inside is None:
+            # A quote that never ends: from here on quotes mean nothing.
+            quotes = False
+            stop = page.find(">", begun.end()) + 1
+        else:
+            stop = inside.end()
+        attributes, at = page[begun.end() : stop - 1], stop
         name = name.lower()
         top = stack[-1][1]
         if closing:
             if name == "a":
                 in_link = 0
-            if name == "p" and not any(n == "p" for n, _ in stack):
+            if name == "p" and not opened["p"]:
                 close_block()
                 continue
-            if name in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close_block()
-                        pop_to(k)
-                        break
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close_block()
+                pop_to(k)
             continue
         if name == "br":
             held.append("\n")
@@ -150,31 +200,28 @@ def parse(page: str) -> Node:
             in_link = 1
         if name in HIDDEN:
             if name in RAW and not attributes.endswith("/"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else size
+                at = after(name, size)
             elif name != "head" and not attributes.endswith("/"):
-                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else at
+                at = after(name, at)
             continue
         if name == "button":
-            stop = re.compile(r"</button\s*>", re.I).search(page, at)
-            at = stop.end() if stop else at
+            at = after(name, at)
             continue
         if name in VOID or name not in BLOCK:
             top.tags += 1
             continue
         close_block()
         in_link = 0
-        if name in ("html", "body") and any(n == name for n, _ in stack):
+        if name == "html" or (name == "body" and opened[name]):
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     pop_to(k)
                     break
                 if stack[k][0] in ("td", "th", "li", "dd", "blockquote", "div", "article", "section", "main"):
                     break
-        if name in SAME:
+        if name in SAME and any(opened[n] for n in SAME[name][0]):
             close, border = SAME[name]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in border:
@@ -185,6 +232,7 @@ def parse(page: str) -> Node:
                         break
         node = Node(name, stack[-1][1], _groups(attributes))
         stack.append((name, node))
+        opened[name] += 1
     close_block()
     return root
 
@@ -225,20 +273,21 @@ def features(nodes: list[Node]) -> np.ndarray:
         out[i, 2 * t + g : 2 * t + 2 * g] = np.maximum(out[p, 2 * t + g : 2 * t + 2 * g], out[p, 2 * t : 2 * t + g])
         rest = out[i, 2 * (t + g) :]
         siblings = len(up.children)
-        rest[0] = node.depth
-        rest[1] = siblings
-        rest[2] = total[p, 0]
+        rest[0] = min(node.depth, MOST_DEPTH)
+        rest[1] = min(siblings, MOST_SIBLINGS)
+        rest[2] = min(total[p, 0], MOST_TEXT)
         rest[3] = total[p, 1] / max(1.0, total[p, 0])
-        rest[4] = sum(1 for c in up.children if c.tag == node.tag) if siblings <= 64 else siblings
+        rest[4] = sum(1 for c in up.children if c.tag == node.tag) if siblings <= MOST_SIBLINGS else MOST_SIBLINGS
     rest = out[:, 2 * (t + g) :]
     length = np.maximum(1.0, total[:, 0])
-    rest[:, 5] = total[:, 0]
+    rest[:, 5] = np.minimum(total[:, 0], MOST_TEXT)
     rest[:, 6] = total[:, 1] / length
     rest[:, 7] = total[:, 0] / total[:, 2]
-    rest[:, 8] = total[:, 3]
-    rest[:, 9] = total[:, 4]
-    rest[:, 10] = total[:, 5]
-    rest[:, 11] = total[:, 0] / everything
+    rest[:, 8] = np.minimum(total[:, 3], MOST_SIBLINGS)
+    rest[:, 9] = np.minimum(total[:, 4], MOST_SIBLINGS)
+    rest[:, 10] = np.minimum(total[:, 5], MOST_TEXT)
+    # A block's share of the page says less the longer the page.
+    rest[:, 11] = total[:, 0] / min(everything, MOST_TEXT)
     rest[:, 12] = before / everything
     rest[:, 13] = total[:, 0] / np.maximum(1.0, total[:, 4])
     rest[:, 14] = own[:, 0]

@@ -27,6 +27,8 @@ from basketlens.llm.dom import Node, features, nodes_of, parse
 from basketlens.llm.tables import narrow, prepared
 
 TRAINING_PAGES = 600
+# Blocks of the articles of made pages, each as likely.
+ARTICLE_BLOCKS = (1, 1, 2, 3, 5, 8, 14, 20, 60, 120)
 TREES = 25
 DEPTH = 5
 # Marks in the texts of training pages by which their labels are known; never in real input.
@@ -178,7 +180,7 @@ def _boilerplate(rng: random.Random, kind: str) -> str:
 
 def _article(rng: random.Random) -> str:
     out = [f"<h1>{_text(rng, KEPT, 3, 12, 1)}</h1>" if rng.random() < 0.85 else ""]
-    for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14))):
+    for _ in range(rng.choice(ARTICLE_BLOCKS)):
         kind = rng.random()
         if kind < 0.72:
             text = _text(rng, KEPT, rng.choice((1, 3, 6)), rng.choice((6, 18, 30)), rng.choice((1, 3, 6)))
@@ -210,7 +212,7 @@ def _semantic_page(rng: random.Random) -> str:
     parts += [_boilerplate(rng, k) for k in ("ad", "notice") if rng.random() < 0.5]
     paragraphs = "".join(
         (f"<p>{t}</p>" if rng.random() < 0.8 else f"<p><b>{t}<br>")
-        for t in (_text(rng, KEPT, 1, rng.choice((4, 12, 25)), rng.choice((1, 2, 5))) for _ in range(rng.choice((1, 1, 2, 4, 8, 20))))
+        for t in (_text(rng, KEPT, 1, rng.choice((4, 12, 25)), rng.choice((1, 2, 5))) for _ in range(rng.choice(ARTICLE_BLOCKS)))
     )
     parts.append(f"<article><h1>{_text(rng, KEPT, 1, 12, 1)}</h1>{paragraphs}</article>")
     parts += [_boilerplate(rng, "comments")] if rng.random() < 0.2 else []
@@ -265,7 +267,7 @@ def extract(
 ) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
-    A null or empty page has an empty text, as has one without main text. Ids and urls are passed on as
+    A page is read once from end to end, whatever is open or broken in it, and held with its tree; very long ones are nothing special. A null or empty page has an empty text, as has one without main text. Ids and urls are passed on as
     they are, nulls and repeats included; each row is extracted by itself. Character references
     are decoded, white space inside a block becomes one space, blocks are joined by an empty line. Other
     columns are not looked at.

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -95,3 +96,30 @@ def test_odd_pages(spark, forest):
 def test_blocks_spaces_and_references():
     leaves = [n.text for n in nodes_of(parse("<p><b>one&nbsp; two<br>three<p>four\n\n five</p><ul><li>a<li>b</ul>tail &amp; end"))]
     assert [t for t in leaves if t] == ["one two three", "four five", "a", "b", "tail & end"]
+
+
+def test_every_article_of_larger_tables_is_whole(spark, forest):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in x.extract(pages, forest=forest).collect()}
+    wrong = [r.page_id for r in pages.collect() if got[r.page_id] != expected(r.html)]
+    assert len(got) == 2500 and wrong == []
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<", "<!", "<!--", "<div>", "<svg>", "<object>", "<button>", "</p>", "<ul><li>", "<td>", "<h1><p>", "<script>"])
+def test_a_megabyte_of_broken_markup_is_read_once(piece):
+    page = "<p>start</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    nodes = nodes_of(parse(page))
+    assert time.process_time() - began < 2 and any(n.text.startswith("start") for n in nodes)
+
+
+def test_broken_tags():
+    def texts(page):
+        return [n.text for n in nodes_of(parse(page)) if n.text]
+
+    assert texts("<p>a</p><p title='x>y'>b</p>") == ["a", "b"]
+    assert texts("<p>a<p title='x>b</p>c") == ["a", "b", "c"]  # the quote never ends
+    assert texts("<p>a</p> 1 < 2 <b") == ["a", "1 < 2 <b"]
+    assert texts("<p>a<object>b</p>c") == ["ab", "c"]
+    assert texts("<p>a<object>b</object>c</p>") == ["ac"]
+    assert texts("<p>a<!x><?y>b<!-- > -->c") == ["abc"]
