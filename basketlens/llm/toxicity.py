@@ -1,6 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, word pairs and pairs with one word left out (binary). Words are
+Features are the distinct words, word pairs and pairs with one word left out (binary); words are taken without punctuation at
+their ends. Only features of at least MET training rows take part: what one or two rows hold says who they are, not
+what they are. Words are
 hashed to the lower half of 2^DIMENSION_BITS coordinates, pairs to the upper half. FTRL keeps two
 numbers per coordinate; the L1 term leaves most weights at exactly zero. Training rows are dealt
 into SHARDS files by a hash; in each round every shard continues from the common state over its own
@@ -21,15 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.tables import keep_where, narrow, prepared, written
-from basketlens.llm.words import Words, mix, words
+from basketlens.llm.words import Words, mix
+from basketlens.llm.words import words as all_words
 
 DIMENSION_BITS = 20
 SHARDS = 4
-ROUNDS = 3
+ROUNDS = 4
+# Training rows that must hold a feature.
+MET = 5
 # At most about this many labels are fitted; a hash of the id chooses them.
 TRAINING_ROWS = 60_000
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
-POSITIVE_WEIGHT = 4.0
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 10.0, 0.1
+POSITIVE_WEIGHT = 6.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -37,6 +42,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def words(texts: pa.Array) -> Iterator[Words]:
+    return all_words(texts, bare=True)
+
+
 def features(part: Words) -> list[np.ndarray]:
     """Distinct coordinates of each text: words, pairs, pairs over a gap."""
     shift, upper = np.uint64(65 - DIMENSION_BITS), 1 << (DIMENSION_BITS - 1)
@@ -81,20 +90,31 @@ def _with_intercept(at: np.ndarray) -> np.ndarray:
     return np.append(at, 1 << DIMENSION_BITS)
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard that hold each coordinate, up to MET."""
+    rows = np.zeros(1 << DIMENSION_BITS, np.int64)
+    for batch in batches:
+        for part in words(batch.column("text")):
+            for at in features(part):
+                rows[at] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([np.minimum(rows, MET).astype(np.uint8).tobytes()], pa.binary())], ["rows"])
+
+
 def _trained(state):
-    """One round over one shard: what it adds to the state, as 32-bit numbers."""
+    """One round over one shard: what it adds to the state, as 32-bit numbers. `state` also marks the coordinates that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: State | None = None
         for batch in batches:
             if own is None:
-                own = State(*(x.astype(np.float64) for x in state.value))
+                own = State(*(x.astype(np.float64) for x in state.value[:2]))
+            usual = state.value[2]
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             for part in words(batch.column("text")):
                 for t, at in enumerate(features(part)):
-                    own.learn(_with_intercept(at), int(labels[part.first + t]))
+                    own.learn(_with_intercept(at[usual[at]]), int(labels[part.first + t]))
         if own is not None:
-            added = [(x - y).astype(np.float32).tobytes() for x, y in zip((own.z, own.n), state.value)]
+            added = [(x - y).astype(np.float32).tobytes() for x, y in zip((own.z, own.n), state.value[:2])]
             shard = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int64()), *(pa.array([a], pa.binary()) for a in added)], ["shard", "z", "n"]
@@ -123,8 +143,11 @@ def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.nd
         "toxic",
     )
     state = State.empty()
+    # As many bytes as coordinates, from each shard.
+    met = shards.mapInArrow(_met, "rows binary").toArrow().column("rows")
+    usual = sum((np.frombuffer(m.as_buffer(), np.uint8).astype(np.int64) for m in met), np.zeros(1 << DIMENSION_BITS, np.int64)) >= MET
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32)))
+        shared = spark.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32), usual))
         # SHARDS dense states at most; added in their order, so that the sum is always the same.
         added = shards.mapInArrow(_trained(shared), "shard long, z binary, n binary").toArrow()
         seen = np.zeros_like(state.n)

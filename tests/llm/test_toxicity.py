@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from basketlens.llm.toxicity import fit, keep_civil, toxicity, training_ids
+from basketlens.llm.toxicity import ALPHA, BETA, L1, L2, POSITIVE_WEIGHT, State, fit, keep_civil, toxicity, training_ids
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,33 @@ def test_keep_civil_leaves_rows_as_they_are(marked):
     kept = keep_civil(docs, labels)
     assert kept.schema == docs.schema
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, s in scores.items() if s < 0.5)
+
+
+@pytest.mark.parametrize("size, recall, false", [("sf0.1", 0.82, 0.01), ("sf0.01", 0.5, 0.05)])
+def test_held_out_labels_of_the_tables(spark, size, recall, false):
+    documents, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity(documents, labels).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    bad, good = ([r.predicted for r in rows if r.toxic == k] for k in (1, 0))
+    assert sum(bad) >= recall * len(bad) and sum(good) <= false * len(good)
+
+
+def test_learning_equals_plain_ftrl():
+    rng = random.Random(1)
+    rows = [(sorted(rng.sample(range(40), rng.randint(1, 12))), rng.randint(0, 1)) for _ in range(300)]
+    state = State.empty()
+    z, n = [0.0] * 40, [0.0] * 40
+
+    def weight(i):
+        if abs(z[i]) <= L1:
+            return 0.0
+        return -(z[i] - (L1 if z[i] > 0 else -L1)) / ((BETA + n[i] ** 0.5) / ALPHA + L2)
+
+    for at, label in rows * 4:
+        state.learn(np.array(at), label)
+        w = {i: weight(i) for i in at}
+        g = (1 / (1 + np.exp(-sum(w.values()))) - label) * (POSITIVE_WEIGHT if label else 1)
+        for i in at:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / ALPHA * w[i]
+            n[i] += g * g
+    assert np.allclose(state.z[:40], z) and np.allclose(state.n[:40], n)
+    assert np.allclose(state.weights(np.arange(40)), [weight(i) for i in range(40)])
