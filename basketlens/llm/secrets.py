@@ -3,8 +3,8 @@
 Candidates are runs of CANDIDATE characters. Each belongs to one character class (hex,
 letters and digits, base 64), and a window of WINDOW characters moves over it. The window's counts change
 by one character in and one out per step, and so does the sum of c * log2(c), from which the
-Shannon entropy follows. A candidate whose highest window entropy reaches its class's limit is a
-secret unless the allow list suppresses it.
+Shannon entropy follows. The allow list suppresses the parts of a candidate that it names; a candidate with a window outside
+them whose entropy reaches the limit of its class is a secret.
 
 DataFrame and SQL functions only; every text is worked on in its own row. Spark has no function
 for the places of all matches, so the lengths of matches and of the texts between them are
@@ -26,12 +26,14 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-# Least highest entropy, in bits per character, by class. Strings of letters alone are words.
-LIMITS = {"hex": 2.8, "alnum": 3.5, "base64": 3.7}
+# Least highest entropy, in bits per character, by class. Letters alone are words or names unless cases change within them
+# and hardly a letter comes twice.
+LIMITS = {"hex": 2.8, "letters": 3.9, "alnum": 3.5, "base64": 3.7}
+MIXED = "[a-z][A-Z]+[a-z]+[A-Z]"
 # Never secrets: placeholders, one repeated character or pair, dates and plain words in a row.
 ALLOWED = (
     r"(?i)example|placeholder|changeme|redacted|dummy|your[_-]?(?:key|token|secret)|x{8}|0{8}|1234567890"
-    r"|(.)\1{5}|^(..)\2{4}|^[a-z]+(?:[_/=-][a-z]+)*[_/=-]*$|^\d{4}-\d\d-\d\d"
+    r"|(.)\1{5}|^(..)\2{4}|(?-i:^(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_/=-]+(?:[A-Z]?[a-z]+|[A-Z]+))*[_/=-]*$)|^\d{4}-\d\d-\d\d"
 )
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -72,6 +74,7 @@ def class_of(candidate: Column) -> Column:
     """The narrowest character class that holds the whole candidate."""
     return (
         F.when(candidate.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(~candidate.rlike("[0-9]"), "letters")
         .when(candidate.rlike("^[A-Za-z0-9]+$"), "alnum")
         .otherwise("base64")
     )
@@ -111,13 +114,17 @@ def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
 
 def is_random(candidate: Column) -> Column:
-    limit = F.lit(None).cast("double")
-    for name, value in LIMITS.items():
-        limit = F.when(class_of(candidate) == name, F.lit(value)).otherwise(limit)
-    # The allow list is asked first: it is cheap, and plain words end here.
-    return F.when(candidate.rlike(ALLOWED) | ~candidate.rlike("[0-9]"), F.lit(False)).otherwise(
-        peak_entropy(candidate) >= limit
-    )
+    """Whether a window outside the allowed parts of the candidate reaches the limit of its class."""
+
+    def part_is_random(part: Column) -> Column:
+        limit = F.lit(None).cast("double")
+        for name, value in LIMITS.items():
+            limit = F.when(class_of(part) == name, F.lit(value)).otherwise(limit)
+        # Cheap questions first: most candidates are plain words.
+        scored = (F.length(part) >= WINDOW) & (part.rlike("[0-9]") | part.rlike(MIXED))
+        return F.when(scored, peak_entropy(part) >= limit).otherwise(F.lit(False))
+
+    return F.exists(F.split(candidate, ALLOWED), part_is_random)
 
 
 def _joined(spans: Column) -> Column:
@@ -140,7 +147,8 @@ def secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are kind:start:end in code points, end exclusive, sorted by start and then by
     kind as in KINDS; base spans are never dropped, and the method adds spans of kind entropy
     (also where a base span lies). A null or empty text has none; the hash is then that of the
-    empty string. Ids may be null or repeat. Other columns are not looked at.
+    empty string. A very long text, or run of candidate characters, is scanned whole in its row; its spans are held as a list.
+    Ids may be null or repeat. Other columns are not looked at.
     """
     prepared(documents.sparkSession)
     docs = narrow(documents, doc_id=id_col, text=text_col)

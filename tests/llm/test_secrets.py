@@ -18,6 +18,13 @@ def entropy(window):
     return -sum(c / len(window) * math.log2(c / len(window)) for c in (window.count(x) for x in set(window)))
 
 
+def random_part(c):
+    if len(c) < s.WINDOW or not re.search("[0-9]|" + s.MIXED, c):
+        return False
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "letters" if not re.search("[0-9]", c) else "alnum" if c.isalnum() else "base64"
+    return max(entropy(c[i : i + s.WINDOW]) for i in range(len(c) - s.WINDOW + 1)) >= s.LIMITS[kind] - 1e-9
+
+
 def plain(text):
     """Spans by Python's own patterns, entropies counted anew for every window."""
     text = text or ""
@@ -27,10 +34,8 @@ def plain(text):
     more = []
     for m in re.finditer(s.CANDIDATE, text):
         c = m[0]
-        if re.search(s.ALLOWED, c) or not re.search("[0-9]", c):
-            continue
-        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "alnum" if c.isalnum() else "base64"
-        if max(entropy(c[i : i + s.WINDOW]) for i in range(len(c) - s.WINDOW + 1)) >= s.LIMITS[kind] - 1e-9:
+        edges = [0, *(e for a in re.finditer(s.ALLOWED, c) for e in a.span()), len(c)]
+        if any(random_part(c[a:b]) for a, b in zip(edges[::2], edges[1::2])):
             more.append((m.start(), 3, m.end(), "entropy"))
     join = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
     count = lambda kind: sum(x[3] == kind for x in base)
@@ -81,3 +86,14 @@ def test_odd_rows(odd, none):
 def test_entropy_and_allow_list(spark, text, found):
     row = s.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.n_entropy == found
+
+
+@pytest.mark.parametrize("text, found", [
+    ("qWeRtYuIoPaSdFgHjKlZ", True), ("apiXQ9f3LmZ7pT2vK8rW1dYbN5-example", True), ("Zx81Qm_0pLtR7vNw3YcB6uHjdummy", True),
+    ("example-example-placeholder", False), ("getUserAccountBalanceFromServer", False), ("INTERNATIONALIZATIONS", False),
+    ("internationalization-of-things", False), ("xQ9f3Lm-example-Z7pT2vK8", False), ("aBcDaBcDaBcDaBcDaBcDaBcD", False),
+    ("0123456789-2024-01-02-report", False), ("x" * 30 + "9", False), ("Kj8" * 3 + "qW3eRt5YuI7oPaS9dFgH1jKlZ", True),
+])
+def test_allowed_parts_and_strings_of_letters(spark, text, found):
+    df = spark.createDataFrame([(1, f"see {text} here")], "doc_id long, text string")
+    assert (s.secrets(df).first().n_entropy == 1) == found
