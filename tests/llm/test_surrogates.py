@@ -84,3 +84,73 @@ def test_odd_rows(odd, none):
     got = surrogates(odd).collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, ((r.doc_id, r.text) for r in odd.collect())))
     assert surrogates(none).collect() == []
+
+
+def replaced(spark, text, key=b"k"):
+    return surrogates(frame(spark, text), key=key).first().text
+
+
+def test_a_name_and_its_surname_are_one_person(spark):
+    text = replaced(spark, "Mr John Smith came. Mr Smith said so; John Smith left, Mrs Anna-Lena von Berg stayed. Mr Brown too.")
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) said so; (\w+) (\w+) left, Mrs (\w+) von (\w+) stayed\. Mr (\w+) too\.", text)
+    assert m and m[2] == m[3] == m[5] and m[1] == m[4] and m[1] in p.GIVEN["latin", "m"].split()
+    assert m[6] in p.GIVEN["latin", "f"].split() and "Smith" not in text and "Berg" not in text and "Brown" not in text
+
+
+def test_two_bearers_of_a_surname_are_not_mixed_up():
+    spans = p._entities("Mr John Smith and Mr Paul Smith. Mr Smith.")
+    assert [v for *_, v in spans] == ["john smith", "paul smith", "smith"]
+
+
+@pytest.mark.parametrize("name, script", [
+    ("Γιώργος Παπαδόπουλος", "greek"), ("王小明", "han"), ("محمد علي", "arabic"), ("דוד כהן", "hebrew"), ("ヤマダ タロウ", "kana"),
+    ("김민수", "hangul"), ("राम कुमार", "devanagari"), ("Иван Петров", "cyrillic"), ("Zoë Ångström", "latin"),
+])
+def test_names_keep_their_script(spark, name, script):
+    assert p.script_of(name) == script
+    text = replaced(spark, f"Mr {name} was here")
+    new = re.fullmatch("Mr (.+) was here", text)[1]
+    assert new != name and p.script_of(new) == script and len(new.split()) == len(name.split())
+
+
+def test_addresses_accounts_and_plain_numbers(spark):
+    import ipaddress
+
+    text = replaced(spark, "from 2001:db8::8a2e:370:7334 pay DE89 3704 0044 0532 0130 00, tel: 6145558001, code 6145558001, 12:30:45 at ::1")
+    m = re.fullmatch(r"from (\S+) pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d), tel: (\d{10}), code 6145558001, 12:30:45 at ::1", text)
+    assert m and ipaddress.IPv6Address(m[1]) and m[1] != "2001:db8::8a2e:370:7334" and m[3] != "6145558001"
+    assert p.checked(m[2].replace(" ", "")) == 1 and m[2] != "DE89 3704 0044 0532 0130 00"
+    assert detect("XY12 ABCD 7890 EFGH is no account, a::b::c no address") == []
+
+
+def test_the_key_is_the_callers(spark):
+    text = "Mr John Smith, a.b@mail.example.com"
+    assert replaced(spark, text, b"one") == replaced(spark, text, b"one") != replaced(spark, text, b"two")
+    spark.conf.set(p.KEY_SETTING, "one")
+    try:
+        assert surrogates(frame(spark, text)).first().text == replaced(spark, text, b"one")
+    finally:
+        spark.conf.unset(p.KEY_SETTING)
+    own = surrogates(frame(spark, text)).first().text
+    assert own == surrogates(frame(spark, text)).first().text
+
+
+def test_whole_table_equals_the_plain_version(spark):
+    """Entities one by one: every mention of a value gets the value's surrogate, and all else stays."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text for r in documents.collect()}
+    after = {r.doc_id: r.text for r in surrogates(documents, key=b"k").collect()}
+    entities = {}
+    for text in before.values():
+        for *_, kind, gender, value in p._entities(text or ""):
+            entities[kind, value] = max(gender, entities.get((kind, value), ""))
+    table = spark.createDataFrame([(k, v, g) for (k, v), g in entities.items()], "kind string, value string, gender string")
+    drawn = {(r.kind, r.value): r.surrogate for r in assigned(table, b"k").collect()}
+    assert len(entities) > 50 and len({(k, v.lower()) for (k, _), v in drawn.items()}) == len(drawn)
+    assert not {(k, v.lower()) for (k, _), v in drawn.items()} & set(drawn)
+    for doc_id, text in before.items():
+        pieces, at = [], 0
+        for start, end, kind, _, value in p._entities(text or ""):
+            pieces += [text[at:start], rendered(kind, text[start:end], drawn[kind, value])]
+            at = end
+        assert after[doc_id] == (text if text is None else "".join([*pieces, text[at:]]))
