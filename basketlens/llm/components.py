@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import forget, written
+from basketlens.llm.tables import forget, is_written, written
 
 
 def _lowest(node: str, seed: int):
@@ -42,8 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
     combined before each shuffle; a hub's edges are a join input that adaptive execution can
     split. Only whether edges are left reaches the driver.
     """
-    # Written first: the edges are read three times, and making them may be dear.
-    edges = written(edges.select("a", "b"), "edges")
+    # The edges are read three times, and making them may be dear.
+    given = is_written(edges)
+    edges = edges if given else written(edges.select("a", "b"), "edges")
     straight = edges.where("a <> b")
     left = written(straight.union(straight.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     found: DataFrame | None = None
@@ -76,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
         named = found.join(first, "label").select("node", "component")
         others = alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
         out = written(named.union(others), "components")
-    forget(edges, left, found)
+    forget(None if given else edges, left, found)
     return out
 
 

@@ -398,11 +398,9 @@ def links_of(pairs: DataFrame, entries: DataFrame, sets: DataFrame, percent: int
     # Keys travel as 32 bits within their part, so now and then two of different bands fall together.
     near = near.where(F.octet_length("held_a") == F.octet_length("held_b"))
     near = near.drop("a", "b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
-    near = written(near.mapInArrow(frugal(_near(percent)), "a long, b long").distinct(), "near")
+    near = near.mapInArrow(frugal(_near(percent)), "a long, b long").distinct()
     links = _pairs_with(near, sets, "node", "held").mapInArrow(frugal(_linked(percent)), "a long, b long")
-    links = written(links.distinct(), "links")
-    forget(near)
-    return links
+    return written(links.distinct(), "links")
 
 
 def _rest(percent: int):
@@ -461,7 +459,7 @@ def mixed_keys(keys: DataFrame, classes: DataFrame) -> DataFrame:
     """
     labelled = keys.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     labelled = written(labelled, "labelled")
-    counts = written(labelled.groupBy("key", "label").agg(F.count("*").alias("texts")), "label-counts")
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("texts"))
     kept = counts.groupBy("key").agg(
         F.max_by("label", F.struct("texts", "label")).alias("main"),
         (F.sum("texts") - F.max("texts")).alias("others"),
@@ -469,7 +467,7 @@ def mixed_keys(keys: DataFrame, classes: DataFrame) -> DataFrame:
     )
     kept = written(kept.where("labels > 1").drop("labels"), "mixed-keys")
     out = written(labelled.join(kept, "key"), "mixed")
-    forget(labelled, counts, kept)
+    forget(labelled, kept)
     return out
 
 
@@ -477,11 +475,8 @@ def other_pairs(mixed: DataFrame) -> DataFrame:
     """(a, b): slots of a key that are of different classes, one outside the largest; keys with at most HEADS such texts."""
     few = mixed.where(F.col("others") <= HEADS)
     heads = few.where("label <> main").select(F.col("key").alias("of"), F.col("slot").alias("x"), F.col("label").alias("class"))
-    heads = written(heads, "heads")
     met = few.join(heads, F.col("key") == F.col("of")).where(F.col("label") != F.col("class"))
-    out = written(met.select(F.least("x", "slot").alias("a"), F.greatest("x", "slot").alias("b")).distinct(), "pairs")
-    forget(heads)
-    return out
+    return written(met.select(F.least("x", "slot").alias("a"), F.greatest("x", "slot").alias("b")).distinct(), "pairs")
 
 
 def rest_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -492,7 +487,6 @@ def rest_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = mixed.where(F.col("others") > HEADS)
     rows = rows.join(sets.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
     small = rows.where("label <> main").groupBy(F.col("key").alias("__key")).agg(F.sum(F.octet_length("held")).alias("bytes"))
-    small = written(small, "key-bytes")
     blocks = F.ceil(F.greatest(F.col("others") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.join(small, F.col("key") == F.col("__key")).withColumn("blocks", F.greatest(blocks, F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -506,9 +500,7 @@ def rest_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links = (
         dealt.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(frugal(_rest(percent)), "a long, b long")
     )
-    out = written(links.distinct(), "links")
-    forget(small)
-    return out
+    return written(links.distinct(), "links")
 
 
 def jaccard_components(
@@ -535,7 +527,7 @@ def jaccard_components(
     marks = ["n_shingles", "mark", "mark2"]
     # Texts without id are compared with nothing.
     named = marked.where("n_shingles > 0 and doc_id is not null")
-    same = written(named.groupBy(*marks).agg(F.min("doc_id").alias("node")), "same")
+    same = named.groupBy(*marks).agg(F.min("doc_id").alias("node"))
     # One row of each set, though its id may have rows of other sets too.
     of_set = named.join(same.withColumnRenamed("node", "doc_id"), [*marks, "doc_id"]).dropDuplicates([*marks])
     entries = of_set.select("doc_id", "n_shingles", F.explode(F.arrays_zip("slots", "sketches", "spares")).alias("s")).select(
@@ -568,7 +560,7 @@ def jaccard_components(
         .select("doc_id", "n_shingles", component.alias("component_id")),
         "classes",
     )
-    forget(marked, same, links, *more, classes)
+    forget(marked, links, *more, classes)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
@@ -86,9 +87,21 @@ _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def forget(*tables: DataFrame | None) -> None:
-    """Delete written tables that nothing reads any more."""
+    """Delete written tables that nothing reads any more, and the shuffle files of what they were made of.
+
+    Spark drops a shuffle's files once the driver's garbage collector finds that no plan refers to it, so it is asked to look.
+    """
+    spark = None
     for df in tables:
         if df is None or df not in _paths:
             continue
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def is_written(df: DataFrame) -> bool:
+    return df in _paths

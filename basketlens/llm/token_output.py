@@ -33,13 +33,13 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 18
 # Words whose ids a worker keeps, none longer than CACHED_CHARS: some 200 bytes each.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_000_000
 CACHED_CHARS = 16
 # Bytes of a group of texts; longer texts are cut at white space.
 PIECE_BYTES = 1 << 22
 
 # New words that are encoded as one text, and how the vocabulary writes a word's end.
-JOINED_WORDS = 500
+JOINED_WORDS = 2000
 WORD_END = "</w>"
 
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -169,7 +169,8 @@ class Encoder:
         if len(new):
             short = np.array([len(words[i]) <= CACHED_CHARS for i in new])
             new = np.concatenate([new[short], new[~short]])
-            ids, sizes = self._encoded([words[i] for i in new])
+            fresh = [words[i] for i in new]
+            ids, sizes = self._encoded(fresh)
             # Once full, what is known stays, as frequent words come early.
             kept = int(short.sum()) if len(self.known) + len(new) <= CACHED_WORDS else 0
             at = self.ids.add(ids, int(sizes[:kept].sum()))
@@ -177,7 +178,7 @@ class Encoder:
             begins = (at + np.cumsum(sizes) - sizes).astype(np.int32)
             first = self.start.add(begins, kept)
             self.size.add(sizes, kept)
-            self.known.update(zip((words[i] for i in new[:kept]), range(first, first + kept)))
+            self.known.update(zip(fresh[:kept], range(first, first + kept)))
             start[new], size[new] = begins, sizes
         return start, size
 

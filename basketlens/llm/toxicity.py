@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import keep_where, narrow, prepared, written
+from basketlens.llm.tables import forget, keep_where, narrow, prepared, written
 from basketlens.llm.words import Words, mix
 from basketlens.llm.words import words as all_words
 
@@ -160,6 +160,7 @@ def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.nd
         seen = np.maximum(seen, 1)
         state = State(state.z + z / seen, state.n + n / seen)
         shared.destroy()
+    forget(shards)
     return state.weights(slice(None))
 
 
