@@ -1,7 +1,12 @@
 """The pipeline over documents: toxicity, near copies, benchmark leaks, mixing, token output.
 
 Every stage takes (spark, docs, sf_dir) and returns a frame; run() writes each stage's frame as
-Parquet in the shared folder and reads it back as the next one's docs.
+Parquet in the shared folder, reads it back as the next one's docs, and deletes what the stage before wrote.
+
+Null and empty texts are documents without words: they score by the classifier's intercept, are nobody's copy, hold no benchmark
+item, take their place in the mixture and are an end id alone. Rows with a null id stay through all stages and come first of their
+source; rows that repeat an id are kept or dropped by their own texts, but go together as copies. Ties are settled by the smaller
+id. An empty table passes through as one. All other columns are passed on untouched, whatever their names, but by the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basketlens.llm.decontamination import keep_clean
 from basketlens.llm.mixing import mixed
 from basketlens.llm.ngram_join import keep_one
-from basketlens.llm.tables import prepared, read, written
+from basketlens.llm.tables import forget, prepared, read, written
 from basketlens.llm.token_output import token_output_in_file_order
 from basketlens.llm.toxicity import keep_civil
 from basketlens.session import tune
@@ -60,5 +65,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        forget(before)
+    # The last stage has written its files when it returns; its rows are read from these.
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    forget(docs)
+    return out
