@@ -46,7 +46,7 @@ def keep_where(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarr
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(place))))
 
-    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)
+    return numbered.mapInArrow(frugal(run), numbered.schema).toDF(*df.columns)
 
 
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

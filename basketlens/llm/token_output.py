@@ -33,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 18
 # Words whose ids a worker keeps, none longer than CACHED_CHARS: some 200 bytes each.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 700_000
 CACHED_CHARS = 16
 # Bytes of a group of texts; longer texts are cut at white space.
 PIECE_BYTES = 1 << 22
@@ -340,7 +340,7 @@ def read_digests(spark, path: str) -> DataFrame:
     shards = prepared(spark).read.schema(SHARD_SCHEMA).parquet(path)
     # A few shards of an Arrow batch each, as a shard's ids are unpacked whole.
     docs = shards.mapInArrow(
-        _digests, "file string, part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long"
+        frugal(_digests), "file string, part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long"
     )
     sizes = shards.select("file", "part", "shard", "n_tokens")
     earlier = Window.unboundedPreceding

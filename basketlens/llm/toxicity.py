@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import forget, keep_where, narrow, prepared, written
+from basketlens.llm.tables import forget, frugal, keep_where, narrow, prepared, written
 from basketlens.llm.words import Words, mix
 from basketlens.llm.words import words as all_words
 
@@ -144,12 +144,12 @@ def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.nd
     )
     state = State.empty()
     # As many bytes as coordinates, from each shard.
-    met = shards.mapInArrow(_met, "rows binary").toArrow().column("rows")
+    met = shards.mapInArrow(frugal(_met), "rows binary").toArrow().column("rows")
     usual = sum((np.frombuffer(m.as_buffer(), np.uint8).astype(np.int64) for m in met), np.zeros(1 << DIMENSION_BITS, np.int64)) >= MET
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32), usual))
         # SHARDS dense states at most; added in their order, so that the sum is always the same.
-        added = shards.mapInArrow(_trained(shared), "shard long, z binary, n binary").toArrow()
+        added = shards.mapInArrow(frugal(_trained(shared)), "shard long, z binary, n binary").toArrow()
         seen = np.zeros_like(state.n)
         z, n = np.zeros_like(state.z), np.zeros_like(state.n)
         for k in np.argsort(added.column("shard").to_numpy()):
@@ -189,7 +189,7 @@ def score(df: DataFrame, weights: np.ndarray) -> DataFrame:
             found = np.concatenate([np.zeros(0), *_scores(shared, batch.column("text"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return df.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def learnt_weights(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> np.ndarray:
