@@ -33,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 18
 # Words whose ids a worker keeps, none longer than CACHED_CHARS: some 200 bytes each.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 CACHED_CHARS = 16
 # Bytes of a group of texts; longer texts are cut at white space.
 PIECE_BYTES = 1 << 22
@@ -84,13 +84,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
-        # Words met, by number; where their ids begin in `ids`, and how many they are.
-        self.known = _Known()
-        self.ids, self.start, self.size = _Held(self.kind), _Held(np.int32), _Held(np.int32)
+        self.reset()
         # Bytes that each id stands for, as its piece is spelt (one character a byte, and a mark at the end of words).
         pieces = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.spelt = np.array([len(p.removesuffix(WORD_END)) for p in pieces], np.int64)
 
+    def reset(self) -> None:
+        """Forget all words."""
+        # Words met, by number; where their ids begin in `ids`, and how many they are.
+        self.known = _Known()
+        self.ids, self.start, self.size = _Held(self.kind), _Held(np.int32), _Held(np.int32)
+
     @staticmethod
     def of(path: str) -> Encoder:
         if path not in _encoders:
@@ -260,6 +264,9 @@ def _sharded(path: str, end_id: int, shard_tokens: int, in_place: bool):
                 at += len(sizes)
         if docs:
             yield close()
+        if in_place:
+            # The last stage of a pipeline: its workers go on to other things.
+            encoder.reset()
 
     return run
 

@@ -38,14 +38,19 @@ class WaveletMatrix:
         packer = zstandard.ZstdCompressor(level=level)
         zeros, before, frames = [], [], []
         for b in range(levels - 1, -1, -1):
-            bit = (x >> b) & 1 == 1
+            bit = (x & x.dtype.type(1 << b)) != 0
             plane = np.packbits(bit, bitorder="little")
-            pieces = [plane[k : k + CHUNK_BYTES] for k in range(0, len(plane), CHUNK_BYTES)]
-            ones = [int(np.bitwise_count(p).sum(dtype=np.int64)) for p in pieces]
-            zeros.append(n - sum(ones))
-            before.append(np.cumsum([0, *ones])[: len(pieces)])
-            frames.append([packer.compress(p.tobytes()) for p in pieces])
-            x = np.concatenate([x[~bit], x[bit]])
+            at = np.arange(0, len(plane), CHUNK_BYTES)
+            ones = np.add.reduceat(np.bitwise_count(plane), at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+            first = n - int(ones.sum())
+            zeros.append(first)
+            before.append(np.cumsum(ones) - ones)
+            frames.append([packer.compress(plane[k : k + CHUNK_BYTES].tobytes()) for k in at])
+            if b:
+                y = np.empty_like(x)
+                y[:first] = x[~bit]
+                y[first:] = x[bit]
+                x = y
         return WaveletMatrix(n, zeros, before, frames)
 
     def to_bytes(self) -> bytes:
