@@ -37,7 +37,7 @@ from basketlens.session import tune
 from basketlens.sources.io import contract_report, load_report, read_result, write_result
 from basketlens.sources import staging
 from basketlens.sources.staging import stage, stage_by_month
-from basketlens.sources.testdata import from_testdata, purchase_events
+from basketlens.sources.testdata import SCHEMAS, from_testdata, purchase_events
 from oracle_queries import ORACLE
 
 try:
@@ -58,7 +58,8 @@ _SINGLE = ("customers", "products")
 def _tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, path, _files(spark, path))
     if key not in _TABLES:
-        _TABLES[key] = from_testdata(tune(spark), path, sold_only=True)
+        _TABLES[key] = from_testdata(spark, path, sold_only=True)
+    _tuned(spark, path)
     return dict(_TABLES[key])
 
 
@@ -85,6 +86,12 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(out))
 
 
+def _tuned(spark: SparkSession, path: str) -> SparkSession:
+    """The session, set up for the tables of a folder by their size."""
+    names = tuple(f"{table}.parquet" for table in SCHEMAS)
+    return tune(spark, sum(size for file, size, _ in _files(spark, path) if any(f"/{name}" in file for name in names)))
+
+
 def _fitted(spark: SparkSession, path: str, kind: str, fit: Callable[[], object]) -> object:
     key = (spark.sparkContext.applicationId, path, _files(spark, path), staging.generation, kind)
     if key not in _FITTED:
@@ -105,7 +112,7 @@ def _on_categories(analysis: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _on_events(analysis: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, path: analysis(purchase_events(tune(spark), path))
+    return lambda spark, path: analysis(purchase_events(_tuned(spark, path), path))
 
 
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -261,8 +268,8 @@ EVENT_ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 # Reports on the input tables and on fitted models.
 OTHER: dict[str, Query] = {
-    "load_report": lambda spark, path: load_report(from_testdata(tune(spark), path)),
-    "tx_status_filter": lambda spark, path: sold_orders(from_testdata(tune(spark), path)["orders"]),
+    "load_report": lambda spark, path: load_report(from_testdata(_tuned(spark, path), path)),
+    "tx_status_filter": lambda spark, path: sold_orders(from_testdata(_tuned(spark, path), path)["orders"]),
     "kmeans_segments": _segments,
     "kmeans_label_counts": lambda spark, path: segments.kmeans_label_counts(_segments(spark, path)),
     "kmeans_profile": lambda spark, path: segments.kmeans_profile(_segments(spark, path)),
@@ -360,7 +367,7 @@ REFERENCE: dict[str, Query] = {
         _rounded(segments.kmeans_profile(_fixed(spark, path)), 2, "avg_total_spent", "avg_order_value"),
         6, "avg_orders", "avg_recency",
     ),
-    "contract_report": lambda spark, path: contract_report(from_testdata(tune(spark), path)),
+    "contract_report": lambda spark, path: contract_report(from_testdata(_tuned(spark, path), path)),
     "exported_category_performance": _exported,
     "tx_text_times": _text_times,
     "quartile_label_counts": lambda spark, path: segments.kmeans_label_counts(_quartiles(spark, path)),
