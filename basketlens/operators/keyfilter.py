@@ -44,3 +44,10 @@ def with_partner(df: DataFrame, key: str, words: DataFrame, count: int) -> DataF
     """The rows of df whose key may be in the filter; null keys go."""
     kept = df.withColumns({"__word": _word(key, count), "__need": _bits(key)}).join(F.broadcast(words), "__word")
     return kept.filter(F.col("__bits").bitwiseAND(F.col("__need")) == F.col("__need")).select(df.columns)
+
+
+def may_have_partner(df: DataFrame, key: str, words: DataFrame, count: int, mark: str) -> DataFrame:
+    """df and whether its key may be in the filter, as column `mark`; null keys are not in it. No row moves."""
+    found = df.withColumns({"__word": _word(key, count), "__need": _bits(key)}).join(F.broadcast(words), "__word", "left")
+    held = F.col("__bits").bitwiseAND(F.col("__need")) == F.col("__need")
+    return found.select(*df.columns, (F.col(key).isNotNull() & F.coalesce(held, F.lit(False))).alias(mark))

@@ -87,3 +87,39 @@ def test_junk_is_rejected_and_unseen_good_text_kept_at_any_size(spark, size):
     good = [r.kept for r in rows.join(unseen, "doc_id").collect()]
     assert len(junk) > 20 and sum(junk) <= 0.2 * len(junk)
     assert len(good) > 20 and sum(good) >= 0.9 * len(good)
+
+
+def test_every_trusted_label_counts(spark):
+    n = 65_000
+    docs = spark.range(2 * n).selectExpr("id AS doc_id", f"IF(id < {n}, 'a b', 'c') AS text")
+    marks = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    got = {r.text: r.score for r in q.quality(docs, marks).join(docs, "doc_id").groupBy("text").agg({"score": "max"}).toDF("text", "score").collect()}
+    from math import log
+
+    ratio = lambda t, r: log((t + 1) / (q.BUCKETS + 3 * n)) - log((r + 1) / (q.BUCKETS + 4 * n))
+    assert got["a b"] == pytest.approx(ratio(n, n), abs=1e-12) and got["c"] == pytest.approx(ratio(0, n), abs=1e-12)
+
+
+def test_the_threshold_is_the_quantile_of_all_held_out_scores(spark, documents, labels):
+    import numpy as np
+
+    docs = documents.select(q.F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = q.marked(docs, labels.selectExpr("doc_id AS id", "quality AS label"))
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    trusted = sorted(r.doc_id for r in known.where("trusted").collect())
+    assert trusted == sorted(r.doc_id for r in docs.join(good, "doc_id").collect()) and known.count() == docs.count()
+    ratios = q.log_ratios(q.gram_counts(known))[1]
+    held = known.where(q.F.col("trusted") & q.held_out("doc_id")).select("doc_id", "text")
+    scores = [r.score for r in q.judged(held, ratios).where("not base_failed").collect()]
+    assert q.held_out_threshold(held, ratios) == np.quantile(scores, q.QUANTILE)
+    assert q.held_out_threshold(held.where("false"), ratios) == q.THRESHOLD
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_ids_are_marked_exactly(spark, monkeypatch, most):
+    monkeypatch.setattr(q, "MOST_WRONG", most)
+    docs = spark.range(40_000).selectExpr("IF(id % 1000 = 7, NULL, id DIV 2) AS doc_id", "'x' AS text")
+    marks = spark.range(20_000).selectExpr("id", "IF(id % 3 = 0, 1, 0) AS label").union(spark.sql("SELECT CAST(NULL AS BIGINT), 1"))
+    got = q.marked(docs, marks).groupBy("trusted").count().collect()
+    want = sum(i % 1000 != 7 and i // 2 % 3 == 0 for i in range(40_000))
+    assert {r.trusted: r["count"] for r in got} == {True: want, False: 40_000 - want}
