@@ -49,3 +49,22 @@ def test_queries_are_set_up_by_the_size_of_their_tables(small_tasks, name):
     registry.queries()[name](small_tasks, path)
     assert small_tasks.conf.get(SIZE) == str(1 << 20)
     assert small_tasks.conf.get(START) == str(-(-size // (1 << 20)))
+
+
+def test_a_scan_gets_more_tasks_and_not_larger_ones(small_tasks, monkeypatch, tmp_path):
+    """Rows are grouped in the scan's tasks before they move, so what a task reads must not grow with the table."""
+    monkeypatch.setattr(session, "SCAN_BYTES", 1 << 18, raising=False)
+    monkeypatch.setattr(session, "TASK_BYTES", 1 << 18)
+    path = str(tmp_path / "rows")
+    rows = small_tasks.range(400_000).selectExpr("id", "md5(cast(id AS string)) AS a")
+    rows.coalesce(1).write.option("parquet.block.size", 1 << 18).parquet(path)
+    size = sum(f.stat().st_size for f in Path(path).glob("*.parquet"))
+    cost = "spark.sql.files.openCostInBytes"
+    small_tasks.conf.set(cost, 1 << 10)
+    try:
+        session.tune(small_tasks, size)
+        scan = small_tasks.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= size // (1 << 18) > 16
+    finally:
+        small_tasks.conf.unset(cost)
+        small_tasks.conf.unset("spark.sql.files.maxPartitionBytes")
