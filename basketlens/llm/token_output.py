@@ -52,6 +52,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def listed(words: pa.Array) -> list[str]:
+    """The words of an array without nulls. By way of an object array, as to_pylist makes a scalar of each word first."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Known(dict):
     """Numbers of words; -1 for others."""
 
@@ -138,7 +143,7 @@ class Encoder:
     def _group(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        start, size = self._places(words.dictionary.to_pylist())
+        start, size = self._places(listed(words.dictionary))
         stops = lists.offsets.to_numpy().astype(np.int64)
         stops -= stops[0]
         number = words.indices.to_numpy()
