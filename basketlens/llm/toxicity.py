@@ -6,7 +6,8 @@ what they are. Words are
 hashed to the lower half of 2^DIMENSION_BITS coordinates, pairs to the upper half. FTRL keeps two
 numbers per coordinate; the L1 term leaves most weights at exactly zero. Training rows are dealt
 into SHARDS files by a hash; in each round every shard continues from the common state over its own
-rows, and a coordinate moves by the mean of what the shards that met it have added. The state is
+rows, and a coordinate moves by the mean of what the shards that met it have added. What shards add is put together
+on the executors, by blocks of coordinates, so the driver gets one state a round however many tasks read the files. The state is
 bounded by the number of coordinates, so it can be broadcast; the weights that score are the
 non-zero ones. Toxic rows, the rarer class, count POSITIVE_WEIGHT times.
 """
@@ -18,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,11 @@ from basketlens.llm.words import words as all_words
 
 DIMENSION_BITS = 20
 SHARDS = 4
+# A number for each shard; Spark's hash deals these to different ones of as many partitions.
+SEATS = (2, 0, 14, 3)
 ROUNDS = 3
+# Coordinates of a state that travel in one row.
+BLOCK = 1 << 16
 # Training rows that must hold a feature.
 MET = 5
 INTERCEPT = 1 << DIMENSION_BITS
@@ -96,38 +100,124 @@ def _with_intercept(at: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a shard that hold each coordinate, up to MET."""
+    """Rows of a task that hold each coordinate, up to MET, by block."""
     rows = np.zeros(1 << DIMENSION_BITS, np.int64)
     for batch in batches:
         for part in words(batch.column("text")):
             for at in features(part):
                 rows[at] += 1
-    yield pa.RecordBatch.from_arrays([pa.array([np.minimum(rows, MET).astype(np.uint8).tobytes()], pa.binary())], ["rows"])
+    if rows.any():
+        capped = np.minimum(rows, MET).astype(np.uint8).reshape(-1, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(capped))), pa.array([r.tobytes() for r in capped], pa.binary())], ["block", "rows"])
+
+
+def _met_by_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _met sorted by block -> whether MET rows of all tasks hold each coordinate of the block, packed as bits."""
+
+    def packed(block: int, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(rows >= MET).tobytes()], pa.binary())], ["block", "usual"])
+
+    now, rows = None, np.zeros(BLOCK, np.int64)
+    for batch in batches:
+        for block, more in zip(batch.column("block").to_pylist(), batch.column("rows")):
+            if block != now:
+                if now is not None:
+                    yield packed(now, rows)
+                now, rows = block, np.zeros(BLOCK, np.int64)
+            rows += np.frombuffer(more.as_buffer(), np.uint8)
+    if now is not None:
+        yield packed(now, rows)
+
+
+def usual_coordinates(shards: DataFrame) -> np.ndarray:
+    """The coordinates that MET rows hold; one bit each reaches the driver."""
+    rows = shards.select("text").mapInArrow(frugal(_met), "block long, rows binary")
+    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(frugal(_met_by_all), "block long, usual binary").toArrow()
+    out = np.zeros(1 << DIMENSION_BITS, bool)
+    for block, bits in zip(found.column("block").to_pylist(), found.column("usual")):
+        out[block * BLOCK : (block + 1) * BLOCK] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8)).astype(bool)
+    return out
 
 
 def _trained(state):
-    """One round over one shard: what it adds to the state, as 32-bit numbers. `state` also marks the coordinates that count."""
+    """One round over the shards of a task: what each adds to the state, as 32-bit numbers, by block and only where it adds any.
+
+    `state` also marks the coordinates that count.
+    """
+
+    def added(shard: int, own: State) -> Iterator[pa.RecordBatch]:
+        z, n = ((x - y).astype(np.float32) for x, y in zip((own.z, own.n), state.value[:2]))
+        at = np.flatnonzero((z != 0) | (n != 0))
+        ends = np.searchsorted(at, np.arange(0, len(z) + BLOCK, BLOCK))
+        for block, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            if a < b:
+                here = at[a:b]
+                columns = ((here - block * BLOCK).astype(np.int32), z[here], n[here])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.array([shard], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)],
+                    ["block", "shard", "at", "z", "n"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: State | None = None
+        now = None
         for batch in batches:
-            if own is None:
-                own = State(*(x.astype(np.float64) for x in state.value[:2]))
             usual = state.value[2]
+            shards = batch.column("shard").to_numpy()
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             for part in words(batch.column("text")):
                 for t, at in enumerate(features(part)):
+                    if shards[part.first + t] != now:
+                        if own is not None:
+                            yield from added(now, own)
+                        now = shards[part.first + t]
+                        own = State(*(x.astype(np.float64) for x in state.value[:2]))
                     own.learn(_with_intercept(at[usual[at]]), int(labels[part.first + t]))
         if own is not None:
-            added = [(x - y).astype(np.float32).tobytes() for x, y in zip((own.z, own.n), state.value[:2])]
-            shard = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), *(pa.array([a], pa.binary()) for a in added)], ["shard", "z", "n"]
-            )
+            yield from added(now, own)
 
     return run
 
 
+def _mean_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _trained sorted by block -> the mean, at each coordinate of the block, of what the rows that met it add."""
+
+    def mean(block: int, z: np.ndarray, n: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+        seen = np.maximum(seen, 1)
+        columns = [pa.array([(x / seen).tobytes()], pa.binary()) for x in (z, n)]
+        return pa.RecordBatch.from_arrays([pa.array([block]), *columns], ["block", "z", "n"])
+
+    now, z, n, seen = None, *np.zeros((3, BLOCK))
+    for batch in batches:
+        for block, *row in zip(batch.column("block").to_pylist(), *(batch.column(c) for c in ("at", "z", "n"))):
+            if block != now:
+                if now is not None:
+                    yield mean(now, z, n, seen)
+                now, (z, n, seen) = block, np.zeros((3, BLOCK))
+            at, more_z, more_n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int32, np.float32, np.float32)))
+            z[at] += more_z
+            n[at] += more_n
+            seen[at] += more_n > 0
+    if now is not None:
+        yield mean(now, z, n, seen)
+
+
+def next_state(shards: DataFrame, state: State, usual: np.ndarray) -> State:
+    """The state after one round over all shards; what reaches the driver is of its size."""
+    shared = shards.sparkSession.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32), usual))
+    added = shards.mapInArrow(frugal(_trained(shared)), "block long, shard long, at binary, z binary, n binary")
+    # Added in the order of the shards, so that the sum is always the same.
+    in_order = added.repartition("block").sortWithinPartitions("block", "shard", F.xxhash64("z"))
+    means = in_order.mapInArrow(frugal(_mean_of_shards), "block long, z binary, n binary").toArrow()
+    z, n = state.z.copy(), state.n.copy()
+    for block, *row in zip(means.column("block").to_pylist(), means.column("z"), means.column("n")):
+        here = slice(block * BLOCK, min(len(z), (block + 1) * BLOCK))
+        for whole, more in zip((z, n), row):
+            whole[here] += np.frombuffer(more.as_buffer(), np.float64)[: here.stop - here.start]
+    shared.destroy()
+    return State(z, n)
+
+
 def training_ids(labels: DataFrame, rows: int) -> DataFrame:
     """labels (label_id, label) -> those to learn from: not held out, and about `rows` at most, chosen by a hash."""
     known = labels.where("label in (0, 1) and label_id is not null").where(~held_out(F.col("label_id")))
@@ -141,30 +231,17 @@ def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.nd
     # About `rows` numbers: bounded, so they are sent to the texts.
     chosen = texts.join(F.broadcast(training_ids(labels, rows)), F.col("doc_id") == F.col("label_id"))
     order = F.xxhash64("doc_id")
+    shard = F.element_at(F.array(*map(F.lit, SEATS)), F.pmod(F.hash(order), F.lit(SHARDS)) + 1)
     shards = written(
-        chosen.select("doc_id", "text", F.col("label").cast("int").alias("label"))
-        .repartition(SHARDS, order)
-        .sortWithinPartitions(order, "text", "label"),
+        chosen.select("doc_id", "text", F.col("label").cast("int").alias("label"), shard.cast("long").alias("shard"))
+        .repartition(SHARDS, "shard")
+        .sortWithinPartitions("shard", order, "text", "label"),
         "toxic",
     )
     state = State.empty()
-    # As many bytes as coordinates, from each shard.
-    met = shards.mapInArrow(frugal(_met), "rows binary").toArrow().column("rows")
-    usual = sum((np.frombuffer(m.as_buffer(), np.uint8).astype(np.int64) for m in met), np.zeros(1 << DIMENSION_BITS, np.int64)) >= MET
+    usual = usual_coordinates(shards)
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32), usual))
-        # SHARDS dense states at most; added in their order, so that the sum is always the same.
-        added = shards.mapInArrow(frugal(_trained(shared)), "shard long, z binary, n binary").toArrow()
-        seen = np.zeros_like(state.n)
-        z, n = np.zeros_like(state.z), np.zeros_like(state.n)
-        for k in np.argsort(added.column("shard").to_numpy()):
-            more = np.frombuffer(added.column("n")[int(k)].as_buffer(), np.float32)
-            z += np.frombuffer(added.column("z")[int(k)].as_buffer(), np.float32)
-            n += more
-            seen += more > 0
-        seen = np.maximum(seen, 1)
-        state = State(state.z + z / seen, state.n + n / seen)
-        shared.destroy()
+        state = next_state(shards, state, usual)
     forget(shards)
     return state.weights(slice(None))
 

@@ -5,7 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from basketlens.llm import toxicity as toxic
 from basketlens.llm.toxicity import ALPHA, BETA, L1, L2, POSITIVE_WEIGHT, State, fit, keep_civil, toxicity, training_ids
 
 
@@ -99,3 +101,29 @@ def test_learning_equals_plain_ftrl():
             n[i] += g * g
     assert np.allclose(state.z[:40], z) and np.allclose(state.n[:40], n)
     assert np.allclose(state.weights(np.arange(40)), [weight(i) for i in range(40)])
+
+
+def test_the_driver_gets_one_state_however_many_tasks_read_the_rows(marked, spark):
+    docs, labels, _ = marked
+    rows = docs.join(labels, "doc_id").selectExpr("text", "toxic AS label", "doc_id % 40 AS shard")
+    whole, sent = type(rows).toArrow, []
+
+    def counted(df):
+        sent.append(whole(df))
+        return sent[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows), "toArrow", counted)
+        usual = toxic.usual_coordinates(rows.repartition(40, "shard"))
+        many = toxic.next_state(rows.repartition(40, "shard").sortWithinPartitions("shard", "text"), State.empty(), usual)
+        few = toxic.next_state(rows.repartition(3, "shard").sortWithinPartitions("shard", "text"), State.empty(), usual)
+    coordinates = len(many.z)
+    assert [t.num_rows for t in sent] == [16, sent[1].num_rows, sent[1].num_rows] and sent[1].num_rows <= 17
+    assert sent[0].nbytes < coordinates and max(t.nbytes for t in sent) < 17.5 * coordinates
+    # What a shard adds does not depend on the tasks it shares.
+    assert np.allclose(many.z, few.z, atol=1e-5) and np.allclose(many.n, few.n, atol=1e-5) and np.count_nonzero(many.n) > 100
+
+
+def test_every_shard_is_one_task(spark):
+    seats = spark.createDataFrame([(s,) for s in toxic.SEATS], "shard long").repartition(toxic.SHARDS, "shard")
+    assert seats.groupBy(F.spark_partition_id()).count().count() == toxic.SHARDS == len(toxic.SEATS)
