@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from basketlens.llm.components import components, merged
 from basketlens.llm.tables import column, forget, frugal, narrow, prepared, written
 from basketlens.llm.words import Words, joined, mix, words
-from basketlens.operators.keyfilter import MOST_KEYS, key_words, with_partner
+from basketlens.operators.keyfilter import MOST_KEYS, key_words, may_have_partner, with_partner
 
 BAND = 1.5
 # Rows and bytes of a block of texts that are compared with all others of their key.
@@ -485,8 +485,10 @@ def rest_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     These texts are dealt into blocks, by a hash of the node, and a block is compared with all texts of the key.
     """
     rows = mixed.where(F.col("others") > HEADS)
-    rows = rows.join(sets.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
-    small = rows.where("label <> main").groupBy(F.col("key").alias("__key")).agg(F.sum(F.octet_length("held")).alias("bytes"))
+    held = sets.withColumnRenamed("node", "__node")
+    # Sets are large: blocks are worked out from their lengths, and a set moves once its places are known.
+    lengths = rows.where("label <> main").join(held.select("__node", F.octet_length("held").alias("length")), F.col("node") == F.col("__node"))
+    small = lengths.groupBy(F.col("key").alias("__key")).agg(F.sum("length").alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("others") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.join(small, F.col("key") == F.col("__key")).withColumn("blocks", F.greatest(blocks, F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -495,8 +497,9 @@ def rest_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("other"))
     )
     itself = F.array(F.struct(own.alias("block"), F.lit(0).alias("other")))
-    dealt = rows.withColumn("place", F.explode(F.when(F.col("label") != F.col("main"), F.concat(itself, places)).otherwise(places)))
-    dealt = dealt.select("key", "place.block", "place.other", "node", "label", "held")
+    places = F.when(F.col("label") != F.col("main"), F.concat(itself, places)).otherwise(places)
+    placed = rows.select("key", "node", "label", places.alias("places")).join(held, F.col("node") == F.col("__node"))
+    dealt = placed.withColumn("place", F.explode("places")).select("key", "place.block", "place.other", "node", "label", "held")
     links = (
         dealt.repartition("key", "block").sortWithinPartitions("key", "block", "other").mapInArrow(frugal(_rest(percent)), "a long, b long")
     )
@@ -570,5 +573,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     Rows that repeat the id that stays stay too, as do rows without id or words.
     """
     classes = jaccard_components(df, id_col, text_col, shingle, percent)
-    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, column(id_col) == F.col("__gone"), "left_anti")
+    gone = written(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    forget(classes)
+    count = gone.count()
+    if count > MOST_KEYS:
+        return df.join(gone, column(id_col) == F.col("__gone"), "left_anti")
+    # Only rows that may be gone move to be compared; a filter of bounded size tells the others where they lie.
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    id_at = f"c{df.columns.index(id_col)}"
+    words_of_gone, size = key_words(gone, "__gone", count)
+    marked = may_have_partner(numbered.withColumn("id", F.col(id_at).cast("long")), "id", words_of_gone, size, "may").drop("id")
+    sure = marked.where("not may").drop("may")
+    left = marked.where("may").drop("may").join(gone, F.col(id_at) == F.col("__gone"), "left_anti")
+    return sure.union(left).toDF(*df.columns)

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 
+from basketlens.llm import ngram_join
 from basketlens.llm.components import components, merged
 from basketlens.llm.ngram_join import Layouts, band_of, band_top, distance_limit, jaccard_components, keep_one, parity
 
@@ -137,3 +139,54 @@ def test_components_of_a_long_path(spark):
     more = spark.createDataFrame([(450, 7), (700, 800), (30, 40), (900, 500)], "a long, b long")
     got = {r.node: r.component for r in merged(found, more).collect()}
     assert all(got[i] == 0 for i in (*range(101), 400, 450, 500, 900)) and got[700] == got[800] == 700
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    """Tables as large as that none is broadcast by its size."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    yield spark
+    spark.conf.unset(key)
+
+
+def test_texts_that_stay_do_not_move(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(10)] + [(None, texts[0]), (None, None)]
+    docs = spark.createDataFrame(rows, "id long, `a.text` string")
+    join, compared = type(docs).join, []
+
+    def counted(self, other, on=None, how=None):
+        if how == "left_anti" and "string" in dict(self.dtypes).values():
+            compared.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    kept = keep_one(docs, id_col="id", text_col="a.text")
+    assert kept.columns == ["id", "a.text"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([*rows[:400], *rows[410:]], key=repr)
+    assert len(compared) == 1 and compared[0] < 50
+
+
+def test_sets_move_once_their_places_are_known(without_broadcasts, monkeypatch):
+    spark = without_broadcasts
+    names = range(40)
+    sets = {i: np.arange(i, i + 200, dtype=np.uint64) for i in names}
+    mixed = spark.createDataFrame([(7, i, i, i if i % 2 else 0, 0, 20) for i in names], "key long, slot long, node long, label long, main long, others long")
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "node long, held binary")
+    monkeypatch.setattr(ngram_join, "written", lambda df, _: df)
+    links = ngram_join.rest_links(mixed, held, 90)
+    plan = links._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moves = [step for step in plan.split("\n\n") if re.match(r"\(\d+\) Exchange\n", step) and "held" in step.split("\n")[1]]
+    assert len(moves) == 2
+    classes = {i: i if i % 2 else 0 for i in names}
+
+    def root(x):
+        while classes[x] != x:
+            x = classes[x]
+        return x
+
+    for a, b in links.collect():
+        assert ngram_join.linked(sets[a], sets[b], 90)
+        classes[root(b)] = root(a)
+    assert len({root(i) for i in names}) == 1
