@@ -80,8 +80,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, bucket = grams(part)
             of = kinds[part.first : part.first + part.texts]
             for kind in np.unique(of).tolist():
-                found = np.bincount(bucket if (of == kind).all() else bucket[of[text] == kind], minlength=BUCKETS)
-                counts[kind] = counts[kind] + found if kind in counts else found
+                if kind not in counts:
+                    counts[kind] = np.zeros(BUCKETS, np.int64)
+                # In place: a slice has far fewer n-grams than there are buckets.
+                np.add.at(counts[kind], bucket if (of == kind).all() else bucket[of[text] == kind], 1)
     for kind, found in counts.items():
         blocks = found.reshape(-1, BLOCK)
         least = [b.astype(np.uint32) if b.max() < 2**32 else b for b in blocks]

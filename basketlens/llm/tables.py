@@ -17,6 +17,8 @@ from basketlens.sources.staging import scratch_dir
 
 # Rows of text an Arrow batch may hold; a worker then needs a few dozen MB for it.
 ARROW_ROWS = 1000
+# And its bytes, about: a thousand long texts, or the sets of a thousand pairs of them, may be a hundred MB.
+ARROW_BYTES = 4 << 20
 
 
 def column(name: str) -> Column:
@@ -31,6 +33,7 @@ def narrow(df: DataFrame, **names: str) -> DataFrame:
 
 def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

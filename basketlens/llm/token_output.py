@@ -32,11 +32,11 @@ from basketlens.llm.wavelet import WaveletMatrix
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-# Words whose ids a worker keeps, none longer than CACHED_CHARS: some 200 bytes each.
-CACHED_WORDS = 1_000_000
+# Words whose ids a worker keeps, none longer than CACHED_CHARS: some 200 bytes each. Frequent words come early, so more of them save little.
+CACHED_WORDS = 200_000
 CACHED_CHARS = 16
 # Bytes of a group of texts; longer texts are cut at white space.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 21
 
 # New words that are encoded as one text, and how the vocabulary writes a word's end.
 JOINED_WORDS = 2000
@@ -180,8 +180,8 @@ class Encoder:
             new = np.concatenate([new[short], new[~short]])
             fresh = [words[i] for i in new]
             ids, sizes = self._encoded(fresh)
-            # Once full, what is known stays, as frequent words come early.
-            kept = int(short.sum()) if len(self.known) + len(new) <= CACHED_WORDS else 0
+            # As many as there is room for; once full, what is known stays.
+            kept = min(int(short.sum()), max(0, CACHED_WORDS - len(self.known)))
             at = self.ids.add(ids, int(sizes[:kept].sum()))
             self.beyond = at + len(ids)
             begins = (at + np.cumsum(sizes) - sizes).astype(np.int32)

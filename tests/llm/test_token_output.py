@@ -62,6 +62,16 @@ def test_a_full_cache_and_small_pieces_change_nothing(monkeypatch):
     assert t.Encoder(t.tokenizer_path()).encode(text.encode()) == whole
 
 
+def test_more_new_words_than_fit_leave_the_first_of_them_known(monkeypatch):
+    monkeypatch.setattr(t, "CACHED_WORDS", 100)
+    encoder = t.Encoder(t.tokenizer_path())
+    text = " ".join(f"word{i}" for i in range(1000))
+    whole = encoder.encode(text.encode())
+    assert len(encoder.known) == 100 and "word0" in encoder.known
+    assert encoder.encode(text.encode()) == whole and len(encoder.known) == 100
+    assert np.frombuffer(whole, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 1), (1, 70000), (1000, 3), (CHUNK_BITS + 77, 49408), (5000, 1 << 20)])
 def test_wavelet_matrix_round_trip_access_count_and_occurrence(n, top):
     rng = np.random.default_rng(n)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
@@ -33,3 +35,14 @@ def test_different_words_have_different_hashes():
     some = [f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in range(200)]
     assert len(set(w.word_hashes(" ".join(some)).tolist())) == len(some)
     assert len(set(w.joined(np.arange(9, dtype=np.uint64), 3).tolist())) == 7
+
+
+def test_memory_of_words_does_not_follow_the_batch():
+    column = pa.array([f"word{i} and other{i} words " * 40 for i in range(4000)])
+    list(w.words(column[:10], bare=True))
+    tracemalloc.start()
+    for _ in w.words(column, bare=True):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert column.nbytes > 4 << 20 and peak < 10 << 20
